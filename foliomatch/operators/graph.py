@@ -47,3 +47,37 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     leaves = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return leaves.unionByName(roots)
+
+
+# Relations from the strongest to the weakest.
+RELATION_ORDER = ("EXACT_ARCHIVE", "EXACT_CONTENT", "VISUAL_VARIANT", "RELATED")
+
+
+def relation_rank(relation):
+    return F.array_position(F.array(*[F.lit(r) for r in RELATION_ORDER]), relation)
+
+
+def groups_of(relations: DataFrame, usable) -> DataFrame:
+    """``(archive_id, component)`` of the containers that usable edges join."""
+    return connected_components(relations.where(usable).select("a", "b")).withColumnRenamed("node", "archive_id")
+
+
+def edges_in_groups(relations: DataFrame, groups: DataFrame) -> DataFrame:
+    """Relations with both ends in one group, weak ones too, with its ``component``."""
+    left, right = groups.toDF("a", "component"), groups.toDF("b", "_cb")
+    return relations.join(left, "a").join(right, "b").where("component = _cb").drop("_cb")
+
+
+def strongest_edges(edges: DataFrame) -> DataFrame:
+    """``(component, relation, confidence)``: the strongest relation of a group and its greatest confidence."""
+    best = edges.groupBy("component").agg(F.min(relation_rank(F.col("relation"))).alias("r"))
+    ranked = edges.withColumn("r", relation_rank(F.col("relation"))).join(best, ["component", "r"])
+    return ranked.groupBy("component").agg(F.min("relation").alias("relation"), F.max("confidence").alias("confidence"))
+
+
+def recommended_member(edges: DataFrame) -> DataFrame:
+    """``(component, archive_id)``: the winner that every edge of the group names, or null."""
+    winner = F.when(F.col("recommendation").startswith("KEEP_LEFT"), F.col("a")).when(F.col("recommendation").startswith("KEEP_RIGHT"), F.col("b"))
+    w = edges.withColumn("w", winner)
+    one = F.bool_and(F.col("w").isNotNull()) & (F.count_distinct("w") == 1)
+    return w.groupBy("component").agg(F.when(one, F.min("w")).alias("archive_id"))

@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliomatch.plans import document_queries, review_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return document_queries.flagship(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return document_queries.QUERIES | review_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return document_queries.ORACLES | review_queries.ORACLES
