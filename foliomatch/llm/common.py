@@ -45,6 +45,7 @@ class ChunkEncoder:
     """
 
     _CUT = re.compile(r"(?<=\S) (?=\S)")
+    _LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+\Z")
     _WORD = re.compile(r"(\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]{1,60})([.,]?)\Z")
 
     def __init__(self, path: str, memo: int = 400_000):
@@ -92,26 +93,43 @@ class ChunkEncoder:
         ids = array.array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
         return self.marks[feed] + ids + self.marks[mark]
 
-    def _learn(self, new: set) -> None:
-        rest = []
+    def _plain(self, word: str) -> bytes:
+        """Ids of a Latin-1 word with a space before it."""
+        written = word.lower() if self.folds else word
+        if not written.isascii():
+            written = written.encode().decode("latin-1").translate(self.letters)
+        if self.spaces:
+            written = self.letters[32] + written
+        return array.array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+
+    def _learn(self, new: list) -> None:
+        known, old, rest = self.known, self.old, []
         for p in new:
-            ids = self._word(p) if self.direct else None
+            ids = old.get(p)
+            if ids is None and self.direct:
+                if isinstance(p, tuple) or p[:1] == "\n":
+                    ids = self._word(p)
+                else:
+                    end = p[-1:]
+                    word = p[:-1] if end == "," or end == "." else p
+                    ids = known.get(word) or old.get(word)
+                    if ids is None and word.isalpha() and len(word) <= 60 and (word.isascii() or self._LATIN.match(word)):
+                        ids = self._plain(word)
+                    if ids is not None and word is not p:
+                        ids = ids + self.marks[end] if word[-1:].isalpha() else None
             if ids is None:
                 rest.append(p)
             else:
-                self.known[p] = ids
+                known[p] = ids
         for at in range(0, len(rest), 4096):
-            self.known.update(zip(rest[at : at + 4096], self._ids([*map(self._spelled, rest[at : at + 4096])])))
+            known.update(zip(rest[at : at + 4096], self._ids([*map(self._spelled, rest[at : at + 4096])])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.memo:
             self.known, self.old = {}, self.known
-        cut = [self._pieces(t) for t in texts]
-        missing, old = set().union(*cut) - self.known.keys(), self.old
-        for p in missing & old.keys():
-            self.known[p] = old[p]
-        self._learn(missing - old.keys())
-        get = self.known.__getitem__
+        known, cut = self.known, [self._pieces(t) for t in texts]
+        self._learn([p for p in set().union(*cut) if p not in known])
+        get = known.__getitem__
         return [b"".join(map(get, parts)) for parts in cut]
 
 
