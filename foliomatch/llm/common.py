@@ -7,11 +7,13 @@ import os
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Rows that a Python task handles at once, so that very long texts do not pile up.
-SLICE_ROWS = 256
+SLICE_ROWS = 512
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -39,98 +41,135 @@ class ChunkEncoder:
 
     A space or line feed between two characters that are not white space always starts a new pre-token in the
     tokenizers used here (byte-level BPE and BPE with word ends), as does a final comma or full stop after a letter, and
-    no merge crosses pre-tokens. So texts are cut there, the library encodes a piece when it is first met, and two
-    generations of at most ``memo`` pieces each are remembered: what was not met for a generation goes. Pieces of
-    Latin-1 letters alone are one pre-token and go straight to the library's model; all others take its whole pipeline.
+    no merge crosses pre-tokens. So Arrow cuts the texts of a batch there and numbers their distinct pieces, the library
+    encodes a piece when it is first met, and ids are gathered by number. Two generations of at most ``memo`` pieces
+    each are remembered: what was not met for a generation goes. Pieces of Latin-1 letters alone are one pre-token and
+    go straight to the library's model; all others take its whole pipeline. Texts with white space beside white space,
+    or at an end, are cut by a slower rule.
     """
 
+    #: Stands before the first piece of a text, which has no space before it.
+    FIRST = "\U0010ffff"
     _CUT = re.compile(r"(?<=\S) (?=\S)")
     _LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+\Z")
-    _WORD = re.compile(r"(\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]{1,60})([.,]?)\Z")
+    _SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+    _ODD = rf"{_SPACE}[ \n]|[ \n]{_SPACE}|^[ \n]|[ \n]\z|\x{{10ffff}}"
 
     def __init__(self, path: str, memo: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo, self.known, self.old = memo, {}, {}
         self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.memo, self.known, self.old = memo, {}, {}
         self.folds = self._ids(["A"]) == self._ids(["a"])
         self.spaces = bool(self._ids([" a"])[0] != self._ids(["a"])[0])
         self.marks = {x: self._ids([x])[0] for x in ("", ".", ",", "\n")}
-        probe = {"word", "Stra\u00dfe", "\u00c9t\u00e9.", "\nIl", "unbelievably,", ("A",), ("to.",)}
-        spelled = {p: self._spelled(p) for p in probe}
-        whole = dict(zip(spelled, self._ids([*spelled.values()])))
-        self.direct = all(self._word(p) == whole[p] for p in probe)
+        # tokens that begin with a space, or else those that end a word
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.edge[[i for t, i in vocabulary.items() if (t.startswith(self.letters[32]) if self.spaces else t.endswith("</w>"))]] = True
+        probe = ["word", "Stra\u00dfe", "\u00c9t\u00e9.", "\nIl", "unbelievably,", self.FIRST + "A", self.FIRST + "to."]
+        self.direct = True
+        self._learn(probe)
+        self.direct = [self.known[p] for p in probe] == self._ids([*map(self._spelled, probe)])
+        self.known = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array.array("I", e.ids).tobytes() for e in out]
 
-    def _pieces(self, text: str) -> list:
-        """Words without the space before them; the first one, which has none, as a tuple."""
-        if len(text.split()) == text.count(" ") + text.count("\n") + 1:  # no white space beside white space
-            parts = text.replace("\n", " \n").split(" ")
-        else:
-            parts = self._CUT.split(text)
-        parts[0] = (parts[0],)
-        return parts
-
-    @staticmethod
-    def _spelled(piece: str | tuple[str]) -> str:
-        return piece[0] if isinstance(piece, tuple) else piece if piece[:1] == "\n" else " " + piece
-
-    def _word(self, piece: str | tuple[str]) -> bytes | None:
-        """Ids of a piece of Latin-1 letters, or None for any other piece."""
-        first = isinstance(piece, tuple)
-        m = self._WORD.match(piece[0] if first else piece)
-        if not m:
-            return None
-        feed, word, mark = m.groups()
-        word = word.lower() if self.folds else word
-        if self.spaces and not feed and not first:
-            word = " " + word
-        written = word.encode().decode("latin-1").translate(self.letters)
-        ids = array.array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
-        return self.marks[feed] + ids + self.marks[mark]
+    def _spelled(self, piece: str) -> str:
+        return piece[1:] if piece[:1] == self.FIRST else piece if piece[:1] == "\n" else " " + piece
 
     def _plain(self, word: str) -> bytes:
-        """Ids of a Latin-1 word with a space before it."""
+        """Ids of a Latin-1 word without a space before it."""
         written = word.lower() if self.folds else word
         if not written.isascii():
             written = written.encode().decode("latin-1").translate(self.letters)
-        if self.spaces:
-            written = self.letters[32] + written
         return array.array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
 
-    def _learn(self, new: list) -> None:
-        known, old, rest = self.known, self.old, []
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of Latin-1 words with a space before them: many in one text, told apart by tokens that begin or end one."""
+        out: dict[str, bytes] = {}
+        for at in range(0, len(words), 2048):
+            some = words[at : at + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            edges = np.flatnonzero(self.edge[ids])
+            if len(edges) != len(some):
+                out.update(zip(some, self._ids([" " + w for w in some])))
+                continue
+            cuts = [*edges.tolist(), len(ids)] if self.spaces else [0, *(edges + 1).tolist()]
+            raw = ids.tobytes()
+            out.update(zip(some, [raw[4 * i : 4 * j] for i, j in zip(cuts, cuts[1:])]))
+        return out
+
+    def _is_word(self, word: str) -> bool:
+        return word.isalpha() and len(word) <= 60 and (word.isascii() or self._LATIN.match(word) is not None)
+
+    def _learn(self, new: list[str]) -> None:
+        known, old, marks, rest, waiting = self.known, self.old, self.marks, [], []
         for p in new:
             ids = old.get(p)
-            if ids is None and self.direct:
-                if isinstance(p, tuple) or p[:1] == "\n":
-                    ids = self._word(p)
-                else:
-                    end = p[-1:]
-                    word = p[:-1] if end == "," or end == "." else p
-                    ids = known.get(word) or old.get(word)
-                    if ids is None and word.isalpha() and len(word) <= 60 and (word.isascii() or self._LATIN.match(word)):
-                        ids = self._plain(word)
-                    if ids is not None and word is not p:
-                        ids = ids + self.marks[end] if word[-1:].isalpha() else None
-            if ids is None:
+            if ids is not None:
+                known[p] = ids
+                continue
+            end, head = p[-1:], p[:1]
+            word = p[:-1] if end == "," or end == "." else p
+            if not self.direct:
                 rest.append(p)
+            elif head == "\n" or head == self.FIRST:
+                if self._is_word(word[1:]):
+                    known[p] = (marks["\n"] if head == "\n" else b"") + self._plain(word[1:]) + (marks[end] if word is not p else b"")
+                else:
+                    rest.append(p)
+            elif self._is_word(word):
+                waiting.append((p, word, end if word is not p else ""))
             else:
-                known[p] = ids
+                rest.append(p)
+        have = {w: ids for _, w, _ in waiting if (ids := known.get(w) or old.get(w)) is not None}
+        have.update(self._words([*{w for _, w, _ in waiting} - have.keys()]))
+        for p, word, end in waiting:
+            known[p] = have[word] + marks[end] if end else have[word]
         for at in range(0, len(rest), 4096):
             known.update(zip(rest[at : at + 4096], self._ids([*map(self._spelled, rest[at : at + 4096])])))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _values(self, pieces: list[str]) -> list[bytes]:
         if len(self.known) > self.memo:
             self.known, self.old = {}, self.known
-        known, cut = self.known, [self._pieces(t) for t in texts]
-        self._learn([p for p in set().union(*cut) if p not in known])
-        get = known.__getitem__
-        return [b"".join(map(get, parts)) for parts in cut]
+        known = self.known
+        self._learn([p for p in pieces if p not in known])
+        return [*map(known.__getitem__, pieces)]
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Ids of each text; a null one is empty."""
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        odd = pc.match_substring_regex(column, self._ODD).to_numpy(zero_copy_only=False)
+        out = np.empty(len(column), object)
+        if not odd.all():
+            lists = pc.split_pattern(pc.replace_substring(column.filter(pa.array(~odd)), "\n", " \n"), " ")
+            offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            words = lists.flatten()
+            first = np.zeros(len(words), bool)
+            first[offsets[:-1]] = True
+            words = pc.if_else(pa.array(first), pc.binary_join_element_wise(self.FIRST, words, ""), words)
+            coded = words.dictionary_encode()
+            values = self._values(coded.dictionary.to_pylist())
+            size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+            ids, begin = np.frombuffer(b"".join(values), np.uint32), np.cumsum(size) - size
+            at = coded.indices.to_numpy()
+            n = size[at]
+            upto = np.concatenate([[0], np.cumsum(n)])
+            all_ids = ids[np.repeat(begin[at] - upto[:-1], n) + np.arange(upto[-1])]
+            cuts = upto[offsets].tolist()
+            out[~odd] = [all_ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+        for i in np.flatnonzero(odd):
+            parts = self._CUT.split(column[int(i)].as_py())
+            if any(p[:1] == self.FIRST for p in parts):
+                out[i] = self._ids([column[int(i)].as_py()])[0]
+                continue
+            parts = [self.FIRST + parts[0], *parts[1:]]
+            out[i] = b"".join(self._values(parts))
+        return out.tolist()
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}

@@ -25,7 +25,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_i
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        ids = encoder(tokenizer_path).encode([t or "" for t in batch.column(1).to_pylist()])
+        ids = encoder(tokenizer_path).encode(batch.column(1))
         for key, x in zip(batch.column(0).to_pylist(), ids):
             x += tail
             for i, at in enumerate(range(0, len(x), 4 * capacity)):

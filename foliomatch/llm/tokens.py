@@ -39,14 +39,10 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int | None, i
     """
     import zstandard
 
-    picked = (
-        docs.where("text IS NOT NULL")
-        .select("text", F.xxhash64("doc_id", "text").alias("h"))
-        .orderBy("h", "text")
-        .limit(SAMPLE_DOCUMENTS)
-        .select(F.substring("text", 1, SAMPLE_BYTES).alias("text"))
-    )
-    texts = [r.text for r in picked.collect()]
+    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    picked = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS).collect()
+    chosen = known.where(F.col("doc_id").isin([r.doc_id for r in picked])) if picked else known.limit(0)
+    texts = [r.text for r in chosen.select(F.substring("text", 1, SAMPLE_BYTES).alias("text")).limit(2 * SAMPLE_DOCUMENTS).collect()]
     samples = [_narrow(x + _end(end_id), id_bytes)[:SAMPLE_BYTES] for x in encoder(tokenizer_path).encode(texts)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [x for x in samples if len(x) >= 8]).as_bytes()
@@ -78,7 +74,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
 
         shared = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
         press = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True, **shared)
-        ids = [x + tail for x in encoder(tokenizer_path).encode([t or "" for t in batch.column(1).to_pylist()])]
+        ids = [x + tail for x in encoder(tokenizer_path).encode(batch.column(1))]
         keys = batch.column(0).to_pylist()
         buckets = np.searchsorted(edges, [-np.inf if k is None else k for k in keys], "left").astype(np.int32)
         frames = [press.compress(_narrow(x, id_bytes)) for x in ids]
