@@ -47,9 +47,12 @@ def keep_latest(stream: DataFrame, target: str, checkpoint: str, key: str = "arc
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def action_windows(stream: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
-    """``(start, action, n)``: actions by window, with a watermark for late rows; an addition of this engine."""
-    rows = stream.withWatermark("ts", late).groupBy(F.window("ts", width), "action").agg(F.count("*").alias("n"))
+def action_windows(stream: DataFrame, late: str | None = "10 minutes", width: str = "1 hour") -> DataFrame:
+    """``(start, action, n)``: actions by window, with a watermark for late rows; an addition of this engine.
+
+    ``late`` is None for a stream that has a watermark already.
+    """
+    rows = (stream.withWatermark("ts", late) if late else stream).groupBy(F.window("ts", width), "action").agg(F.count("*").alias("n"))
     return rows.select(F.col("window.start").alias("start"), "action", "n")
 
 
