@@ -12,17 +12,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-#: Rows that a Python task handles at once, so that very long texts do not pile up.
-SLICE_ROWS = 512
+#: Rows and bytes that a Python task handles at once at most, so that very long texts do not pile up.
+SLICE_ROWS, SLICE_BYTES = 8192, 16 << 20
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``mapInArrow`` by slices of at most ``SLICE_ROWS`` rows; ``fn`` may return None for no rows."""
+    """``mapInArrow`` by slices of at most ``SLICE_ROWS`` rows, of mostly ``SLICE_BYTES``; ``fn`` may return None for no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                out = fn(batch.slice(at, SLICE_ROWS))
+            step = max(1, min(SLICE_ROWS, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                out = fn(batch.slice(at, step))
                 if out is not None and out.num_rows:
                     yield out
 
@@ -42,8 +43,8 @@ class ChunkEncoder:
     A space or line feed between two characters that are not white space always starts a new pre-token in the
     tokenizers used here (byte-level BPE and BPE with word ends), as does a final comma or full stop after a letter, and
     no merge crosses pre-tokens. So Arrow cuts the texts of a batch there and numbers their distinct pieces, the library
-    encodes a piece when it is first met, and ids are gathered by number. Two generations of at most ``memo`` pieces
-    each are remembered: what was not met for a generation goes. Pieces of Latin-1 letters alone are one pre-token and
+    encodes a piece when it is first met, and ids are gathered by number. About ``memo`` pieces are remembered, as Arrow
+    strings with their ids in one array; beyond that only those of the present batch stay. Pieces of Latin-1 letters alone are one pre-token and
     go straight to the library's model; all others take its whole pipeline. Texts with white space beside white space,
     or at an end, are cut by a slower rule.
     """
@@ -55,12 +56,13 @@ class ChunkEncoder:
     _SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
     _ODD = rf"{_SPACE}[ \n]|[ \n]{_SPACE}|^[ \n]|[ \n]\z|\x{{10ffff}}"
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 2_500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.memo, self.known, self.old = memo, {}, {}
+        self.memo = memo
+        self._forget()
         self.folds = self._ids(["A"]) == self._ids(["a"])
         self.spaces = bool(self._ids([" a"])[0] != self._ids(["a"])[0])
         self.marks = {x: self._ids([x])[0] for x in ("", ".", ",", "\n")}
@@ -70,9 +72,7 @@ class ChunkEncoder:
         self.edge[[i for t, i in vocabulary.items() if (t.startswith(self.letters[32]) if self.spaces else t.endswith("</w>"))]] = True
         probe = ["word", "Stra\u00dfe", "\u00c9t\u00e9.", "\nIl", "unbelievably,", self.FIRST + "A", self.FIRST + "to."]
         self.direct = True
-        self._learn(probe)
-        self.direct = [self.known[p] for p in probe] == self._ids([*map(self._spelled, probe)])
-        self.known = {}
+        self.direct = self._learn(probe) == self._ids([*map(self._spelled, probe)])
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -106,39 +106,70 @@ class ChunkEncoder:
     def _is_word(self, word: str) -> bool:
         return word.isalpha() and len(word) <= 60 and (word.isascii() or self._LATIN.match(word) is not None)
 
-    def _learn(self, new: list[str]) -> None:
-        known, old, marks, rest, waiting = self.known, self.old, self.marks, [], []
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """Ids of pieces that are not remembered."""
+        marks, rest, waiting, out = self.marks, [], [], {}
         for p in new:
-            ids = old.get(p)
-            if ids is not None:
-                known[p] = ids
-                continue
             end, head = p[-1:], p[:1]
             word = p[:-1] if end == "," or end == "." else p
             if not self.direct:
                 rest.append(p)
             elif head == "\n" or head == self.FIRST:
                 if self._is_word(word[1:]):
-                    known[p] = (marks["\n"] if head == "\n" else b"") + self._plain(word[1:]) + (marks[end] if word is not p else b"")
+                    out[p] = (marks["\n"] if head == "\n" else b"") + self._plain(word[1:]) + (marks[end] if word is not p else b"")
                 else:
                     rest.append(p)
             elif self._is_word(word):
                 waiting.append((p, word, end if word is not p else ""))
             else:
                 rest.append(p)
-        have = {w: ids for _, w, _ in waiting if (ids := known.get(w) or old.get(w)) is not None}
+        bare = list({w for _, w, end in waiting if end})
+        at = pc.index_in(pa.array(bare, pa.string()), value_set=self.keys)
+        have = {w: self.pool[self.begin[i] : self.begin[i] + self.size[i]].tobytes() for w, i in zip(bare, at.to_pylist()) if i is not None}
         have.update(self._words([*{w for _, w, _ in waiting} - have.keys()]))
         for p, word, end in waiting:
-            known[p] = have[word] + marks[end] if end else have[word]
+            out[p] = have[word] + marks[end] if end else have[word]
         for at in range(0, len(rest), 4096):
-            known.update(zip(rest[at : at + 4096], self._ids([*map(self._spelled, rest[at : at + 4096])])))
-
-    def _values(self, pieces: list[str]) -> list[bytes]:
-        if len(self.known) > self.memo:
-            self.known, self.old = {}, self.known
-        known = self.known
-        self._learn([p for p in pieces if p not in known])
-        return [*map(known.__getitem__, pieces)]
+            out.update(zip(rest[at : at + 4096], self._ids([*map(self._spelled, rest[at : at + 4096])])))
+        return [out[p] for p in new]
+
+    def _forget(self, keep: np.ndarray | None = None) -> None:
+        """Remember nothing, or only the pieces numbered ``keep``."""
+        if keep is None:
+            self.keys, self.pool = pa.array([], pa.string()), np.empty(0, np.uint32)
+            self.begin = self.size = np.empty(0, np.int64)
+        else:
+            self.pool = self._gather(keep)
+            self.keys, self.size = self.keys.take(pa.array(keep)), self.size[keep]
+            self.begin = np.cumsum(self.size) - self.size
+
+    def _gather(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of numbered pieces one after the other."""
+        n = self.size[numbers]
+        upto = np.cumsum(n)
+        at = np.repeat((self.begin[numbers] - (upto - n)).astype(np.int32), n)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.pool[at]
+
+    def _numbers(self, pieces: pa.Array) -> np.ndarray:
+        """The number under which each of some distinct pieces is remembered; new ones are learned."""
+        found = pc.index_in(pieces, value_set=self.keys)
+        if len(self.keys) > self.memo:
+            keep = found.drop_null().to_numpy()
+            self._forget(keep)
+            found = pc.index_in(pieces, value_set=self.keys)
+        if found.null_count:
+            new = pieces.filter(found.is_null())
+            values = self._learn(new.to_pylist())
+            n = len(self.keys)
+            self.keys = pa.concat_arrays([self.keys, new])
+            self.size = np.concatenate([self.size, np.fromiter(map(len, values), np.int64, len(values)) // 4])
+            self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(values), np.uint32)])
+            self.begin = np.cumsum(self.size) - self.size
+            out = found.fill_null(0).to_numpy().astype(np.int64)
+            out[found.is_null().to_numpy(zero_copy_only=False)] = n + np.arange(len(values))
+            return out
+        return found.to_numpy().astype(np.int64)
 
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Ids of each text; a null one is empty."""
@@ -153,22 +184,17 @@ class ChunkEncoder:
             first[offsets[:-1]] = True
             words = pc.if_else(pa.array(first), pc.binary_join_element_wise(self.FIRST, words, ""), words)
             coded = words.dictionary_encode()
-            values = self._values(coded.dictionary.to_pylist())
-            size = np.fromiter(map(len, values), np.int64, len(values)) // 4
-            ids, begin = np.frombuffer(b"".join(values), np.uint32), np.cumsum(size) - size
-            at = coded.indices.to_numpy()
-            n = size[at]
-            upto = np.concatenate([[0], np.cumsum(n)])
-            all_ids = ids[np.repeat(begin[at] - upto[:-1], n) + np.arange(upto[-1])]
-            cuts = upto[offsets].tolist()
+            numbers = self._numbers(coded.dictionary)[coded.indices.to_numpy()]
+            all_ids = self._gather(numbers)
+            cuts = np.concatenate([[0], np.cumsum(self.size[numbers])])[offsets].tolist()
             out[~odd] = [all_ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
         for i in np.flatnonzero(odd):
             parts = self._CUT.split(column[int(i)].as_py())
             if any(p[:1] == self.FIRST for p in parts):
                 out[i] = self._ids([column[int(i)].as_py()])[0]
                 continue
-            parts = [self.FIRST + parts[0], *parts[1:]]
-            out[i] = b"".join(self._values(parts))
+            coded = pa.array([self.FIRST + parts[0], *parts[1:]], pa.string()).dictionary_encode()
+            out[i] = self._gather(self._numbers(coded.dictionary)[coded.indices.to_numpy()]).tobytes()
         return out.tolist()
 
 
