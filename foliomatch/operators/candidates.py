@@ -74,6 +74,31 @@ def signals(containers: DataFrame, keys: DataFrame, largest: int = MAX_BUCKET) -
     return joined.where(~F.coalesce(F.col("_sa") == F.col("_sb"), F.lit(False))).select("a", "b", "slot", "signal")
 
 
+def observed_pairs(containers: DataFrame, keys: DataFrame, largest: int = MAX_BUCKET) -> DataFrame:
+    """``(a, b, pixel, byte, band)``: pairs that share a bucket, each signal's slots as bits of an int.
+
+    The same observations as ``signals``, summed by pair in one aggregation with map-side combining. Copies of one
+    another are told apart inside the bucket, by the least id that has their whole hash.
+    """
+    hashed = containers.where("file_sha256 <> ''").select("archive_id", F.lower("file_sha256").alias("sha"))
+    copies = hashed.join(hashed.groupBy("sha").agg(F.min("archive_id").alias("rep")), "sha").select("archive_id", "rep")
+    sizes = keys.groupBy("slot", "kind", "key").agg(F.count("*").alias("n")).where(F.col("n").between(2, largest))
+    fit = keys.join(sizes, ["slot", "kind", "key"]).join(copies, "archive_id", "left")
+    one = F.struct("archive_id", F.coalesce("rep", "archive_id").alias("rep"))
+    grouped = fit.groupBy("slot", "kind", "key").agg(F.array_sort(F.collect_list(one)).alias("ids"))
+    ids = F.col("ids")
+
+    def with_later(x: Column, i: Column) -> Column:
+        others = F.filter(F.slice(ids, i + 2, F.size(ids)), lambda y: y["rep"] != x["rep"])
+        return F.transform(others, lambda y: F.struct(x["archive_id"].alias("a"), y["archive_id"].alias("b")))
+
+    bit = F.expr("shiftleft(1, slot)")
+    kinds = [F.bit_or(F.when(F.col("signal") == k, F.col("bit")).otherwise(0)).alias(k) for k in ("pixel", "byte", "band")]
+    signal = F.when(F.col("kind").isin("pixel", "byte"), F.col("kind")).otherwise("band")
+    pairs = grouped.select(signal.alias("signal"), bit.alias("bit"), F.explode(F.flatten(F.transform(ids, with_later))).alias("p"))
+    return pairs.groupBy("p.a", "p.b").agg(*kinds)
+
+
 def mutual_top(pairs: DataFrame, k: int, *order: Column) -> DataFrame:
     """Pairs ``(a, b, ...)`` that are among the first ``k`` of both their ends in the given total order."""
     ends = pairs.withColumn("_end", F.explode(F.array("a", "b")))
@@ -89,17 +114,16 @@ def pair_rank(kind: str, root: int = 1, version: int = 2) -> Column:
 
 
 def scored_pairs(observed: DataFrame, containers: DataFrame) -> DataFrame:
-    """``(a, b, reasons, score)`` of pairs that at least two slots support."""
-    def slots(signal: str) -> Column:
-        return F.count_distinct(F.when(F.col("signal") == signal, F.col("slot")))
-
-    sums = observed.groupBy("a", "b").agg(F.count_distinct("slot").alias("n"), slots("pixel").alias("px"), slots("byte").alias("by"), slots("band").alias("lsh")).where("n >= 2")
+    """``(a, b, reasons, score)`` of ``observed_pairs`` that at least two slots support."""
+    px, by, lsh = (F.bit_count(c) for c in ("pixel", "byte", "band"))
+    support = F.bit_count(F.col("pixel").bitwiseOR(F.col("byte")).bitwiseOR(F.col("band")))
+    sums = observed.where(support >= 2)
     tokens = containers.select("archive_id", "tokens")
     sums = sums.join(tokens.toDF("a", "_ta"), "a").join(tokens.toDF("b", "_tb"), "b")
     shared = F.coalesce(shares_telling_token(F.col("_ta"), F.col("_tb")), F.lit(False))
-    tests = (F.col("px") > 0, F.col("by") > 0, F.col("lsh") > 0, shared)
+    tests = (px > 0, by > 0, lsh > 0, shared)
     reasons = F.array_compact(F.array(*[F.when(t, F.lit(r)) for t, r in zip(tests, REASONS)]))
-    score = PIXEL_POINTS * F.col("px") + BYTE_POINTS * F.col("by") + BAND_POINTS * F.col("lsh") + F.when(shared, TOKEN_POINTS).otherwise(0)
+    score = PIXEL_POINTS * px + BYTE_POINTS * by + BAND_POINTS * lsh + F.when(shared, TOKEN_POINTS).otherwise(0)
     return sums.select("a", "b", reasons.alias("reasons"), score.cast("int").alias("score"))
 
 
@@ -120,8 +144,8 @@ def candidate_seeds(containers: DataFrame, units: DataFrame, rank: str = "stable
     dated series are added, or their reason to a pair that is there. Rows without units only meet as copies or in series.
     """
     containers = one_batch(containers)
-    observed = materialize(signals(containers, bucket_keys(probes(units))), "signals")
-    pairs = observed.select("a", "b").distinct().withColumn("_rank", pair_rank(rank))
+    observed = materialize(observed_pairs(containers, bucket_keys(probes(units))), "observed-pairs")
+    pairs = observed.select("a", "b").withColumn("_rank", pair_rank(rank))
     kept = observed.join(mutual_top(pairs, MAX_SIGNAL_PAIRS, F.col("_rank")), ["a", "b"], "left_semi")
     scored = materialize(scored_pairs(kept, containers).withColumn("_rank", pair_rank(rank)), "scored-pairs")
     best = mutual_top(scored, MAX_PAIRS, F.desc("score"), F.col("_rank"))

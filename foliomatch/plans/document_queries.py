@@ -305,7 +305,8 @@ t AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY n DESC, md5(a || ':'
 SELECT a, b FROM t WHERE nth <= 3 GROUP BY a, b HAVING count(*) = 2"""))
 def c06_mutual_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     containers, units = _both(spark, sf_dir)
-    s = ca.signals(containers, ca.bucket_keys(ca.probes(units))).groupBy("a", "b").agg(F.count_distinct("slot").alias("n"))
+    seen = ca.observed_pairs(containers, ca.bucket_keys(ca.probes(units)))
+    s = seen.select("a", "b", F.bit_count(F.col("pixel").bitwiseOR(F.col("byte")).bitwiseOR(F.col("band"))).alias("n"))
     return ca.mutual_top(materialize(s, "pairs"), 3, F.desc("n"), fp.portable_pair_rank(F.col("a"), F.col("b")))
 
 
