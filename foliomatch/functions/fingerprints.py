@@ -129,6 +129,11 @@ def group_key(root: Column, ids: Column) -> Column:
     return F.sha2(F.concat(root.cast("string"), F.lit(":"), F.array_join(F.transform(F.array_sort(ids), lambda i: i.cast("string")), ",")), 256)
 
 
+def set_key(group: Column, kind: Column, ids: Column) -> Column:
+    """SHA-256 of a candidate set's group, kind and sorted ids as JSON."""
+    return F.sha2(F.to_json(F.struct(group.cast("string").alias("group"), kind.alias("kind"), F.array_sort(ids).alias("ids"))), 256)
+
+
 def listing_signature(members: Column) -> Column:
     """SHA-256 over an array of structs in order of position, fields and members joined by NUL."""
     text = F.transform(F.array_sort(members), lambda m: F.to_json(m))

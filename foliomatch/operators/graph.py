@@ -81,3 +81,18 @@ def recommended_member(edges: DataFrame) -> DataFrame:
     w = edges.withColumn("w", winner)
     one = F.bool_and(F.col("w").isNotNull()) & (F.count_distinct("w") == 1)
     return w.groupBy("component").agg(F.when(one, F.min("w")).alias("archive_id"))
+
+
+def relation_counts(edges: DataFrame) -> DataFrame:
+    """``(relation, groups)``: how many groups each strongest relation has."""
+    return strongest_edges(edges).groupBy("relation").agg(F.count("*").alias("groups"))
+
+
+def group_details(groups: DataFrame, edges: DataFrame, containers: DataFrame) -> DataFrame:
+    """``(component, members, bytes, newest, edges, list)``: a row for each group with its members as sorted structs."""
+    rows = groups.join(containers.select("archive_id", "path", "file_size", "mtime_ns"), "archive_id")
+    per = rows.groupBy("component").agg(
+        F.count("*").alias("members"), F.sum("file_size").alias("bytes"), F.max_by("archive_id", F.struct("mtime_ns", "archive_id")).alias("newest"), F.array_sort(F.collect_list(F.struct("archive_id", "path", "file_size"))).alias("list")
+    )
+    n = edges.groupBy("component").agg(F.count("*").alias("edges"))
+    return per.join(n, "component", "left").withColumn("edges", F.coalesce("edges", F.lit(0)))

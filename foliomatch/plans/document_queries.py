@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliomatch.functions import fingerprints as fp
 from foliomatch.functions import text as tx
+from foliomatch.functions.labels import work_label
 from foliomatch.operators import candidates as ca
 from foliomatch.operators import editions as ed
 from foliomatch.operators import graph as gr
@@ -430,6 +431,37 @@ def a08_edition_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ed.edition_profiles(scores).withColumn("median_color_score", F.round("median_color_score", 6))
 
 
+@query(_sql(_ALL, """, best_rank AS (SELECT component, min(list_position(['EXACT_ARCHIVE', 'EXACT_CONTENT', 'VISUAL_VARIANT', 'RELATED'], relation)) AS r FROM edges GROUP BY component)
+SELECT ['EXACT_ARCHIVE', 'EXACT_CONTENT', 'VISUAL_VARIANT', 'RELATED'][r] AS relation, count(*) AS groups FROM best_rank GROUP BY r"""))
+def a07_relation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gr.relation_counts(grouped(spark, sf_dir)[2])
+
+
+@query(_sql(_ALL, """, n AS (SELECT component, count(*) AS edges FROM edges GROUP BY component)
+SELECT g.component, count(*) AS members, CAST(sum(c.file_size) AS BIGINT) AS bytes, arg_max(c.archive_id, c.mtime_ns) AS newest, any_value(coalesce(n.edges, 0)) AS edges, array_to_string(list_sort(list(c.archive_id)), ',') AS ids
+FROM groups g JOIN containers c USING (archive_id) LEFT JOIN n ON n.component = g.component GROUP BY g.component"""))
+def d08_group_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    containers, groups, edges = grouped(spark, sf_dir)
+    out = gr.group_details(groups, edges, containers)
+    return out.select("component", "members", "bytes", "newest", "edges", F.array_join(F.transform("list", lambda m: m["archive_id"].cast("string")), ",").alias("ids"))
+
+
+@query(_sql(_ALL, "SELECT DISTINCT g.component FROM groups g JOIN containers c USING (archive_id) WHERE contains(lower(c.path), 'src1/')"))
+def w09_group_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    containers, groups, _ = grouped(spark, sf_dir)
+    paths = groups.join(containers.select("archive_id", "path"), "archive_id")
+    return paths.where(tx.search_text(F.col("path")).contains("src1/")).select("component").distinct()
+
+
+@query()
+def p13_work_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = bi.table(spark, sf_dir, "part")
+    path = F.concat(F.lit("["), "p_brand", F.lit("] "), "p_name", F.lit(" ("), "p_type", F.lit(").zip"))
+    names = p.select((F.col("p_partkey") % 50).alias("component"), F.struct("p_partkey", path.alias("path")).alias("m"))
+    grouped_ = names.groupBy("component").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    return grouped_.select("component", work_label(F.col("m.path")).alias("label"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicate documents with their strongest relation, size and key."""
     _, groups, edges = grouped(spark, sf_dir)
