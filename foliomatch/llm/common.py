@@ -51,7 +51,7 @@ class ChunkEncoder:
 
     #: Stands before the first piece of a text, which has no space before it.
     FIRST = "\U0010ffff"
-    _CUT = re.compile(r"(?<=\S) (?=\S)")
+    _CUT = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
     _LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+\Z")
     _SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
     _ODD = rf"{_SPACE}[ \n]|[ \n]{_SPACE}|^[ \n]|[ \n]\z|\x{{10ffff}}"
@@ -175,26 +175,27 @@ class ChunkEncoder:
         """Ids of each text; a null one is empty."""
         column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         odd = pc.match_substring_regex(column, self._ODD).to_numpy(zero_copy_only=False)
-        out = np.empty(len(column), object)
-        if not odd.all():
-            lists = pc.split_pattern(pc.replace_substring(column.filter(pa.array(~odd)), "\n", " \n"), " ")
-            offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            words = lists.flatten()
-            first = np.zeros(len(words), bool)
-            first[offsets[:-1]] = True
-            words = pc.if_else(pa.array(first), pc.binary_join_element_wise(self.FIRST, words, ""), words)
-            coded = words.dictionary_encode()
-            numbers = self._numbers(coded.dictionary)[coded.indices.to_numpy()]
-            all_ids = self._gather(numbers)
-            cuts = np.concatenate([[0], np.cumsum(self.size[numbers])])[offsets].tolist()
-            out[~odd] = [all_ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+        lists = pc.split_pattern(pc.replace_substring(column.filter(pa.array(~odd)), "\n", " \n"), " ")
+        words = lists.flatten()
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        first = np.zeros(len(words), bool)
+        first[offsets[:-1]] = True
+        words = pc.if_else(pa.array(first), pc.binary_join_element_wise(self.FIRST, words, ""), words)
+        out, slow, ends = np.empty(len(column), object), [], [0]
+        for text in column.filter(pa.array(odd)).to_pylist():
+            parts = self._CUT.split(text)
+            if self.FIRST not in text:
+                slow += [self.FIRST + parts[0], *parts[1:]]
+            ends.append(len(slow))
+        coded = pa.concat_arrays([words, pa.array(slow, pa.string())]).dictionary_encode()
+        numbers = self._numbers(coded.dictionary)[coded.indices.to_numpy()]
+        all_ids = self._gather(numbers)
+        upto = np.concatenate([[0], np.cumsum(self.size[numbers])])
+        for rows, cuts in ((~odd, upto[offsets].tolist()), (odd, upto[len(words) + np.array(ends)].tolist())):
+            out[rows] = [all_ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
         for i in np.flatnonzero(odd):
-            parts = self._CUT.split(column[int(i)].as_py())
-            if any(p[:1] == self.FIRST for p in parts):
-                out[i] = self._ids([column[int(i)].as_py()])[0]
-                continue
-            coded = pa.array([self.FIRST + parts[0], *parts[1:]], pa.string()).dictionary_encode()
-            out[i] = self._gather(self._numbers(coded.dictionary)[coded.indices.to_numpy()]).tobytes()
+            if self.FIRST in (text := column[int(i)].as_py()):
+                out[i] = self._ids([text])[0]
         return out.tolist()
 
 
