@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Rows and bytes that a Python task handles at once at most, so that very long texts do not pile up.
-SLICE_ROWS, SLICE_BYTES = 8192, 16 << 20
+SLICE_ROWS, SLICE_BYTES = 8192, 8 << 20
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -56,7 +56,7 @@ class ChunkEncoder:
     _SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
     _ODD = rf"{_SPACE}[ \n]|[ \n]{_SPACE}|^[ \n]|[ \n]\z|\x{{10ffff}}"
 
-    def __init__(self, path: str, memo: int = 2_500_000):
+    def __init__(self, path: str, memo: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
