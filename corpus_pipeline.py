@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomatch.llm import mixing, packing, prefixfree, simhash, toxicity
+from foliomatch.llm import mixing, nearcopies, packing, prefixfree, toxicity
 from foliomatch.llm.queries import WORD_BPE, tokenizer_path
 from foliomatch.plans.stages import materialize
 
@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least doc_id, of each group of near copies."""
-    return simhash.keep_one_each(docs)
+    """One document, that with the least doc_id, of each group of near copies: those with 0.8 of their shingles in common."""
+    return nearcopies.keep_one_each(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -201,14 +201,3 @@ def simhash_components(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int =
     named = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return prints.join(named.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one_each(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of their component.
-
-    Repeated rows of that doc_id all stay; so do rows without a doc_id, as nothing names them.
-    """
-    parts = simhash_components(docs, max_bits, shingle)
-    kept = parts.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    with_id = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return with_id.unionByName(docs.where("doc_id IS NULL"))
