@@ -30,8 +30,10 @@ LENGTH, GRAM = 100, 24
 SEGMENT = 1 << 18
 #: Occurrences that a task looks through at once for entries that it has itself met before.
 HELD = 1 << 19
-#: Different entries of one trigger that are sorted together; more are dealt out by the place of the suffix.
+#: Different entries of one trigger that are sorted together; the windows of more are dealt out one by one.
 TOGETHER = 2000
+#: Entries of such triggers whose windows a task compares among themselves before they are dealt out.
+CHUNK = 2000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _POWERS: list[np.ndarray] = []
@@ -202,6 +204,62 @@ def _sorted_suffixes(rows: list[tuple[int, int, int, bytes]], places: range, len
             yield id_, key, run[0], run[-1] + length
 
 
+def _runs(hits: list[tuple[int, int, int]], length: int) -> pa.RecordBatch:
+    """``(id, _key, lo, hi)`` of windows given as ``(id, key, start)``, those that follow each other joined."""
+    out = []
+    for id_, key, start in sorted(set(hits)):
+        if out and out[-1][:2] == [id_, key] and start == out[-1][3] - length + 1:
+            out[-1][3] += 1
+        else:
+            out.append([id_, key, start, start + length])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["id", "_key", "lo", "hi"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """From entries ``(trigger, id, at, before, entry)``: their windows as ``(window, id, at, back)``.
+
+    Of equal windows among ``CHUNK`` entries only the first is dealt out by its bytes; the others are marked by a null
+    window, so that a window of very many documents comes to the shuffle once from each chunk.
+    """
+    for batch in batches:
+        for at0 in range(0, batch.num_rows, CHUNK):
+            rows = []
+            for _, id_, at, before, entry in zip(*(c.to_pylist() for c in batch.slice(at0, CHUNK).columns)):
+                # equal windows have their trigger at the same place, so bytes and place before it name a window
+                rows += [(entry[before - b : before - b + length], b, id_, at) for b in range(min(before, length - gram) + 1) if before - b + length <= len(entry)]
+            rows.sort()
+            out, first = [], None
+            for row in rows:
+                if first is None or row[:2] != first[:2]:
+                    first = row
+                    out.append((row[0], row[2], row[3], row[1]))
+                else:  # a repeated row of the table is the same occurrence
+                    same = row[2] == first[2] and row[3] >> 31 == first[3] >> 31
+                    out.append((row[0] if same else None, row[2], row[3], row[1]))
+            if out:
+                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["window", "id", "at", "back"])
+
+
+def _later_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """From windows sorted by bytes, place before the trigger, id and place in the text: spans of all but the first of
+    equal ones, and of the marked ones. It keeps one window at a time."""
+    first, hits = None, []
+    for batch in batches:
+        for window, id_, at, back in zip(*(c.to_pylist() for c in batch.columns)):
+            if window is not None:
+                if first is None or first[:2] != (window, back):
+                    first = (window, back, id_, at >> 31)
+                if first[2:] == (id_, at >> 31):
+                    continue
+            hits.append((id_, at & ((1 << 31) - 1), (at >> 31) - back))
+        if len(hits) > 50_000:
+            yield _runs(hits, length)
+            hits = []
+    if hits:
+        yield _runs(hits, length)
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``(_id, _key, spans array<struct<lo, hi>>)``: bytes covered by ``length``-byte strings that also start earlier."""
     spark = docs.sparkSession
@@ -229,12 +287,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
     asked = keyed.join(wanted.withColumnRenamed("id", "_id"), ["_id", "_key"]).select("_id", "text", "wanted")
     entries = materialize(asked.mapInArrow(fetch, "trigger long, id long, at long, before int, entry binary"), "entries")
-    # a trigger with very many entries is sorted by several tasks, each for some of the places before it
-    crowded = entries.groupBy("trigger").count().where(F.col("count") > TOGETHER).select("trigger", F.lit(True).alias("crowded"))
+    # the windows of a trigger with very many entries go each its own way, so that no task gathers such a trigger
+    crowded = materialize(entries.groupBy("trigger").count().where(F.col("count") > TOGETHER).select("trigger"), "crowded")
     reach = length - gram + 1
-    deal = F.explode(F.when(F.col("crowded"), F.sequence(F.lit(0), F.lit(reach - 1))).otherwise(F.array(F.lit(-1))))
-    dealt = entries.join(crowded, "trigger", "left").select("trigger", deal.alias("back"), "id", "at", "before", "entry")
-    dealt = dealt.repartition(n, "trigger", "back").sortWithinPartitions("trigger", "back", "id", "at")
+    dealt = entries.join(crowded, "trigger", "left_anti").select("trigger", "id", "at", "before", "entry")
+    dealt = dealt.repartition(n, "trigger").sortWithinPartitions("trigger", "id", "at")
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flat():
@@ -242,17 +299,24 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                 yield from zip(*(c.to_pylist() for c in batch.columns))
 
         out = []
-        for (_, back), group in groupby(flat(), lambda r: r[:2]):
-            rows = [r[2:] for r in group]
+        for _, group in groupby(flat(), lambda r: r[0]):
+            rows = [r[1:] for r in group]
             if len(rows) > 1:
-                out += _sorted_suffixes(rows, range(reach) if back < 0 else range(back, back + 1), length)
+                out += _sorted_suffixes(rows, range(reach), length)
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["id", "_key", "lo", "hi"])
                 out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["id", "_key", "lo", "hi"])
 
-    edges = dealt.mapInArrow(order, "id long, _key long, lo long, hi long")
+    kinds = "id long, _key long, lo long, hi long"
+    edges = dealt.mapInArrow(order, kinds)
+    if not crowded.isEmpty():
+        many = entries.join(F.broadcast(crowded), "trigger", "left_semi").select("trigger", "id", "at", "before", "entry")
+        windows = many.mapInArrow(lambda it: _windows(it, length, gram), "window binary, id long, at long, back int")
+        deal = F.when(F.col("window").isNull(), F.xxhash64("id", "at")).otherwise(F.xxhash64("window", "back"))
+        windows = windows.repartition(n, deal).sortWithinPartitions("window", "back", "id", "at")
+        edges = edges.unionByName(windows.mapInArrow(lambda it: _later_windows(it, length), kinds))
     place = F.shiftright("at", 31)
     whole = found.where("trigger IS NULL").select("id", key_of.alias("_key"), F.greatest(F.lit(0), place - (length - gram)).alias("lo"), (place + length).alias("hi"))
     return whole.unionByName(edges).groupBy(F.col("id").alias("_id"), "_key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
