@@ -15,8 +15,8 @@ from foliomatch.plans.stages import materialize
 LEAST_SHARDS, SHARD_ROWS, BLOCK_ROWS = 3, 65_536, 16_384
 #: Links of a node (twice as many on the ground layer), beam while building and at first while searching.
 LINKS, BUILD_BEAM, BEAM = 12, 40, 24
-#: Queries that each block audits against all of the shard, and the recall that they must reach.
-AUDIT, RECALL = 48, 0.98
+#: Queries with links, and links of theirs, that the audit of a shard wants, and the mean recall a query that they must reach.
+AUDIT_QUERIES, AUDIT_PAIRS, RECALL = 512, 2048, 0.98
 STEP = 256
 SLACK = 1e-5
 
@@ -175,19 +175,51 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt((m * m).sum(1, keepdims=True))
 
 
+def audited_width(graph: Graph, ids: np.ndarray, least: float) -> int:
+    """The beam with which audited members of a shard find their links in it: ``RECALL`` on average over queries.
+
+    Members are taken in order of hash until ``AUDIT_QUERIES`` with ``AUDIT_PAIRS`` links are found that do not fill the
+    first beam, at most all. A link to itself does not count, nor does a query without links. At each beam a query whose
+    links fill it and that finds all has read the whole shard, and is left out; where no other is left the beam stays.
+    """
+    n, order = len(ids), np.argsort(_mix(ids.astype(np.uint64)), kind="stable")
+    few, many, pairs = {}, {}, 0
+
+    def count(a: np.ndarray, b: np.ndarray, some: np.ndarray) -> np.ndarray:
+        return np.bincount(a[some[a] != b], minlength=len(some))
+
+    for at in range(0, n, STEP):
+        some = order[at : at + STEP]
+        for m, links in zip(some.tolist(), count(*graph.all_within(graph.x[some], least), some).tolist()):
+            if 0 < links < BEAM - 1:
+                few[m] = links
+                pairs += links
+            elif links and len(many) < AUDIT_QUERIES:
+                many[m] = links
+        if len(few) >= AUDIT_QUERIES and pairs >= AUDIT_PAIRS:
+            break
+    truth, width = few | many, BEAM
+    asked = np.array(list(truth), np.int64)
+    while width < n and len(asked):
+        recall = []
+        for at in range(0, len(asked), STEP):
+            some = asked[at : at + STEP]
+            for m, got in zip(some.tolist(), count(*graph.within(graph.x[some], least, width), some).tolist()):
+                if got < truth[m] or truth[m] + 1 < width:
+                    recall.append(got / truth[m])
+        if not recall or np.mean(recall) >= RECALL:
+            break
+        width *= 2
+    return width
+
+
 def links_of_block(
-    v: np.ndarray, vid: np.ndarray, q: np.ndarray, qid: np.ndarray, least: float, links: np.ndarray | None = None
+    v: np.ndarray, vid: np.ndarray, q: np.ndarray, qid: np.ndarray, least: float, links: np.ndarray | None = None, width: int | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of queries against one shard: links of each query, and a forest of edges (query id, id) that joins what they join."""
     vn, qn = _unit(v), _unit(q)
-    graph, q32, width = Graph(vn, vid, links), qn.astype(np.float32), BEAM
-    audit = np.argsort(_mix(qid.astype(np.uint64)), kind="stable")[:AUDIT]
-    while width < len(v):
-        truth = set(zip(*graph.all_within(q32[audit], least - SLACK)))
-        got = set(zip(*graph.within(q32[audit], least - SLACK, width)))
-        if not truth or len(truth & got) >= RECALL * len(truth):
-            break
-        width *= 2
+    graph, q32 = Graph(vn, vid, links), qn.astype(np.float32)
+    width = audited_width(graph, vid, least - SLACK) if width is None else width
     counts, parent = np.zeros(len(q), np.int64), np.arange(len(q) + len(v))
     for at in range(0, len(q), STEP):
         a, b = graph.within(q32[at : at + STEP], least - SLACK, width)
@@ -210,8 +242,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, column: str = "embeddi
     one. Rows that repeat a vec_id stand for one vector, the least of theirs; each of them gets its result. An empty
     table gives no rows.
 
-    Shards by hash of vec_id have a graph each, built once, which every block of queries searches. A block audits some queries
-    against the whole shard and doubles its beam until their recall is ``RECALL``; a query whose beam is full of links
+    Shards by hash of vec_id have a graph each, built once, which every block of queries searches. Where it is built, some
+    of its members with links are audited against the whole shard, and the beam is doubled until their mean recall is
+    ``RECALL``; a query whose beam is full of links
     reads the whole shard. Links are verified in double precision. A task returns link counts and a forest, never the
     pairs of a group, and components are joined over all tasks.
     """
@@ -232,8 +265,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, column: str = "embeddi
 
     def build(t: pa.Table) -> pa.Table:
         v, vid = matrix(t)
-        rows = [r.tobytes() for r in Graph(_unit(v), vid).links()]
-        return t.append_column("nth", pa.array(range(len(v)), pa.int32())).append_column("links", pa.array(rows, pa.binary()))
+        graph = Graph(_unit(v), vid)
+        width = audited_width(graph, vid, least - SLACK)
+        rows = [r.tobytes() for r in graph.links()]
+        out = t.append_column("nth", pa.array(range(len(v)), pa.int32())).append_column("links", pa.array(rows, pa.binary()))
+        return out.append_column("width", pa.array([width] * len(v), pa.int32()))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -241,14 +277,14 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, column: str = "embeddi
         left = left.sort_by("nth")
         (v, vid), (q, qid) = matrix(left), matrix(right)
         graph = np.frombuffer(b"".join(left.column("links").to_pylist()), np.int32).reshape(len(v), -1)
-        counts, a, b = links_of_block(v, vid, q, qid, least, graph)
+        counts, a, b = links_of_block(v, vid, q, qid, least, graph, left.column("width")[0].as_py())
         has = counts > 0
         none = lambda k: pa.nulls(int(k), pa.int64())
         rows = [[pa.array(qid[has]), pa.array(counts[has]), none(has.sum()), none(has.sum())], [none(len(a)), none(len(a)), pa.array(a), pa.array(b)]]
         return pa.concat_tables(pa.table(r, names=["vec_id", "n", "a", "b"]) for r in rows)
 
     dealt = clean.select(F.size("x").alias("dim"), part(shards, 1).alias("shard"), "vec_id", "x")
-    graphs = dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, vec_id long, x array<double>, nth int, links binary")
+    graphs = dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, vec_id long, x array<double>, nth int, links binary, width int")
     graphs = materialize(graphs, "graphs")
     keys = ["dim", "shard", "block"]
     queries = clean.select(F.size("x").alias("dim"), part(blocks, 2).alias("block"), to(shards).alias("shard"), "vec_id", "x")
