@@ -2,61 +2,87 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
-from pathlib import PurePosixPath
 
 import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
+from foliomatch.functions.text import let, stem
 from foliomatch.functions.udfs import deferred
 
-# What stands for an unknown part, spellings of it, and bracketed words that name no author.
+# What stands for an unknown part, and spellings of it.
 UNKNOWN = "ㅁㅁㅁㅁ"
-UNKNOWN_SPELLINGS = ("알수없음", "알 수 없음", "unknown", UNKNOWN, "?")
+UNKNOWN_SPELLINGS = ("", "알수없음", "알 수 없음", "unknown", UNKNOWN, "?")
+# Bracketed words that name no author.
 EDITION_WORDS = (
-    "컬러 컬러판 color colour 흑백 흑백판 bw 번역 번역판 무삭제 검열 검열판 모자이크 고화질 저화질 "
-    "리사이즈 resize resized scan scanned 한국어 일본어 영어 kor kr jp jpn eng"
-).split()
+    "컬러", "컬러판", "color", "colour", "흑백", "흑백판", "bw", "번역", "번역판", "무삭제", "검열", "검열판", "모자이크", "고화질",
+    "저화질", "리사이즈", "resize", "resized", "scan", "scanned", "한국어", "일본어", "영어", "kor", "kr", "jp", "jpn", "eng",
+)
 # A part in brackets, and a circle with its author.
-BRACKETED = re.compile(r"\[[^\[\]]*\]|\((?:[^()]|\([^()]*\))*\)")
-CIRCLE = re.compile(r"(.*?)\((.*?)\)")
-
-
-def title_parts(path: str) -> dict[str, list[str]]:
-    """``circle``, ``author``, ``title`` and ``attribute`` values of one file name."""
-    name = unicodedata.normalize("NFC", PurePosixPath(path.replace("\\", "/")).stem).translate(str.maketrans("［］（）", "[]()"))
-    parts: dict[str, list[str]] = {"circle": [], "author": [], "title": [], "attribute": []}
-    plain, at = [], 0
-    for m in BRACKETED.finditer(name):
-        plain.append(name[at : m.start()])
-        at = m.end()
-        inside = m[0][1:-1].strip()
-        leads = m[0][0] == "[" and not "".join(plain).strip() and not parts["author"]
-        made_by = CIRCLE.fullmatch(inside) if leads else None
-        if made_by:
-            parts["circle"].append(made_by[1])
-            parts["author"].append(made_by[2])
-        elif leads and inside.casefold() not in EDITION_WORDS:
-            parts["author"].append(inside)
-        else:
-            parts["attribute"].append(inside)
-    parts["title"] = [" ".join(" ".join([*plain, name[at:]]).split())]
-    return parts
-
-
-def work_label_of(paths: list[str]) -> str:
-    """``[circle(author)] title (attributes)``: distinct known values in order of appearance, whatever their case."""
-    seen: dict[str, dict[str, str]] = {"circle": {}, "author": {}, "title": {}, "attribute": {}}
-    for path in paths:
-        for kind, values in title_parts(path).items():
-            for v in map(str.strip, values):
-                if v and v.casefold() not in UNKNOWN_SPELLINGS:
-                    seen[kind].setdefault(v.casefold(), v)
-    circle, author, title, attribute = (" / ".join(v.values()) or UNKNOWN for v in seen.values())
-    return f"[{circle}({author})] {title} ({attribute})"
-
-
-@deferred("string")
-def work_label(paths: pd.Series) -> pd.Series:
-    """The label of an array of paths, in its order."""
-    return paths.map(lambda p: work_label_of([x for x in (p if p is not None else ()) if x is not None]))
+BRACKETED = r"\[[^\[\]]*\]|\((?:[^()]|\([^()]*\))*\)"
+CIRCLE = r"^(.*?)\((.*?)\)$"
+PARTS = ("circle", "author", "title", "attribute")
+
+
+@deferred("array<string>")
+def nfc_all(s: pd.Series) -> pd.Series:
+    return s.map(lambda xs: [] if xs is None else [unicodedata.normalize("NFC", x) for x in xs if x is not None])
+
+
+def title_parts(path: Column) -> Column:
+    """Struct of arrays ``circle``, ``author``, ``title`` and ``attribute`` with the values of one file name in NFC.
+
+    The maker is the first part in square brackets before any other text that is a circle with its author or no edition
+    word; all other parts in brackets are attributes, and what stands outside them is the title.
+    """
+    def judged(x: Column) -> Column:
+        inside = F.transform(x["parts"], lambda p: F.trim(F.substring(p, F.lit(2), F.length(p) - 2)))
+        number = F.transform(x["parts"], lambda p, i: i + 1)
+
+        def makes(i: Column) -> Column:
+            before = F.array_join(F.slice(x["plain"], F.lit(1), i), "")
+            name = F.element_at(inside, i)
+            leads = F.element_at(x["parts"], i).startswith("[") & (F.trim(before) == "")
+            return leads & (name.rlike(CIRCLE) | ~F.lower(name).isin(*EDITION_WORDS))
+
+        maker = F.try_element_at(F.filter(number, makes), F.lit(1))
+
+        def by_maker(m: Column) -> Column:
+            name = F.try_element_at(inside, m["at"])
+            paired = F.coalesce(name.rlike(CIRCLE), F.lit(False))
+            group = lambda g: F.regexp_extract(name, CIRCLE, g)
+            return F.struct(
+                F.array(F.when(paired, group(1))).alias("circle"),
+                F.array(F.when(paired, group(2)).otherwise(name)).alias("author"),
+                F.array(F.regexp_replace(F.trim(F.array_join(x["plain"], " ")), r"\s+", " ")).alias("title"),
+                F.filter(inside, lambda v, i: m["at"].isNull() | (i + 1 != m["at"])).alias("attribute"),
+            )
+
+        return let(F.struct(maker.alias("at")), by_maker)
+
+    name = F.translate(stem(path), "［］（）", "[]()")
+    split = lambda t: F.struct(F.regexp_extract_all(t, F.lit(BRACKETED), F.lit(0)).alias("parts"), F.split(t, BRACKETED, -1).alias("plain"))
+    return let(let(name, split), judged)
+
+
+def distinct_known(values: Column) -> Column:
+    """Known values in order of appearance, each once whatever its case, in the spelling that comes first."""
+    known = F.filter(F.transform(F.filter(values, lambda v: v.isNotNull()), lambda v: F.trim(v)), lambda v: ~F.lower(v).isin(*UNKNOWN_SPELLINGS))
+    return let(known, lambda k: F.filter(k, lambda v, i: F.array_position(F.transform(k, lambda w: F.lower(w)), F.lower(v)) == i + 1))
+
+
+def work_label(paths: Column) -> Column:
+    """``[circle(author)] title (attributes)`` of an array of paths; several values of a part are joined by slashes.
+
+    Null paths do not count, and a part that no path names is ``UNKNOWN``.
+    """
+    def joined(parts: Column) -> Column:
+        def one(name: str) -> Column:
+            text = F.array_join(distinct_known(F.flatten(F.transform(parts, lambda p: p[name]))), " / ")
+            return F.when(text == "", UNKNOWN).otherwise(text)
+
+        circle, author, title, attribute = (one(p) for p in PARTS)
+        return F.concat(F.lit("["), circle, F.lit("("), author, F.lit(")] "), title, F.lit(" ("), attribute, F.lit(")"))
+
+    return let(F.transform(nfc_all(paths), title_parts), joined)

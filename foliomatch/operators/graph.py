@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomatch.plans.stages import materialize
+from foliomatch.plans.stages import discard, materialize
 
 
 def _pairs(df: DataFrame, a, b) -> DataFrame:
@@ -37,7 +37,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     edges = materialize(edges, "edges")
     before = None
     for _ in range(max_rounds):
-        edges = materialize(_small_star(_large_star(edges)), "stars")
+        last, edges = edges, materialize(_small_star(_large_star(edges)), "stars")
+        discard(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

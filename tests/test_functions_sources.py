@@ -23,39 +23,86 @@ from foliomatch.streaming import ledger as sl
 D = dt.date
 
 
-@pytest.mark.parametrize(
-    "title,key,start,end,ranged,versioned",
-    [
-        ("Story 2024-01-01~2024-12-31", "story", D(2024, 1, 1), D(2024, 12, 31), True, True),
-        ("Story 20240101-20241231", "story", D(2024, 1, 1), D(2024, 12, 31), True, True),
-        ("Story 2023~2024", "story", D(2023, 1, 1), D(2024, 12, 31), True, True),
-        ("Story 2024.02", "story", D(2024, 2, 1), D(2024, 2, 29), False, True),
-        ("Story 20240229 ongoing", "story", D(2024, 2, 29), D(2024, 2, 29), False, True),
-        ("Story 2024", "story 2024", None, None, False, False),
-        ("Story 2024-02-30", "story 2024 02 30", None, None, False, False),
-        ("Story 20240100", "story 20240100", None, None, False, False),
-        ("Story wip", "story", None, None, False, True),
-    ],
-)
-def test_title_dates(title, key, start, end, ranged, versioned):
-    assert tx.title_dates_of(f"/x/{title}.zip") == (key, start, end, ranged, versioned)
-
-
-def test_filename_signals():
-    e = tx.filename_evidence_of("/a/[Circle] My Title v.03 (Korean) full color scan.zip")
-    assert e["language"]["value"] == "KOREAN" and e["color"]["value"] == "FULL_COLOR" and "volume3" in e["tokens"] and e["hints"] == ["ko"]
-    assert tx.filename_evidence_of("korean english.zip")["language"]["conflict"]
-    assert tx.filename_evidence_of("제목.zip")["language"] == {"value": "KOREAN", "confidence": 0.6, "matched": ["hangul-title"], "conflict": False}
-    assert tx.filename_evidence_of("uncensored censored.zip")["mosaic"]["conflict"]
-    assert tx.filename_evidence_of("")["tokens"] == []
+DATED = [
+    ("Harbour 2019.03.05", "harbour", D(2019, 3, 5), D(2019, 3, 5), False, True),
+    ("Harbour 20190305", "harbour", D(2019, 3, 5), D(2019, 3, 5), False, True),
+    ("Harbour 2020년 2월", "harbour 월", D(2020, 2, 1), D(2020, 2, 29), False, True),
+    ("Harbour 2020년 2월 9일 notes", "harbour notes", D(2020, 2, 9), D(2020, 2, 9), False, True),
+    ("Harbour 2019-12 ~ 2020-02 wip", "harbour", D(2019, 12, 1), D(2020, 2, 29), True, True),
+    ("Harbour 20191201 to 20200115", "harbour", D(2019, 12, 1), D(2020, 1, 15), True, True),
+    ("Harbour 20200115 to 20191201", "harbour 20200115 to 20191201", None, None, False, False),
+    ("Harbour 20191201 and 20200115", "harbour 20191201 and 20200115", None, None, False, False),
+    ("Harbour 2019-2021 Ongoing", "harbour", D(2019, 1, 1), D(2021, 12, 31), True, True),
+    ("Harbour 2021-2019", "harbour 2021 2019", None, None, False, False),
+    ("Harbour 2019.02.29", "harbour 2019 02 29", None, None, False, False),
+    ("Harbour 2019.00", "harbour 2019 00", None, None, False, False),
+    ("Harbour 120190305", "harbour 120190305", None, None, False, False),
+    ("Harbour_Tales ２０１９．０３", "harbour tales", D(2019, 3, 1), D(2019, 3, 31), False, True),
+    ("Harbour updated", "harbour", None, None, False, True),
+    ("Harbour uptown", "harbour uptown", None, None, False, False),
+    ("", "", None, None, False, False),
+]
+
+
+@pytest.fixture(scope="module")
+def dated(spark):
+    rows = [(f"shelf/{t}.zip" if t else "", k, a, b, r, v) for t, k, a, b, r, v in DATED]
+    df = spark.createDataFrame(rows, "p string, k string, a date, b date, r boolean, v boolean")
+    return df.withColumn("t", tx.title_dates(F.col("p"))).collect()
+
+
+@pytest.mark.parametrize("i", range(len(DATED)))
+def test_title_dates(dated, i):
+    r = dated[i]
+    assert (r.t.key, r.t.start, r.t.end, r.t.is_range, r.t.versioned) == (r.k, r.a, r.b, r.r, r.v)
+
+
+def test_dates_fall_back_to_the_last_change(spark):
+    day = 86_400_000_000_000
+    df = spark.createDataFrame([("Harbour 20190305.zip", 5 * day), ("Harbour.zip", 5 * day), ("Harbour.zip", -1), (None, None)], "p string, m long")
+    t = tx.title_dates(F.col("p"))
+    got = [(r.d and (r.d.start, r.d.inferred), r.i.end) for r in df.select(tx.dates_or_mtime(t, F.col("m")).alias("d"), tx.series_identity(t).alias("i")).collect()]
+    assert got == [((D(2019, 3, 5), False), "2019-03-05"), ((D(1970, 1, 6), True), ""), (None, ""), (None, "")]
+
+
+def evidence(spark, *paths):
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    return [r.e for r in df.select(tx.filename_evidence(F.col("p")).alias("e")).collect()]
+
+
+def test_filename_signals(spark):
+    a, b, c, d, e, f, g = evidence(
+        spark, "shelf/{Blue} Long_Way v.007 (JAPANESE) Full-Colour resized.cbz", "Long Way jpn eng ch.12.zip", "긴 길 제03권.zip", "긴 길 흑백 english.zip", "Long Way no mosaic mosaic.zip", "Way korea 모자이크 제거.zip", None
+    )
+    assert a.tokens == ["blue", "colour", "full", "long", "volume7", "way"] and a.hints == ["ja"]
+    assert (a.language.value, a.language.confidence, a.language.matched) == ("JAPANESE", 0.9, ["japanese"])
+    assert (a.color.value, a.color.matched) == ("FULL_COLOR", ["colour", "full"]) and a.mosaic.value is None
+    assert b.language.conflict and b.language.value is None and b.language.matched == ["eng", "jpn"] and "chapter12" in b.tokens
+    assert (c.language.value, c.language.confidence, c.language.matched) == ("KOREAN", 0.6, ["hangul-title"]) and "volume3" in c.tokens
+    assert d.language.value == "ENGLISH" and d.color.value == "MONOCHROME"
+    assert e.mosaic.conflict and e.mosaic.matched == ["mosaic", "no"]
+    assert (f.mosaic.value, f.language.value, f.language.confidence) == ("DECENSORED", "KOREAN", 0.6)
+    assert g.tokens == [] and g.hints == [] and not g.language.conflict
+
+
+def test_text_functions(spark):
+    sizes = spark.createDataFrame([(0, "0 B"), (1023, "1,023 B"), (1024, "1.0 KiB"), (5 << 30, "5.0 GiB")], "n long, want string")
+    assert all(r.got == r.want for r in sizes.withColumn("got", tx.file_size_text(F.col("n"))).collect())
+    cells = [("=1", "'=1"), (" =1", "' =1"), ("\n1", "'\n1"), ("\t1", "'\t1"), ("\u00a0@x", "'\u00a0@x"), ("a=1", "a=1"), ("", ""), (None, None)]
+    df = spark.createDataFrame(cells, "c string, want string")
+    assert all(r.got == r.want for r in df.withColumn("got", tx.csv_safe(F.col("c"))).collect())
+    maps = spark.createDataFrame([({"b": 1, "a": 2},), ({},)], "m map<string,int>")
+    assert [r.j for r in maps.select(tx.canonical_json(F.col("m")).alias("j")).collect()] == ['{"a":2,"b":1}', "{}"]
+    found = spark.createDataFrame([("Ｌｏｎｇ Straße",)], "t string").select(tx.search_text(F.col("t")).alias("s")).first().s
+    assert found == "long strasse"
 
 
 def test_path_expressions(spark):
-    rows = [("a/[x (y)] z.zip", 3), ("[x] z.cbz", 2), ("z", 1), ("", 0)]
+    rows = [("a/[x (y)] z.zip", 3), ("［x（y）］ z.zip", 3), ("[x] z.cbz", 2), ("[x].cbz", 1), ("z", 1), ("\u3000.zip", 0), ("", 0)]
     df = spark.createDataFrame(rows, "p string, r int")
     assert all(r.got == r.r for r in df.withColumn("got", tx.title_rank(F.col("p"))).collect())
-    names = spark.createDataFrame([("p10.jpg",), ("p2.jpg",), ("P1.JPG",), ("p2a.jpg",)], "n string")
-    assert [r.n for r in names.orderBy(tx.natural_key(F.col("n"))).collect()] == ["P1.JPG", "p2.jpg", "p2a.jpg", "p10.jpg"]
+    names = spark.createDataFrame([("p10.jpg",), ("p2.jpg",), ("P1.JPG",), ("p2a.jpg",), ("p" + "9" * 60 + ".jpg",)], "n string")
+    assert [r.n for r in names.orderBy(tx.natural_key(F.col("n"))).collect()] [:4] == ["P1.JPG", "p2.jpg", "p2a.jpg", "p10.jpg"]
     safe = spark.createDataFrame([("a/b.jpg", True), ("../b", False), ("/a", False), ("c:\\x", False), ("a//b", False), (None, False)], "p string, ok boolean")
     assert all(r.got == r.ok for r in safe.withColumn("got", tx.is_safe_member(F.col("p"))).collect())
     crc = spark.createDataFrame([("0xAb", "000000ab"), ("123456789", None), (None, None)], "c string, want string")

@@ -3,24 +3,24 @@
 import pytest
 from pyspark.sql import functions as F
 
-from foliomatch.functions.labels import work_label, work_label_of
+from foliomatch.functions.labels import UNKNOWN, work_label
 
-U = "ㅁㅁㅁㅁ"
+U = UNKNOWN
 CASES = [
-    (["작품 이름 제01권 [컬러판].cbz", "작품 이름 vol.2 [흑백판].zip"], f"[{U}({U})] 작품 이름 제01권 / 작품 이름 vol.2 (컬러판 / 흑백판)"),
-    (["[작가명] 작품명.zip", "[서클명(작가명)] 작품명 (컬러) [번역].cbz"], "[서클명(작가명)] 작품명 (컬러 / 번역)"),
-    (["[작가명] 작품명.zip"], f"[{U}(작가명)] 작품명 ({U})"),
-    ([], f"[{U}({U})] {U} ({U})"),
-    (["[Circle(Author)] Long: Title! (Full Color).zip"], "[Circle(Author)] Long: Title! (Full Color)"),
-    ([f"[{U}(작가)] 작품 ({U}).zip", "[서클(작가)] 작품 (컬러).zip", "[서클(작가)] 작품 (흑백).zip"], "[서클(작가)] 작품 (컬러 / 흑백)"),
+    (None, f"[{U}({U})] {U} ({U})"),
+    ([None, "unknown.zip"], f"[{U}({U})] {U} ({U})"),
+    (["shelf/[Blue Moon (Ada Vale)] Night Train (scan) [v2].zip"], "[Blue Moon(Ada Vale)] Night Train (scan / v2)"),
+    (["[Ada Vale] Night Train.zip", "[Blue Moon(Ada Vale)] night train (Color).cbz", "[ADA VALE] NIGHT TRAIN (color).rar"], "[Blue Moon(Ada Vale)] Night Train (Color)"),
+    (["[scan] [Ada Vale] Night  Train.zip"], f"[{U}(Ada Vale)] Night Train (scan)"),
+    (["Night Train [Ada Vale].zip"], f"[{U}({U})] Night Train (Ada Vale)"),
+    (["［Blue（Ada）］ Night （a (b) c）.zip"], "[Blue(Ada)] Night (a (b) c)"),
+    (["[?(Ada)] Night (Unknown).zip", "[Ben] Day.zip"], f"[{U}(Ada / Ben)] Night / Day ({U})"),
+    (["[Ada] [Ben] Night.zip"], f"[{U}(Ada)] Night (Ben)"),
+    (["[Re\u0301mi] Nuit.zip", "[R\u00e9mi] Nuit.zip"], f"[{U}(R\u00e9mi)] Nuit ({U})"),
 ]
 
 
 @pytest.mark.parametrize("paths,label", CASES)
-def test_label(paths, label):
-    assert work_label_of(paths) == label
-
-
-def test_label_column(spark):
-    df = spark.createDataFrame([(p, w) for p, w in CASES] + [(None, work_label_of([]))], "p array<string>, w string")
-    assert all(r.got == r.w for r in df.withColumn("got", work_label(F.col("p"))).collect())
+def test_label(spark, paths, label):
+    df = spark.createDataFrame([(paths,)], "p array<string>")
+    assert df.select(work_label(F.col("p")).alias("l")).first().l == label
