@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliomatch.functions.text import let
 from foliomatch.functions.udfs import deferred
 
 # Fixed values of the 64-bit band layout: widths and offsets, most significant band first.
@@ -97,24 +98,33 @@ RANK_FACTORS = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85
 RANK_MIXERS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
-@deferred("long")
-def stable_pair_rank(root: pd.Series, version: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-    """A pseudo-random rank of a pair, the same on every run; signed order is the unsigned order of the mixed bits."""
-    import numpy as np
-
-    with np.errstate(over="ignore"):
-        h = np.zeros(len(a), np.uint64)
-        for column, factor in zip((root, version, a, b), RANK_FACTORS):
-            h ^= column.to_numpy(np.int64).view(np.uint64) * np.uint64(factor)
-        for shift, factor in zip((30, 27), RANK_MIXERS):
-            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-        h ^= h >> np.uint64(31)
-        return pd.Series((h ^ np.uint64(1 << 63)).view(np.int64))
-
-
-def portable_pair_rank(a: Column, b: Column) -> Column:
-    """A rank that any SQL engine can work out: the MD5 of both ids."""
-    return F.md5(F.concat_ws(":", a.cast("string"), b.cast("string")).cast("binary"))
+def _times(df: DataFrame, column: str, factor: int) -> DataFrame:
+    """``column`` times an unsigned constant modulo 2^64. Limbs of 22 bits keep every product and sum within a long, as
+    ANSI arithmetic must not overflow; each step is a projection of its own, so no expression is worked out twice."""
+    low = (1 << 22) - 1
+    f = [factor & low, factor >> 22 & low, factor >> 44]
+    c = F.col(column)
+    limbs = df.withColumns({"_x0": c.bitwiseAND(F.lit(low)), "_x1": F.shiftrightunsigned(c, 22).bitwiseAND(F.lit(low)), "_x2": F.shiftrightunsigned(c, 44)})
+    x = [F.col(f"_x{i}") for i in range(3)]
+    sums = limbs.withColumns({"_p0": x[0] * f[0], "_p1": x[0] * f[1] + x[1] * f[0], "_p2": x[0] * f[2] + x[1] * f[1] + x[2] * f[0]})
+    carried = sums.withColumn("_p1", F.col("_p1") + F.shiftrightunsigned("_p0", 22))
+    high = F.shiftleft(F.col("_p2") + F.shiftrightunsigned("_p1", 22), 44)
+    whole = high.bitwiseOR(F.shiftleft(F.col("_p1").bitwiseAND(F.lit(low)), 22)).bitwiseOR(F.col("_p0").bitwiseAND(F.lit(low)))
+    return carried.withColumn(column, whole).drop("_x0", "_x1", "_x2", "_p0", "_p1", "_p2")
+
+
+def with_pair_rank(pairs: DataFrame, root: int = 1, version: int = 2, name: str = "_rank") -> DataFrame:
+    """``pairs(a, b, ...)`` with a pseudo-random rank, the same on every run; signed order is the unsigned order of the bits."""
+    mask = (1 << 64) - 1
+    start = (root * RANK_FACTORS[0] & mask) ^ (version * RANK_FACTORS[1] & mask)
+    df = pairs.withColumns({"_ra": F.col("a").cast("long"), "_rb": F.col("b").cast("long")})
+    df = _times(_times(df, "_ra", RANK_FACTORS[2]), "_rb", RANK_FACTORS[3])
+    signed = start - (1 << 64) if start >> 63 else start
+    df = df.withColumn(name, F.lit(signed).cast("long").bitwiseXOR(F.col("_ra")).bitwiseXOR(F.col("_rb"))).drop("_ra", "_rb")
+    for shift, factor in zip((30, 27), RANK_MIXERS):
+        df = _times(df.withColumn(name, F.col(name).bitwiseXOR(F.shiftrightunsigned(name, shift))), name, factor)
+    last = F.col(name).bitwiseXOR(F.shiftrightunsigned(name, 31))
+    return df.withColumn(name, last.bitwiseXOR(F.lit(-(1 << 63)).cast("long")))
 
 
 def relative_direction(left: Column, right: Column, lower_is_better: bool = False, dead_band: float = 0.03) -> Column:
@@ -129,15 +139,25 @@ def group_key(root: Column, ids: Column) -> Column:
     return F.sha2(F.concat(root.cast("string"), F.lit(":"), F.array_join(F.transform(F.array_sort(ids), lambda i: i.cast("string")), ",")), 256)
 
 
-def set_key(group: Column, kind: Column, ids: Column) -> Column:
-    """SHA-256 of a candidate set's group, kind and sorted ids as JSON."""
-    return F.sha2(F.to_json(F.struct(group.cast("string").alias("group"), kind.alias("kind"), F.array_sort(ids).alias("ids"))), 256)
+# Fixed value: version of the rule that makes candidate sets, part of their keys.
+SET_VERSION = "v2"
+
+
+def set_key(group: Column, kind: Column, ids: Column, version: str = SET_VERSION) -> Column:
+    """SHA-256 of "group|kind|[id, id, ...]|version" over sorted ids."""
+    listed = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(ids), lambda i: i.cast("string")), ", "), F.lit("]"))
+    return F.sha2(F.concat_ws("|", group.cast("string"), kind, listed, F.lit(version)), 256)
 
 
 def listing_signature(members: Column) -> Column:
-    """SHA-256 over an array of structs in order of position, fields and members joined by NUL."""
-    text = F.transform(F.array_sort(members), lambda m: F.to_json(m))
-    return F.sha2(F.array_join(text, "\0"), 256)
+    """SHA-256 over members ``struct<pos, path, size, packed, crc, kind>`` in order of position.
+
+    Key of the path, both sizes, CRC in lower case and kind of every member, all joined by NUL; what is unknown is empty.
+    ``path`` is to be an ``entry_key``.
+    """
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    one = lambda m: F.concat_ws("\0", text(m["path"]), text(m["size"]), text(m["packed"]), F.lower(text(m["crc"])), text(m["kind"]))
+    return F.sha2(F.array_join(F.transform(F.array_sort(members), one), "\0"), 256)
 
 
 def sign_hash(vector: Column) -> Column:
@@ -149,9 +169,17 @@ def sign_hash(vector: Column) -> Column:
     return F.concat(*[nibble(i) for i in range(16)])
 
 
-def slice_hash(text: Column) -> Column:
-    """16 hex digits, one from each sixteenth of a text: a change inside a slice moves at most four bits."""
-    n = F.length(text)
-    cut = lambda k: F.floor(k * n / F.lit(16)).cast("int")
-    part = lambda k: F.substring(F.md5(F.substring(text, cut(k) + 1, cut(k + 1) - cut(k)).cast("binary")), 1, 1)
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), part), "")
+def slice_hashes(text: Column) -> Column:
+    """Struct (dhash, ahash), each of 16 hex digits: the first and the second of the MD5 of each sixteenth of a text's words.
+
+    A word that is replaced moves at most four bits of either. Words are cut once and every slice is hashed once.
+    """
+    def digests(w: Column) -> Column:
+        cut = lambda k: F.floor(k * F.size(w) / F.lit(16)).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.md5(F.array_join(F.slice(w, cut(k) + 1, cut(k + 1) - cut(k)), " ").cast("binary")))
+
+    def digits(m: Column) -> Column:
+        one = lambda i: F.array_join(F.transform(m, lambda d: F.substring(d, i, 1)), "")
+        return F.struct(one(1).alias("dhash"), one(2).alias("ahash"))
+
+    return let(let(F.split(text, " "), digests), digits)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliomatch.functions.fingerprints import bands, hash_to_long, portable_pair_rank, probe_slots, stable_pair_rank
+from foliomatch.functions.fingerprints import BAND_OFFSETS, band, bands, hash_to_long, probe_slots, with_pair_rank
 from foliomatch.functions.text import shares_telling_token
-from foliomatch.plans.stages import materialize
+from foliomatch.plans.ranges import in_ranges
+from foliomatch.plans.stages import materialize, shuffle_partitions
 
 # Largest bucket that makes pairs, and caps of a container's pairs before and after scoring.
 MAX_BUCKET, MAX_SIGNAL_PAIRS, MAX_PAIRS = 200, 200, 100
@@ -18,10 +19,13 @@ REASONS = ("SAME_PIXEL_SHA256", "SAME_BYTE_SHA256", "LSH_BAND_MATCH", "SHARED_FI
 EXACT_REASON, SERIES_REASON = "SAME_ARCHIVE_SHA256", "DATED_SERIES_TITLE"
 
 
-def one_batch(containers: DataFrame) -> DataFrame:
-    """The first row of each positive archive_id; a batch of several roots is an error when it is run."""
+def one_batch(containers: DataFrame, first_id: int = 1) -> DataFrame:
+    """The first row by path of each archive_id from ``first_id`` on. Several roots, or versions of the analysis, are an error."""
+    for name in ("root_id", "analyzer_version"):
+        if name in containers.columns and containers.agg(F.min(name) < F.max(name)).first()[0]:
+            raise ValueError(f"a batch must have one {name}")
     first = F.row_number().over(Window.partitionBy("archive_id").orderBy("path"))
-    return containers.where("archive_id >= 0").withColumn("_n", first).where("_n = 1").drop("_n")
+    return containers.where(F.col("archive_id") >= first_id).withColumn("_n", first).where("_n = 1").drop("_n")
 
 
 def probes(units: DataFrame) -> DataFrame:
@@ -74,29 +78,42 @@ def signals(containers: DataFrame, keys: DataFrame, largest: int = MAX_BUCKET) -
     return joined.where(~F.coalesce(F.col("_sa") == F.col("_sb"), F.lit(False))).select("a", "b", "slot", "signal")
 
 
-def observed_pairs(containers: DataFrame, keys: DataFrame, largest: int = MAX_BUCKET) -> DataFrame:
+def observed_pairs(containers: DataFrame, units: DataFrame, largest: int = MAX_BUCKET) -> DataFrame:
     """``(a, b, pixel, byte, band)``: pairs that share a bucket, each signal's slots as bits of an int.
 
-    The same observations as ``signals``, summed by pair in one aggregation with map-side combining. Copies of one
-    another are told apart inside the bucket, by the least id that has their whole hash.
+    The observations of ``signals``, summed by pair in one aggregation with map-side combining. ``units`` are unique by
+    container and position, so a container has one key of each kind in a slot. Bands of a slot are packed into a long;
+    keys are written once, crowded ones go by their count before any pair is made, and the rest join themselves.
+    Copies of one another are told apart by the least id that has their whole hash.
     """
     hashed = containers.where("file_sha256 <> ''").select("archive_id", F.lower("file_sha256").alias("sha"))
     copies = hashed.join(hashed.groupBy("sha").agg(F.min("archive_id").alias("rep")), "sha").select("archive_id", "rep")
-    sizes = keys.groupBy("slot", "kind", "key").agg(F.count("*").alias("n")).where(F.col("n").between(2, largest))
-    fit = keys.join(sizes, ["slot", "kind", "key"]).join(copies, "archive_id", "left")
-    one = F.struct("archive_id", F.coalesce("rep", "archive_id").alias("rep"))
-    grouped = fit.groupBy("slot", "kind", "key").agg(F.array_sort(F.collect_list(one)).alias("ids"))
-    ids = F.col("ids")
-
-    def with_later(x: Column, i: Column) -> Column:
-        others = F.filter(F.slice(ids, i + 2, F.size(ids)), lambda y: y["rep"] != x["rep"])
-        return F.transform(others, lambda y: F.struct(x["archive_id"].alias("a"), y["archive_id"].alias("b")))
-
-    bit = F.expr("shiftleft(1, slot)")
-    kinds = [F.bit_or(F.when(F.col("signal") == k, F.col("bit")).otherwise(0)).alias(k) for k in ("pixel", "byte", "band")]
-    signal = F.when(F.col("kind").isin("pixel", "byte"), F.col("kind")).otherwise("band")
-    pairs = grouped.select(signal.alias("signal"), bit.alias("bit"), F.explode(F.flatten(F.transform(ids, with_later))).alias("p"))
-    return pairs.groupBy("p.a", "p.b").agg(*kinds)
+    probed = probes(units).join(copies, "archive_id", "left").withColumn("rep", F.coalesce("rep", "archive_id"))
+    n = len(BAND_OFFSETS)
+
+    def packed(h: str, first: int) -> list[Column]:
+        value = hash_to_long(F.col(h))
+        return [F.shiftleft((F.col("slot") * (2 * n) + first + i).cast("long"), 16).bitwiseOR(band(value, i).cast("long")) for i in range(n)]
+
+    short = probed.select("archive_id", "rep", "slot", F.explode(F.array(*packed("dhash", 0), *packed("ahash", n))).alias("key")).where("key IS NOT NULL")
+    whole = probed.select("archive_id", "rep", F.explode(F.array(*[F.struct((F.col("slot") * 2 + i).alias("at"), F.col(c).alias("key")) for i, c in enumerate(("pixel", "byte"))])).alias("k"))
+    whole = whole.select("archive_id", "rep", (F.col("k.at") / 2).cast("int").alias("slot"), (F.col("k.at") % 2).alias("nth"), "k.key").where("key <> ''")
+
+    def pairs(keys: DataFrame, by: list[str], bit: Column) -> DataFrame:
+        keys = materialize(keys, "keys")
+        sizes = keys.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n").between(2, largest)).drop("n")
+        # as many partitions as asked for: pairs take far more than the keys, by which they would be merged
+        fit = keys.join(sizes, by).repartition(shuffle_partitions(keys.sparkSession), *by)
+        left = fit.select(*by, F.col("archive_id").alias("a"), F.col("rep").alias("ra"))
+        right = fit.select(*by, F.col("archive_id").alias("b"), F.col("rep").alias("rb"))
+        return left.join(right, by).where("a < b AND ra <> rb").select("a", "b", bit.alias("bit"))
+
+    band_bit = F.expr("shiftleft(1, 14 + slot)")
+    whole_bit = F.expr("shiftleft(1, slot + 7 * nth)")
+    seen = pairs(short, ["slot", "key"], band_bit).unionByName(pairs(whole, ["slot", "nth", "key"], whole_bit))
+    sums = seen.groupBy("a", "b").agg(F.bit_or("bit").alias("bits"))
+    part = lambda i: F.shiftrightunsigned("bits", 7 * i).bitwiseAND(F.lit(127))
+    return sums.select("a", "b", part(0).alias("pixel"), part(1).alias("byte"), part(2).alias("band"))
 
 
 def mutual_top(pairs: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -107,14 +124,8 @@ def mutual_top(pairs: DataFrame, k: int, *order: Column) -> DataFrame:
     return both.groupBy("a", "b").agg(F.count("*").alias("_n")).where("_n = 2").select("a", "b")
 
 
-def pair_rank(kind: str, root: int = 1, version: int = 2) -> Column:
-    if kind == "portable":
-        return portable_pair_rank(F.col("a"), F.col("b"))
-    return stable_pair_rank(F.lit(root).cast("long"), F.lit(version).cast("long"), F.col("a"), F.col("b"))
-
-
 def scored_pairs(observed: DataFrame, containers: DataFrame) -> DataFrame:
-    """``(a, b, reasons, score)`` of ``observed_pairs`` that at least two slots support."""
+    """``(a, b, _rank, reasons, score)`` of ranked ``observed_pairs`` that at least two slots support."""
     px, by, lsh = (F.bit_count(c) for c in ("pixel", "byte", "band"))
     support = F.bit_count(F.col("pixel").bitwiseOR(F.col("byte")).bitwiseOR(F.col("band")))
     sums = observed.where(support >= 2)
@@ -124,30 +135,41 @@ def scored_pairs(observed: DataFrame, containers: DataFrame) -> DataFrame:
     tests = (px > 0, by > 0, lsh > 0, shared)
     reasons = F.array_compact(F.array(*[F.when(t, F.lit(r)) for t, r in zip(tests, REASONS)]))
     score = PIXEL_POINTS * px + BYTE_POINTS * by + BAND_POINTS * lsh + F.when(shared, TOKEN_POINTS).otherwise(0)
-    return sums.select("a", "b", reasons.alias("reasons"), score.cast("int").alias("score"))
+    return sums.select("a", "b", "_rank", reasons.alias("reasons"), score.cast("int").alias("score"))
 
 
 def dated_series_pairs(containers: DataFrame) -> DataFrame:
-    """``(a, b)``: neighbours by (date, mtime, id) among containers of a series that has a versioned member."""
-    w = Window.partitionBy("series_key")
-    named = containers.where("series_key <> ''").withColumn("_v", F.max(F.col("series_versioned").cast("int")).over(w)).where("_v = 1")
-    before = F.lag("archive_id").over(w.orderBy("series_date", "mtime_ns", "archive_id"))
-    linked = named.withColumn("_before", before).where("_before IS NOT NULL")
-    return linked.select(F.least("archive_id", "_before").alias("a"), F.greatest("archive_id", "_before").alias("b"))
-
+    """``(a, b)``: neighbours by (date, mtime, id) among containers of a series that has a versioned member.
 
-def candidate_seeds(containers: DataFrame, units: DataFrame, rank: str = "stable", series: bool = True) -> DataFrame:
+    Rows are dealt by ranges of the whole order, so a title of very many containers is spread over tasks; the last row
+    of each range is handed to the next one.
+    """
+    versioned = containers.where("series_versioned AND series_key <> ''").select("series_key").distinct()
+    named = containers.where("series_key <> ''").join(versioned, "series_key", "left_semi").select("series_key", "series_date", "mtime_ns", "archive_id")
+    order = ["series_key", "series_date", "mtime_ns", "archive_id"]
+    dealt = in_ranges(named, "series", *order)
+    own = F.struct("series_key", "archive_id")
+    lasts = dealt.groupBy("_range").agg(F.max_by(own, F.struct(*order)).alias("_last"))
+    # a row for each range, a number that the session sets
+    carried = lasts.select("_range", F.lag("_last").over(Window.orderBy("_range")).alias("_carried"))
+    before = F.lag(own).over(Window.partitionBy("_range").orderBy(*order))
+    rows = dealt.withColumn("_before", before).join(F.broadcast(carried), "_range").withColumn("_before", F.coalesce("_before", "_carried"))
+    linked = rows.where("_before.series_key = series_key").withColumn("_b", F.col("_before.archive_id"))
+    return linked.select(F.least("archive_id", "_b").alias("a"), F.greatest("archive_id", "_b").alias("b"))
+
+
+def candidate_seeds(containers: DataFrame, units: DataFrame, series: bool = True, root: int = 1, version: int = 2, first_id: int = 1) -> DataFrame:
     """``(a, b, reasons array<string>, score int)``: pairs worth comparing, at most ``MAX_PAIRS`` for each container.
 
     Copies of a whole container come as a star; other pairs need two probe slots that agree in a whole hash or a band.
-    Both caps keep a pair only where both its ends keep it, so the order of the input does not matter. Neighbours in a
-    dated series are added, or their reason to a pair that is there. Rows without units only meet as copies or in series.
+    Both caps keep a pair only where both its ends keep it, in order of a rank that mixes ``root``, ``version`` and both
+    ids, so the order of the input does not matter. Neighbours in a dated series are added, or their reason to a pair
+    that is there. Rows without units only meet as copies or in series.
     """
-    containers = one_batch(containers)
-    observed = materialize(observed_pairs(containers, bucket_keys(probes(units))), "observed-pairs")
-    pairs = observed.select("a", "b").withColumn("_rank", pair_rank(rank))
-    kept = observed.join(mutual_top(pairs, MAX_SIGNAL_PAIRS, F.col("_rank")), ["a", "b"], "left_semi")
-    scored = materialize(scored_pairs(kept, containers).withColumn("_rank", pair_rank(rank)), "scored-pairs")
+    containers = one_batch(containers, first_id)
+    observed = materialize(with_pair_rank(observed_pairs(containers, units), root, version), "observed-pairs")
+    kept = observed.join(mutual_top(observed.select("a", "b", "_rank"), MAX_SIGNAL_PAIRS, F.col("_rank")), ["a", "b"], "left_semi")
+    scored = materialize(scored_pairs(kept, containers), "scored-pairs")
     best = mutual_top(scored, MAX_PAIRS, F.desc("score"), F.col("_rank"))
     visual = scored.join(best, ["a", "b"], "left_semi").select("a", "b", "reasons", "score")
     exact = exact_star_seeds(containers).select("a", "b", F.array(F.lit(EXACT_REASON)).alias("reasons"), F.lit(EXACT_POINTS).alias("score"))
@@ -156,13 +178,14 @@ def candidate_seeds(containers: DataFrame, units: DataFrame, rank: str = "stable
         return seeds
     dated = dated_series_pairs(containers).select("a", "b", F.lit(True).alias("_dated"))
     both = seeds.join(dated, ["a", "b"], "full")
-    reasons = F.concat(F.coalesce("reasons", F.array().cast("array<string>")), F.when(F.col("_dated"), F.array(F.lit(SERIES_REASON))).otherwise(F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    reasons = F.concat(F.coalesce("reasons", none), F.when(F.col("_dated"), F.array(F.lit(SERIES_REASON))).otherwise(none))
     return both.select("a", "b", reasons.alias("reasons"), F.coalesce("score", F.lit(0)).alias("score"))
 
 
-def diagnostics(containers: DataFrame, units: DataFrame) -> DataFrame:
+def diagnostics(containers: DataFrame, units: DataFrame, first_id: int = 1) -> DataFrame:
     """One row: buckets left out, observations, pairs observed, and what the first cap takes from each container."""
-    containers = one_batch(containers)
+    containers = one_batch(containers, first_id)
     keys = bucket_keys(probes(units))
     observed = materialize(signals(containers, keys), "signals")
     pairs = observed.select("a", "b").distinct()

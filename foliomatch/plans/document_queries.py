@@ -40,7 +40,7 @@ def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _seeds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     containers, units = _both(spark, sf_dir)
-    return containers, units, materialize(ca.candidate_seeds(containers, units, rank="portable"), "seeds")
+    return containers, units, materialize(ca.candidate_seeds(containers, units, first_id=0), "seeds")
 
 
 def relations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -59,17 +59,18 @@ def grouped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
 SIGNS = "array_to_string(list_transform(range(16), lambda i: format('{:x}', 8 * (embedding[4*i+1] > 0)::INT + 4 * (embedding[4*i+2] > 0)::INT + 2 * (embedding[4*i+3] > 0)::INT + (embedding[4*i+4] > 0)::INT)), '')"
 
 
-def _slices(x: str) -> str:
-    cut = lambda k: f"(({k}) * len({x}) // 16)"
-    return f"array_to_string(list_transform(range(16), lambda k: md5(substring({x}, {cut('k')} + 1, {cut('k + 1')} - {cut('k')}))[1:1]), '')"
+_DIGESTS = "list_transform(range(16), lambda k: md5(array_to_string(w[k * len(w) // 16 + 1 : (k + 1) * len(w) // 16], ' ')))"
+_DIGITS = lambda i: f"array_to_string(list_transform(d, lambda x: x[{i}:{i}]), '')"
 
 
 UNITS = f"""
 lines AS (SELECT doc_id AS archive_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents),
 line AS (SELECT archive_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS pos FROM lines),
-units AS (
+split AS (SELECT *, string_split(lower(trim(line)), ' ') AS w FROM line),
+hashed AS (SELECT *, {_DIGESTS} AS d FROM split),
+units AS MATERIALIZED (
   SELECT archive_id, CAST(pos AS INTEGER) AS pos, sha256(lower(trim(line))) AS pixel, sha256(line) AS byte,
-         {_slices('lower(trim(line))')} AS dhash, {_slices('reverse(lower(trim(line)))')} AS ahash, CAST(len(line) AS BIGINT) AS area FROM line),
+         {_DIGITS(1)} AS dhash, {_DIGITS(2)} AS ahash, CAST(len(line) AS BIGINT) AS area FROM hashed),
 sized AS (SELECT archive_id, CAST(count(*) AS INTEGER) AS n FROM units GROUP BY archive_id),
 """
 CONTAINERS = """
@@ -79,6 +80,19 @@ containers AS (
          array_to_string(string_split(lower(text), ' ')[1:2], ' ') AS series_key, lpad(CAST(n_chars AS VARCHAR), 8, '0') AS series_date,
          lang IN ('en', 'fr') AS series_versioned, '/' || source || '/' || doc_id || '.zip' AS path FROM documents),
 """
+_MASK = (1 << 64) - 1
+_START = (1 * fp.RANK_FACTORS[0] & _MASK) ^ (2 * fp.RANK_FACTORS[1] & _MASK)
+
+
+def _RANK(name: str, source: str) -> str:
+    """CTE ``name``: ``source(a, b, ...)`` with the stable rank of root 1 and version 2, in 128-bit arithmetic."""
+    big = lambda x: f"CAST({x} AS UHUGEINT)"
+    times = lambda x, f: f"(({x}) * {big(f)} % {big(1 << 64)})"
+    h0 = f"xor(xor({big(_START)}, {times(big('a'), fp.RANK_FACTORS[2])}), {times(big('b'), fp.RANK_FACTORS[3])})"
+    return f"""{name} AS (SELECT * EXCLUDE (h), xor(h, h >> 31) AS rank FROM (SELECT * REPLACE ({times('xor(h, h >> 27)', fp.RANK_MIXERS[1])} AS h) FROM (
+  SELECT * REPLACE ({times('xor(h, h >> 30)', fp.RANK_MIXERS[0])} AS h) FROM (SELECT *, {h0} AS h FROM {source}))))"""
+
+
 PROBES = """
 slots AS (
   SELECT archive_id, unnest(p) AS pos, generate_subscripts(p, 1) - 1 AS slot FROM (
@@ -94,13 +108,14 @@ keys AS (
   UNION SELECT DISTINCT archive_id, slot, 'ahash' || i, CAST((CAST('0x' || ahash AS UBIGINT) >> off) & ((1::UBIGINT << w) - 1) AS VARCHAR) FROM probes, band),
 bucket AS (SELECT slot, kind, key, count(*) AS n FROM keys GROUP BY ALL),
 fit AS (SELECT k.* FROM keys k JOIN bucket b USING (slot, kind, key) WHERE b.n BETWEEN 2 AND 200),
-signals AS (
+signals AS MATERIALIZED (
   SELECT DISTINCT l.archive_id AS a, r.archive_id AS b, l.slot, CASE WHEN l.kind IN ('pixel', 'byte') THEN l.kind ELSE 'band' END AS signal
   FROM fit l JOIN fit r ON l.slot = r.slot AND l.kind = r.kind AND l.key = r.key AND l.archive_id < r.archive_id
   JOIN containers x ON x.archive_id = l.archive_id JOIN containers y ON y.archive_id = r.archive_id WHERE x.file_sha256 <> y.file_sha256),
 """
-SEEDS = """
-pairs AS (SELECT DISTINCT a, b, md5(a || ':' || b) AS rank FROM signals),
+SEEDS = f"""
+distinct_pairs AS (SELECT DISTINCT a, b FROM signals),
+{_RANK('pairs', 'distinct_pairs')},
 ends AS (SELECT *, a AS e FROM pairs UNION ALL SELECT *, b FROM pairs),
 top AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY rank, a, b) AS nth FROM ends),
 mutual AS (SELECT a, b FROM top WHERE nth <= 200 GROUP BY a, b HAVING count(*) = 2),
@@ -113,7 +128,7 @@ shared AS (
   FROM sums s JOIN containers x ON x.archive_id = a JOIN containers y ON y.archive_id = b),
 scored AS (
   SELECT a, b, list_filter([CASE WHEN px > 0 THEN 'SAME_PIXEL_SHA256' END, CASE WHEN by_ > 0 THEN 'SAME_BYTE_SHA256' END, CASE WHEN lsh > 0 THEN 'LSH_BAND_MATCH' END, CASE WHEN tok THEN 'SHARED_FILENAME_TOKEN_WITH_VISUAL_HIT' END], lambda x: x IS NOT NULL) AS reasons,
-         CAST(30 * px + 25 * by_ + 8 * lsh + CASE WHEN tok THEN 2 ELSE 0 END AS INTEGER) AS score, md5(a || ':' || b) AS rank FROM shared),
+         CAST(30 * px + 25 * by_ + 8 * lsh + CASE WHEN tok THEN 2 ELSE 0 END AS INTEGER) AS score, rank FROM shared JOIN pairs USING (a, b)),
 ends2 AS (SELECT *, a AS e FROM scored UNION ALL SELECT *, b FROM scored),
 top2 AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY score DESC, rank, a, b) AS nth FROM ends2),
 visual AS (SELECT a, b, any_value(reasons) AS reasons, any_value(score) AS score FROM top2 WHERE nth <= 100 GROUP BY a, b HAVING count(*) = 2),
@@ -123,15 +138,16 @@ found AS (SELECT * FROM exact UNION ALL SELECT * FROM visual),
 versioned AS (SELECT *, max(series_versioned::INT) OVER (PARTITION BY series_key) AS v FROM containers WHERE series_key <> ''),
 neighbours AS (SELECT archive_id AS x, lag(archive_id) OVER (PARTITION BY series_key ORDER BY series_date, mtime_ns, archive_id) AS y FROM versioned WHERE v = 1),
 dated AS (SELECT least(x, y) AS a, greatest(x, y) AS b FROM neighbours WHERE y IS NOT NULL),
-seeds AS (
+seeds AS MATERIALIZED (
   SELECT coalesce(f.a, d.a) AS a, coalesce(f.b, d.b) AS b, list_concat(coalesce(f.reasons, []), CASE WHEN d.a IS NOT NULL THEN ['DATED_SERIES_TITLE'] ELSE [] END) AS reasons, coalesce(f.score, 0) AS score
   FROM found f FULL JOIN dated d ON f.a = d.a AND f.b = d.b),
 """
 MATCH = """
 p AS (SELECT a, b, reasons FROM seeds),
-lr AS (
-  SELECT p.a, p.b, r.pos - l.pos AS shift, l.pos AS lp, r.pos AS rp, l.area AS la, r.area AS ra, l.pixel = r.pixel AS same
-  FROM p JOIN units l ON l.archive_id = p.a JOIN units r ON r.archive_id = p.b AND r.pos - l.pos BETWEEN -2 AND 2
+ps AS (SELECT *, unnest([-2, -1, 0, 1, 2]) AS shift FROM p),
+lr AS MATERIALIZED (
+  SELECT ps.a, ps.b, ps.shift, l.pos AS lp, r.pos AS rp, l.area AS la, r.area AS ra, l.pixel = r.pixel AS same
+  FROM ps JOIN units l ON l.archive_id = ps.a JOIN units r ON r.archive_id = ps.b AND r.pos = l.pos + ps.shift
   WHERE l.pixel = r.pixel OR bit_count(xor(CAST('0x' || l.dhash AS UBIGINT), CAST('0x' || r.dhash AS UBIGINT))) <= 6),
 by_shift AS (SELECT a, b, shift, count(*) AS matched, median(la) AS lm, median(ra) AS rm FROM lr GROUP BY ALL),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY matched DESC, abs(shift), shift) AS nth FROM by_shift) WHERE nth = 1),
@@ -213,10 +229,13 @@ def f08_lsh_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bi.vector_hashes(spark, sf_dir).select("archive_id", F.inline(fp.bands(fp.hash_to_long(F.col("dhash")))))
 
 
-@query()
+@query(f"""
+WITH p AS (SELECT vec_id AS a, vec_id + 1 AS b FROM embeddings),
+{_RANK('r', 'p')}
+SELECT a, b, CAST(CAST(rank AS HUGEINT) - 9223372036854775808::HUGEINT AS BIGINT) AS rank FROM r""")
 def f10_stable_pair_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = bi.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"))
-    return e.select("a", "b", ca.pair_rank("stable").alias("rank"))
+    return fp.with_pair_rank(e, name="rank")
 
 
 @query(r"""
@@ -300,15 +319,16 @@ def c05_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ca.signals(containers, ca.bucket_keys(ca.probes(units)))
 
 
-@query(_sql(_TO_SIGNALS, """, s AS (SELECT a, b, count(DISTINCT slot) AS n FROM signals GROUP BY a, b),
+@query(_sql(_TO_SIGNALS, f""", s0 AS (SELECT a, b, count(DISTINCT slot) AS n FROM signals GROUP BY a, b),
+{_RANK('s', 's0')},
 e AS (SELECT *, a AS e FROM s UNION ALL SELECT *, b FROM s),
-t AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY n DESC, md5(a || ':' || b), a, b) AS nth FROM e)
+t AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY n DESC, rank, a, b) AS nth FROM e)
 SELECT a, b FROM t WHERE nth <= 3 GROUP BY a, b HAVING count(*) = 2"""))
 def c06_mutual_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     containers, units = _both(spark, sf_dir)
-    seen = ca.observed_pairs(containers, ca.bucket_keys(ca.probes(units)))
+    seen = ca.observed_pairs(containers, units)
     s = seen.select("a", "b", F.bit_count(F.col("pixel").bitwiseOR(F.col("byte")).bitwiseOR(F.col("band"))).alias("n"))
-    return ca.mutual_top(materialize(s, "pairs"), 3, F.desc("n"), fp.portable_pair_rank(F.col("a"), F.col("b")))
+    return ca.mutual_top(materialize(fp.with_pair_rank(s), "pairs"), 3, F.desc("n"), F.col("_rank"))
 
 
 @query(_sql(_TO_SEEDS, "SELECT a, b, array_to_string(reasons, ',') AS reasons, CAST(score AS INTEGER) AS score FROM seeds"))
@@ -325,7 +345,7 @@ def c10_dated_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT (SELECT count(*) FROM bucket WHERE n > 200) AS discarded_buckets, (SELECT count(*) FROM signals) AS observations, (SELECT count(*) FROM (SELECT DISTINCT a, b FROM signals)) AS pairs,
        (SELECT CAST(coalesce(sum(greatest(n - 200, 0)), 0) AS BIGINT) FROM n) AS over_cap, (SELECT coalesce(max(n), 0) FROM n) AS most_pairs"""))
 def a17_candidate_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ca.diagnostics(*_both(spark, sf_dir))
+    return ca.diagnostics(*_both(spark, sf_dir), first_id=0)
 
 
 # ---- matching -----------------------------------------------------------------------------------------------------

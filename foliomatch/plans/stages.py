@@ -56,3 +56,12 @@ def discard(df: DataFrame) -> None:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by hash of ``keys`` over all cores, if its scan has fewer partitions than the session has cores; else as it is.
+
+    A table in one small file would keep all work on its rows in one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores, *keys)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -13,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomatch.functions.fingerprints import listing_signature
-from foliomatch.functions.text import archive_format, entry_kind, natural_key, path_key
+from foliomatch.functions.text import archive_format, entry_key, entry_kind, natural_key, path_key
 
 # Most members of a container, most bytes of its listing, most bytes of a member.
 MAX_MEMBERS, MAX_LISTING, MAX_MEMBER = 50_000, 32 << 20, 128 << 20
+#: Largest container that is read as one value.
+MAX_FILE = 1 << 30
 MEMBERS = "path string, member string, size long, packed long, crc string, encrypted boolean, error string"
 
 
@@ -27,9 +30,33 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     return rows.where("format IS NOT NULL").withColumn("path_key", path_key(F.col("path")))
 
 
-def _listing(path: str, content: bytes) -> list[tuple]:
+def container_files(spark: SparkSession, root: str, largest: int = MAX_FILE) -> DataFrame:
+    """``(path, content)`` of the container files under ``root``; one over ``largest`` bytes has a null content.
+
+    The length is tested by the reader, so a file that no row can hold is never opened.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    named = files.where(archive_format(F.col("path")).isNotNull())
+    large = named.where(F.col("length") > largest).select("path", F.lit(None).cast("binary").alias("content"))
+    return named.where(F.col("length") <= largest).select("path", "content").unionByName(large)
+
+
+def _announced(content: bytes) -> tuple[int, int]:
+    """Members and bytes of the directory that the file's last record names, before any of it is parsed."""
+    at = content.rfind(b"PK\5\6", max(0, len(content) - 65_557))
+    return struct.unpack_from("<HI", content, at + 10) if 0 <= at <= len(content) - 22 else (0, 0)
+
+
+def _listing(path: str, content: bytes | None) -> list[tuple]:
     bad = lambda code: [(path, None, None, None, None, None, code)]
+    if content is None:
+        return bad("FILE_TOO_LARGE")
     try:
+        n, size = _announced(content)
+        if n > MAX_MEMBERS:
+            return bad("TOO_MANY_MEMBERS")
+        if size > MAX_LISTING:
+            return bad("LISTING_TOO_LARGE")
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             infos = z.infolist()
             if len(infos) > MAX_MEMBERS:
@@ -48,7 +75,7 @@ def list_members(files: DataFrame) -> DataFrame:
     """Members of ZIP and CBZ files ``(path, content)``: one row each, or one with an error code.
 
     Directories are dropped; ``pos`` numbers members in natural order of their names, ``kind`` tells images and nested
-    containers from the rest. Other formats give UNSUPPORTED_FORMAT.
+    containers from the rest. Other formats give UNSUPPORTED_FORMAT, a null content FILE_TOO_LARGE.
     """
     zips = archive_format(F.col("path")).isin("zip", "cbz")
 
@@ -68,8 +95,8 @@ def list_members(files: DataFrame) -> DataFrame:
 
 def inventory(members: DataFrame) -> DataFrame:
     """``(path, n_members, n_images, n_nested, signature, error)`` of each listed container."""
-    entry = F.struct("pos", "member", "size", "crc")
-    return members.groupBy("path").agg(
+    entry = F.struct("pos", F.col("_key").alias("path"), "size", "packed", "crc", "kind")
+    return members.withColumn("_key", entry_key(F.col("member"))).groupBy("path").agg(
         F.count("member").alias("n_members"), F.count_if(F.col("kind") == "IMAGE").alias("n_images"), F.count_if(F.col("kind") == "NESTED_ARCHIVE").alias("n_nested"),
         F.when(F.count("member") > 0, listing_signature(F.collect_list(F.when(F.col("member").isNotNull(), entry)))).alias("signature"), F.max("error").alias("error"),
     )

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomatch.functions.fingerprints import sign_hash, slice_hash
+from foliomatch.functions.fingerprints import sign_hash, slice_hashes
+from foliomatch.plans.stages import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def document_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
     words = F.array_distinct(F.slice(F.split(F.lower("text"), r"[^a-z0-9]+"), 1, 3))
     key = F.lower(F.substring_index("text", " ", 2))
     return d.select(
@@ -38,17 +39,16 @@ def document_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that are not blank, in order."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("archive_id"), F.posexplode(lines).alias("pos", "line"))
+    rows = spread(table(spark, sf_dir, "documents"), "doc_id").select(F.col("doc_id").alias("archive_id"), F.posexplode(lines).alias("pos", "line"))
     norm = F.lower(F.trim("line"))
     return rows.select(
         "archive_id",
         "pos",
         F.sha2(norm, 256).alias("pixel"),
         F.sha2("line", 256).alias("byte"),
-        slice_hash(norm).alias("dhash"),
-        slice_hash(F.reverse(norm)).alias("ahash"),
+        slice_hashes(norm).alias("h"),
         F.length("line").cast("long").alias("area"),
-    )
+    ).select("archive_id", "pos", "pixel", "byte", "h.dhash", "h.ahash", "area")
 
 
 def order_units(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,15 +75,15 @@ def test_dated_series_neighbours(spark):
 
 
 def test_stable_rank_equals_integer_arithmetic(spark):
-    from foliomatch.functions.fingerprints import RANK_FACTORS, RANK_MIXERS
+    from foliomatch.functions.fingerprints import RANK_FACTORS, RANK_MIXERS, with_pair_rank
 
-    pairs = [(i, i * 7919 + 3) for i in range(1, 60)]
-    df = spark.createDataFrame(pairs, "a long, b long").withColumn("r", ca.pair_rank("stable", 5, 2))
+    pairs = [(i, i * 7919 + 3) for i in range(1, 60)] + [(-5, 1 << 40), (2**63 - 1, -(2**63))]
+    df = with_pair_rank(spark.createDataFrame(pairs, "a long, b long"), 5, 2, "r")
     m = (1 << 64) - 1
     for r in df.collect():
         h = 0
         for x, f in zip((5, 2, r.a, r.b), RANK_FACTORS):
-            h ^= x * f & m
+            h ^= x % (1 << 64) * f & m
         h = (h ^ h >> 30) * RANK_MIXERS[0] & m
         h = (h ^ h >> 27) * RANK_MIXERS[1] & m
         assert r.r == (h ^ h >> 31) - (1 << 63)
@@ -163,3 +163,19 @@ def test_components_of_long_paths_and_hubs(spark):
 def test_hash_conversion_rejects_other_text(spark):
     df = spark.createDataFrame([("ffffffffffffffff",), ("0" * 15 + "1",), ("zz",), (None,)], "h string").select(hash_to_long(F.col("h")).alias("v"))
     assert [r.v for r in df.collect()] == [-1, 1, None, None]
+
+
+def test_a_batch_has_one_root(spark):
+    rows = containers(spark, plain([1, 2])).withColumn("root_id", F.col("archive_id"))
+    with pytest.raises(ValueError):
+        ca.candidate_seeds(rows, units(spark, []))
+
+
+def test_series_neighbours_across_ranges(spark):
+    rows = [(i, f"s{i}", [], "story" if i % 3 else "other", f"{i % 50:03d}", True) for i in range(1, 200)]
+    got = {(r.a, r.b) for r in ca.dated_series_pairs(containers(spark, rows)).collect()}
+    want = set()
+    for key in ("story", "other"):
+        ids = [r[0] for r in sorted((r for r in rows if r[3] == key), key=lambda r: (r[4], r[0]))]
+        want |= {(min(x, y), max(x, y)) for x, y in zip(ids, ids[1:])}
+    assert got == want
