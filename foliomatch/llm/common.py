@@ -11,12 +11,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 #: Rows and bytes that a Python task handles at once at most, so that very long texts do not pile up.
 SLICE_ROWS, SLICE_BYTES = 8192, 8 << 20
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` by slices of at most ``SLICE_ROWS`` rows, of mostly ``SLICE_BYTES``; ``fn`` may return None for no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

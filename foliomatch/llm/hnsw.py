@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from foliomatch.llm.topk import clean_vectors
 from foliomatch.operators.graph import connected_components
-from foliomatch.plans.stages import materialize
+from foliomatch.plans.stages import materialize, shuffle_partitions
 
-#: Shards are at least so many, and hold about so many vectors at most; a block of queries holds so many.
-LEAST_SHARDS, SHARD_ROWS, BLOCK_ROWS = 3, 65_536, 16_384
+#: Shards are at least so many, and hold about so many vectors at most. Queries visit them in blocks of so many rows at
+#: most: a shard with its graph is sent out once for each block, so blocks are as large as a task can hold.
+LEAST_SHARDS, SHARD_ROWS, BLOCK_ROWS = 3, 65_536, 131_072
+#: Where cores would be idle, blocks are smaller, but not below so many rows.
+LEAST_BLOCK = 8192
 #: Links of a node (twice as many on the ground layer), beam while building and at first while searching.
 LINKS, BUILD_BEAM, BEAM = 12, 40, 24
 #: Queries with links, and links of theirs, that the audit of a shard wants, and the mean recall a query that they must reach.
@@ -214,11 +217,11 @@ def audited_width(graph: Graph, ids: np.ndarray, least: float) -> int:
 
 
 def links_of_block(
-    v: np.ndarray, vid: np.ndarray, q: np.ndarray, qid: np.ndarray, least: float, links: np.ndarray | None = None, width: int | None = None
+    v: np.ndarray, vid: np.ndarray, q: np.ndarray, qid: np.ndarray, least: float, links: np.ndarray | None = None, width: int | None = None, keys: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of queries against one shard: links of each query, and a forest of edges (query id, id) that joins what they join."""
     vn, qn = _unit(v), _unit(q)
-    graph, q32 = Graph(vn, vid, links), qn.astype(np.float32)
+    graph, q32 = Graph(vn, vid if keys is None else keys, links), qn.astype(np.float32)
     width = audited_width(graph, vid, least - SLACK) if width is None else width
     counts, parent = np.zeros(len(q), np.int64), np.arange(len(q) + len(v))
     for at in range(0, len(q), STEP):
@@ -239,23 +242,27 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, column: str = "embeddi
     Two vectors link if their cosine in double precision is at least ``least``. Vectors that are null, zero or hold
     null or non-finite components link with nothing, as do vectors of different lengths. ``n_links`` counts the other
     vectors linked directly, ``component_id`` is the smallest vec_id reachable, ``kept`` tells whether it is the own
-    one. Rows that repeat a vec_id stand for one vector, the least of theirs; each of them gets its result. An empty
-    table gives no rows.
+    one. Rows that repeat a vec_id with another vector are vectors of their own, each compared with all of other ids,
+    and the id joins what any of them joins; rows equal in both are one vector, and each of them gets its result. Rows
+    without a vec_id link with nothing: their component is null and they are kept. An empty table gives no rows.
 
-    Shards by hash of vec_id have a graph each, built once, which every block of queries searches. Where it is built, some
+    Shards by hash of the row have a graph each, built once, which every block of queries searches. Where it is built, some
     of its members with links are audited against the whole shard, and the beam is doubled until their mean recall is
-    ``RECALL``; a query whose beam is full of links
-    reads the whole shard. Links are verified in double precision. A task returns link counts and a forest, never the
-    pairs of a group, and components are joined over all tasks.
+    ``RECALL``; a query whose beam is full of links reads the whole shard. Links are verified in double precision. A task
+    returns link counts and a forest, never the pairs of a group, and components are joined over all tasks.
     """
-    ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
-    clean = clean_vectors(vectors, column).where(F.exists("x", lambda v: v != 0)).groupBy("vec_id").agg(F.min("x").alias("x"))
-    clean = materialize(clean.where("vec_id IS NOT NULL"), "vectors")
+    spark = vectors.sparkSession
+    ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.xxhash64(F.col("vec_id").cast("long"), F.col(column).cast("array<double>")).alias("key"))
+    clean = clean_vectors(vectors, column).where("vec_id IS NOT NULL").where(F.exists("x", lambda v: v != 0))
+    clean = clean.withColumn("key", F.xxhash64("vec_id", "x")).groupBy("key").agg(F.first("vec_id").alias("vec_id"), F.first("x").alias("x"))
+    clean = materialize(clean, "vectors")
     n = clean.count()
-    shards, blocks = max(LEAST_SHARDS, -(-n // SHARD_ROWS)), max(1, -(-n // BLOCK_ROWS))
+    shards = max(LEAST_SHARDS, -(-n // SHARD_ROWS))
+    idle = min(-(-2 * shuffle_partitions(spark) // shards), -(-n // LEAST_BLOCK))
+    blocks = max(1, -(-n // BLOCK_ROWS), idle)
 
     def part(m: int, seed: int):
-        return F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(m)).cast("int")
+        return F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(m)).cast("int")
 
     def to(m: int):
         return F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
@@ -265,33 +272,36 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, column: str = "embeddi
 
     def build(t: pa.Table) -> pa.Table:
         v, vid = matrix(t)
-        graph = Graph(_unit(v), vid)
+        graph = Graph(_unit(v), t.column("key").to_numpy())
         width = audited_width(graph, vid, least - SLACK)
         rows = [r.tobytes() for r in graph.links()]
         out = t.append_column("nth", pa.array(range(len(v)), pa.int32())).append_column("links", pa.array(rows, pa.binary()))
         return out.append_column("width", pa.array([width] * len(v), pa.int32()))
 
+    names = ["key", "n", "a", "b"]
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table({n: pa.array([], pa.int64()) for n in ("vec_id", "n", "a", "b")})
+            return pa.table({n: pa.array([], pa.int64()) for n in names})
         left = left.sort_by("nth")
         (v, vid), (q, qid) = matrix(left), matrix(right)
         graph = np.frombuffer(b"".join(left.column("links").to_pylist()), np.int32).reshape(len(v), -1)
-        counts, a, b = links_of_block(v, vid, q, qid, least, graph, left.column("width")[0].as_py())
+        keys = left.column("key").to_numpy(), right.column("key").to_numpy()
+        counts, a, b = links_of_block(v, vid, q, qid, least, graph, left.column("width")[0].as_py(), keys[0])
         has = counts > 0
         none = lambda k: pa.nulls(int(k), pa.int64())
-        rows = [[pa.array(qid[has]), pa.array(counts[has]), none(has.sum()), none(has.sum())], [none(len(a)), none(len(a)), pa.array(a), pa.array(b)]]
-        return pa.concat_tables(pa.table(r, names=["vec_id", "n", "a", "b"]) for r in rows)
+        rows = [[pa.array(keys[1][has]), pa.array(counts[has]), none(has.sum()), none(has.sum())], [none(len(a)), none(len(a)), pa.array(a), pa.array(b)]]
+        return pa.concat_tables(pa.table(r, names=names) for r in rows)
 
-    dealt = clean.select(F.size("x").alias("dim"), part(shards, 1).alias("shard"), "vec_id", "x")
-    graphs = dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, vec_id long, x array<double>, nth int, links binary, width int")
+    dealt = clean.select(F.size("x").alias("dim"), part(shards, 1).alias("shard"), "key", "vec_id", "x")
+    graphs = dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, key long, vec_id long, x array<double>, nth int, links binary, width int")
     graphs = materialize(graphs, "graphs")
-    keys = ["dim", "shard", "block"]
-    queries = clean.select(F.size("x").alias("dim"), part(blocks, 2).alias("block"), to(shards).alias("shard"), "vec_id", "x")
-    grid = graphs.select("*", to(blocks).alias("block")).groupBy(keys).cogroup(queries.groupBy(keys))
-    found = materialize(grid.applyInArrow(run, "vec_id long, n long, a long, b long"), "vector-links")
-    counts = found.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.sum("n").alias("n_links"))
+    by = ["dim", "shard", "block"]
+    queries = clean.select(F.size("x").alias("dim"), part(blocks, 2).alias("block"), to(shards).alias("shard"), "key", "vec_id", "x")
+    grid = graphs.select("*", to(blocks).alias("block")).groupBy(by).cogroup(queries.groupBy(by))
+    found = materialize(grid.applyInArrow(run, ", ".join(f"{x} long" for x in names)), "vector-links")
+    counts = found.where("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n_links"))
     parts = connected_components(found.where("a IS NOT NULL").select("a", "b")).withColumnRenamed("node", "vec_id")
-    out = ids.join(counts, "vec_id", "left").join(parts, "vec_id", "left")
+    out = ids.join(counts, "key", "left").join(parts, "vec_id", "left")
     own = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), own.alias("component_id"), F.coalesce(own == F.col("vec_id"), F.lit(True)).alias("kept"))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliomatch.plans.ranges import sums_before
 from foliomatch.plans.stages import materialize
 
 #: Weights by rank of the source, repeating; no source is repeated more often than this.
 WEIGHTS, MOST_EPOCHS = (5, 2, 1), 3
-#: Cells of the sampling key in which sizes are summed before single documents are looked at.
-CELLS = 1 << 14
+#: Cells of the sampling key in which sizes are summed before single documents are looked at, and rows of a cell that are sorted.
+CELLS, BORDER_ROWS = 1 << 14, 100_000
+RESULTS = ("size", "source_size", "target", "epochs", "taken")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -38,77 +40,100 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
     Sources in code point order, null last, weigh ``WEIGHTS`` in turn and share the whole size. A target stops at
     ``MOST_EPOCHS`` times its source's size; what is over goes to the others by weight until none is above. In order
-    of size by weight the sources that stop are the first ones, so two running sums find them all at once.
+    of size by weight the sources that stop are the first ones, so running sums, taken by ranges, find them all at once.
     """
-    one = F.lit(0)
-    nth = F.row_number().over(Window.partitionBy(one).orderBy(F.col("source").asc_nulls_last()))
-    weights = F.array(*[F.lit(float(w)) for w in WEIGHTS])
-    w = sizes.withColumn("w", F.element_at(weights, ((nth - 1) % len(WEIGHTS) + 1).cast("int")))
-    w = w.withColumn("cap", F.col("size").cast("double") * MOST_EPOCHS)
-    by = Window.partitionBy(one).orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(one)
-    left = F.sum("size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    weight = F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
-    rate = left / weight  # what a unit of weight gets if all sources before stop
-    stops = F.col("cap") / F.col("w") <= rate
-    w = w.select("source", "size", "w", "cap", rate.alias("rate"), stops.alias("stops"))
-    final = F.min(F.when(~F.col("stops"), F.struct((F.col("cap") / F.col("w")).alias("c"), F.col("source").isNull().alias("last"), "source", "rate"))).over(every)["rate"]
-    return w.select("source", F.col("size").alias("source_size"), F.when(F.col("stops"), F.col("cap")).otherwise(F.col("w") * final).alias("target"))
+    by_name = F.col("source").asc_nulls_last()
+    ranked = sums_before(sizes.select("source", "size"), "mix-sources", [by_name], {"nth": F.lit(1)})
+    weights = F.array(*[F.lit(w) for w in WEIGHTS])
+    w = ranked.withColumn("w", F.element_at(weights, (F.col("nth") % len(WEIGHTS) + 1).cast("int"))).withColumn("cap", F.col("size") * MOST_EPOCHS)
+    w = w.withColumn("per", F.col("cap") / F.col("w").cast("double"))
+    w = sums_before(w, "mix-caps", [F.col("per").asc(), by_name], {"cap_before": F.col("cap"), "w_before": F.col("w")})
+    w = materialize(w, "mix-shares")
+    every = w.agg(F.sum("size").alias("every"), F.sum("w").alias("all_w"))  # one row
+    rate = (F.col("every") - F.col("cap_before")).cast("double") / (F.col("all_w") - F.col("w_before"))
+    w = w.crossJoin(F.broadcast(every)).withColumn("rate", rate)  # what a unit of weight gets if all sources before stop
+    w = w.withColumn("stops", F.col("per") <= F.col("rate"))
+    final = w.where("NOT stops").agg(F.min(F.struct("per", F.col("source").isNull().alias("last"), "source", "rate"))["rate"].alias("final"))
+    target = F.when(F.col("stops"), F.col("cap").cast("double")).otherwise(F.col("w") * F.col("final"))
+    return w.crossJoin(F.broadcast(final)).select("source", F.col("size").alias("source_size"), target.alias("target"))
+
+
+def _borders(cells: DataFrame, targets: DataFrame) -> DataFrame:
+    """``(s, lo, hi, n, ahead)``: of each source with a rest the first cell whose sizes reach it, with the keys it spans.
+
+    ``cells(source, cell, size, n, lo, hi, base)``; ``ahead`` is the size of all rows with lesser keys.
+    """
+    run = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    summed = cells.withColumn("upto", F.col("base") + F.sum("size").over(run)).withColumn("ahead", F.col("upto") - F.col("size"))
+    met = summed.join(targets.select("s", "rest"), F.col("source").eqNullSafe(F.col("s"))).where("rest > 0 AND ahead < rest AND upto >= rest AND size > 0")
+    return met.groupBy("s").agg(F.min(F.struct("cell", "lo", "hi", "n", "ahead")).alias("b")).select("s", "b.lo", "b.hi", "b.n", "b.ahead")
 
 
 def mix(docs: DataFrame, seed: int = 0, weight: Column | None = None, slim: bool = False) -> DataFrame:
     """Add ``size``, ``source_size``, ``target double``, ``epochs int`` (whole copies to take) and ``taken`` to ``docs``.
 
-    ``docs(doc_id, text, source, ...)``; all other columns stay, but those of these names;
-    with ``slim`` only doc_id and source do, and the texts are read once. Every document is taken for
-    each complete epoch of its source's target. What is left is drawn by Efraimidis and Spirakis: documents in order of
-    the key -ln(u) / weight, with u from the MD5 of doc_id, size and seed, are taken until their sizes reach the rest;
-    the document on the border is taken if that comes nearer to it. So reruns agree, and only whole documents are taken.
-    Null texts have size 0, null sources are a source of their own, rows equal in key are told apart by a hash of the
-    text. An empty table gives none.
+    ``docs(doc_id, text, source, ...)``; all other columns stay, but those of these names; with ``slim`` only doc_id and
+    source do, and the texts are read once. Every document is taken for each complete epoch of its source's target. What
+    is left is drawn by Efraimidis and Spirakis: documents in order of the key -ln(u) / weight, with u from the MD5 of
+    doc_id, size and seed, are taken until their sizes reach the rest; the document on the border is taken if that comes
+    nearer to it. So reruns agree, and only whole documents are taken. Null texts have size 0, null sources are a source
+    of their own, rows equal in key are told apart by doc_id and a hash of the text; rows equal in these too are taken
+    or left together. An empty table gives none.
 
-    Sizes are summed by source and cell of the key first, so no task sorts a source: rows of the border cells alone are
-    put in order, about 1 / ``CELLS`` of them.
+    No task sorts a source: sizes are summed by source and cell of the key, and the cell in which the border lies is cut
+    into cells again until it holds ``BORDER_ROWS`` rows at most, which alone are put in order.
     """
+    row = F.struct(*(["doc_id", "source"] if slim else [c for c in docs.columns if c not in RESULTS]))
+    return _mix(docs, row, seed, weight, slim).select("row.*", *RESULTS)
+
+
+def _mix(docs: DataFrame, row: Column, seed: int, weight: Column | None, slim: bool) -> DataFrame:
+    """``row`` with the results; where it holds nothing but doc_id and source (``slim``) the texts are read once."""
     if weight is None:
         weight = quality_weight(F.col("text"))
-    drop = ("size", "source_size", "target", "epochs", "taken")
-    rows = docs.drop(*drop).withColumn("size", word_count(F.col("text")))
-    rows = rows.withColumn("_key", -F.log(uniform(F.col("doc_id"), F.col("size"), seed=seed)) / weight)
-    rows = rows.withColumn("_cell", F.floor(-F.expm1(-F.col("_key")) * CELLS).cast("int")).withColumn("_h", F.xxhash64("doc_id", "text"))
-    keys = materialize(rows.select("doc_id", "source", "size", "_key", "_cell", "_h"), "mix-keys")
+    rows = docs.select(row.alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), weight.alias("w"), F.xxhash64("doc_id", "text").alias("h"))
+    rows = rows.withColumn("key", -F.log(uniform(F.col("doc_id"), F.col("size"), seed=seed)) / F.col("w")).drop("w")
+    keys = materialize(rows.drop("row"), "mix-keys")
     if slim:
-        rows = keys
+        rows = keys.withColumn("row", F.struct("doc_id", "source"))
+
+    def cells(among: DataFrame, cell: Column, base: Column) -> DataFrame:
+        by = among.groupBy("source", F.least(cell, F.lit(CELLS - 1)).cast("int").alias("cell"))
+        return by.agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.min(base).alias("base"))
 
-    cells = keys.groupBy("source", "_cell").agg(F.sum("size").alias("size"))
-    targets = source_targets(cells.groupBy("source").agg(F.sum("size").alias("size")))
+    zero = F.lit(0).cast("long")
+    first = materialize(cells(keys, F.floor(-F.expm1(-F.col("key")) * CELLS), zero), "mix-cells")
+    targets = source_targets(first.groupBy("source").agg(F.sum("size").alias("size")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
-    targets = targets.withColumn("_epochs", epochs).withColumn("_rest", F.col("target") - epochs * F.col("source_size"))
-    targets = materialize(targets.withColumnRenamed("source", "_s"), "mix-targets")
-
-    run = Window.partitionBy("source").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
-    summed = cells.withColumn("_to", F.sum("size").over(run)).withColumn("_from", F.col("_to") - F.col("size"))
-    border = summed.join(targets, F.col("source").eqNullSafe(F.col("_s"))).where("_rest > 0 AND _from < _rest AND _to >= _rest AND size > 0")
-    border = materialize(border.groupBy("_s").agg(F.min(F.struct("_cell", "_from", "_rest")).alias("b")).select("_s", "b.*"), "mix-border")
-
-    inside = keys.join(border.withColumnRenamed("_cell", "_c"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_cell") == F.col("_c")))
-    order = Window.partitionBy("_s").orderBy("_key", "doc_id", "_h").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("_to", F.col("_from") + F.sum("size").over(order))
-    nearer = F.col("_to") - F.col("_rest") <= F.col("_rest") - (F.col("_to") - F.col("size"))
-    last = inside.where(nearer).groupBy("_s").agg(F.max(F.struct("_cell", "_key", "doc_id", "_h")).alias("_last"))
-    # rows up to the last one taken, by cell alone where its cell has none
-    edge = border.join(last.withColumnRenamed("_s", "_s2"), F.col("_s").eqNullSafe(F.col("_s2")), "left").select(F.col("_s").alias("_s3"), F.col("_cell").alias("_c"), "_last")
-    plan = targets.join(edge, F.col("_s").eqNullSafe(F.col("_s3")), "left").select("_s", "source_size", "target", "_epochs", "_rest", "_c", "_last")
+    targets = targets.withColumn("epochs", epochs).withColumn("rest", F.col("target") - epochs * F.col("source_size"))
+    targets = materialize(targets.withColumnRenamed("source", "s"), "mix-targets")
+
+    same = F.col("source").eqNullSafe(F.col("s"))
+    border = materialize(_borders(first, targets), "mix-border")
+    wide = F.col("n") > BORDER_ROWS
+    while not (open_ := border.where(wide & (F.col("hi") > F.col("lo")))).isEmpty():
+        among = keys.join(open_.drop("n"), same & F.col("key").between(F.col("lo"), F.col("hi"))).withColumnRenamed("lo", "_lo").withColumnRenamed("hi", "_hi")
+        finer = cells(among, F.floor((F.col("key") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * CELLS), F.col("ahead"))
+        border = materialize(border.where(~(wide & (F.col("hi") > F.col("lo")))).unionByName(_borders(finer, targets)), "mix-border")
+
+    inside = keys.join(border, same & F.col("key").between(F.col("lo"), F.col("hi"))).groupBy("s", "key", "doc_id", "h").agg(F.sum("size").alias("size"), F.min("ahead").alias("ahead"))
+    order = Window.partitionBy("s").orderBy("key", "doc_id", "h").rowsBetween(Window.unboundedPreceding, 0)
+    upto = inside.withColumn("upto", F.col("ahead") + F.sum("size").over(order))
+    rest = targets.select(F.col("s").alias("s2"), "rest")
+    nearer = F.col("upto") - F.col("rest") <= F.col("rest") - (F.col("upto") - F.col("size"))
+    last = upto.join(rest, F.col("s").eqNullSafe(F.col("s2"))).where(nearer).groupBy("s").agg(F.max(F.struct("key", "doc_id", "h")).alias("last"))
+    # rows up to the last one taken; where none of its cell is, those before the cell
+    edge = border.select(F.col("s").alias("s1"), "lo").join(last.withColumnRenamed("s", "s2"), F.col("s1").eqNullSafe(F.col("s2")), "left").drop("s2")
+    plan = targets.join(edge, F.col("s").eqNullSafe(F.col("s1")), "left").select("s", "source_size", "target", "epochs", "rest", "lo", "last")
     plan = materialize(plan, "mix-plan")  # a row for each source, so its files tell Spark whether to broadcast it
 
-    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("_s")))
-    here = F.struct("_cell", "_key", "doc_id", "_h")
-    drawn = (F.col("_rest") > 0) & F.when(F.col("_c").isNull(), True).when(F.col("_cell") < F.col("_c"), True).otherwise(F.coalesce(here <= F.col("_last"), F.lit(False)))
-    taken = F.col("_epochs") + F.when(drawn, 1).otherwise(0)
-    return joined.select(*rows.columns, "source_size", "target", taken.cast("int").alias("epochs"), (taken * F.col("size")).cast("long").alias("taken")).drop("_key", "_cell", "_h")
+    joined = rows.join(plan, same)
+    drawn = F.when(F.col("lo").isNull(), True).when(F.col("key") < F.col("lo"), True).otherwise(F.coalesce(F.struct("key", "doc_id", "h") <= F.col("last"), F.lit(False)))
+    taken = F.col("epochs") + F.when((F.col("rest") > 0) & drawn, 1).otherwise(0)
+    return joined.select("row", "size", "source_size", "target", taken.cast("int").alias("epochs"), (taken * F.col("size")).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as ``mix`` takes it, with the columns of ``docs``."""
-    return mix(docs, seed).where("epochs > 0").select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("epochs"))).alias("_copy")).drop("_copy")
+    copies = F.explode(F.array_repeat(F.lit(0), F.col("epochs")))
+    return _mix(docs, F.struct(*docs.columns), seed, None, False).where("epochs > 0").select("row", copies).select("row.*")

@@ -305,6 +305,6 @@ def keep_one_each(docs: DataFrame, least: float = SIMILARITY, words: int = SHING
     Repeated rows of that doc_id all stay; so do rows without a doc_id, as nothing names them.
     """
     parts = near_copies(docs, least, words)
-    kept = parts.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    with_id = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    kept = parts.where("doc_id = component_id").select("doc_id").distinct()
+    with_id = docs.where("doc_id IS NOT NULL").join(kept, docs["doc_id"] == kept["doc_id"], "left_semi")
     return with_id.unionByName(docs.where("doc_id IS NULL"))

@@ -8,11 +8,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from foliomatch.llm.common import encoder, map_batches
 
 #: Rows that one (length, salt) group of the ranking holds on average at most.
 RANK_ROWS = 200_000
+RESULTS = ("sequence_id", "offset")
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int | None = 0) -> DataFrame:
@@ -137,32 +139,33 @@ def place(patterns: list[tuple[list[int], int]]) -> dict[int, np.ndarray]:
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, key: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
-    """Add ``sequence_id long`` and ``offset long`` to ``pieces(length, *key, ...)``; all other columns stay.
+    """Add ``sequence_id long`` and ``offset long`` to ``pieces(length, *key, ...)``; other columns stay, but those of these names.
 
     Offsets in a sequence are gapless from 0. Pieces of the same length are told apart by their rank under ``key`` and a
     hash of the whole row, so reruns agree; rows equal in everything are interchangeable. The driver sees one count for
     each length from 1 to ``capacity`` and no row. The ranks are summed over salted groups, so that one very common
     length does not gather in one task. A null length or one outside 1..capacity raises an error.
     """
-    counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    if any(x is None or not 1 <= x <= capacity for x in counts):
+    fits = F.when(F.col("length").between(1, capacity), F.col("length")).cast("int")
+    counts = {r.fits: r.n for r in pieces.groupBy(fits.alias("fits")).agg(F.count("*").alias("n")).collect()}
+    if None in counts:
         raise ValueError(f"lengths must be between 1 and {capacity}")
     salts = max(16, -(-sum(counts.values()) // RANK_ROWS))
     slots = place(solve(counts, capacity))
 
-    rows = pieces.withColumn("_h", F.xxhash64(*pieces.columns)).withColumn("_salt", F.pmod("_h", F.lit(salts)).cast("int"))
+    row = F.struct(*[c for c in pieces.columns if c not in RESULTS]).alias("row")
+    names = [f"k{i}" for i in range(len(key))]
+    rows = pieces.select(row, fits.alias("length"), F.xxhash64(*pieces.columns).alias("h"), *[F.col(k).alias(n) for k, n in zip(key, names)])
+    rows = rows.withColumn("salt", F.pmod("h", F.lit(salts)).cast("int"))
     # at most capacity * salts rows, and salts is rows / RANK_ROWS: bounded by capacity / RANK_ROWS of the rows
-    ahead = rows.groupBy("length", "_salt").agg(F.count("*").alias("n"))
-    over = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = ahead.select("length", "_salt", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("_ahead"))
-    nth = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*key, "_h"))
-    ranked = rows.withColumn("_nth", nth - 1).join(ahead, ["length", "_salt"]).withColumn("_rank", F.col("_nth") + F.col("_ahead"))
-    ranked = ranked.select(*pieces.columns, "_rank")
-    names = ranked.columns
+    sums = rows.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    over = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sums.select("length", "salt", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("ahead"))
+    nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy(*names, "h"))
+    ranked = rows.withColumn("nth", nth - 1).join(ahead, ["length", "salt"]).select("row", "length", (F.col("nth") + F.col("ahead")).alias("rank"))
 
     def put(batch: pa.RecordBatch) -> pa.RecordBatch:
-        length = batch.column(names.index("length")).to_numpy(zero_copy_only=False)
-        rank = batch.column(names.index("_rank")).to_numpy(zero_copy_only=False)
+        length, rank = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
         out = np.zeros((2, len(length)), np.int64)
         for x in np.unique(length):
             mine = length == x
@@ -170,10 +173,10 @@ def pack(pieces: DataFrame, capacity: int = 2048, key: tuple[str, ...] = ("doc_i
             at = np.searchsorted(table[:, 0], rank[mine], "right") - 1
             out[0, mine] = table[at, 1] + rank[mine] - table[at, 0]
             out[1, mine] = table[at, 2]
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out[0]), pa.array(out[1])], [*names[:-1], "sequence_id", "offset"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0]), pa.array(out[1])], ["row", *RESULTS])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields[:-1])
-    return map_batches(ranked, put, f"{kinds}, sequence_id long, offset long")
+    schema = StructType([ranked.schema["row"], *[StructField(n, LongType()) for n in RESULTS]])
+    return map_batches(ranked, put, schema).select("row.*", *RESULTS)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int | None = 0) -> DataFrame:

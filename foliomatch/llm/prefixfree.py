@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from foliomatch.llm.common import map_batches
 from foliomatch.plans.stages import materialize, shuffle_partitions
@@ -333,12 +334,26 @@ def _merged(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:
     return out
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, columns: tuple[str, ...] = ()) -> DataFrame:
+def _whole_characters(runs: list[tuple[int, int]], raw: bytes) -> list[tuple[int, int]]:
+    """Runs grown to the borders of the UTF-8 characters that they cut."""
+    out = []
+    for lo, hi in runs:
+        while lo and raw[lo] & 0xC0 == 0x80:
+            lo -= 1
+        while hi < len(raw) and raw[hi] & 0xC0 == 0x80:
+            hi += 1
+        out.append({"lo": lo, "hi": hi})
+    return _merged(out, len(raw))
+
+
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, columns: tuple[str, ...] = (), characters: bool = False) -> DataFrame:
     """``(doc_id, *columns, n_bytes, spans array<struct<lo long, hi long>>, kept binary)`` for every row of ``docs``.
 
     Texts are UTF-8 bytes, a null text is empty. ``spans`` are the maximal runs of bytes that a ``length``-byte string
     covers which also starts earlier: in a document with a smaller doc_id, or earlier in the same one. Matches end at
-    the text's ends. Strings are judged on the input. ``kept`` holds the other bytes in order; it may cut a character.
+    the text's ends. Strings are judged on the input. ``kept`` holds the other bytes in order; it may cut a character,
+    unless ``characters`` asks that one whose bytes are covered in part goes whole. ``columns`` must not be named like a
+    result or begin with an underscore; a struct takes any.
     A null doc_id comes before all others. Rows that share a doc_id are one document whose texts lie over each other:
     neither is earlier at the same place, and repeated rows get the same result. Empty tables give no rows.
     """
@@ -347,13 +362,15 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, co
     least = F.lit(-(1 << 63)).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), least).alias("_id"), F.xxhash64(text).bitwiseAND(F.lit((1 << 31) - 1)).alias("_key"), text.alias("text"), *columns)
     rows = rows.join(repeated_spans(docs, length, gram), ["_id", "_key"], "left").select(*fields, "spans")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select("doc_id", *columns).schema.fields)
+    kinds = rows.select("doc_id", *columns).schema.fields
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, spans, kept = [], [], []
         for text, marks in zip(batch.column(3).to_pylist(), batch.column(len(fields)).to_pylist()):
             raw = text.encode()
             runs = _merged(marks, len(raw))
+            if characters:
+                runs = _whole_characters(runs, raw)
             at, parts = 0, []
             for lo, hi in runs:
                 parts.append(raw[at:lo])
@@ -366,6 +383,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, co
         names = ["doc_id", *columns, "n_bytes", "spans", "kept"]
         return pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names)
 
-    return map_batches(rows, cut, f"{kinds}, n_bytes long, spans array<struct<lo:bigint,hi:bigint>>, kept binary")
+    results = StructType.fromDDL("n_bytes long, spans array<struct<lo:bigint,hi:bigint>>, kept binary")
+    return map_batches(rows, cut, StructType([*kinds, *results.fields]))
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomatch.llm import hnsw, mixing, packing, prefixfree, sharding, simhash, tokens, topk, toxicity, urlfilter
-from foliomatch.plans.stages import materialize, new_path
+from foliomatch.plans.stages import materialize, new_path, spread
 
+#: Second from which the URL query counts its fetches and list entries: the start of 2024.
+START = 1_704_067_200
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
@@ -21,7 +23,8 @@ def tokenizer_path(name: str) -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, "doc_id") if name == "documents" else df
 
 
 def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,55 +65,56 @@ def _digits(digest: Column, at: int, n: int) -> Column:
 def url_list_events(pages: DataFrame) -> DataFrame:
     """Dated list entries for the registered query, which has no list table: hosts whose MD5 begins with 0 to 5.
 
-    The first digit chooses the list, others the day in 2024 of the addition, the days until the removal and those until
-    a second addition. Every third entry is on the host's parent domain instead.
+    The first digit chooses the list, others the moment in 2024 of the addition, the time until the removal and that until
+    a second addition, all to the second. Every third entry is on the host's parent domain instead.
     """
     hosts = pages.select(urlfilter.host_of(F.col("url")).alias("host")).where("host <> ''").distinct()
     digest = F.md5(F.col("host").cast("binary"))
     first = _digits(digest, 1, 1)
     parent = F.when((_digits(digest, 2, 1) % 3 == 0) & (F.size(F.split("host", r"\.")) > 2), F.regexp_replace("host", r"^[^.]+\.", "")).otherwise(F.col("host"))
     name = F.element_at(F.array(F.lit("adult"), F.lit("malware"), F.lit("spam")), (first % 3 + 1).cast("int"))
-    added = F.date_add(F.lit("2024-01-01").cast("date"), _digits(digest, 3, 2))
-    removed = F.date_add(added, _digits(digest, 5, 2) + 1)
-    back = F.date_add(removed, _digits(digest, 7, 2) + 1)
-    events = F.array(F.struct(F.lit("add").alias("action"), added.alias("at")), F.struct(F.lit("remove").alias("action"), removed.alias("at")), F.struct(F.lit("add").alias("action"), back.alias("at")))
+    added = F.lit(START) + _digits(digest, 3, 2) * 86_400 + _digits(digest, 9, 4)
+    removed = added + (_digits(digest, 5, 2) + 1) * 86_400 + _digits(digest, 13, 4)
+    back = removed + (_digits(digest, 7, 2) + 1) * 43_200
+    steps = (("add", added), ("remove", removed), ("add", back))
+    events = F.array(*[F.struct(F.lit(action).alias("action"), F.timestamp_seconds(at).alias("at")) for action, at in steps])
     listed = hosts.where(first <= 5).select(name.alias("list"), parent.alias("pattern"), F.inline(events))
     return listed
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    fetched = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 730).cast("int"))
-    captures = pages.select("page_id", "url", fetched.alias("fetched_on"))
+    fetched = F.lit(START) + (F.col("page_id") * 7919) % (730 * 86_400)
+    captures = pages.select("page_id", "url", F.timestamp_seconds(fetched).alias("fetched_on"))
     out = urlfilter.filter_urls(captures, url_list_events(pages))
-    return out.select("page_id", "host", F.col("fetched_on").cast("string").alias("fetched_on"), "n_entries", "lists", "blocked")
+    return out.select("page_id", "host", F.unix_seconds("fetched_on").alias("fetched_at"), "n_entries", "lists", "blocked")
 
 
 OP6_SQL = r"""
-WITH p AS (
-  SELECT page_id, DATE '2024-01-01' + CAST(page_id % 730 AS INTEGER) AS fetched_on,
-         regexp_replace(regexp_extract(lower(trim(coalesce(url, ''))), '^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)', 1), '^www\.|\.$', '') AS host
-  FROM pages),
+WITH u AS (
+  SELECT page_id, 1704067200 + (page_id * 7919) % (730 * 86400) AS at,
+         regexp_extract(lower(trim(coalesce(url, ''))), '^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?(\[[0-9a-f:.]*\]|[^/?#:]*)', 1) AS raw FROM pages),
+p AS (SELECT page_id, at, regexp_replace(CASE WHEN contains(raw, '%') THEN lower(url_decode(raw)) ELSE raw END, '^www\.|\.$', '') AS host FROM u),
 h AS (SELECT DISTINCT host, md5(host) AS d FROM p WHERE host <> ''),
 l AS (
   SELECT ['adult', 'malware', 'spam'][CAST(('0x' || d[1:1]) AS INTEGER) % 3 + 1] AS list,
          CASE WHEN CAST(('0x' || d[2:2]) AS INTEGER) % 3 = 0 AND len(string_split(host, '.')) > 2
               THEN regexp_replace(host, '^[^.]+\.', '') ELSE host END AS pattern,
-         DATE '2024-01-01' + CAST(('0x' || d[3:4]) AS INTEGER) AS a,
-         CAST(('0x' || d[5:6]) AS INTEGER) + 1 AS r, CAST(('0x' || d[7:8]) AS INTEGER) + 1 AS b
+         1704067200 + CAST(('0x' || d[3:4]) AS INTEGER) * 86400 + CAST(('0x' || d[9:12]) AS INTEGER) AS a,
+         (CAST(('0x' || d[5:6]) AS INTEGER) + 1) * 86400 + CAST(('0x' || d[13:16]) AS INTEGER) AS r, (CAST(('0x' || d[7:8]) AS INTEGER) + 1) * 43200 AS b
   FROM h WHERE CAST(('0x' || d[1:1]) AS INTEGER) <= 5),
 e AS (
-  SELECT list, pattern, day, max(action) AS action FROM (
-    SELECT list, pattern, 'add' AS action, a AS day FROM l
+  SELECT list, pattern, since, max(action) AS action FROM (
+    SELECT list, pattern, 'add' AS action, a AS since FROM l
     UNION ALL SELECT list, pattern, 'remove', a + r FROM l
     UNION ALL SELECT list, pattern, 'add', a + r + b FROM l) GROUP BY ALL),
 k AS (
-  SELECT page_id, fetched_on, host, array_to_string(string_split(host, '.')[i:], '.') AS pattern
-  FROM p, unnest(range(1, greatest(len(string_split(host, '.')), 2))) AS t(i) WHERE host <> ''),
+  SELECT page_id, at, host, array_to_string(string_split(host, '.')[i:], '.') AS pattern
+  FROM p, unnest(range(1, CASE WHEN starts_with(host, '[') OR regexp_full_match(host, '\d+(\.\d+){3}') THEN 2 ELSE greatest(len(string_split(host, '.')), 2) END)) AS t(i) WHERE host <> ''),
 s AS (
-  SELECT k.page_id, e.list, last(e.action ORDER BY e.day) AS action
-  FROM k JOIN e ON e.pattern = k.pattern AND e.day <= k.fetched_on GROUP BY k.page_id, k.pattern, e.list)
-SELECT p.page_id, p.host, CAST(p.fetched_on AS VARCHAR) AS fetched_on,
+  SELECT k.page_id, e.list, last(e.action ORDER BY e.since) AS action
+  FROM k JOIN e ON e.pattern = k.pattern AND e.since <= k.at GROUP BY k.page_id, k.pattern, e.list)
+SELECT p.page_id, p.host, CAST(p.at AS BIGINT) AS fetched_at,
        CAST(count(s.list) AS INTEGER) AS n_entries,
        coalesce(array_to_string(list_sort(list_distinct(list(s.list) FILTER (WHERE s.list IS NOT NULL))), ','), '') AS lists,
        count(s.list) > 0 AS blocked
@@ -167,6 +171,19 @@ def op9_contiguous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+OP9_SQL = """
+WITH t AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, b)) AS crc_of),
+b AS (SELECT doc_id, text, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM documents),
+d AS (
+  SELECT doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size,
+         xor(list_reduce(bytes, lambda r, x: xor(r >> 8, crc_of[(xor(r, x) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32 FROM b, t),
+r AS (
+  SELECT *, coalesce(sum(size) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS every FROM d),
+s AS (SELECT *, CAST(least(15, (2 * before + size) * 16 // (2 * every)) AS INTEGER) AS shard FROM r)
+SELECT doc_id, size, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard, text_crc32 FROM s
+"""
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = prefixfree.dedup_substrings(_table(spark, sf_dir, "documents"), length=100)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["hi"] - s["lo"])
@@ -187,15 +204,15 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 OP5_SQL = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+l AS (SELECT a.vec_id AS a, a.x, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
 r AS (SELECT vec_id AS node, vec_id AS near FROM embeddings UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.near),
 c AS (SELECT node, min(near) AS component_id FROM r GROUP BY node),
-n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+n AS (SELECT a, x, count(*) AS n_links FROM l GROUP BY a, x)
 SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
-FROM embeddings e JOIN c ON c.node = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+FROM embeddings e JOIN c ON c.node = e.vec_id LEFT JOIN n ON n.a = e.vec_id AND n.x = CAST(e.embedding AS DOUBLE[])
 """
 
 
@@ -210,4 +227,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_top_k": OP4_SQL, "op5_embedding_near_dedup": OP5_SQL, "op6_url_filters": OP6_SQL, "op8_mix_sources": OP8_SQL}
+    return {"op4_exact_top_k": OP4_SQL, "op5_embedding_near_dedup": OP5_SQL, "op6_url_filters": OP6_SQL, "op8_mix_sources": OP8_SQL, "op9_contiguous_shards": OP9_SQL}

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomatch.plans.stages import materialize, shuffle_partitions
+from foliomatch.plans.ranges import sums_before
+from foliomatch.plans.stages import materialize
+
+RESULTS = ("size", "text_crc32", "shard", "slot")
 
 
 def shard_by_bytes(docs: DataFrame, n_shards: int = 16, key: str = "doc_id", slim: bool = False) -> DataFrame:
@@ -15,47 +18,25 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 16, key: str = "doc_id", sli
     equal share the middle of its bytes lies, so a shard differs from its share by half a row at either end. ``slot``
     numbers a shard's rows from 0 without gaps. A null text has size 1; a null key comes first; rows equal in key are
     ordered by text checksum and size, equal ones at will. Other columns stay, but those of these names; with ``slim`` only
-    ``key`` does and no text is moved. A text larger
-    than a share may leave shards empty; an empty table gives no rows.
+    ``key`` does and no text is moved. A text larger than a share may leave shards empty; an empty table gives no rows.
 
-    The key's quantiles deal rows into ranges, each range sums its bytes and rows, and the running sums over the ranges
-    (as many as were asked for, not as there are rows) give every range its start. Within a range a window does the rest.
+    Spark deals rows into ranges of that order; every range sums its bytes and rows, and the running sums over the ranges
+    give each its start.
     """
-    spark = docs.sparkSession
-    rows = docs.drop("size", "text_crc32", "shard", "slot")
-    rows = rows.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)
-    rows = rows.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    if slim:
-        rows = rows.select(key, "size", "text_crc32")
-    n_ranges = 2 * shuffle_partitions(spark)
-    cuts = docs.select(key).approxQuantile(key, [i / n_ranges for i in range(1, n_ranges)], 0.25 / n_ranges)
-    edges = sorted({int(c) for c in cuts})
-    # the number of cuts below a key, by a binary search written as nested conditions
-    def search(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(key) <= edges[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
-
-    at = F.when(F.col(key).isNull(), -1).otherwise(search(0, len(edges)))
-    rows = rows.withColumn("_range", at.cast("int"))
-    totals = materialize(rows.groupBy("_range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "range-totals")
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("long")
-    starts = totals.select(
-        "_range", F.coalesce(F.sum("bytes").over(before), zero).alias("_bytes"), F.coalesce(F.sum("n").over(before), zero).alias("_rows"), F.sum("bytes").over(Window.partitionBy(zero)).alias("_all")
-    )
-    order = Window.partitionBy("_range").orderBy(F.col(key).asc_nulls_first(), "text_crc32", "size")
-    upto = order.rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("_b", F.coalesce(F.sum("size").over(upto), zero)).withColumn("_r", F.row_number().over(order) - 1)
-    placed = placed.join(F.broadcast(starts), "_range")  # n_ranges rows at most
-    middle = 2 * (F.col("_bytes") + F.col("_b")) + F.col("size")
-    shard = F.least(F.lit(n_shards - 1), F.floor(middle * n_shards / (2 * F.col("_all"))))
-    placed = placed.withColumn("shard", shard.cast("int")).withColumn("_row", F.col("_rows") + F.col("_r"))
-    placed = materialize(placed.drop("_range", "_b", "_r", "_bytes", "_rows", "_all"), "shards")
-    firsts = placed.groupBy("shard").agg(F.min("_row").alias("_first"))
+    kept = [key] if slim else [c for c in docs.columns if c not in RESULTS]
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    rows = docs.select(F.struct(*kept).alias("row"), size.alias("size"), crc.alias("text_crc32"))
+    order = [F.col(f"row.{key}").asc_nulls_first(), F.col("text_crc32").asc(), F.col("size").asc()]
+    placed = sums_before(rows, "shard-ranges", order, {"bytes_before": F.col("size"), "rows_before": F.lit(1)})
+    every = rows.agg(F.sum("size").alias("every"))  # one row
+    middle = 2 * F.col("bytes_before") + F.col("size")
+    shard = F.least(F.lit(n_shards - 1), F.floor(middle * n_shards / (2 * F.col("every")))).cast("int")
+    placed = placed.crossJoin(F.broadcast(every)).withColumn("shard", shard)
+    placed = materialize(placed.select("row", "size", "text_crc32", "rows_before", "shard"), "shards")
+    firsts = placed.groupBy("shard").agg(F.min("rows_before").alias("first"))
     out = placed.join(F.broadcast(firsts), "shard")  # n_shards rows
-    return out.select(*[c for c in placed.columns if c != "_row"], (F.col("_row") - F.col("_first")).alias("slot"))
+    return out.select("row.*", "size", "text_crc32", "shard", (F.col("rows_before") - F.col("first")).alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 16) -> None:

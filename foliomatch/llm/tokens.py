@@ -35,6 +35,8 @@ def _end(end_id: int | None) -> bytes:
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_bytes: int) -> bytes:
     """A zstandard dictionary from the serialized ids of at most ``SAMPLE_DOCUMENTS`` documents, picked by hash.
 
+    Of each a span of ``SAMPLE_BYTES`` characters at an offset by hash is used, anywhere in the whole text.
+
     Too few or too uniform samples give an empty dictionary; frames are then plain zstandard.
     """
     import zstandard
@@ -42,7 +44,9 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int | None, i
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     picked = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS).collect()
     chosen = known.where(F.col("doc_id").isin([r.doc_id for r in picked])) if picked else known.limit(0)
-    texts = [r.text for r in chosen.select(F.substring("text", 1, SAMPLE_BYTES).alias("text")).limit(2 * SAMPLE_DOCUMENTS).collect()]
+    last = F.greatest(F.lit(1), F.length("text") - SAMPLE_BYTES + 1)
+    span = F.substring("text", (F.pmod(F.xxhash64("doc_id", F.lit(1)), last) + 1).cast("int"), F.lit(SAMPLE_BYTES))
+    texts = [r.text for r in chosen.select(span.alias("text")).limit(2 * SAMPLE_DOCUMENTS).collect()]
     samples = [_narrow(x + _end(end_id), id_bytes)[:SAMPLE_BYTES] for x in encoder(tokenizer_path).encode(texts)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [x for x in samples if len(x) >= 8]).as_bytes()
@@ -54,18 +58,24 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
     """Encode ``docs(doc_id, text, ...)`` and write the store at ``path`` with Spark's own writer.
 
     ``path/blocks``: rows of about ``BLOCK_BYTES`` in ascending doc_id, each with the frames of its documents back to
-    back (``payload``), the offset index (``doc_ids``, ``counts``, ``offsets``) and the dictionary's SHA-256.
+    back (``payload``), the offset index (``doc_ids``, ``counts``, ``offsets``) and the dictionary's SHA-256. A file holds
+    one range of doc_ids, and files are named in their order.
     ``path/dictionary``: the dictionary itself. ``path/buckets``: ids before each range of doc_ids.
 
     A null text counts as empty and still ends with ``end_id``. A null doc_id sorts first. Rows that share a doc_id are
     all kept, ordered by their ids. Other columns are ignored. An empty table gives a store without blocks.
-    Ids must fit ``id_bytes`` (2 for vocabularies up to 65,536).
+    A vocabulary with an id that does not fit ``id_bytes`` (2 or 4) raises an error.
     """
+    from tokenizers import Tokenizer
+
+    largest = max([end_id or 0, *Tokenizer.from_file(tokenizer_path).get_vocab().values()])
+    if largest >= 1 << 8 * id_bytes:
+        raise ValueError(f"id {largest} does not fit {id_bytes} bytes")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dictionary = train_dictionary(docs, tokenizer_path, end_id, id_bytes)
     digest = hashlib.sha256(dictionary).hexdigest()
-    n_buckets = 4 * shuffle_partitions(spark)
+    n_buckets = shuffle_partitions(spark)
     cuts = docs.select("doc_id").approxQuantile("doc_id", [i / n_buckets for i in range(1, n_buckets)], 0.25 / n_buckets)
     edges, tail = np.array(cuts, dtype=np.float64), _end(end_id)
 
@@ -105,9 +115,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
             yield flush()
 
     encoded = map_batches(docs, encode, "bucket int, doc_id long, n int, frame binary")
-    sorted_ = encoded.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions(
-        "bucket", F.col("doc_id").asc_nulls_first(), "n", "frame"
-    )
+    sorted_ = encoded.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "n", "frame")
     sorted_.mapInArrow(build, _BLOCK).write.parquet(f"{path}/blocks")
     spark.createDataFrame([(digest, bytearray(dictionary))], "digest string, dictionary binary").write.parquet(f"{path}/dictionary")
     totals = spark.read.parquet(f"{path}/blocks").groupBy("bucket").agg(F.sum("n_tokens").alias("n_tokens"))

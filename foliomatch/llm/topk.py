@@ -7,10 +7,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a shard and queries of a block: what one task holds.
-SHARD_ROWS, QUERY_ROWS = 8192, 512
-#: Shares of every sorted list that have been read after each round.
-DEPTHS = (1 / 16, 1 / 4, 1 / 2, 1.0)
+from foliomatch.plans.stages import shuffle_partitions
+
+#: Vectors of a shard and queries of a block at most: what one task holds. Shards are smaller, but not below
+#: ``LEAST_ROWS``, where cores would be idle.
+SHARD_ROWS, QUERY_ROWS, LEAST_ROWS = 32_768, 16_384, 2048
+#: Entries of every list that are read first; each further round reads as many again as all before.
+FIRST_DEPTH = 64
 
 
 def clean_vectors(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -21,51 +24,75 @@ def clean_vectors(vectors: DataFrame, column: str = "embedding") -> DataFrame:
 
 
 def quantized(x: Column, scale: int = 256) -> Column:
-    """Every component as floor(scale * x)."""
+    """Every component as floor(scale * x); what leaves 64 bits stops at their ends."""
     return F.transform(x, lambda v: F.floor(v * F.lit(float(scale))))
 
 
+class Lists:
+    """The rows of a shard as one list of (row, value) by value for each dimension."""
+
+    def __init__(self, v: np.ndarray, ids: np.ndarray):
+        self.v, self.ids = v, ids
+        self.rows = np.argsort(v, axis=0, kind="stable").T.astype(np.int32)  # by dimension, ascending
+        self.values = np.sort(v, axis=0).T.astype(np.float64)
+        place = np.empty(v.shape, np.int32)
+        np.put_along_axis(place, self.rows.T.astype(np.int64), np.arange(len(v), dtype=np.int32)[:, None].repeat(v.shape[1], 1), 0)
+        self.place = place  # where a row stands in each list, to tell whether reading has come to it
+
+    def best(self, q: np.ndarray, own_id: int, k: int) -> np.ndarray:
+        """Rows that can be among the ``k`` best for ``q``: none outside them can qualify.
+
+        A list is read from its top where the query's component is positive, from its end where it is negative. What has
+        been read of a row, with the list's far end for the rest, is its lower bound; with the last value read for the
+        rest its upper bound. Reading stops when a row that has not been met cannot reach the k-th lower bound, and to
+        resolve the rows that can costs less than to read as much again.
+        """
+        n = len(self.v)
+        used = np.flatnonzero(q)
+        w = q[used].astype(np.float64)[:, None]
+        rows, values = self.rows[used], self.values[used] * w
+        if (down := w[:, 0] > 0).any():
+            rows[down], values[down] = rows[down, ::-1], values[down, ::-1]
+        values -= values[:, -1:]  # from here on the far end of each list counts as 0
+        sums, own, depth = np.zeros(n), self.ids == own_id, 0
+        while True:
+            to = min(n, max(FIRST_DEPTH, 2 * depth))
+            sums += np.bincount(rows[:, depth:to].ravel(), values[:, depth:to].ravel(), n)
+            depth = to
+            lower = np.where(own, -np.inf, sums)
+            cut = np.partition(lower, n - k)[n - k] if n >= k else -np.inf
+            last = values[:, depth - 1] if depth < n else np.zeros(len(used))
+            unmet = last.sum()
+            if depth == n:
+                return np.flatnonzero(lower >= cut)
+            if unmet >= cut:
+                continue
+            can = np.flatnonzero(lower + unmet >= cut)
+            place = self.place[can][:, used]
+            read = np.where(w[:, 0] > 0, place >= n - depth, place < depth)
+            can = can[sums[can] + np.where(read, 0.0, last).sum(1) >= cut - 1e-6]
+            if len(can) <= depth:
+                return can
+
+
 def search(v: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """``(query, id, score)`` of the k best rows of ``v`` for each query, by bounded sequential reading.
 
-    Every dimension has a list of rows sorted by value, read from the top where the query's component is positive and
-    from the bottom where it is negative. After a round a row's upper bound takes the last value read for what has not
-    been seen of it, its lower bound the list's far end. A query stops once few rows have an upper bound that reaches
-    the k-th best lower bound; those rows alone are resolved, so no row outside them can belong to the answer.
+    Bounds are exact while sums stay below 2^53. Beyond that every row is resolved in integers of any size, and scores
+    stop at the ends of 64 bits, which then tie.
     """
-    n, d = v.shape
-    size = int(np.abs(v).max(initial=0)) * int(np.abs(q).max(initial=0)) * d
-    kind = np.float32 if size < 1 << 24 else np.float64 if size < 1 << 53 else object
-    exact = v.astype(np.int64) if kind is not object else v.astype(object)
-    order = np.argsort(v, axis=0, kind="stable")
-    rank = np.empty_like(order, dtype=np.int32)
-    np.put_along_axis(rank, order, np.arange(n, dtype=np.int32)[:, None].repeat(d, 1), 0)
-    ascending = np.take_along_axis(v, order, 0)
-    up, down = np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind)
-    both = np.concatenate([up, down], 1)
-    low, high = ascending[0], ascending[-1]
-    open_, out = np.arange(len(q)), []
-    for share in DEPTHS:
-        t = max(1, int(np.ceil(share * n)))
-        top, bottom = rank >= n - t, rank < t
-        upper = np.concatenate([np.where(top, v, ascending[n - t]), np.where(bottom, v, ascending[t - 1])], 1).astype(kind)
-        lower = np.concatenate([np.where(top, v, low), np.where(bottom, v, high)], 1).astype(kind)
-        best, least = both[open_] @ upper.T, both[open_] @ lower.T
-        own = ids[None, :] == qids[open_, None]
-        least[own] = best[own] = -np.inf if kind is not object else -(1 << 200)
-        cut = np.partition(least, n - k, axis=1)[:, n - k] if n >= k else least.min(1)
-        stay = []
-        for row, at in enumerate(open_):
-            left = np.flatnonzero((best[row] >= cut[row]) & ~own[row])
-            if len(left) > max(16 * k, n // 16) and t < n:
-                stay.append(at)
-                continue
-            score = exact[left] @ q[at].astype(exact.dtype)
-            for i in np.lexsort((ids[left], -score))[:k]:
-                out.append((int(qids[at]), int(ids[left[i]]), int(score[i])))
-        open_ = np.array(stay, dtype=int)
-        if not len(open_):
-            break
+    far = int(np.abs(v.astype(np.float64)).max(initial=0)) * int(np.abs(q.astype(np.float64)).max(initial=0)) * v.shape[1]
+    exact = v.astype(object) if far >= 1 << 62 else v
+    lists = Lists(v, ids) if far < 1 << 53 and len(v) else None
+    out = []
+    for one, own_id in zip(q, qids.tolist()):
+        left = np.flatnonzero(ids != own_id) if lists is None else lists.best(one, own_id, k)
+        left = left[ids[left] != own_id]
+        score = exact[left] @ one.astype(exact.dtype)
+        if exact.dtype == object:
+            score = np.array([max(-(1 << 63), min((1 << 63) - 1, int(s))) for s in score], object)
+        for i in np.lexsort((ids[left], -score))[:k]:
+            out.append((own_id, int(ids[left[i]]), int(score[i])))
     return out
 
 
@@ -74,13 +101,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     Both inputs are ``(vec_id, x array<long>)``. The score is the integer inner product, ties go to the smaller vec_id,
     ranks start at 1. Vectors of another length than the query's are not compared with it; rows that share the query's
-    vec_id are the query itself; a vec_id that is repeated competes with each of its rows. Fewer than k others give
-    fewer rows, empty inputs none.
+    vec_id are the query itself; a vec_id that is repeated competes with each of its rows, and a query that is repeated
+    is asked once, by its first vector. Rows without a vec_id take no part. Scores stop at the ends of 64 bits and then
+    tie. Fewer than k others give fewer rows, empty inputs none.
 
     Vectors are dealt into shards and queries into blocks; every pair of a shard and a block is one task of bounded
-    size, whose lists are sorted and read there. Its k best per query go on to one small window.
+    size, whose lists are sorted and read there. A shard is sent out once for each block, so blocks are large. The k
+    best of a task per query go on to one small window.
     """
-    shards = max(1, -(-vectors.count() // SHARD_ROWS))
+    n = vectors.count()
+    idle = min(shuffle_partitions(vectors.sparkSession), -(-n // LEAST_ROWS))
+    shards = max(1, -(-n // SHARD_ROWS), idle)
+    queries = queries.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("x").alias("x"))
+    vectors = vectors.where("vec_id IS NOT NULL")
     blocks = max(1, -(-queries.count() // QUERY_ROWS))
     rest = F.size("x").alias("dim")
 

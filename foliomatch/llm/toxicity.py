@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from foliomatch.llm.common import map_batches
 from foliomatch.plans.stages import materialize
@@ -19,6 +20,7 @@ FIT_DOCUMENTS, LEXICON, STEM = 20_000, 20_000, 4
 PRIOR, SURE, IDLE = 2000.0, 2.5, -0.3
 #: Largest score of one token, so that one alone does not decide, and E-value up to which a passage is reported.
 MOST, EVALUE = 6.0, 0.01
+RESULTS = ("n", "best", "evidence", "score", "passages")
 WORD = re.compile(r"[^\W\d_]+")
 JAVA_WORD = r"\p{L}+"
 
@@ -29,34 +31,35 @@ def held_out(doc_id: Column) -> Column:
 
 
 def segments(scores: list[tuple[int, float]], n: int, idle: float = IDLE) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments ``(start, end, score)`` of ``n`` tokens in linear time.
+    """All maximal scoring segments ``(start, end, score)`` of ``n`` tokens in linear time, by start.
 
     ``scores`` has the tokens (position, score) that differ from ``idle``, ascending. Ruzzo and Tompa's algorithm on
-    runs: a token of its own, or the idle ones between two.
+    runs: a token of its own, or the idle ones between two. Every open candidate links to the nearest one before it whose
+    sum so far is lower, so a search skips what an earlier one has passed; where there is none, all open ones are closed.
     """
-    items, at = [], 0
+    closed: list[list] = []
+    found: list[list] = []  # start, end, sum before, sum after, link
+    total, at = 0.0, 0
     for i, s in scores:
-        if i > at:
-            items.append((at, i, (i - at) * idle))
-        items.append((i, i + 1, s))
-        at = i + 1
-    found: list[list] = []  # start, end, sum before, sum after
-    total = 0.0
-    for start, end, s in items:
-        before, total = total, total + s
+        total += (i - at) * idle
+        before, total, at = total, total + s, i + 1
         if s <= 0:
             continue
-        one = [start, end, before, total]
+        start, j = i, len(found) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= one[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= one[3]:
-                found.append(one)
+            while j >= 0 and found[j][2] >= before:
+                j = found[j][4]
+            if j < 0:
+                closed += found
+                found = [[start, i + 1, before, total, -1]]
                 break
-            one = [found[j][0], one[1], found[j][2], one[3]]
+            if found[j][3] >= total:
+                found.append([start, i + 1, before, total, j])
+                break
+            start, _, before, _, link = found[j]
             del found[j:]
-    return [(a, b, after - before) for a, b, before, after in found]
+            j = link
+    return [(x[0], x[1], x[3] - x[2]) for x in closed + found]
 
 
 class Model:
@@ -119,12 +122,13 @@ def token_log_odds(texts: DataFrame) -> dict[str, float]:
 
     The log-odds ratio of a token between toxic and other documents, with a Dirichlet prior in proportion to the token's
     share of all (Monroe, Colaresi and Quinn), kept where it is ``SURE`` deviations above zero; at most ``LEXICON``.
+    Totals are of all tokens; after that, those that fewer than two toxic documents hold are left out.
     """
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(JAVA_WORD), F.lit(0))
     stems = F.transform(F.filter(F.array_distinct(words), lambda w: F.length(w) > STEM), lambda w: F.concat(F.lit("^"), F.substring(w, 1, STEM)))
     tokens = texts.select("toxic", F.explode(F.concat(F.array_distinct(words), stems)).alias("token"))
     counts = tokens.groupBy("token").agg(F.sum("toxic").alias("y"), (F.count("*") - F.sum("toxic")).alias("z"))
-    counts = materialize(counts.where("y >= 2 OR z >= 20"), "token-counts")
+    counts = materialize(counts, "token-counts")
     sums = counts.select(F.col("token").startswith("^").alias("stem"), "y", "z").groupBy("stem").agg(F.sum("y").alias("ny"), F.sum("z").alias("nz"))
     rows = counts.withColumn("stem", F.col("token").startswith("^")).join(F.broadcast(sums), "stem")  # two rows
     prior = PRIOR * (F.col("y") + F.col("z")) / (F.col("ny") + F.col("nz")) + 0.01
@@ -140,9 +144,13 @@ def token_log_odds(texts: DataFrame) -> dict[str, float]:
 
 
 def _scored(texts: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """``columns`` with ``n int``, ``best double`` (the best segment's score), ``evidence``, ``score`` and ``passages``."""
-    names = [*columns, "n", "best", "evidence", "score", "passages"]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(*columns).schema.fields)
+    """``columns`` with ``n int``, ``best double`` (the best segment's score), ``evidence``, ``score`` and ``passages``.
+
+    A column that has one of these names gives way to the result.
+    """
+    columns = [c for c in columns if c not in RESULTS]
+    names = [*columns, *RESULTS]
+    kinds = texts.select(*columns).schema.fields
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, best, evidence, score, out = [], [], [], [], []
@@ -158,11 +166,11 @@ def _scored(texts: DataFrame, model: Model, columns: list[str]) -> DataFrame:
         mine = [batch.column(i) for i in range(len(columns))]
         return pa.RecordBatch.from_arrays([*mine, pa.array(n, pa.int32()), pa.array(best, pa.float64()), pa.array(evidence, pa.float64()), pa.array(score, pa.float64()), pa.array(out, kind)], names)
 
-    passages = "passages array<struct<start:int,end:int,score:double,evalue:double>>"
+    results = "n int, best double, evidence double, score double, passages array<struct<start:int,end:int,score:double,evalue:double>>"
     own = "text" in columns and dict(texts.dtypes)["text"] == "string"
     rows = texts.select(*columns) if own else texts.select(*columns, F.col("text").cast("string").alias("_text"))
     at = columns.index("text") if own else len(columns)
-    return map_batches(rows, run, f"{kinds + ', ' if kinds else ''}n int, best double, evidence double, score double, {passages}")
+    return map_batches(rows, run, StructType([*kinds, *StructType.fromDDL(results).fields]))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -241,7 +249,7 @@ def score_toxicity(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_
     """``keep`` columns of every row of ``docs(text, ...)`` with ``n int``, ``best``, ``evidence``, ``score double`` and
     ``passages``, the significant ones with token positions and E-values.
 
-    Whole texts are scanned once. A null or empty text has no passage and the score of one without evidence. Rows are
+    Whole texts are scanned once. Other columns go, and a kept one that is named like a result gives way to it. A null or empty text has no passage and the score of one without evidence. Rows are
     scored one by one, so repeated rows agree and the order is free.
     """
     return _scored(docs, model, list(keep))

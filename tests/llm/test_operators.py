@@ -211,36 +211,60 @@ def test_near_vectors(spark, seed):
 
 def test_url_filter_as_of(spark):
     events = spark.createDataFrame(
-        [("spam", "*.Bad.example", "add", "2024-01-10"), ("spam", "bad.example", "remove", "2024-02-01"), ("spam", "bad.example", "add", "2024-03-01"), ("adult", "x.bad.example", "add", "2024-01-15"),
-         ("spam", "same.example", "add", "2024-01-01"), ("spam", "same.example", "remove", "2024-01-01"), (None, "z", "add", "2024-01-01"), ("spam", None, "add", "2024-01-01"), ("spam", "y", "other", "2024-01-01"), ("spam", "y.example", "add", None)],
+        [("spam", "*.Bad.example", "add", "2024-01-10"), ("spam", "bad.example", "remove", "2024-02-01 12:00:00"), ("spam", "bad.example", "add", "2024-03-01"), ("adult", "x.bad.example", "add", "2024-01-15"),
+         ("spam", "same.example", "add", "2024-01-01"), ("spam", "same.example", "remove", "2024-01-01"), (None, "z", "add", "2024-01-01"), ("spam", None, "add", "2024-01-01"), ("spam", "y", "other", "2024-01-01"), ("spam", "y.example", "add", None),
+         ("adult", "day.example", "add", "2024-05-01 18:00:00"), ("spam", "day.example", "add", "2024-05-01 20:00:00"), ("adult", "day.example", "remove", "2024-05-01 21:00:00"), ("spam", "[2001:db8::1]", "add", "2024-01-01"), ("spam", "2.3.4", "add", "2024-01-01")],
         "list string, pattern string, action string, at string",
     )
-    captures = [
-        (1, "https://x.bad.example/p?q", "2024-01-09"), (2, "http://user@www.x.BAD.example:80/", "2024-01-20"), (3, "https://bad.example", "2024-02-01"), (4, "https://a.x.bad.example", "2024-03-01"),
-        (5, None, "2024-01-20"), (6, "not a url", "2024-01-20"), (7, "https://same.example", "2024-01-05"), (8, "https://bad.example", None), (8, "https://bad.example", "2024-01-31"), (8, "https://bad.example", "2024-01-31"),
+    cases = [
+        ("https://x.bad.example/p?q", "2024-01-09", 0, ""), ("http://user@www.x.BAD.example:80/", "2024-01-20", 2, "adult,spam"), ("https://bad.example", "2024-02-01 11:59:59", 1, "spam"), ("https://bad.example", "2024-02-01 12:00:00", 0, ""),
+        ("https://a.x.bad.example", "2024-03-01", 2, "adult,spam"), (None, "2024-01-20", 0, ""), ("not a url", "2024-01-20", 0, ""), ("https://same.example", "2024-01-05", 0, ""), ("https://bad.example", None, 0, ""),
+        ("https://bad.example", "2024-01-31", 1, "spam"), ("https://bad.example", "2024-01-31", 1, "spam"), ("https://day.example", "2024-05-01 09:00:00", 0, ""), ("https://day.example", "2024-05-01 18:00:00", 1, "adult"),
+        ("https://day.example", "2024-05-01 20:30:00", 2, "adult,spam"), ("https://day.example", "2024-05-01 21:00:00", 1, "spam"), ("https://day.example", "2024-05-02", 1, "spam"),
+        ("http://[2001:DB8::1]:8080/x", "2024-01-20", 1, "spam"), ("http://1.2.3.4/", "2024-01-20", 0, ""), ("http://b%61d.example/", "2024-01-20", 1, "spam"), ("https://x.bad.example/" + "a" * 300_000, "2024-01-20", 2, "adult,spam"),
     ]
-    df = spark.createDataFrame([(*c, 0) for c in captures], "page_id long, url string, fetched_on string, host_rank int")
-    got = sorted((r.page_id, r.fetched_on or "", r.n_entries, r.lists, r.blocked) for r in urlfilter.filter_urls(df, events).collect())
-    want = [(1, "2024-01-09", 0, ""), (2, "2024-01-20", 2, "adult,spam"), (3, "2024-02-01", 0, ""), (4, "2024-03-01", 2, "adult,spam"), (5, "2024-01-20", 0, ""), (6, "2024-01-20", 0, ""), (7, "2024-01-05", 0, ""), (8, "", 0, ""), (8, "2024-01-31", 1, "spam"), (8, "2024-01-31", 1, "spam")]
-    assert got == sorted((*w, w[2] > 0) for w in want)
+    df = spark.createDataFrame([(i, *c[:2], "own", 7) for i, c in enumerate(cases)], "page_id long, url string, fetched_on string, host string, _at int")
+    rows = urlfilter.filter_urls(df, events).collect()
+    assert sorted((r.page_id, r.n_entries, r.lists, r.blocked, r._at) for r in rows) == [(i, n, lists, n > 0, 7) for i, (_, _, n, lists) in enumerate(cases)]
+    assert {r.host for r in rows if r.page_id in (0, 5)} == {"x.bad.example", ""}
     assert urlfilter.filter_urls(df.limit(0), events).collect() == []
     assert not any(r.blocked for r in urlfilter.filter_urls(df, events.limit(0)).collect())
 
 
-def test_segments_against_all_subranges():
+def test_url_verdicts_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "BROADCAST_ROWS", 0)
+    events = spark.createDataFrame([("spam", "a.example", "add", "2024-01-02")], "list string, pattern string, action string, at string")
+    df = spark.createDataFrame([(i, "https://a.example", f"2024-01-0{i}") for i in (1, 2, 3)], "page_id long, url string, fetched_on string")
+    assert sorted((r.page_id, r.blocked) for r in urlfilter.filter_urls(df, events).collect()) == [(1, False), (2, True), (3, True)]
+
+
+def brute_segments(s, lo=0, hi=None):
+    """The best subrange, and those of what lies to its left and right: the definition of all maximal segments."""
+    hi = len(s) if hi is None else hi
+    upto = np.concatenate([[0.0], np.cumsum(s)])
+    best = max(((upto[b] - upto[a], a, b) for a in range(lo, hi) for b in range(a + 1, hi + 1)), default=(0, 0, 0))
+    if best[0] <= 1e-12:
+        return []
+    return brute_segments(s, lo, best[1]) + [best[1:]] + brute_segments(s, best[2], hi)
+
+
+def test_all_maximal_segments():
     r = random.Random(3)
-    for _ in range(200):
-        n = r.randint(1, 14)
-        s = [r.choice([-0.3, -0.3, -2.0, 1.0, 0.5]) for _ in range(n)]
+    for _ in range(300):
+        n = r.randint(1, 24)
+        s = [-0.3 if r.random() < 0.4 else r.uniform(-2, 2) for _ in range(n)]
         got = toxicity.segments([(i, x) for i, x in enumerate(s) if x != -0.3], n)
-        if not any(x > 0 for x in s):
-            assert got == []
-            continue
-        best = max(sum(s[a:b]) for a in range(n) for b in range(a + 1, n + 1))
-        assert max(x for _, _, x in got) == pytest.approx(best)
-        assert all(x == pytest.approx(sum(s[a:b])) and x > 0 for a, b, x in got)
-        ends = sorted((a, b) for a, b, _ in got)
-        assert all(b <= c for (_, b), (c, _) in zip(ends, ends[1:]))
+        assert [(a, b) for a, b, _ in got] == brute_segments(s)
+        assert all(x == pytest.approx(sum(s[a:b])) for a, b, x in got)
+
+
+def test_segments_are_found_in_linear_time():
+    import time
+
+    falls = [x for i in range(100_000) for x in ((2 * i, 1.0), (2 * i + 1, -1.5))]
+    start = time.process_time()
+    assert len(toxicity.segments(falls, 200_000)) == 100_000
+    assert time.process_time() - start < 5
 
 
 def test_toxicity_on_held_out(spark, sf):
@@ -303,6 +327,16 @@ def test_mixing_prefers_quality(spark):
     assert share(1) > share(0)
 
 
+def test_mixing_cuts_crowded_cells(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CELLS", 8)
+    rows = [(i, words(i, 3 + i % 20), "st"[i % 5 == 0]) for i in range(400)] + [(7, words(7, 10), "s")] * 3
+    key = lambda out: sorted((r.doc_id, r["size"], r.source, r.taken) for r in out.collect())
+    light = F.lit(0.01)
+    plain = key(mixing.mix(make(spark, rows), weight=light))
+    monkeypatch.setattr(mixing, "BORDER_ROWS", 3)
+    assert key(mixing.mix(make(spark, rows), weight=light)) == plain
+
+
 def test_sharding(spark):
     rows = ROWS + [(100 + i, words(i, 5 + i % 90), "a") for i in range(150)]
     got = sharding.shard_by_bytes(make(spark, rows), 4).collect()
@@ -320,6 +354,126 @@ def test_sharding(spark):
     assert sharding.shard_by_bytes(make(spark, EMPTY), 4).collect() == []
 
 
+CLASH = "row string, key string, h string, length2 long, _key int, _cell int, _s int, _b int, _r int, _rows int, _range int, shard int, offset long, sequence_id long, score double, spans int, kept int, size string"
+
+
+def clashing(spark, rows):
+    extra = ("r", "k", "h", 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 0.5, 12, 13, "s")
+    return spark.createDataFrame([(i, t, "en", s, 0, *extra) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, " + CLASH)
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = clashing(spark, ROWS)
+    for out, own in ((mixing.mix(docs), mixing.RESULTS), (sharding.shard_by_bytes(docs, 4), sharding.RESULTS)):
+        assert len(set(out.columns)) == len(out.columns) and set(docs.columns) <= set(out.columns)
+        rows = out.collect()
+        assert len(rows) == len(ROWS) and all(r[c] == w[c] for r, w in zip(rows, [docs.first()] * len(rows)) for c in CLASH.replace(",", "").split()[::2] if c not in own)
+    pieces = docs.select("*", F.lit(5).alias("length"), F.lit(0).alias("piece"))
+    packed = packing.pack(pieces, 16)
+    assert sorted(packed.columns) == sorted(pieces.columns) and packed.where("h = 'h' AND _key = 2 AND row = 'r'").count() == len(ROWS)
+    assert {r.offset for r in packed.collect()} == {0, 5, 10}
+    with pytest.raises(ValueError):
+        packing.pack(pieces.withColumn("length", F.lit(17)), 16)
+    assert mixing.mixed(docs).columns == docs.columns
+    scored = toxicity.score_toxicity(docs, toxicity.Model({}), keep=tuple(docs.columns))
+    assert len(set(scored.columns)) == len(scored.columns) and scored.where("score < 0.5 AND _key = 2").count() == len(ROWS)
+
+
+def test_token_store_checks_widths_and_orders_files(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    with pytest.raises(ValueError):
+        tokens.write_tokens(make(spark, ROWS), str(tmp_path / "bad"), tokenizer_path(BYTE_BPE), end_id=1 << 17)
+    with pytest.raises(ValueError):
+        tokens.write_tokens(make(spark, ROWS), str(tmp_path / "bad"), tokenizer_path(BYTE_BPE), id_bytes=1)
+    path = str(tmp_path / "store")
+    tokens.write_tokens(make(spark, [(i * 37 % 1009, f"text {i}", "a") for i in range(1009)]), path, tokenizer_path(BYTE_BPE))
+    files = sorted(glob.glob(f"{path}/blocks/*.parquet"))
+    ids = [i for f in files for row in pq.read_table(f).to_pylist() for i in row["doc_ids"]]
+    assert ids == sorted(ids) and len(ids) == 1009 and len(files) > 1
+
+
+def test_repeated_and_missing_vector_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (3, [0.0, 1.0]), (None, [1.0, 0.0]), (9, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in hnsw.near_vectors(df).collect())
+    assert got == sorted([("1", 1, "1", True), ("1", 1, "1", True), ("2", 1, "1", False), ("3", 1, "1", False), ("3", 1, "1", False), ("None", 0, "None", True), ("9", 0, "9", True)])
+
+
+def test_top_k_ties_repeats_and_large_values(spark, monkeypatch):
+    monkeypatch.setattr(topk, "LEAST_ROWS", 4)
+    rows = [(i, [3, 1]) for i in range(1, 30)] + [(50, [1, 0]), (50, [0, 9]), (None, [99, 99]), (7, [3, 1])]
+    df = spark.createDataFrame(rows, "vec_id long, x array<long>")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id % 50 = 0"), 5).collect())
+    assert got == [(1, 1, 1), (2, 2, 1), (3, 3, 1), (4, 4, 1), (5, 5, 1)] or got == [(1, 1, 9), (2, 2, 9), (3, 3, 9), (4, 4, 9), (5, 5, 9)]
+    big = spark.createDataFrame([(0, [1e38, 1.0]), (1, [1e38, 2.0]), (2, [1e30, 0.0]), (3, [-1e38, 0.0]), (4, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    clean = topk.clean_vectors(big)
+    ints = clean.select("vec_id", topk.quantized(clean.x).alias("x"))
+    top = [(r.vec_id, r.score) for r in topk.top_k(ints, ints.where("vec_id = 0"), 5).orderBy("rank").collect()]
+    most = (1 << 63) - 1
+    assert top == [(1, most), (2, most), (4, most), (3, -(1 << 63))]
+
+
+def test_top_k_reads_on_until_outsiders_cannot_qualify():
+    r = np.random.default_rng(5)
+    for n, d, k in ((900, 6, 5), (40, 3, 50), (500, 64, 3)):
+        v = np.floor(256 * r.normal(size=(n, d))).astype(np.int64)
+        ids = np.arange(n)
+        got = topk.search(v, ids, v[::90], ids[::90], k)
+        want = []
+        for i in ids[::90].tolist():
+            score = v @ v[i]
+            want += [(i, int(j), int(score[j])) for j in sorted((j for j in ids if j != i), key=lambda j: (-score[j], j))[:k]]
+        assert got == want
+
+
+def test_registered_forms_on_a_small_table(spark, tmp_path):
+    """The columns that the queries derive from their operators, each worked out again from the texts alone."""
+    from tokenizers import Tokenizer
+
+    from foliomatch.llm import queries
+
+    make(spark, ROWS).write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: queries.queries()[name](spark, str(tmp_path)).collect()
+    texts = sorted(((i if i is not None else -1), t or "") for i, t, _ in ROWS)
+    num = lambda i: -1 if i is None else i
+
+    def ids(name, text, end):
+        return np.array(Tokenizer.from_file(tokenizer_path(name)).encode(text, add_special_tokens=False).ids + [end], "<u4").tobytes()
+
+    start, want = 0, []
+    for i, t in texts:
+        x = ids(BYTE_BPE, t, 2)
+        want.append((i, start, len(x) // 4, zlib.crc32(x)))
+        start += len(x) // 4
+    assert sorted((num(r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in run("op1_token_binary")) == want
+    want = []
+    for i, t in texts:
+        x = ids(WORD_BPE, t, 0)
+        want += [(i, p, at // 4, len(x[at : at + 8192]) // 4, zlib.crc32(x[at : at + 8192])) for p, at in enumerate(range(0, len(x), 8192))]
+    assert sorted((num(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in run("op2_best_fit_packing")) == want
+    assert sorted((num(r.doc_id), r.fingerprint) for r in run("op3_simhash_near_dedup")) == [(i, f"{brute_fingerprint(t):016x}") for i, t in texts]
+    got = run("op10_substring_dedup")
+    assert sorted((num(r.doc_id), r.n_bytes, r.n_removed, r.kept_sha256) for r in got) == brute_spans(ROWS, 100)
+    assert all((r.n_spans > 0) == (r.n_removed > 0) for r in got)
+    got = run("op9_contiguous_shards")
+    assert sorted((num(r.doc_id), r["size"], r.text_crc32, r.law, r.grown_shard) for r in got) == [(i, len(t.encode()) + 1, zlib.crc32(t.encode()), "bytes", None) for i, t in texts]
+    spark.createDataFrame([(1, 0, 1), (2, 0, 0), (5, 0, 0), (7, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = run("op7_toxicity")
+    assert len(got) == len(ROWS) and all(r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in got)
+    assert all(r.held_out == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+
+
+def test_cut_characters_go_whole(spark):
+    shared = "ä€𐍈" * 30
+    rows = [(1, "x" + shared + "1", "a"), (2, "\u2028" + shared + "é", "a"), (3, "\ufffd" + shared[1:] + "\ufffd", "a"), (4, "ö" + shared[1:], "a")]
+    for r in prefixfree.dedup_substrings(make(spark, rows), characters=True).collect():
+        assert "\ufffd" not in bytes(r.kept).decode() or r.doc_id == 3
+        assert bytes(r.kept).decode() == "".join(c for c in bytes(r.kept).decode() if r.doc_id != 2 or c in "\u2028é")
+
+
 def brute_spans(rows, length):
     """Covered bytes by looking every window up among all that start earlier."""
     first = {}
