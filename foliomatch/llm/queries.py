@@ -92,9 +92,9 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH u AS (
-  SELECT page_id, 1704067200 + (page_id * 7919) % (730 * 86400) AS at,
+  SELECT page_id, 1704067200 + (page_id * 7919) % (730 * 86400) AS fetched,
          regexp_extract(lower(trim(coalesce(url, ''))), '^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?(\[[0-9a-f:.]*\]|[^/?#:]*)', 1) AS raw FROM pages),
-p AS (SELECT page_id, at, regexp_replace(CASE WHEN contains(raw, '%') THEN lower(url_decode(raw)) ELSE raw END, '^www\.|\.$', '') AS host FROM u),
+p AS (SELECT page_id, fetched, regexp_replace(CASE WHEN contains(raw, '%') THEN lower(url_decode(raw)) ELSE raw END, '^www\.|\.$', '') AS host FROM u),
 h AS (SELECT DISTINCT host, md5(host) AS d FROM p WHERE host <> ''),
 l AS (
   SELECT ['adult', 'malware', 'spam'][CAST(('0x' || d[1:1]) AS INTEGER) % 3 + 1] AS list,
@@ -109,12 +109,12 @@ e AS (
     UNION ALL SELECT list, pattern, 'remove', a + r FROM l
     UNION ALL SELECT list, pattern, 'add', a + r + b FROM l) GROUP BY ALL),
 k AS (
-  SELECT page_id, at, host, array_to_string(string_split(host, '.')[i:], '.') AS pattern
+  SELECT page_id, fetched, host, array_to_string(string_split(host, '.')[i:], '.') AS pattern
   FROM p, unnest(range(1, CASE WHEN starts_with(host, '[') OR regexp_full_match(host, '\d+(\.\d+){3}') THEN 2 ELSE greatest(len(string_split(host, '.')), 2) END)) AS t(i) WHERE host <> ''),
 s AS (
   SELECT k.page_id, e.list, last(e.action ORDER BY e.since) AS action
-  FROM k JOIN e ON e.pattern = k.pattern AND e.since <= k.at GROUP BY k.page_id, k.pattern, e.list)
-SELECT p.page_id, p.host, CAST(p.at AS BIGINT) AS fetched_at,
+  FROM k JOIN e ON e.pattern = k.pattern AND e.since <= k.fetched GROUP BY k.page_id, k.pattern, e.list)
+SELECT p.page_id, p.host, CAST(p.fetched AS BIGINT) AS fetched_at,
        CAST(count(s.list) AS INTEGER) AS n_entries,
        coalesce(array_to_string(list_sort(list_distinct(list(s.list) FILTER (WHERE s.list IS NOT NULL))), ','), '') AS lists,
        count(s.list) > 0 AS blocked
