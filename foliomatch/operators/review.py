@@ -105,10 +105,15 @@ def appended(outcomes: DataFrame, items: DataFrame) -> DataFrame:
     return items.join(outcomes.where("outcome = 'APPLIED'"), ["set_key", "archive_id"], "left_semi").select("archive_id", F.col("recommendation").alias("action"), "file_size", "mtime_ns")
 
 
-def keep_unreviewed(members: DataFrame, ledger: DataFrame) -> DataFrame:
-    """KEEP rows for members of groups in which nobody has acted yet."""
-    touched = members.join(ledger.select("archive_id").distinct(), "archive_id", "left_semi").select("component").distinct()
-    return members.join(touched, "component", "left_anti").select("component", "archive_id", F.lit("KEEP").alias("action"))
+def keep_unreviewed(members: DataFrame, state: DataFrame) -> DataFrame:
+    """``(archive_id, action)``: KEEP for the members of the groups that nobody has acted on since they last changed.
+
+    ``members(component, archive_id, deleted, quarantine)`` of the chosen groups, ``state`` of ``review_state``. What is
+    deleted, in quarantine, on its way there or failed on it is left alone; a container in several groups counts once.
+    """
+    away = F.col("deleted") | F.coalesce(F.col("quarantine").isin("PENDING", "QUARANTINED", "RESTORING", "FAILED"), F.lit(False))
+    rows = members.where(~away).select("archive_id").distinct().join(state, "archive_id", "left")
+    return rows.where(F.col("action").isNull() | F.coalesce("needs_review", F.lit(False))).select("archive_id", F.lit("KEEP").alias("action"))
 
 
 def step(records: DataFrame, wanted: DataFrame, steps: tuple[tuple[str, str], ...]) -> DataFrame:

@@ -214,7 +214,15 @@ def f06_even_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.select("n", F.array_join(F.transform(fp.even_sample(F.col("n")), lambda x: x.cast("string")), ",").alias("positions"))
 
 
-@query()
+@query("""
+WITH RECURSIVE s AS (SELECT DISTINCT p_size AS n FROM part),
+p AS (SELECT n, m, CASE WHEN n >= 5 THEN range(1, n - 1) ELSE range(0, n) END AS pool FROM s, (VALUES (3), (6), (12)) AS t(m)),
+r AS (
+  SELECT n, m, pool, CAST([] AS BIGINT[]) AS chosen FROM p
+  UNION ALL SELECT n, m, pool, list_append(chosen, list_sort(list_transform(list_filter(pool, lambda x: NOT list_contains(chosen, x)),
+    lambda x: {'g': -coalesce(list_min(list_transform(chosen, lambda c: abs(c - x))), 1000000), 'd': abs(2 * x - pool[1] - pool[-1]), 'x': x}))[1].x)
+  FROM r WHERE len(chosen) < least(m, len(pool)))
+SELECT n, CAST(m AS INTEGER) AS "limit", array_to_string(list_sort(chosen), ',') AS positions FROM r WHERE len(chosen) = least(m, len(pool))""")
 def f07_interior_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = bi.table(spark, sf_dir, "part").select(F.col("p_size").alias("n")).distinct()
     limits = sizes.select("n", F.explode(F.array(F.lit(3), F.lit(6), F.lit(12))).alias("limit"))
@@ -239,20 +247,24 @@ def f10_stable_pair_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH t AS (SELECT p_partkey, '[' || p_brand || ' (' || p_type || ')] ' || p_name || ' v' || p_size || CASE p_size % 4 WHEN 0 THEN '.jpg' WHEN 1 THEN '.cbz' WHEN 2 THEN '.txt' ELSE '' END AS path, p_retailprice FROM part)
-SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 3 ELSE CASE p_partkey % 3 WHEN 1 THEN 2 ELSE 1 END END AS title_rank,
+WITH t AS (SELECT p_partkey, p_size, '[' || p_brand || ' (' || p_type || ')] ' || p_name || ' v' || p_size || CASE p_size % 4 WHEN 0 THEN '.jpg' WHEN 1 THEN '.cbz' WHEN 2 THEN '.txt' ELSE '' END AS path,
+  ['/a/[x (y)] z', '/a/［x（y）］ z', '/a/[x] z', '/a/z [x]', '/a/[x]', '/a/ ', '/a/[x (y)]'][CAST(p_partkey % 7 AS INTEGER) + 1] || p_name || '.zip' AS title,
+  ['a/', '../', '/', 'c:', 'a//', './', ''][CAST(p_partkey % 7 AS INTEGER) + 1] || p_name AS member FROM part),
+s AS (SELECT *, translate(regexp_extract(title, '/([^/]*)\.zip$', 1), '［］（）', '[]()') AS stem, string_split(member, '/') AS parts FROM t)
+SELECT p_partkey, CASE WHEN trim(stem) = '' THEN 0 WHEN regexp_matches(stem, '^\[[^\[\]()]+\s*\([^()]+\)\]\s*\S') THEN 3 WHEN regexp_matches(stem, '^\[[^\[\]]+\]\s*\S') THEN 2 ELSE 1 END AS title_rank,
        CASE WHEN path LIKE '%.jpg' THEN 'IMAGE' WHEN path LIKE '%.cbz' THEN 'NESTED_ARCHIVE' ELSE 'OTHER' END AS kind,
-       CASE WHEN path LIKE '%.cbz' THEN 'cbz' END AS format, true AS safe, lpad(lower(format('{:x}', p_partkey)), 8, '0') AS crc,
-       CASE WHEN p_partkey * 4096 >= 1073741824 THEN format('{:.1f} GiB', p_partkey * 4096 / 1073741824) WHEN p_partkey * 4096 >= 1048576 THEN format('{:.1f} MiB', p_partkey * 4096 / 1048576) WHEN p_partkey > 0 THEN format('{:.1f} KiB', p_partkey * 4096 / 1024) ELSE '0 B' END AS size_text
-FROM t""")
+       CASE WHEN path LIKE '%.cbz' THEN 'cbz' END AS format, NOT contains(member, ':') AND len(list_filter(parts, lambda x: x IN ('', '.', '..'))) = 0 AS safe, lpad(lower(format('{:x}', p_partkey)), 8, '0') AS crc,
+       CASE WHEN p_partkey * 256 >= 1048576 THEN format('{:.1f} MiB', p_partkey * 256 / 1048576) WHEN p_partkey * 256 >= 1024 THEN format('{:.1f} KiB', p_partkey * 256 / 1024) ELSE format('{:,} B', p_partkey * 256) END AS size_text
+FROM s""")
 def p05_p22_path_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = bi.table(spark, sf_dir, "part")
+    p, key = bi.table(spark, sf_dir, "part"), F.col("p_partkey")
+    pick = lambda *values: F.element_at(F.array(*[F.lit(v) for v in values]), (key % len(values) + 1).cast("int"))
     end = F.when(F.col("p_size") % 4 == 0, ".jpg").when(F.col("p_size") % 4 == 1, ".cbz").when(F.col("p_size") % 4 == 2, ".txt").otherwise("")
     path = F.concat(F.lit("["), "p_brand", F.lit(" ("), "p_type", F.lit(")] "), "p_name", F.lit(" v"), F.col("p_size").cast("string"), end)
-    key = F.col("p_partkey")
-    title = F.when(key % 3 == 0, F.lit("/a/[x (y)] z.zip")).when(key % 3 == 1, F.lit("/a/[x] z.zip")).otherwise(F.lit("/a/z.zip"))
+    title = F.concat(pick("/a/[x (y)] z", "/a/［x（y）］ z", "/a/[x] z", "/a/z [x]", "/a/[x]", "/a/ ", "/a/[x (y)]"), "p_name", F.lit(".zip"))
+    member = F.concat(pick("a/", "../", "/", "c:", "a//", "./", ""), "p_name")
     return p.select(
-        "p_partkey", tx.title_rank(title).alias("title_rank"), tx.entry_kind(path).alias("kind"), tx.archive_format(path).alias("format"), tx.is_safe_member(path).alias("safe"), tx.crc_hex(F.concat(F.lit("0x"), F.hex(key))).alias("crc"), tx.file_size_text(key * 4096).alias("size_text")
+        "p_partkey", tx.title_rank(title).alias("title_rank"), tx.entry_kind(path).alias("kind"), tx.archive_format(path).alias("format"), tx.is_safe_member(member).alias("safe"), tx.crc_hex(F.concat(F.lit("0x"), F.hex(key))).alias("crc"), tx.file_size_text(key * 256).alias("size_text")
     )
 
 
@@ -265,7 +277,18 @@ def p04_natural_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bi.table(spark, sf_dir, "part").select("p_partkey", F.array_join(parts, "|").alias("key"))
 
 
-@query()
+def _said(table: dict[str, str]) -> str:
+    rows = ", ".join(f"{{'w': ' {w} ', 'v': '{v}'}}" for w, v in table.items())
+    return f"list_distinct(list_transform(list_filter([{rows}], lambda p: contains(t, p.w)), lambda p: p.v))"
+
+
+@query(rf"""
+WITH n AS (SELECT p_partkey, lower('[' || p_brand || '] ' || p_name || ' vol.' || p_size || ' (' || ['korean', 'english full color', 'japan bw', 'uncensored scan', 'kor eng'][CAST(p_partkey % 5 AS INTEGER) + 1] || ')') AS x FROM part),
+v AS (SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(x, '[\[\]()_-]', ' ', 'g'), '(?:vol(?:ume)?|v)\.?\s*0*(\d+)\b', ' volume\1 ', 'g'), '(?:ch(?:apter)?)\.?\s*0*(\d+)\b', ' chapter\1 ', 'g') AS x FROM n),
+w AS (SELECT p_partkey, list_distinct(regexp_extract_all(x, '[\p{{L}}\p{{N}}]+')) AS w, ' ' || array_to_string(regexp_extract_all(x, '[\p{{L}}\p{{N}}]+'), ' ') || ' ' AS t FROM v),
+e AS (SELECT *, {_said(tx.LANGUAGE_WORDS)} AS l, {_said(tx.COLOR_WORDS)} AS c, {_said(tx.MOSAIC_WORDS)} AS m FROM w)
+SELECT p_partkey, CASE WHEN len(l) = 1 THEN l[1] END AS value, len(l) > 1 AS conflict, CASE WHEN len(c) = 1 THEN c[1] END AS color, CASE WHEN len(m) = 1 THEN m[1] END AS mosaic,
+       CAST(len(list_filter(w, lambda x: NOT list_contains([{', '.join(f"'{w}'" for w in (*tx.LANGUAGE_WORDS, *tx.EDITION_WORDS))}], x))) AS INTEGER) AS n_tokens FROM e""")
 def p06_filename_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.element_at(F.array(*[F.lit(x) for x in ("korean", "english full color", "japan bw", "uncensored scan", "kor eng")]), (F.col("p_partkey") % 5 + 1).cast("int"))
     path = F.concat(F.lit("/x/["), "p_brand", F.lit("] "), "p_name", F.lit(" vol."), F.col("p_size").cast("string"), F.lit(" ("), words, F.lit(").zip"))
@@ -273,11 +296,21 @@ def p06_filename_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, 'order' AS key, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, true AS versioned FROM orders""")
+WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CAST(o_orderkey % 8 AS INTEGER) AS k FROM orders)
+SELECT o_orderkey, CASE k WHEN 5 THEN 'order ' || strftime(d, '%Y %m') || ' 32' WHEN 6 THEN 'order ' || strftime(d, '%Y') ELSE 'order' END AS key,
+       CASE WHEN k = 3 THEN CAST(make_date(CAST(year(d) AS INTEGER), 1, 1) AS VARCHAR) WHEN k = 2 THEN CAST(date_trunc('month', d)::DATE AS VARCHAR) WHEN k < 5 THEN CAST(d AS VARCHAR) ELSE '' END AS "start",
+       CASE WHEN k = 3 THEN CAST(make_date(CAST(year(d) AS INTEGER) + 1, 12, 31) AS VARCHAR) WHEN k = 2 THEN CAST(last_day(d) AS VARCHAR) WHEN k = 4 THEN CAST(d + 40 AS VARCHAR) WHEN k < 5 THEN CAST(d AS VARCHAR) ELSE '' END AS "end", k IN (3, 4) AS is_range, k NOT IN (5, 6) AS versioned FROM o""")
 def p10_title_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = bi.table(spark, sf_dir, "orders")
-    path = F.concat(F.lit("Order ["), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("].zip"))
-    return o.select("o_orderkey", tx.title_dates(path).alias("t")).select("o_orderkey", "t.key", F.col("t.start").cast("string").alias("day"), "t.versioned")
+    o, d = bi.table(spark, sf_dir, "orders"), F.to_date("o_orderdate")
+    year = F.date_format(d, "yyyy")
+    forms = [
+        F.concat(F.lit("["), F.date_format(d, "yyyy-MM-dd"), F.lit("]")), F.date_format(d, "yyyyMMdd"), F.date_format(d, "yyyy.M"), F.concat(year, F.lit(" ~ "), (year.cast("int") + 1).cast("string")),
+        F.concat(F.date_format(d, "yyyy/M/d"), F.lit(" – "), F.date_format(F.date_add(d, 40), "yyyyMMdd")), F.concat(F.date_format(d, "yyyy-MM"), F.lit("-32")), year, F.lit("ongoing"),
+    ]
+    form = F.element_at(F.array(*forms), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    t = o.select("o_orderkey", tx.title_dates(F.concat(F.lit("Order "), F.regexp_replace(form, "/", "."), F.lit(".zip"))).alias("t"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c[2:])
+    return t.select("o_orderkey", "t.key", text("t.start"), text("t.end"), "t.is_range", "t.versioned")
 
 
 _COUNTS = r"""
@@ -394,7 +427,7 @@ def m08_sequence_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("a", "b", "relation", F.coalesce("container", F.lit(-1).cast("long")).alias("container"), "matched", F.round("left_share", 6).alias("left_share"), F.round("right_share", 6).alias("right_share"))
 
 
-@query()
+@query(_sql(_TO_SEEDS, "," + _SEQUENCE + "SELECT a, b, CAST(na - matched AS INTEGER) AS n_left, CAST(nb - matched AS INTEGER) AS n_right FROM sr WHERE relation IS NOT NULL"))
 def m15_unmatched_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, units, seeds = _seeds(spark, sf_dir)
     out = ma.unmatched_units(ma.sequence_relations(seeds, units))
@@ -473,7 +506,12 @@ def w09_group_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.where(tx.search_text(F.col("path")).contains("src1/")).select("component").distinct()
 
 
-@query()
+_JOINED = lambda c: f"array_to_string(list_filter({c}, lambda x, i: list_position(list_transform({c}, lambda y: lower(y)), lower(x)) = i), ' / ')"
+
+
+@query(f"""
+WITH g AS (SELECT p_partkey % 50 AS component, list(trim(p_brand) ORDER BY p_partkey) AS a, list(trim(regexp_replace(p_name, '\\s+', ' ', 'g')) ORDER BY p_partkey) AS t, list(trim(p_type) ORDER BY p_partkey) AS k FROM part GROUP BY 1)
+SELECT component, '[ㅁㅁㅁㅁ(' || {_JOINED('a')} || ')] ' || {_JOINED('t')} || ' (' || {_JOINED('k')} || ')' AS label FROM g""")
 def p13_work_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = bi.table(spark, sf_dir, "part")
     path = F.concat(F.lit("["), "p_brand", F.lit("] "), "p_name", F.lit(" ("), "p_type", F.lit(").zip"))

@@ -142,11 +142,13 @@ def c13_newest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rv.newest_version(rows.withColumnRenamed("id", "version"), "archive_id", "file_size").select("archive_id", "file_size", "version")
 
 
-@query(_sql("SELECT c.archive_id % 40 AS component, c.archive_id, 'KEEP' AS action FROM containers c WHERE c.archive_id % 40 NOT IN (SELECT archive_id % 40 FROM ledger WHERE action = 'KEEP' AND archive_id % 40 < 25)"))
+@query(_sql("SELECT archive_id, 'KEEP' AS action FROM state WHERE (action IS NULL OR needs_review) AND archive_id % 11 <> 0 AND archive_id % 13 NOT IN (0, 1)"))
 def d04_keep_unreviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, containers = _ledger(spark, sf_dir)
-    members = containers.select((F.col("archive_id") % 40).alias("component"), "archive_id")
-    return rv.keep_unreviewed(members, rows.where("action = 'KEEP' AND archive_id % 40 < 25"))
+    i = F.col("archive_id")
+    quarantine = F.when(i % 13 == 0, "PENDING").when(i % 13 == 1, "FAILED").when(i % 13 == 2, "RESTORED")
+    members = containers.select((i % 40).alias("component"), "archive_id", (i % 11 == 0).alias("deleted"), quarantine.alias("quarantine"))
+    return rv.keep_unreviewed(members, rv.review_state(rows, containers))
 
 
 @query("SELECT user_id AS archive_id, max(ts) FILTER (WHERE event_type = 'click') AS click_at, max(ts) FILTER (WHERE event_type = 'purchase') AS purchase_at FROM events WHERE event_type IN ('click', 'purchase') GROUP BY 1")
@@ -194,19 +196,24 @@ def a03_representative_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tb.lower_median_row(bi.table(spark, sf_dir, "lineitem"), "l_orderkey", "l_quantity", "l_linenumber").select("l_orderkey", "l_linenumber", "l_quantity")
 
 
-@query("""SELECT coalesce(o.path, n.path) AS path, CASE WHEN n.path IS NULL THEN 'MISSING' WHEN o.path IS NULL THEN 'NEW' WHEN o.s = n.s AND o.m = n.m THEN 'REUSED' ELSE 'CHANGED' END AS outcome
-FROM (SELECT p_name || p_partkey AS path, p_size AS s, p_partkey AS m FROM part WHERE p_partkey % 7 <> 0) o FULL JOIN (SELECT p_name || p_partkey AS path, p_size + (p_partkey % 5 = 0)::INT AS s, p_partkey AS m FROM part WHERE p_partkey % 6 <> 0) n ON n.path = o.path""")
+@query("""WITH k AS (SELECT p_name || CASE WHEN p_partkey % 7 = 0 THEN 'old' ELSE '' END || p_partkey AS path, p_size AS s, p_partkey AS m FROM part),
+n AS (SELECT p_name || CASE WHEN p_partkey % 6 = 0 THEN 'new' ELSE '' END || p_partkey AS path, p_size + (p_partkey % 5 = 0)::INT AS s, p_partkey AS m FROM part)
+SELECT coalesce(k.path, n.path) AS path, CASE WHEN n.path IS NULL THEN 'MISSING' WHEN k.path IS NULL THEN 'NEW' WHEN k.s = n.s AND k.m = n.m THEN 'REUSED' ELSE 'CHANGED' END AS outcome FROM k FULL JOIN n ON n.path = k.path""")
 def x01_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = bi.table(spark, sf_dir, "part").select(F.concat("p_name", F.col("p_partkey").cast("string")).alias("path"), F.col("p_size").alias("file_size"), F.col("p_partkey").alias("mtime_ns"))
-    seen = p.where("mtime_ns % 6 <> 0").withColumn("file_size", F.col("file_size") + F.when(F.col("mtime_ns") % 5 == 0, 1).otherwise(0))
-    return sl.rescan(p.where("mtime_ns % 7 <> 0"), seen)
+    p, k = bi.table(spark, sf_dir, "part"), F.col("p_partkey")
+
+    def named(mark: str, every: int, size) -> DataFrame:
+        return p.select(F.concat("p_name", F.when(k % every == 0, mark).otherwise(""), k.cast("string")).alias("path"), size.alias("file_size"), k.alias("mtime_ns"))
+
+    return sl.rescan(named("old", 7, F.col("p_size")), named("new", 6, F.col("p_size") + F.when(k % 5 == 0, 1).otherwise(0)))
 
 
-@query("SELECT coalesce(o.k, n.k) AS k, CASE WHEN o.k IS NULL OR n.v > o.v THEN n.v ELSE o.v END AS v FROM (SELECT p_partkey AS k, p_size AS v FROM part WHERE p_partkey % 3 <> 0) o FULL JOIN (SELECT p_partkey AS k, (p_partkey % 50)::INT AS v FROM part WHERE p_partkey % 2 = 0) n ON o.k = n.k")
+@query("""WITH o AS (SELECT p_partkey AS k, p_size AS v FROM part), n AS (SELECT p_partkey + CASE WHEN p_partkey % 3 = 0 THEN 1000000000 ELSE 0 END AS k, (p_partkey % 50)::INT AS v FROM part)
+SELECT coalesce(o.k, n.k) AS k, CASE WHEN o.k IS NULL OR n.v > o.v THEN n.v ELSE o.v END AS v FROM o FULL JOIN n ON o.k = n.k""")
 def k03_merge_if_better(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = bi.table(spark, sf_dir, "part")
-    old = p.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("v"))
-    new = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("k"), (F.col("p_partkey") % 50).cast("int").alias("v"))
+    p, k = bi.table(spark, sf_dir, "part"), F.col("p_partkey")
+    old = p.select(k.alias("k"), F.col("p_size").alias("v"))
+    new = p.select((k + F.when(k % 3 == 0, 1_000_000_000).otherwise(0)).alias("k"), (k % 50).cast("int").alias("v"))
     return rv.merge_rows(old, new, ["k"], F.col("n.v") > F.col("o.v"))
 
 
@@ -352,7 +359,13 @@ def f14_relative_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(right, "a").select("a", "b", relative_direction(F.col("lq"), F.col("rq")).alias("more"), relative_direction(F.col("ld"), F.col("rd"), True).alias("less"))
 
 
-@query()
+_METRIC = lambda i, low: f"CASE WHEN abs(l - r) / greatest(abs(l + {i}), abs(r + {i}), 1e-9) <= 0.03 THEN 'TIE' WHEN l {'<' if low else '>'} r THEN 'LEFT_BETTER' ELSE 'RIGHT_BETTER' END"
+
+
+@query(f"""WITH p AS (SELECT DISTINCT l_orderkey AS a FROM lineitem),
+m AS (SELECT x.l_orderkey AS a, avg(CAST(x.l_quantity AS DOUBLE)) AS l, avg(CAST(y.l_quantity AS DOUBLE)) AS r FROM lineitem x JOIN lineitem y ON y.l_orderkey = x.l_orderkey + 1 AND y.l_linenumber = x.l_linenumber GROUP BY 1),
+d AS (SELECT a, list_filter(list_distinct([{', '.join(_METRIC(i, low) for i, low in enumerate(ed.QUALITY_METRICS.values()))}]), lambda x: x <> 'TIE') AS d FROM m)
+SELECT a, a + 1 AS b, CASE WHEN d IS NULL THEN 'UNKNOWN' WHEN len(d) = 0 THEN 'TIE' WHEN len(d) = 1 THEN d[1] ELSE 'UNKNOWN' END AS direction FROM p LEFT JOIN d USING (a)""")
 def m12_quality_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = bi.table(spark, sf_dir, "lineitem")
     metrics = li.select(F.col("l_orderkey").alias("archive_id"), F.col("l_linenumber").alias("pos"), *[(F.col("l_quantity") + i).alias(m) for i, m in enumerate(ed.QUALITY_METRICS)])
