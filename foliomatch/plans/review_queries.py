@@ -229,11 +229,11 @@ inputs AS (
 ev AS (SELECT l.archive_id AS a, r.archive_id AS b, l.set_key % 9 = 0 AS eq FROM inputs l JOIN inputs r ON l.set_key = r.set_key AND l.archive_id < r.archive_id WHERE (l.archive_id + r.archive_id) % 11 <> 0),
 cmp AS (
   SELECT l.set_key, l.archive_id AS a, r.archive_id AS b, ev.a IS NOT NULL AS has_evidence, coalesce(ev.eq, false) AS equivalent,
-         NOT (coalesce(ev.eq, false) AND l.language_source = 'precision' AND r.language_source = 'precision') AND NOT (l.language_source = 'precision' AND r.language_source = 'precision') AS review,
+         NOT (coalesce(ev.eq, false) AND starts_with(l.language_source, 'precision') AND starts_with(r.language_source, 'precision')) AND NOT (l.language_source = 'precision' AND r.language_source = 'precision') AS review,
          {resolution} AS resolution, {size} AS size, {pages} AS pages,
          CASE WHEN abs(l.mtime_ns - r.mtime_ns) <= 2000000000 THEN 'TIE' WHEN l.mtime_ns > r.mtime_ns THEN 'LEFT_BETTER' ELSE 'RIGHT_BETTER' END AS mtime,
          {title} AS title,
-         CASE WHEN coalesce(ev.eq, false) AND l.language_source = 'precision' AND r.language_source = 'precision' THEN 'TIE' WHEN l.language_source <> 'precision' OR r.language_source <> 'precision' THEN 'UNKNOWN'
+         CASE WHEN coalesce(ev.eq, false) AND starts_with(l.language_source, 'precision') AND starts_with(r.language_source, 'precision') THEN 'TIE' WHEN l.language_source <> 'precision' OR r.language_source <> 'precision' THEN 'UNKNOWN'
               WHEN l.language = r.language THEN 'TIE' WHEN l.language = 'KOREAN' THEN 'LEFT_BETTER' ELSE 'RIGHT_BETTER' END AS language,
          CASE WHEN l.mosaic_rank IS NULL OR r.mosaic_rank IS NULL OR l.mosaic_rank = r.mosaic_rank THEN 'TIE' WHEN l.mosaic_rank > r.mosaic_rank THEN 'LEFT_BETTER' ELSE 'RIGHT_BETTER' END AS mosaic,
          'TIE' AS quality, {color} AS color
@@ -246,13 +246,15 @@ def _number(c: str, tie: float) -> str:
 
 
 INPUTS = INPUTS.format(resolution=_number("resolution_area", 0.02), size=_number("file_size", 0.01), pages=_number("page_count", 0), title=_number("title_rank", 0), color=_number("color_rank", 0))
+CMP = INPUTS[INPUTS.index("cmp AS (") :]
 _FLIP = lambda c: f"CASE {c} WHEN 'LEFT_BETTER' THEN 'RIGHT_BETTER' WHEN 'RIGHT_BETTER' THEN 'LEFT_BETTER' ELSE {c} END AS {c}"
 _NAMES = [*rc.CRITERIA, "color"]
-SIDED = INPUTS + f"""
+_SIDED = f"""
 sided AS (
   SELECT set_key, a AS archive_id, b AS other, has_evidence, equivalent, review, {', '.join(_NAMES)} FROM cmp
   UNION ALL SELECT set_key, b, a, has_evidence, equivalent, review, {', '.join(_FLIP(c) for c in _NAMES)} FROM cmp),
 """
+SIDED = INPUTS + _SIDED
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -264,7 +266,9 @@ def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         (k % 2 + 1).cast("int").alias("color_rank"), F.when(F.col("o_custkey") % 10 == 0, "filename").otherwise("precision").alias("language_source"),
     )
     inputs = materialize(rows, "inputs")
-    pairs = rc.pairs_in_sets(inputs.select("set_key", "archive_id")).where("(l_archive_id + r_archive_id) % 11 <> 0")
+    # evidence as pairs of their own, as a run of comparisons leaves them; some pairs have none
+    slim = inputs.select("set_key", "archive_id")
+    pairs = slim.toDF("set_key", "l_archive_id").join(slim.toDF("set_key", "r_archive_id"), "set_key").where("l_archive_id < r_archive_id AND (l_archive_id + r_archive_id) % 11 <> 0")
     return inputs, pairs.select(F.col("l_archive_id").alias("a"), F.col("r_archive_id").alias("b"), (F.col("set_key") % 9 == 0).alias("content_equivalent"))
 
 
@@ -272,7 +276,7 @@ def _on_inputs(prefix: str, last: str) -> str:
     return "WITH " + prefix.replace("CAST(o_totalprice AS BIGINT)", "CAST(round(o_totalprice) AS BIGINT)").rstrip().rstrip(",") + "\n" + last
 
 
-@query(_on_inputs(INPUTS, f"SELECT set_key, a, b, has_evidence, equivalent, review, {', '.join(_NAMES)} FROM cmp"))
+@query(_on_inputs(INPUTS, f"SELECT set_key, a, b, has_evidence, equivalent, review, {', '.join(_NAMES)} FROM cmp WHERE has_evidence"))
 def r05_compare_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rc.compare_pairs(*_inputs(spark, sf_dir))
 
@@ -282,7 +286,8 @@ _ROLL = lambda c: f"CASE WHEN bool_or({c} = 'UNKNOWN') THEN 'UNKNOWN' WHEN bool_
 
 @query(_on_inputs(SIDED, f"SELECT set_key, archive_id, {', '.join(map(_ROLL, rc.CRITERIA))} FROM sided GROUP BY ALL"))
 def r07_rolled_up_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rc.rolled_up(rc.both_ways(rc.compare_pairs(*_inputs(spark, sf_dir))))
+    inputs, evidence = _inputs(spark, sf_dir)
+    return rc.rolled_up(inputs, rc.evidence_counts(inputs, evidence))
 
 
 _CORE = [c for c in rc.CRITERIA if c not in rc.TIE_BREAKERS]
@@ -296,8 +301,8 @@ _RECOMMEND = f"""
 unk AS (SELECT *, list_sort(list_filter([{', '.join(f"CASE WHEN u_{c} THEN '{c}' END" for c in rc.CRITERIA)}], lambda x: x IS NOT NULL)) AS unknown FROM per_set),
 wins AS (SELECT set_key, archive_id FROM sided GROUP BY ALL HAVING bool_and(has_evidence AND {_DOMINATES})),
 dom AS (SELECT set_key, count(*) AS k, min(archive_id) AS winner FROM wins GROUP BY set_key),
-best AS (SELECT *, max(coalesce(title_rank, 0)) OVER (PARTITION BY set_key) AS t FROM inputs),
-fresh AS (SELECT *, max(mtime_ns) OVER (PARTITION BY set_key) AS m FROM best WHERE title_rank = t),
+titled AS (SELECT *, max(coalesce(title_rank, 0)) OVER (PARTITION BY set_key) AS t FROM inputs),
+fresh AS (SELECT *, max(mtime_ns) OVER (PARTITION BY set_key) AS m FROM titled WHERE title_rank = t),
 late AS (SELECT set_key, count(*) AS k, min(archive_id) AS latest FROM fresh WHERE mtime_ns = m GROUP BY set_key),
 rows AS (SELECT i.set_key, i.archive_id, u.*EXCLUDE (set_key), dom.k AS kd, winner, late.k AS kl, latest FROM inputs i LEFT JOIN unk u USING (set_key) LEFT JOIN dom USING (set_key) LEFT JOIN late USING (set_key))
 SELECT set_key, archive_id,
