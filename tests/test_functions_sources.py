@@ -205,7 +205,7 @@ def test_merged_directions_and_bridges(spark):
     d = spark.createDataFrame([(1, 2, "LEFT_BETTER"), (2, 1, "RIGHT_BETTER"), (3, 4, "TIE"), (3, 4, "LEFT_BETTER")], "a long, b long, direction string")
     assert {(r.a, r.b): r.direction for r in rc.merged_directions(d).collect()} == {(1, 2): "LEFT_BETTER", (3, 4): "UNKNOWN"}
     roots = spark.createDataFrame([(1, 1), (2, 1), (3, 3)], "archive_id long, root long")
-    rel = spark.createDataFrame([(1, 2)], "a long, b long")
+    rel = spark.createDataFrame([(1, 2), (3, 1), (2, 3)], "a long, b long")
     m = spark.createDataFrame([(3, 2, "LEFT_BETTER")], "a long, b long, direction string")
     got = {(r.a, r.b): (r.mosaic, r.content_equivalent) for r in rc.pair_evidence(rel, m, roots).collect()}
     assert got == {(1, 2): ("TIE", True), (1, 3): ("RIGHT_BETTER", False), (2, 3): ("RIGHT_BETTER", False)}
