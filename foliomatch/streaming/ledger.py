@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from foliomatch.operators.review import latest
 
@@ -31,18 +32,42 @@ def stream_ledger(spark: SparkSession, path: str, schema, files_per_trigger: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def keep_latest(stream: DataFrame, target: str, checkpoint: str, key: str = "archive_id", order: str = "id") -> StreamingQuery:
-    """Maintain the latest row of each key at ``target``: every batch merges into the version before and writes the next.
+def read_latest(spark: SparkSession, target: str, schema, before: int | None = None) -> DataFrame:
+    """The rows that ``keep_latest`` has at ``target``, with ``bucket`` and ``v``: of each bucket its newest version, or the newest
+    one before batch ``before``."""
+    fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    rows = spark.read.schema(StructType([*fields.fields, *StructType.fromDDL("bucket int, v long").fields])).parquet(target)
+    rows = rows if before is None else rows.where(F.col("v") < before)
+    # a row for each bucket, a number that the caller sets
+    newest = rows.select("bucket", "v").groupBy("bucket").agg(F.max("v").alias("v"))
+    return rows.join(F.broadcast(newest), ["bucket", "v"], "left_semi")
 
-    ``target/v=N`` is written under the batch's number, so a batch that is run again replaces its own result.
+
+def keep_latest(stream: DataFrame, target: str, checkpoint: str, key: str = "archive_id", order: str = "id", buckets: int = 64) -> StreamingQuery:
+    """Maintain the latest row of each key at ``target``, in buckets by hash of the key.
+
+    A batch reads and writes the buckets that it touches alone. ``target/bucket=B/v=N`` is written under the batch's number,
+    so a batch that is run again replaces its own result and reads what was there before it; versions older than the one
+    that a batch has read are deleted. ``read_latest`` gives the state.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if number:
-            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{target}/v={number - 1}"))
-        latest(rows, key, order).write.mode("overwrite").parquet(f"{target}/v={number}")
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+        store = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        old: dict[int, int] = {}
+        if store.exists(files):
+            touched = rows.select("bucket").distinct()  # at most ``buckets`` rows
+            before = read_latest(spark, target, batch.schema, number).join(F.broadcast(touched), "bucket", "left_semi")
+            old = {r.bucket: r.v for r in before.select("bucket", "v").distinct().collect()}
+            rows = rows.unionByName(before.drop("v"))
+        out = latest(rows, key, order).withColumn("v", F.lit(number).cast("long"))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "v").parquet(target)
+        for bucket, read in old.items():
+            for one in store.listStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/bucket={bucket}")):
+                if int(one.getPath().getName()[2:]) < read:
+                    store.delete(one.getPath(), True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

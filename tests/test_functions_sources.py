@@ -257,13 +257,17 @@ def test_ledger_streams(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
     one = [(1, 7, "HOLD", t), (2, 8, "KEEP", t)]
     two = [(3, 7, "KEEP", t + dt.timedelta(hours=2)), (3, 7, "KEEP", t + dt.timedelta(hours=2))]
-    for rows in (one, two):
+    three = [(4, 8, "HOLD", t + dt.timedelta(hours=3)), (1, 9, "KEEP", t)]
+    out = tmp_path / "out"
+    for rows in (one, two, three):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
-        q = sl.keep_latest(sl.stream_ledger(spark, str(src), schema, 1), str(tmp_path / "out"), str(tmp_path / "ck"))
+        q = sl.keep_latest(sl.stream_ledger(spark, str(src), schema, 1), str(out), str(tmp_path / "ck"), buckets=4)
         q.awaitTermination()
-    versions = sorted(int(p.name[2:]) for p in (tmp_path / "out").iterdir())
-    got = {r.archive_id: r.action for r in spark.read.parquet(str(tmp_path / "out" / f"v={versions[-1]}")).collect()}
-    assert got == {7: "KEEP", 8: "KEEP"}
+    got = {r.archive_id: (r.id, r.action) for r in sl.read_latest(spark, str(out), schema).collect()}
+    assert got == {7: (3, "KEEP"), 8: (4, "HOLD"), 9: (1, "KEEP")}
+    assert all(len(list(b.iterdir())) <= 2 for b in out.iterdir() if b.is_dir())
+    before = {r.archive_id: r.action for r in sl.read_latest(spark, str(out), schema, before=2).collect()}
+    assert before[7] == "KEEP"
     stream = sl.action_windows(sl.distinct_actions(sl.stream_ledger(spark, str(src), schema)), late=None)
     q = stream.writeStream.outputMode("append").format("memory").queryName("windows").trigger(availableNow=True).start()
     q.awaitTermination()
