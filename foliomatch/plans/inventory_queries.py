@@ -248,3 +248,130 @@ def s10_f19_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     member = lambda pos, path, size, packed, crc, kind: F.struct(F.lit(pos).alias("pos"), path.alias("path"), size.alias("size"), packed.alias("packed"), crc.alias("crc"), F.lit(kind).alias("kind"))
     two = F.array(member(1, F.lit("c.txt"), none, F.lit(7).cast("long"), F.lit(None).cast("string"), "OTHER"), member(0, F.concat(F.lit("a/b"), n.cast("string"), F.lit(".jpg")), n, none, F.lit("AB"), "IMAGE"))
     return sizes.select("n", fp.set_key(n, F.lit("FULL_COLOR"), F.array(n + 1, n)).alias("set_key"), fp.listing_signature(two).alias("signature"))
+
+
+# ---- paths, numbers and records -----------------------------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT p_partkey, ['C:\\A//', '/a/b/', 'x\\Y\\', '/'][CAST(p_partkey % 4 AS INTEGER) + 1] || p_name || ['', '/', '\\', '.ZIP'][CAST(p_partkey % 4 AS INTEGER) + 1] AS path FROM part)
+SELECT p_partkey, lower(regexp_replace(regexp_replace(replace(path, '\\', '/'), '/+', '/', 'g'), '(.)/$', '\\1')) AS key, lower(replace(path, '\\', '/')) AS member, path = '/a/b' OR starts_with(path, '/a/b/') AS inside FROM p""")
+def p01_p03_path_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda *values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    path = F.concat(pick("C:\\A//", "/a/b/", "x\\Y\\", "/"), "p_name", pick("", "/", "\\", ".ZIP"))
+    return bi.table(spark, sf_dir, "part").select("p_partkey", tx.path_key(path).alias("key"), tx.entry_key(path).alias("member"), tx.is_within(path, F.lit("/a/b/")).alias("inside"))
+
+
+@query(_sql("""SELECT archive_id, CASE WHEN file_size % 7 = 0 THEN 100.0 WHEN file_size % 7 = 6 THEN -1.0 ELSE round(least(100.0, 100.0 * (archive_id % 9) / (file_size % 7)), 6) END AS percent,
+CASE WHEN archive_id % 9 >= 2 THEN round(5.0 * (20 - archive_id % 9) / (archive_id % 9), 6) ELSE -1.0 END AS remaining, CASE WHEN archive_id % 5 = 0 THEN '' ELSE CAST(CAST(epoch_ms((mtime_ns // 1000000)::BIGINT) AS DATE) AS VARCHAR) END AS day FROM c"""))
+def p12_p16_p17_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    containers, done = _containers(spark, sf_dir), F.col("archive_id") % 9
+    total = F.when(F.col("file_size") % 7 != 6, F.col("file_size") % 7)
+    # the day is worked out from a time at noon, which every zone up to eleven hours off has in common
+    noon = F.floor(F.col("mtime_ns") / 86_400_000_000_000) * 86_400_000_000_000 + 43_200_000_000_000
+    day = tx.mtime_day(F.when(F.col("archive_id") % 5 != 0, noon))
+    return containers.select(
+        "archive_id", F.coalesce(F.round(tx.percent(done, total), 6), F.lit(-1.0)).alias("percent"), F.coalesce(F.round(tx.remaining_seconds(F.lit(5.0), done, F.lit(20)), 6), F.lit(-1.0)).alias("remaining"), F.coalesce(day.cast("string"), F.lit("")).alias("day")
+    )
+
+
+@query(_sql("""SELECT archive_id AS item, CASE WHEN ok THEN t ELSE s END AS state, ok AS moved FROM (SELECT archive_id, s, t, s = 'PENDING' AND t <> 'PENDING' AS ok FROM (
+SELECT archive_id, ['PENDING', 'DELETED', 'FAILED'][CAST(archive_id % 3 AS INTEGER) + 1] AS s, ['DELETED', 'FAILED', 'PENDING', 'FAILED'][CAST(archive_id % 4 AS INTEGER) + 1] AS t FROM c))"""))
+def d06_deletion_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda *values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("archive_id") % len(values) + 1).cast("int"))
+    rows = _containers(spark, sf_dir).select(F.col("archive_id").alias("item"), pick("PENDING", "DELETED", "FAILED").alias("state"), F.lit("PENDING").alias("from_state"), pick("DELETED", "FAILED", "PENDING", "FAILED").alias("to_state"))
+    return rv.step(rows.select("item", "state"), rows.select("item", "from_state", "to_state"), rv.DELETION_STEPS)
+
+
+_SETS = """
+sets AS (SELECT component, component || ':' || archive_id % 4 AS set_key, archive_id, archive_id % 4 AS computed_at FROM c),
+gen AS (SELECT DISTINCT component, component || ':1' AS set_key FROM c WHERE component % 2 = 0),
+"""
+
+
+def _sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    key = F.concat(F.col("component").cast("string"), F.lit(":"), (F.col("archive_id") % 4).cast("string"))
+    sets = _containers(spark, sf_dir).select("component", key.alias("set_key"), "archive_id", (F.col("archive_id") % 4).alias("computed_at"))
+    named = sets.select("component").distinct().where("component % 2 = 0").select("component", F.array(F.concat(F.col("component").cast("string"), F.lit(":1"))).alias("set_keys"))
+    return sets, named
+
+
+@query(_sql("," + _SETS.rstrip().rstrip(",") + """
+SELECT component, set_key, archive_id FROM sets WHERE (component, set_key) IN (SELECT (component, set_key) FROM gen)
+UNION ALL SELECT component, set_key, archive_id FROM sets s WHERE component % 2 = 1 AND computed_at = (SELECT max(computed_at) FROM sets t WHERE t.component = s.component)"""))
+def d09_current_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rv.current_sets(*_sets(spark, sf_dir)).select("component", "set_key", "archive_id")
+
+
+@query(_sql("," + _SETS.rstrip().rstrip(",") + """
+SELECT DISTINCT component, CASE WHEN component % 3 = 0 THEN CAST(component AS VARCHAR) ELSE set_key END AS entry FROM sets"""))
+def d10_review_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets, _ = _sets(spark, sf_dir)
+    return rv.review_list(sets.select("component").distinct(), sets.where(F.col("component") % 3 != 0))
+
+
+@query(_sql("SELECT archive_id, 1 AS version FROM c WHERE archive_id % 4 NOT IN (2, 3) AND archive_id % 5 <> 0 AND archive_id % 3 = 0"))
+def d13_unresolved_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    containers, i = _containers(spark, sf_dir), F.col("archive_id")
+    old = containers.select("archive_id", "file_size", "mtime_ns", F.lit(1).alias("version"), F.when(i % 3 == 0, "UNKNOWN").otherwise("KOREAN").alias("language"), F.lit("SUCCEEDED").alias("state"), F.when(i % 5 == 0, "OCR_UNAVAILABLE").alias("error"))
+    new = old.where(i % 4 >= 2).withColumn("version", F.lit(2))
+    return rv.unresolved_profiles(old.unionByName(new), 2).select("archive_id", "version")
+
+
+@query("SELECT l_partkey AS archive_id, CAST(min(l_orderkey) AS VARCHAR) AS set_key FROM lineitem GROUP BY 1")
+def d14_first_set_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = bi.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("archive_id"), F.col("l_orderkey").alias("set_key"))
+    return rv.first_set_wins(targets).withColumn("set_key", F.col("set_key").cast("string"))
+
+
+@query("""WITH o AS (SELECT p_partkey AS k, CASE WHEN p_size % 2 = 0 THEN 'FULL' ELSE 'PROBE' END AS c, p_name AS p, CASE WHEN p_size % 3 > 0 THEN p_type END AS d FROM part),
+n AS (SELECT p_partkey + 5 AS k, CASE WHEN p_size % 5 = 0 THEN 'FULL' ELSE 'PROBE' END AS c, CASE WHEN p_size % 4 > 0 THEN p_brand END AS p, CASE WHEN p_size % 7 > 0 THEN p_brand END AS d FROM part)
+SELECT coalesce(o.k, n.k) AS k, CASE WHEN coalesce(o.c, '') = 'FULL' OR coalesce(n.c, '') = 'FULL' THEN 'FULL' ELSE 'PROBE' END AS coverage, coalesce(n.p, o.p, '') AS pixel, coalesce(n.d, o.d, '') AS dhash FROM o FULL JOIN n ON o.k = n.k""")
+def k08_z06_merged_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, k, s = bi.table(spark, sf_dir, "part"), F.col("p_partkey"), F.col("p_size")
+    old = p.select(k.alias("k"), F.when(s % 2 == 0, "FULL").otherwise("PROBE").alias("coverage"), F.col("p_name").alias("pixel"), F.when(s % 3 > 0, F.col("p_type")).alias("dhash"))
+    new = p.select((k + 5).alias("k"), F.when(s % 5 == 0, "FULL").otherwise("PROBE").alias("coverage"), F.when(s % 4 > 0, F.col("p_brand")).alias("pixel"), F.when(s % 7 > 0, F.col("p_brand")).alias("dhash"))
+    out = rv.merge_fingerprints(old, new, ["k"])
+    return out.select("k", "coverage", F.coalesce("pixel", F.lit("")).alias("pixel"), F.coalesce("dhash", F.lit("")).alias("dhash"))
+
+
+@query(_sql("SELECT archive_id FROM c WHERE archive_id % 6 = 1"))
+def k09_stale_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    containers = _containers(spark, sf_dir)
+    facts = containers.withColumn("mtime_ns", F.col("mtime_ns") + F.when(F.col("archive_id") % 6 == 1, 1).otherwise(0))
+    return rv.stale(facts, containers).select("archive_id")
+
+
+@query("""WITH g AS (SELECT p_partkey AS component, p_brand AS label, p_size / 50.0 AS confidence, p_size AS members, p_size % 2 = 0 AS needs_review FROM part)
+SELECT component, CAST(row_number() OVER (ORDER BY lower(label), confidence DESC, component) AS INTEGER) AS by_name, CAST(row_number() OVER (ORDER BY confidence DESC, lower(label), component) AS INTEGER) AS by_confidence,
+       CAST(row_number() OVER (ORDER BY members DESC, lower(label), component) AS INTEGER) AS by_files, CAST(row_number() OVER (ORDER BY needs_review DESC, lower(label), component) AS INTEGER) AS by_status FROM g""")
+def v05_group_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    from foliomatch.operators import tables as tb
+
+    g = bi.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("component"), F.col("p_brand").alias("label"), (F.col("p_size") / 50.0).alias("confidence"), F.col("p_size").alias("members"), (F.col("p_size") % 2 == 0).alias("needs_review"))
+    # a list of groups is ordered as a whole, as a screen shows it
+    place = lambda mode: F.row_number().over(Window.orderBy(*tb.group_order(mode))).alias(f"by_{mode}")
+    return g.select("component", *[place(m) for m in ("name", "confidence", "files", "status")])
+
+
+@query("""WITH e AS (SELECT DISTINCT l_orderkey AS a, l_orderkey + 1 AS b FROM lineitem JOIN orders ON o_orderkey = l_orderkey + 1),
+n AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1),
+x AS (SELECT a, b, (a % 3) * 0.4 AS ca, (b % 3) * 0.4 AS cb, a % 4 = 0 AND b % 4 = 1 AS translated, CASE a % 3 WHEN 0 THEN 'EXACT_CONTENT' WHEN 1 THEN 'RELATED' ELSE 'VISUAL_VARIANT' END AS relation, n FROM e JOIN n ON k = a),
+f AS (SELECT *, (ca <= 0.15 AND cb >= 0.5) OR (cb <= 0.15 AND ca >= 0.5) AS color FROM x)
+SELECT a, b, array_to_string(list_filter([CASE WHEN color THEN 'COLOR_MONO' END, CASE WHEN translated THEN 'TRANSLATION' END, CASE WHEN NOT color AND NOT translated AND relation <> 'EXACT_CONTENT' AND n >= 3 THEN 'EDIT_OR_CENSORSHIP' END, CASE WHEN a % 5 = 0 THEN 'QUALITY' END], lambda t: t IS NOT NULL), ',') AS flags,
+       color OR translated OR (relation <> 'EXACT_CONTENT' AND n >= 3) AS preserve FROM f""")
+def m10_edition_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliomatch.operators import editions as ed
+
+    n = _units(spark, sf_dir).groupBy("archive_id").agg(F.count("*").alias("matched"))
+    ids = bi.table(spark, sf_dir, "orders").select((F.col("o_orderkey") - 1).alias("a"))
+    a = F.col("a")
+    relation = F.when(a % 3 == 0, "EXACT_CONTENT").when(a % 3 == 1, "RELATED").otherwise("VISUAL_VARIANT")
+    reasons = F.when(a % 5 == 0, F.array(F.lit("LEFT_MEDIAN_PIXEL_AREA_AT_LEAST_15_PERCENT_LARGER"))).otherwise(F.array().cast("array<string>"))
+    edges = n.withColumnRenamed("archive_id", "a").join(ids, "a").select("a", (a + 1).alias("b"), relation.alias("relation"), "matched", reasons.alias("reasons"))
+    every = edges.select("a").union(edges.select("b")).distinct().toDF("archive_id")
+    i = F.col("archive_id")
+    hints = every.select("archive_id", F.when(i % 4 == 0, F.array(F.lit("ko"))).when(i % 4 == 1, F.array(F.lit("en"))).otherwise(F.array().cast("array<string>")).alias("hints"))
+    out = ed.compare_editions(edges, every.select("archive_id", ((i % 3) * 0.4).alias("color_page_ratio")), hints)
+    return out.select("a", "b", F.array_join("flags", ",").alias("flags"), "preserve")
