@@ -11,9 +11,10 @@ from foliomatch.plans.stages import shuffle_partitions
 
 #: Vectors of a shard and queries of a block at most: what one task holds. Shards are smaller, but not below
 #: ``LEAST_ROWS``, where cores would be idle.
-SHARD_ROWS, QUERY_ROWS, LEAST_ROWS = 32_768, 16_384, 2048
-#: Entries of every list that are read first; each further round reads as many again as all before.
-FIRST_DEPTH = 64
+SHARD_ROWS, QUERY_ROWS, LEAST_ROWS = 32_768, 16_384, 8192
+#: Share of every list that is read first, by what a further round multiplies how far it is read, and share of the rows
+#: that are resolved at most before the lists are read to their ends.
+FIRST_SHARE, FURTHER, RESOLVE = 1 / 4, 1.4, 1 / 4
 
 
 def clean_vectors(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -34,44 +35,36 @@ class Lists:
     def __init__(self, v: np.ndarray, ids: np.ndarray):
         self.v, self.ids = v, ids
         self.rows = np.argsort(v, axis=0, kind="stable").T.astype(np.int32)  # by dimension, ascending
-        self.values = np.sort(v, axis=0).T.astype(np.float64)
-        place = np.empty(v.shape, np.int32)
-        np.put_along_axis(place, self.rows.T.astype(np.int64), np.arange(len(v), dtype=np.int32)[:, None].repeat(v.shape[1], 1), 0)
-        self.place = place  # where a row stands in each list, to tell whether reading has come to it
+        values = np.sort(v, axis=0).T
+        kind = np.float32 if int(np.abs(v).max(initial=0)) < 1 << 11 else np.float64  # products stay whole numbers
+        self.over, self.under = (values - values[:, :1]).astype(kind), (values - values[:, -1:]).astype(kind)  # from either end
 
     def best(self, q: np.ndarray, own_id: int, k: int) -> np.ndarray:
         """Rows that can be among the ``k`` best for ``q``: none outside them can qualify.
 
         A list is read from its top where the query's component is positive, from its end where it is negative. What has
-        been read of a row, with the list's far end for the rest, is its lower bound; with the last value read for the
-        rest its upper bound. Reading stops when a row that has not been met cannot reach the k-th lower bound, and to
-        resolve the rows that can costs less than to read as much again.
+        been read of a row, with the list's far end for the rest, is its lower bound. With the last values read of all
+        lists on top it is the row's upper bound, as no list has more to give. Reading stops when few rows are left whose
+        upper bound reaches the k-th lower bound; rows that have not been met are none of them.
         """
         n = len(self.v)
-        used = np.flatnonzero(q)
-        w = q[used].astype(np.float64)[:, None]
-        rows, values = self.rows[used], self.values[used] * w
-        if (down := w[:, 0] > 0).any():
-            rows[down], values[down] = rows[down, ::-1], values[down, ::-1]
-        values -= values[:, -1:]  # from here on the far end of each list counts as 0
-        sums, own, depth = np.zeros(n), self.ids == own_id, 0
+        up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
+        kind = self.over.dtype if int(np.abs(q).max(initial=0)) < 1 << 11 else np.float64
+        w = np.abs(np.concatenate([q[up], q[down]])).astype(kind)[:, None]
+        sums, own, depth = np.zeros(n), np.flatnonzero(self.ids == own_id), 0
         while True:
-            to = min(n, max(FIRST_DEPTH, 2 * depth))
-            sums += np.bincount(rows[:, depth:to].ravel(), values[:, depth:to].ravel(), n)
-            depth = to
-            lower = np.where(own, -np.inf, sums)
-            cut = np.partition(lower, n - k)[n - k] if n >= k else -np.inf
-            last = values[:, depth - 1] if depth < n else np.zeros(len(used))
-            unmet = last.sum()
+            to = min(n, max(int(FIRST_SHARE * n), int(FURTHER * depth)) + 1)
+            tops, bottoms = slice(n - to, n - depth), slice(depth, to)
+            rows = np.concatenate([self.rows[up, tops], self.rows[down, bottoms]])
+            gains = np.concatenate([self.over[up, tops], -self.under[down, bottoms]]) * w  # over the list's far end
+            sums += np.bincount(rows.ravel(), gains.ravel(), n)
+            sums[own], depth = -np.inf, to
+            cut = np.partition(sums, n - k)[n - k] if n >= k else -np.inf
             if depth == n:
-                return np.flatnonzero(lower >= cut)
-            if unmet >= cut:
-                continue
-            can = np.flatnonzero(lower + unmet >= cut)
-            place = self.place[can][:, used]
-            read = np.where(w[:, 0] > 0, place >= n - depth, place < depth)
-            can = can[sums[can] + np.where(read, 0.0, last).sum(1) >= cut - 1e-6]
-            if len(can) <= depth:
+                return np.flatnonzero(sums >= cut)
+            last = np.concatenate([self.over[up, n - depth], -self.under[down, depth - 1]]) * w[:, 0]
+            can = np.flatnonzero(sums + last.sum(dtype=np.float64) >= cut)
+            if len(can) <= RESOLVE * n:
                 return can
 
 
