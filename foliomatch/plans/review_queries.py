@@ -378,7 +378,17 @@ def m12_quality_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ed.compare_quality(pairs, metrics)
 
 
-@query()
+@query("WITH RECURSIVE " + _on_inputs(INPUTS[: INPUTS.index("cmp AS (")], """, hop AS (SELECT a AS x, b AS y FROM ev UNION SELECT b, a FROM ev),
+reach AS (SELECT x AS node, x AS near FROM hop UNION SELECT r.node, h.y FROM reach r JOIN hop h ON h.x = r.near),
+comp AS (SELECT node, min(near) AS comp FROM reach GROUP BY node),
+many AS (SELECT set_key FROM inputs GROUP BY 1 HAVING count(*) >= 2),
+same AS (SELECT l.set_key FROM inputs l JOIN inputs r ON l.set_key = r.set_key AND l.archive_id < r.archive_id LEFT JOIN ev ON ev.a = l.archive_id AND ev.b = r.archive_id GROUP BY 1 HAVING bool_and(coalesce(ev.eq, false))),
+d AS (SELECT i.set_key, i.archive_id, i.page_count, i.mtime_ns // 86400000000000 AS day, comp FROM inputs i LEFT JOIN comp ON node = i.archive_id WHERE i.set_key IN (SELECT set_key FROM many) AND i.set_key NOT IN (SELECT set_key FROM same)),
+beaten AS (SELECT x.set_key, x.archive_id, y.archive_id AS by_ FROM d x JOIN d y ON y.set_key = x.set_key AND y.comp = x.comp AND y.day > x.day AND y.page_count > x.page_count),
+stay AS (SELECT set_key, archive_id FROM d WHERE archive_id NOT IN (SELECT archive_id FROM beaten)),
+gone AS (SELECT DISTINCT archive_id FROM beaten WHERE by_ IN (SELECT archive_id FROM stay)),
+rule AS (SELECT d.set_key, count(*) FILTER (WHERE d.archive_id IN (SELECT archive_id FROM stay)) = 1 AND bool_and(d.archive_id IN (SELECT archive_id FROM stay) OR d.archive_id IN (SELECT archive_id FROM gone)) AS done FROM d GROUP BY 1)
+SELECT d.set_key, d.archive_id, CASE WHEN NOT done THEN 'NONE' WHEN d.archive_id IN (SELECT archive_id FROM stay) THEN 'KEEP' ELSE 'REMOVE_CANDIDATE' END AS recommendation, CASE WHEN done THEN 'RECOMMENDED' ELSE 'NONE' END AS status FROM d JOIN rule USING (set_key)""").removeprefix("WITH "))
 def r03_version_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     inputs, evidence = _inputs(spark, sf_dir)
     day = F.to_date(F.timestamp_micros(F.floor(F.col("mtime_ns") / 1000).cast("long")))
