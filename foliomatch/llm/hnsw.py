@@ -20,7 +20,8 @@ LEAST_BLOCK = 8192
 LINKS, BUILD_BEAM, BEAM = 12, 40, 24
 #: Queries with links, and links of theirs, that the audit of a shard wants, and the mean recall a query that they must reach.
 AUDIT_QUERIES, AUDIT_PAIRS, RECALL = 512, 2048, 0.98
-STEP = 256
+#: Queries that a beam takes together, and nodes of each that it looks around at once.
+STEP, EXPAND = 256, 3
 SLACK = 1e-5
 
 
@@ -73,7 +74,7 @@ class Graph:
         top = np.argsort(-sims, axis=1, kind="stable")[:, :width]
         ids, sims = np.take_along_axis(ids, top, 1), np.take_along_axis(sims, top, 1)
         v = self.x[ids]
-        near = np.einsum("bid,bjd->bij", v, v)
+        near = v @ v.transpose(0, 2, 1)
         good = np.zeros(ids.shape, bool)
         for j in range(width):
             blocked = (good & (near[:, j, :] > sims[:, j, None])).any(1)
@@ -82,25 +83,39 @@ class Graph:
         picked = np.where(np.take_along_axis(sims, first, 1) > -2, np.take_along_axis(ids, first, 1), -1)
         table = self.layers[layer]
         table[some, : picked.shape[1]] = picked
-        back_to, back_from = picked.ravel(), some.repeat(picked.shape[1])
-        ok = back_to >= 0
-        back_to, back_from = back_to[ok], back_from[ok]
-        by = np.argsort(back_to, kind="stable")
-        back_to, back_from = back_to[by], back_from[by]
-        cuts = np.flatnonzero(np.r_[True, back_to[1:] != back_to[:-1]]) if len(back_to) else []
-        for i, start in enumerate(cuts):
-            node = back_to[start]
-            end = cuts[i + 1] if i + 1 < len(cuts) else len(back_to)
-            row = table[node]
-            have = np.union1d(row[row >= 0], back_from[start:end])
-            if len(have) > len(row):
-                sim = self.x[have] @ self.x[node]
-                # half by nearness, half far ones by turns, so that a dense clump stays reachable from outside
-                by_sim = have[np.argsort(-sim, kind="stable")]
-                keep = len(row) * 3 // 4
-                have = np.r_[by_sim[:keep], by_sim[keep:][:: max(1, (len(by_sim) - keep) // (len(row) - keep))][: len(row) - keep]]
-            table[node] = -1
-            table[node, : len(have)] = have
+        self._link_back(table, picked.ravel(), some.repeat(picked.shape[1]))
+
+    def _link_back(self, table: np.ndarray, to: np.ndarray, come: np.ndarray) -> None:
+        """Links from ``to`` to the new nodes ``come``; a node with too many keeps the nearest, and far ones by turns, so
+        that a dense clump stays reachable from outside."""
+        ok = to >= 0
+        to, come = to[ok], come[ok]
+        known = (table[to] == come[:, None]).any(1)
+        to, come = to[~known], come[~known]
+        if not len(to):
+            return
+        by = np.argsort(to, kind="stable")
+        to, come = to[by], come[by]
+        start = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+        n_new = np.diff(np.r_[start, len(to)])
+        nodes, nth = to[start], np.arange(len(to)) - np.repeat(start, n_new)
+        have, width = (table[nodes] >= 0).sum(1), table.shape[1]
+        room = np.repeat(have + n_new <= width, n_new)
+        table[to[room], (np.repeat(have, n_new) + nth)[room]] = come[room]
+        keep = width * 3 // 4
+        full = np.flatnonzero(have + n_new > width)
+        full = full[np.argsort(n_new[full], kind="stable")]
+        for at in range(0, len(full), STEP):  # nodes with like numbers of new links together, so that little is padded
+            some = full[at : at + STEP]
+            most = int(n_new[some].max())
+            take = start[some, None] + np.arange(most)
+            new = np.where(np.arange(most) < n_new[some, None], come[np.minimum(take, len(come) - 1)], -1)
+            ids = np.concatenate([table[nodes[some]], new], 1)
+            sims = np.where(ids >= 0, np.einsum("bkd,bd->bk", self.x[ids], self.x[nodes[some]]), -3)
+            ids = np.take_along_axis(ids, np.argsort(-sims, axis=1, kind="stable"), 1)
+            turns = np.maximum(1, (have[some] + n_new[some] - keep) // (width - keep))
+            far = keep + np.arange(width - keep) * turns[:, None]
+            table[nodes[some]] = np.concatenate([ids[:, :keep], np.take_along_axis(ids, far, 1)], 1)
 
     def beam(self, q: np.ndarray, start: np.ndarray, layer: int, width: int) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, sims)`` of the ``width`` best nodes found for each query, best first; -1 where there are fewer."""
@@ -113,17 +128,26 @@ class Graph:
         seen[rows[:, None], ids] = True
         todo = ids >= 0
         live = rows
+        steps = min(EXPAND, width)
         while len(live):
             score = np.where(todo[live], sims[live], -3)
-            at = score.argmax(1)
-            alive = score[np.arange(len(live)), at] > -3
-            live, at = live[alive], at[alive]
+            at = np.argpartition(-score, steps - 1, axis=1)[:, :steps] if width > 1 else np.zeros((len(live), 1), np.int64)
+            go = np.take_along_axis(score, at, 1) > -3
+            alive = go.any(1)
+            live, at, go = live[alive], at[alive], go[alive]
             if not len(live):
                 break
-            todo[live, at] = False
-            near = table[ids[live, at]]
-            new = (near >= 0) & ~seen[live[:, None], near]
+            todo[live[:, None], at] = False
+            near = np.where(go[:, :, None], table[ids[live[:, None], at]], -1).reshape(len(live), -1)
+            near.sort(1)
+            new = near >= 0
+            new[:, 1:] &= near[:, 1:] != near[:, :-1]
+            new &= ~seen[live[:, None], near]
             seen[live[:, None], near] = True
+            # nodes met anew to the front, so that little is looked at in vain
+            most = max(1, int(new.sum(1).max()))
+            front = np.argsort(~new, axis=1, kind="stable")[:, :most]
+            near, new = np.take_along_axis(near, front, 1), np.take_along_axis(new, front, 1)
             sim = np.where(new, np.einsum("bkd,bd->bk", self.x[near], q[live]), -2)
             all_ids = np.concatenate([ids[live], np.where(new, near, -1)], 1)
             all_sims = np.concatenate([sims[live], sim], 1)
