@@ -130,9 +130,10 @@ def a11_precision_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("archive_id")
     named = F.when(i % 3 == 0, F.array(F.lit("ENGLISH"))).when(i % 3 == 1, F.array(F.lit("OTHER"))).otherwise(F.array().cast("array<string>"))
     hints = d.select("archive_id", named.alias("languages"))
-    failures = d.where(i % 7 == 0).select("archive_id", F.lit("OCR_UNAVAILABLE").alias("error"))
-    # a container without pages fails; every one of them stays in the result
-    out = iv.precision_profiles(d, ed.page_language(d.withColumn("gone", i % 5 == 0)).join(d.where(i % 5 != 0).select("archive_id"), "archive_id", "left_semi"), hints, failures)
+    failures = d.select("archive_id", F.when(i % 7 == 0, "OCR_UNAVAILABLE").alias("error"))
+    # every fifth container has no pages of its own: they are some other's
+    pages = ed.page_language(d.withColumn("archive_id", F.when(i % 5 != 0, i).otherwise(-1 - i)))
+    out = iv.precision_profiles(d, pages, hints, failures)
     return out.select("archive_id", "state", "sample_count", "language", F.coalesce("error", F.lit("")).alias("error"))
 
 
@@ -303,17 +304,18 @@ def d09_current_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_sql("," + _SETS.rstrip().rstrip(",") + """
-SELECT DISTINCT component, CASE WHEN component % 3 = 0 THEN CAST(component AS VARCHAR) ELSE set_key END AS entry FROM sets"""))
+SELECT DISTINCT CASE WHEN component % 3 = 0 THEN -1 - component ELSE component END AS component, set_key AS entry FROM sets UNION ALL SELECT DISTINCT component, CAST(component AS VARCHAR) FROM sets WHERE component % 3 = 0"""))
 def d10_review_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets, _ = _sets(spark, sf_dir)
-    return rv.review_list(sets.select("component").distinct(), sets.where(F.col("component") % 3 != 0))
+    g = F.col("component")
+    return rv.review_list(sets.select("component").distinct(), sets.withColumn("component", F.when(g % 3 != 0, g).otherwise(-1 - g)))
 
 
 @query(_sql("SELECT archive_id, 1 AS version FROM c WHERE archive_id % 4 NOT IN (2, 3) AND archive_id % 5 <> 0 AND archive_id % 3 = 0"))
 def d13_unresolved_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     containers, i = _containers(spark, sf_dir), F.col("archive_id")
     old = containers.select("archive_id", "file_size", "mtime_ns", F.lit(1).alias("version"), F.when(i % 3 == 0, "UNKNOWN").otherwise("KOREAN").alias("language"), F.lit("SUCCEEDED").alias("state"), F.when(i % 5 == 0, "OCR_UNAVAILABLE").alias("error"))
-    new = old.where(i % 4 >= 2).withColumn("version", F.lit(2))
+    new = old.withColumns({"version": F.lit(2), "archive_id": F.when(i % 4 >= 2, i).otherwise(-1 - i)})
     return rv.unresolved_profiles(old.unionByName(new), 2).select("archive_id", "version")
 
 
