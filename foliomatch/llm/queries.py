@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomatch.llm import hnsw, mixing, packing, prefixfree, sharding, simhash, tokens, topk, toxicity, urlfilter
+from foliomatch.llm import bytebpe, divergence, filteraudit, hnsw, mixing, packing, prefixfree, sharding, simhash, tokens, topk, toxicity, urlfilter
 from foliomatch.plans.stages import materialize, new_path, spread
 
 #: Second from which the URL query counts its fetches and list entries: the start of 2024.
 START = 1_704_067_200
-BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+BYTE_BPE, WORD_BPE, MULTI_BPE = "byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
 
 
 def tokenizer_path(name: str) -> str:
@@ -190,6 +190,75 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = tokenizer_path(MULTI_BPE)
+    encoded = bytebpe.encode_texts(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    out = bytebpe.decode_ids(encoded, path)
+    return out.select("doc_id", bytebpe.n_ids(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(_table(spark, sf_dir, "documents"), least=3, terms=200)
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS nr,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT lang, source, nr, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS n_lang FROM w GROUP BY lang, term HAVING count(DISTINCT nr) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+every AS (SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n, k.n_lang
+          FROM g JOIN k ON k.lang = g.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+t AS (SELECT lang, source, sum(n) AS total, count(*) AS v FROM every GROUP BY lang, source),
+tl AS (SELECT lang, sum(n_lang) AS total FROM k GROUP BY lang),
+p AS (SELECT e.lang, e.source, e.term, e.n, 1 + (1000000000 * (e.n + 1)) // (t.total + t.v) AS p, 1 + (1000000000 * (e.n_lang + 1)) // (tl.total + t.v) AS q
+      FROM every e JOIN t ON t.lang = e.lang AND t.source = e.source JOIN tl ON tl.lang = e.lang),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+          FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+listed AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(pairs.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM listed)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+m AS (SELECT text, min(doc_id) AS least FROM d GROUP BY text),
+w AS (SELECT d.*, m.least, list_filter(string_split_regex(d.text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM d JOIN m ON m.text = d.text),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT w.part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+         [len(words) < 50, 100 * len(list_distinct(words)) < 65 * len(words),
+          100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(least < w.doc_id, false)] AS fails
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+s AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+o AS (SELECT '' AS filter_order UNION ALL
+      SELECT filter_order || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE length(filter_order) < 5 AND NOT contains(filter_order, x)),
+e AS (
+  SELECT s.*, o.filter_order, i AS step, fails[ascii(filter_order[i]) - 64] AS fail,
+         len(list_filter(range(1, i), lambda j: fails[ascii(filter_order[j]) - 64])) > 0 AS gone, len(list_filter(fails, lambda x: x)) AS k
+  FROM s, o, unnest(range(1, 6)) AS t(i) WHERE length(o.filter_order) = 5)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step,
+       CAST(coalesce(sum(n) FILTER (WHERE NOT fail AND NOT gone), 0) AS BIGINT) AS kept,
+       CAST(coalesce(sum(n) FILTER (WHERE fail AND NOT gone), 0) AS BIGINT) AS removed,
+       CAST(coalesce(sum(n) FILTER (WHERE fail AND gone), 0) AS BIGINT) AS redundant,
+       CAST(coalesce(sum(n) FILTER (WHERE fail AND k = 1), 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(sum(good) FILTER (WHERE fail AND NOT gone), 0) AS BIGINT) AS good_lost,
+       CAST(coalesce(sum(toxic) FILTER (WHERE fail AND NOT gone), 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(sum(n * 120 // greatest(k, 1)) FILTER (WHERE fail), 0) AS BIGINT) AS shapley
+FROM e GROUP BY ALL
+"""
+
 OP4_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
@@ -222,9 +291,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             op1_token_binary, op2_best_fit_packing, op3_simhash_near_dedup, op4_exact_top_k, op5_embedding_near_dedup,
             op6_url_filters, op7_toxicity, op8_mix_sources, op9_contiguous_shards, op10_substring_dedup,
+            op11_byte_bpe, op12_source_divergence, op13_filter_audit,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_top_k": OP4_SQL, "op5_embedding_near_dedup": OP5_SQL, "op6_url_filters": OP6_SQL, "op8_mix_sources": OP8_SQL, "op9_contiguous_shards": OP9_SQL}
+    return {
+        "op4_exact_top_k": OP4_SQL, "op5_embedding_near_dedup": OP5_SQL, "op6_url_filters": OP6_SQL, "op8_mix_sources": OP8_SQL,
+        "op9_contiguous_shards": OP9_SQL, "op12_source_divergence": OP12_SQL, "op13_filter_audit": OP13_SQL,
+    }
