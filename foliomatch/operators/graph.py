@@ -50,6 +50,41 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return leaves.unionByName(roots)
 
 
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array("a", "b")).alias("archive_id")).distinct()
+
+
+def regrouped(groups: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """``(archive_id, component)`` of the edges ``after(a, b)``, from the ``groups`` of ``before(a, b)``.
+
+    A group without a changed edge stays as it is. One that only gains edges stands in as its label, so its own edges are
+    not looked at again; one that loses an edge is dissolved, and its members and edges go through the rounds with those
+    that were added. A group from which all edges are gone is no group any more. Direction, repetition and loops of edges
+    do not matter, null ends are ignored; without groups everything is new, without edges nothing is left.
+    """
+    old, new = (_pairs(e.where("a IS NOT NULL AND b IS NOT NULL"), F.least("a", "b"), F.greatest("a", "b")) for e in (before, after))
+    added = materialize(new.join(old, ["a", "b"], "left_anti"), "added-edges")
+    removed = materialize(old.join(new, ["a", "b"], "left_anti"), "removed-edges")
+    changed = _ends(added).withColumn("cut", F.lit(False)).unionByName(_ends(removed).withColumn("cut", F.lit(True)))
+    touched = groups.join(changed, "archive_id").groupBy("component").agg(F.bool_or("cut").alias("cut"))
+    touched = materialize(touched, "touched-groups")
+    # what stands for a member in the rounds: itself in a dissolved group, else the label of its group
+    seats = groups.join(touched, "component").select("archive_id", "component", "cut", F.when(F.col("cut"), F.col("archive_id")).otherwise(F.col("component")).alias("seat"))
+    seats = materialize(seats, "seats")
+    inside = new.join(seats.where("cut").select(F.col("archive_id").alias("a")), "a", "left_semi")
+    again = added.unionByName(inside).distinct()
+    for end in "ab":
+        seat = seats.select(F.col("archive_id").alias(end), F.col("seat").alias(f"_{end}"))
+        again = again.join(seat, end, "left")
+    roots = connected_components(again.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
+    placed = seats.join(roots.toDF("seat", "_root"), "seat", "left")
+    # a seat without a root has no edge: a member of a dissolved group is alone now, another group is as it was
+    moved = placed.select("archive_id", F.when(F.col("cut"), F.col("_root")).otherwise(F.coalesce("_root", "component")).alias("component")).where("component IS NOT NULL")
+    fresh = roots.toDF("archive_id", "component").join(seats.select("archive_id"), "archive_id", "left_anti")
+    rest = groups.join(touched, "component", "left_anti").select("archive_id", "component")
+    return rest.unionByName(moved).unionByName(fresh)
+
+
 # Relations from the strongest to the weakest.
 RELATION_ORDER = ("EXACT_ARCHIVE", "EXACT_CONTENT", "VISUAL_VARIANT", "RELATED")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliomatch.functions.fingerprints import probe_slots
 from foliomatch.functions.text import file_size_text
 from foliomatch.operators.editions import container_language
 from foliomatch.operators.matching import usable_edge
@@ -95,6 +96,28 @@ def page_hashes(containers: DataFrame, fingerprints: DataFrame, images: DataFram
     return whole.join(live, ["archive_id", "version"], "left_semi").select("archive_id", "pos", "pixel")
 
 
+def candidate_evidence(containers: DataFrame, fingerprints: DataFrame, images: DataFrame, version: int) -> DataFrame:
+    """``(archive_id, file_size, mtime_ns, sha256, slot, pos, pixel)``: the probes that candidates are sought with.
+
+    ``containers(archive_id, state, file_size, mtime_ns)`` that are indexed, their ``fingerprints(archive_id, version,
+    file_size, mtime_ns, sha256)`` of this analyzer version and of the present snapshot, and of ``images(archive_id,
+    version, pos, state, pixel)`` those at the probed places of the container's images. A probe that failed is left out,
+    a container without images has none.
+    """
+    live = containers.where("state = 'INDEXED'").select(*SNAPSHOT)
+    own = fingerprints.where(F.col("version") == version).join(live, list(SNAPSHOT), "left_semi").select(*SNAPSHOT, "sha256")
+    placed = images.where(F.col("version") == version).withColumn("_at", F.row_number().over(Window.partitionBy("archive_id").orderBy("pos")) - 1)
+    n = images.where(F.col("version") == version).groupBy("archive_id").agg(F.count("*").cast("int").alias("n"))
+    slots = n.select("archive_id", F.inline(probe_slots(F.col("n"))).alias("slot", "_at"))
+    probes = placed.join(slots, ["archive_id", "_at"]).where("state = 'SUCCEEDED' AND pixel IS NOT NULL")
+    return own.join(probes.select("archive_id", "slot", "pos", "pixel"), "archive_id")
+
+
+def still_current(evidence: DataFrame, containers: DataFrame) -> DataFrame:
+    """Evidence whose container is still there, indexed and unchanged in a later state of ``containers``."""
+    return evidence.join(containers.where("state = 'INDEXED'").select(*SNAPSHOT), list(SNAPSHOT), "left_semi")
+
+
 def numbered(members: DataFrame) -> DataFrame:
     """Members with ``number int``, their place by id in the group."""
     return members.withColumn("number", F.row_number().over(Window.partitionBy("component").orderBy("archive_id")))

@@ -119,14 +119,17 @@ def keep_unreviewed(members: DataFrame, state: DataFrame) -> DataFrame:
 def step(records: DataFrame, wanted: DataFrame, steps: tuple[tuple[str, str], ...]) -> DataFrame:
     """``records(item, state)`` after ``wanted(item, from_state, to_state)``, with ``moved``: compare and set.
 
-    A change happens only from the state it names and along an allowed step; of several for one item the least counts.
+    A change happens only from the state that it names, which must be the item's, and along an allowed step. Of several
+    that fit the least ``to_state`` counts; those that name another state are no rivals of it. Requests without an item or
+    of an item that has no record are passed over, and repeated ones are one.
     """
     allowed = F.lit(False)
     for a, b in steps:
         allowed = allowed | ((F.col("from_state") == a) & (F.col("to_state") == b))
-    one = wanted.where(allowed).groupBy("item").agg(F.min(F.struct("from_state", "to_state")).alias("w")).select("item", "w.*")
-    ok = F.coalesce(F.col("state") == F.col("from_state"), F.lit(False))
-    return records.join(one, "item", "left").select("item", F.when(ok, F.col("to_state")).otherwise(F.col("state")).alias("state"), ok.alias("moved"))
+    # one row of an item and state at most, so a busy item costs one row a task before it meets its record
+    one = wanted.where(allowed).groupBy("item", F.col("from_state").alias("state")).agg(F.min("to_state").alias("to_state"))
+    ok = F.col("to_state").isNotNull()
+    return records.join(one, ["item", "state"], "left").select("item", F.coalesce("to_state", "state").alias("state"), ok.alias("moved"))
 
 
 def active_items(quarantine: DataFrame, deletions: DataFrame) -> DataFrame:

@@ -103,16 +103,24 @@ def d03_apply_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rv.apply_recommendations(items, containers, _only(rows, i % 2 == 0), _only(items, i % 10 == 3))
 
 
-@query(_sql("""SELECT archive_id AS item, CASE WHEN ok THEN t ELSE s END AS state, ok AS moved FROM (
-SELECT archive_id, s, t, s = f AND (f, t) IN (('PENDING', 'QUARANTINED'), ('PENDING', 'FAILED'), ('QUARANTINED', 'RESTORING'), ('RESTORING', 'RESTORED'), ('RESTORING', 'QUARANTINED'), ('RESTORING', 'FAILED')) AS ok FROM (
-SELECT archive_id, ['PENDING', 'QUARANTINED', 'RESTORING'][archive_id % 3 + 1] AS s, ['PENDING', 'QUARANTINED', 'RESTORING'][archive_id % 2 + 1] AS f, ['QUARANTINED', 'RESTORING', 'DELETED'][archive_id % 2 + 1] AS t FROM containers))"""))
+# Events as requests: what each type asks for. A user's first event in time is the state that its item is in.
+_REQUESTS = {"view": ("PENDING", "QUARANTINED"), "click": ("QUARANTINED", "RESTORING"), "error": ("RESTORING", "FAILED"), "purchase": ("PENDING", "DELETED"), "signup": ("RESTORING", "RESTORED")}
+
+
+@query("""WITH e AS (SELECT user_id AS item, event_id, CASE event_type WHEN 'view' THEN 'PENDING' WHEN 'click' THEN 'QUARANTINED' WHEN 'purchase' THEN 'PENDING' ELSE 'RESTORING' END AS f,
+CASE event_type WHEN 'view' THEN 'QUARANTINED' WHEN 'click' THEN 'RESTORING' WHEN 'purchase' THEN 'DELETED' WHEN 'signup' THEN 'RESTORED' ELSE 'FAILED' END AS t FROM events),
+r AS (SELECT item, arg_min(f, event_id) AS state, min(event_id) AS first FROM e GROUP BY item),
+w AS (SELECT r.item, min(t) AS t FROM e JOIN r ON r.item = e.item AND e.event_id > r.first AND e.f = r.state WHERE t <> 'DELETED' GROUP BY r.item)
+SELECT item, coalesce(t, state) AS state, t IS NOT NULL AS moved FROM r LEFT JOIN w USING (item)""")
 def d05_quarantine_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, containers = _ledger(spark, sf_dir)
-    pick = lambda values, m: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("archive_id") % m + 1).cast("int"))
-    states = ("PENDING", "QUARANTINED", "RESTORING")
-    records = containers.select(F.col("archive_id").alias("item"), pick(states, 3).alias("state"))
-    wanted = containers.select(F.col("archive_id").alias("item"), pick(states, 2).alias("from_state"), pick(("QUARANTINED", "RESTORING", "DELETED"), 2).alias("to_state"))
-    return rv.step(records, wanted, rv.QUARANTINE_STEPS)
+    """An item with all requests of its user at once: only those from the state that it is in are looked at."""
+    e = bi.table(spark, sf_dir, "events").select(F.col("user_id").alias("item"), "event_id", "event_type")
+    states = F.create_map(*[F.lit(x) for k, (a, b) in _REQUESTS.items() for x in (k, f"{a}|{b}")])
+    asked = F.split(states[F.col("event_type")], r"\|")
+    rows = e.select("item", "event_id", asked[0].alias("from_state"), asked[1].alias("to_state"))
+    records = rows.groupBy("item").agg(F.min_by("from_state", "event_id").alias("state"), F.min("event_id").alias("first"))
+    later = rows.join(records.select("item", "first"), "item").where("event_id > first")
+    return rv.step(records.select("item", "state"), later, rv.QUARANTINE_STEPS)
 
 
 @query(_sql("SELECT archive_id, CASE WHEN action <> 'REMOVE_CANDIDATE' THEN 'NOT_REMOVE_CANDIDATE' WHEN needs_review THEN 'SNAPSHOT_CHANGED' WHEN archive_id % 5 = 0 THEN 'ALREADY_QUARANTINED' ELSE 'OK' END AS code FROM state"))
@@ -369,13 +377,24 @@ def f14_relative_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(right, "a").select("a", "b", relative_direction(F.col("lq"), F.col("rq")).alias("more"), relative_direction(F.col("ld"), F.col("rd"), True).alias("less"))
 
 
-_METRIC = lambda i, low: f"CASE WHEN abs(l - r) / greatest(abs(l + {i}), abs(r + {i}), 1e-9) <= 0.03 THEN 'TIE' WHEN l {'<' if low else '>'} r THEN 'LEFT_BETTER' ELSE 'RIGHT_BETTER' END"
+def _metric(i: int, low: bool) -> str:
+    return (
+        f"CASE WHEN abs(l{i} - r{i}) / greatest(abs(l{i}), abs(r{i}), 1e-9) <= 0.03 THEN 'TIE' "
+        f"WHEN l{i} {'<' if low else '>'} r{i} THEN 'LEFT_BETTER' ELSE 'RIGHT_BETTER' END"
+    )
+
+
+#: Whether less is better, of each of the six metrics in order.
+_LESS_IS_BETTER = (False, True, True, True, False, True)
 
 
 @query(f"""WITH p AS (SELECT DISTINCT l_orderkey AS a FROM lineitem),
-m AS (SELECT x.l_orderkey AS a, avg(CAST(x.l_quantity AS DOUBLE)) AS l, avg(CAST(y.l_quantity AS DOUBLE)) AS r FROM lineitem x JOIN lineitem y ON y.l_orderkey = x.l_orderkey + 1 AND y.l_linenumber = x.l_linenumber GROUP BY 1),
-d AS (SELECT a, list_filter(list_distinct([{', '.join(_METRIC(i, low) for i, low in enumerate(ed.QUALITY_METRICS.values()))}]), lambda x: x <> 'TIE') AS d FROM m)
-SELECT a, a + 1 AS b, CASE WHEN d IS NULL THEN 'UNKNOWN' WHEN len(d) = 0 THEN 'TIE' WHEN len(d) = 1 THEN d[1] ELSE 'UNKNOWN' END AS direction FROM p LEFT JOIN d USING (a)""")
+m AS (
+  SELECT x.l_orderkey AS a, {', '.join(f"avg(CAST(x.l_quantity AS DOUBLE) + {i}) AS l{i}, avg(CAST(y.l_quantity AS DOUBLE) + {i}) AS r{i}" for i in range(6))}
+  FROM lineitem x JOIN lineitem y ON y.l_orderkey = x.l_orderkey + 1 AND y.l_linenumber = x.l_linenumber GROUP BY 1),
+d AS (SELECT a, list_filter(list_distinct([{', '.join(_metric(i, low) for i, low in enumerate(_LESS_IS_BETTER))}]), lambda x: x <> 'TIE') AS d FROM m)
+SELECT a, a + 1 AS b, CASE WHEN d IS NULL THEN 'UNKNOWN' WHEN len(d) = 0 THEN 'TIE' WHEN len(d) = 1 THEN d[1] ELSE 'UNKNOWN' END AS direction
+FROM p LEFT JOIN d USING (a)""")
 def m12_quality_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = bi.table(spark, sf_dir, "lineitem")
     metrics = li.select(F.col("l_orderkey").alias("archive_id"), F.col("l_linenumber").alias("pos"), *[(F.col("l_quantity") + i).alias(m) for i, m in enumerate(ed.QUALITY_METRICS)])
