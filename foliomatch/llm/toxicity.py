@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -14,15 +15,14 @@ from pyspark.sql.types import StructType
 from foliomatch.llm.common import map_batches
 from foliomatch.plans.stages import materialize
 
-#: Labelled documents that a model is fitted on at most, tokens that it keeps at most, and letters of a stem.
-FIT_DOCUMENTS, LEXICON, STEM = 20_000, 20_000, 4
-#: Pseudo-tokens of the Dirichlet prior, deviations from zero that a token needs, score of a token that says nothing.
-PRIOR, SURE, IDLE = 2000.0, 2.5, -0.3
-#: Largest score of one token, so that one alone does not decide, and E-value up to which a passage is reported.
-MOST, EVALUE = 6.0, 0.01
+#: Labelled documents that a model is fitted on at most, and parts of them of which each is scored by the others.
+FIT_DOCUMENTS, FOLDS = 20_000, 5
+#: Documents that a token's prior weighs, first and last length of the beginnings that words share, what every token costs.
+PRIOR, SHORTEST, LONGEST, DRIFT = 10.0, 2, 32, -1.25
+#: E-value up to which a passage is reported.
+EVALUE = 0.01
 RESULTS = ("n", "best", "evidence", "score", "passages")
 WORD = re.compile(r"[^\W\d_]+")
-JAVA_WORD = r"\p{L}+"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -30,21 +30,34 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(True))
 
 
-def segments(scores: list[tuple[int, float]], n: int, idle: float = IDLE) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments ``(start, end, score)`` of ``n`` tokens in linear time, by start.
+def tokens(text: str | None) -> list[str]:
+    """Words of letters in lower case; fitting and scoring see the same ones."""
+    return WORD.findall((text or "").lower())
 
-    ``scores`` has the tokens (position, score) that differ from ``idle``, ascending. Ruzzo and Tompa's algorithm on
-    runs: a token of its own, or the idle ones between two. Every open candidate links to the nearest one before it whose
-    sum so far is lower, so a search skips what an earlier one has passed; where there is none, all open ones are closed.
+
+def segments(scores: list[tuple[int, float]], n: int, idle: float = -0.3) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments ``(start, end, score)`` of ``n`` tokens, by start.
+
+    ``scores`` has the tokens (position, score) that differ from ``idle``, ascending.
+    """
+    values = np.full(n, idle)
+    if scores:
+        at, own = zip(*scores)
+        values[list(at)] = own
+    return _segments(values)
+
+
+def _segments(values: np.ndarray) -> list[tuple[int, int, float]]:
+    """Ruzzo and Tompa's algorithm in linear time: only tokens that score are visited, between the sums before and after them.
+
+    Every open candidate links to the nearest one before it whose sum so far is lower, so a search skips what an earlier
+    one has passed; where there is none, all open ones are closed.
     """
+    sums = np.concatenate([[0.0], np.cumsum(values)])
+    at = np.flatnonzero(values > 0)
     closed: list[list] = []
     found: list[list] = []  # start, end, sum before, sum after, link
-    total, at = 0.0, 0
-    for i, s in scores:
-        total += (i - at) * idle
-        before, total, at = total, total + s, i + 1
-        if s <= 0:
-            continue
+    for i, before, total in zip(at.tolist(), sums[at].tolist(), sums[at + 1].tolist()):
         start, j = i, len(found) - 1
         while True:
             while j >= 0 and found[j][2] >= before:
@@ -62,31 +75,68 @@ def segments(scores: list[tuple[int, float]], n: int, idle: float = IDLE) -> lis
     return [(x[0], x[1], x[3] - x[2]) for x in closed + found]
 
 
+def word_keys(word: str) -> list[int]:
+    """Hashes of a word's beginnings of ``SHORTEST`` to ``LONGEST`` letters and, last, of the word itself."""
+    parts = [word[:k] for k in range(SHORTEST, min(len(word), LONGEST) + 1)]
+    return [xxhash.xxh64_intdigest(p.encode()) >> 1 for p in (*parts, word + "$")]
+
+
+class Lexicon:
+    """Scores of words and of their beginnings, two-sided: log-odds of a toxic document against those of any.
+
+    A beginning's share of toxic documents has a Dirichlet prior, with the weight of ``PRIOR`` documents, around the share of
+    the beginning that is one letter shorter, and that of ``SHORTEST`` letters around the share of all documents; a word's
+    own is around that of its longest beginning. So a rare word says what its family says, and nothing is left out or cut.
+    """
+
+    def __init__(self, keys: np.ndarray | None = None, scores: np.ndarray | None = None):
+        self.keys = np.empty(0, np.int64) if keys is None else keys
+        self.scores = np.empty(0) if scores is None else scores
+
+    @classmethod
+    def of_counts(cls, keys: np.ndarray, parents: np.ndarray, depths: np.ndarray, toxic: np.ndarray, every: np.ndarray, share: float) -> Lexicon:
+        """From the documents, and the toxic ones, that hold each of the ascending ``keys``; without a shorter one a parent is 0."""
+        above = np.minimum(np.searchsorted(keys, parents), len(keys) - 1)
+        shares = np.empty(len(keys))
+        for depth in np.unique(depths):
+            here = np.flatnonzero(depths == depth)
+            prior = np.where(parents[here] == 0, share, shares[above[here]])
+            shares[here] = (toxic[here] + PRIOR * prior) / (every[here] + PRIOR)
+        return cls(keys, np.log(shares / (1 - shares)) - math.log(share / (1 - share)))
+
+    def score(self, word: str) -> float:
+        """The score of a word, or of its longest beginning that is known, with the cost of every token; else the cost alone."""
+        if not len(self.keys):
+            return DRIFT
+        mine = np.array(word_keys(word), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, mine), len(self.keys) - 1)
+        known = np.flatnonzero(self.keys[at] == mine)
+        return DRIFT + float(self.scores[at[known[-1]]]) if len(known) else DRIFT
+
+
 class Model:
     """Token scores, the extreme-value law of a clean document's best segment, and the map to a probability."""
 
-    def __init__(self, lexicon: dict[str, float], rate: float = 1.0, size: float = 0.1, slope: float = 1.0, shift: float = -3.0):
-        self.lexicon, self.rate, self.size, self.slope, self.shift = lexicon, rate, size, slope, shift
+    def __init__(self, lexicon: Lexicon | None = None, rate: float = 1.0, size: float = 0.1, slope: float = 1.0, shift: float = -3.0):
+        self.lexicon, self.rate, self.size, self.slope, self.shift = lexicon or Lexicon(), rate, size, slope, shift
         self.known: dict[str, float] = {}
 
-    def token(self, word: str) -> float:
-        if (s := self.lexicon.get(word)) is not None:
-            return s
-        return self.lexicon.get("^" + word[:STEM], IDLE) if len(word) > STEM else IDLE
-
-    def passages(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
-        """Number of tokens and all maximal segments."""
-        words = WORD.findall(text.lower())
+    def values(self, words: list[str]) -> np.ndarray:
+        """The score of each word; those of half a million words are remembered."""
         if len(self.known) > 500_000:
             self.known = {}
-        known, hits = self.known, []
-        for i, w in enumerate(words):
-            s = known.get(w)
-            if s is None:
-                s = known[w] = self.token(w)
-            if s != IDLE:
-                hits.append((i, s))
-        return len(words), segments(hits, len(words))
+        known = self.known
+        out = list(map(known.get, words))
+        if None in out:
+            for w in set(words).difference(known):
+                known[w] = self.lexicon.score(w)
+            out = list(map(known.get, words))
+        return np.array(out, float)
+
+    def passages(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
+        """Number of tokens and all maximal segments."""
+        words = tokens(text)
+        return len(words), _segments(self.values(words))
 
     def bits(self, score: float, n: int) -> float:
         """-ln of the E-value of a segment in ``n`` tokens: rate * score - ln(size * n)."""
@@ -97,14 +147,18 @@ class Model:
 
         The segments are independent under the law, so the sum of their normalized scores is weighed once.
         """
-        if not found:
-            return 0.0
-        best = sorted((s for _, _, s in found), reverse=True)
-        total = best[0] + sum(max(0.0, s - math.log(i + 1)) for i, s in enumerate(best[1:], 1))
-        return max(0.0, self.bits(total, n))
+        return max(0.0, self.bits(pooled(found), n)) if found else 0.0
 
     def probability(self, x: float) -> float:
-        return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, self.slope * x + self.shift))))
+        """Of the label, by the logarithm of one more than the evidence, as that of long abuse is without bound."""
+        t = self.slope * math.log1p(x) + self.shift
+        return 1.0 / (1.0 + math.exp(-t)) if t >= 0 else math.exp(t) / (1.0 + math.exp(t))
+
+
+def pooled(found: list[tuple[int, int, float]]) -> float:
+    """The best segment's score and what the others, by rank, have over the logarithm of their rank."""
+    best = sorted((s for _, _, s in found), reverse=True)
+    return best[0] + sum(max(0.0, s - math.log(i + 1)) for i, s in enumerate(best[1:], 1)) if best else 0.0
 
 
 def sample_labels(labels: DataFrame, limit: int = FIT_DOCUMENTS) -> DataFrame:
@@ -117,34 +171,55 @@ def sample_labels(labels: DataFrame, limit: int = FIT_DOCUMENTS) -> DataFrame:
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
-def token_log_odds(texts: DataFrame) -> dict[str, float]:
-    """Scores of words and of stems (with ``^`` before them) from ``texts(text, toxic)``.
-
-    The log-odds ratio of a token between toxic and other documents, with a Dirichlet prior in proportion to the token's
-    share of all (Monroe, Colaresi and Quinn), kept where it is ``SURE`` deviations above zero; at most ``LEXICON``.
-    Totals are of all tokens; after that, those that fewer than two toxic documents hold are left out.
+COUNT_NAMES = ["key", "parent", "depth", *[f"{kind}{k}" for k in range(FOLDS) for kind in "ct"]]
+
+
+def _count_slice(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    """Clean and toxic documents of each part that hold each beginning of a word."""
+    of_word: dict[str, np.ndarray] = {}
+    rows, cells = [], []
+    for text, toxic, fold in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), batch["fold"].to_pylist()):
+        mine = []
+        for w in set(tokens(text)):
+            if w not in of_word:
+                keys = word_keys(w)
+                of_word[w] = np.array([keys, [0, *keys[:-1]], range(len(keys))], np.int64)
+            mine.append(of_word[w])
+        if mine:
+            every = np.concatenate(mine, axis=1)
+            rows.append(every[:, np.unique(every[0], return_index=True)[1]])
+            cells.append(np.full(rows[-1].shape[1], 2 * fold + toxic))
+    if not rows:
+        return None
+    every, cell = np.concatenate(rows, axis=1), np.concatenate(cells)
+    keys, first, at = np.unique(every[0], return_index=True, return_inverse=True)
+    counts = np.bincount(at * 2 * FOLDS + cell, minlength=len(keys) * 2 * FOLDS).reshape(len(keys), -1)
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (keys, every[1][first], every[2][first], *counts.T)], COUNT_NAMES)
+
+
+def lexicons(texts: DataFrame) -> list[Lexicon]:
+    """From ``texts(text, toxic, fold)``: of all parts, then for each part that of the others. All share their keys.
+
+    The sample is bounded, and so is what comes to the driver: a row of counts for each beginning of its words.
     """
-    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(JAVA_WORD), F.lit(0))
-    stems = F.transform(F.filter(F.array_distinct(words), lambda w: F.length(w) > STEM), lambda w: F.concat(F.lit("^"), F.substring(w, 1, STEM)))
-    tokens = texts.select("toxic", F.explode(F.concat(F.array_distinct(words), stems)).alias("token"))
-    counts = tokens.groupBy("token").agg(F.sum("toxic").alias("y"), (F.count("*") - F.sum("toxic")).alias("z"))
-    counts = materialize(counts, "token-counts")
-    sums = counts.select(F.col("token").startswith("^").alias("stem"), "y", "z").groupBy("stem").agg(F.sum("y").alias("ny"), F.sum("z").alias("nz"))
-    rows = counts.withColumn("stem", F.col("token").startswith("^")).join(F.broadcast(sums), "stem")  # two rows
-    prior = PRIOR * (F.col("y") + F.col("z")) / (F.col("ny") + F.col("nz")) + 0.01
-
-    def log_odds(k: str, n: str) -> Column:
-        return F.log((F.col(k) + prior) / F.greatest(F.col(n) + PRIOR - F.col(k) - prior, F.lit(1.0)))
-
-    delta = log_odds("y", "ny") - log_odds("z", "nz")
-    sure = delta / F.sqrt(1 / (F.col("y") + prior) + 1 / (F.col("z") + prior))
-    kept = rows.where("y >= 2").select("token", delta.alias("score"), sure.alias("sure")).where(F.col("sure") >= SURE)
-    top = kept.orderBy(F.desc("sure"), "token").limit(LEXICON).collect()
-    return {r.token: min(MOST, r.score) for r in top if r.score > 0}
+    counted = map_batches(texts.select("text", "toxic", "fold"), _count_slice, ", ".join(f"{c} long" for c in COUNT_NAMES))
+    sums = [F.min(c).cast("long").alias(c) for c in ("parent", "depth")] + [F.sum(c).cast("int").alias(c) for c in COUNT_NAMES[3:]]
+    got = counted.groupBy("key").agg(*sums).toArrow()
+    order = np.argsort(got["key"].to_numpy())
+    keys, parents, depths = (got[c].to_numpy()[order] for c in COUNT_NAMES[:3])
+    n = {(r.fold, r.toxic): r["count"] for r in texts.groupBy("fold", "toxic").count().collect()}
+    out = []
+    for left_out in (None, *range(FOLDS)):
+        folds = [k for k in range(FOLDS) if k != left_out]
+        toxic = sum(got[f"t{k}"].to_numpy() for k in folds)[order]
+        every = toxic + sum(got[f"c{k}"].to_numpy() for k in folds)[order]
+        all_toxic, all_clean = (sum(n.get((k, x), 0) for k in folds) for x in (1, 0))
+        out.append(Lexicon.of_counts(keys, parents, depths, toxic, every, (all_toxic + 1) / (all_toxic + all_clean + 2)))
+    return out
 
 
 def _scored(texts: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """``columns`` with ``n int``, ``best double`` (the best segment's score), ``evidence``, ``score`` and ``passages``.
+    """``columns`` with ``n int``, ``best`` (the best segment's score), ``evidence``, ``score`` and ``passages``.
 
     A column that has one of these names gives way to the result.
     """
@@ -155,7 +230,7 @@ def _scored(texts: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, best, evidence, score, out = [], [], [], [], []
         for text in batch.column(at).to_pylist():
-            size, found = model.passages(text or "")
+            size, found = model.passages(text)
             n.append(size)
             best.append(max((s for _, _, s in found), default=0.0))
             evidence.append(model.evidence(size, found))
@@ -176,41 +251,55 @@ def _scored(texts: DataFrame, model: Model, columns: list[str]) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the labelled documents that are not held out, a bounded sample of them (``FIT_DOCUMENTS``).
 
-    Token counts, the law's constants and the map to a probability come from Spark aggregations over that sample. The
-    law of the best segment in n clean tokens is Gumbel's: its rate solves the Karlin-Altschul equation over clean
-    tokens, its size follows from the mean of their best segments. Without toxic or without clean documents the score
-    of everything is the share of toxic ones, or 0 without labels.
+    Counts come from Spark aggregations over that sample. The law and the map to a probability are fitted on scores that
+    the lexicon of the other parts of the sample gives, so a document does not vouch for its own words. The law of the best
+    segment in n clean tokens is Gumbel's: its rate solves the Karlin-Altschul equation over clean tokens, its size follows
+    from the mean of their best segments. Without toxic or without clean documents the score of everything is the share of
+    toxic ones, or 0 without labels.
     """
-    sample = sample_labels(labels).withColumnRenamed("doc_id", "_label_id")  # FIT_DOCUMENTS rows at most
-    texts = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_label_id")).select("text", "toxic")
+    sample = sample_labels(labels).select(F.col("doc_id").alias("_label_id"), "toxic", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold"))
+    texts = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_label_id")).select("text", "toxic", "fold")
     texts = materialize(texts, "labelled")
     sizes = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
     if not sizes.get(1) or not sizes.get(0):
         p = 0.999 if sizes.get(1) else 0.001
-        return Model({}, slope=0.0, shift=math.log(p / (1 - p)))
-    model = Model(token_log_odds(texts))
-
-    # shares of scores among clean tokens, in steps of 0.1
-    def tally(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen: dict[int, int] = {}
-        for text in batch.column(0).to_pylist():
-            for w in WORD.findall((text or "").lower()):
-                s = round(10 * model.token(w))
-                seen[s] = seen.get(s, 0) + 1
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], ["s", "n"])
-
-    clean = texts.where("toxic = 0").select("text")
-    shares = {r.s / 10: r.n for r in map_batches(clean, tally, "s int, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()}
-    model.rate = _rate(shares)
-    stats = _scored(clean, model, []).where("n > 0").agg(F.avg("best").alias("best"), F.avg(F.log("n")).alias("ln")).first()
-    if stats.best is not None:
-        model.size = min(1.0, max(1e-3, math.exp(model.rate * stats.best - 0.5772 - stats.ln)))
-    scored = _scored(texts, model, ["toxic"]).groupBy(F.round("evidence", 1).alias("x"), "toxic").count().collect()
-    model.slope, model.shift = _logistic([(r.x, r.toxic, r["count"]) for r in scored])
-    model.known = {}
+        return Model(slope=0.0, shift=math.log(p / (1 - p)))
+    every, *others = lexicons(texts)
+    models = [Model(lexicon) for lexicon in others]
+    clean = map_batches(texts.where("toxic = 0"), _tally(models), "s int, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    model = Model(every, rate=_rate({r.s / 10: r.n for r in clean.collect()}))
+    rows = map_batches(texts, _pool(models), "toxic int, n int, best double, pooled double").collect()
+    best = [(r.best, math.log(r.n)) for r in rows if not r.toxic and r.n]
+    if best:
+        model.size = math.exp(model.rate * np.mean([b for b, _ in best]) - 0.5772 - np.mean([ln for _, ln in best]))
+    x = np.array([max(0.0, model.bits(r.pooled, r.n)) if r.best else 0.0 for r in rows])
+    model.slope, model.shift = _logistic(np.log1p(x), np.array([r.toxic for r in rows], float))
     return model
 
 
+def _tally(models: list[Model]):
+    """How many tokens have each score, in steps of 0.1; each part by its own model."""
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        values = [models[k].values(tokens(text)) for text, k in zip(batch["text"].to_pylist(), batch["fold"].to_pylist())]
+        steps, n = np.unique(np.rint(10 * np.concatenate([np.empty(0), *values])).astype(np.int32), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(steps), pa.array(n.astype(np.int64))], ["s", "n"])
+
+    return count
+
+
+def _pool(models: list[Model]):
+    """Tokens, best segment and pooled score of each document; each part by its own model."""
+
+    def score(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [models[k].passages(text) for text, k in zip(batch["text"].to_pylist(), batch["fold"].to_pylist())]
+        best = [max((s for _, _, s in parts), default=0.0) for _, parts in found]
+        columns = [batch["toxic"], pa.array([n for n, _ in found], pa.int32()), pa.array(best, pa.float64()), pa.array([pooled(p) for _, p in found], pa.float64())]
+        return pa.RecordBatch.from_arrays(columns, ["toxic", "n", "best", "pooled"])
+
+    return score
+
+
 def _rate(shares: dict[float, int]) -> float:
     """The positive root of sum p exp(rate s) = 1, or 1 where no clean token has a positive score."""
     n = sum(shares.values())
@@ -225,22 +314,21 @@ def _rate(shares: dict[float, int]) -> float:
             hi = mid
         else:
             lo = mid
-    return min(2.0, lo)
+    return lo
 
 
-def _logistic(rows: list[tuple[float, int, int]]) -> tuple[float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift of the probability of a label, by Newton's method with a small ridge."""
-    x = np.array([min(60.0, r[0]) for r in rows])
-    y, k = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float)
-    w = np.zeros(2)
     a = np.stack([x, np.ones_like(x)], 1)
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (k * (p - y)) + 1e-2 * w
-        h = (a * (k * p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(2)
+    w = np.zeros(2)
+    for _ in range(200):
+        p = np.exp(-np.logaddexp(0.0, -(a @ w)))
+        g = a.T @ (p - y) + 1e-2 * w
+        h = (a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(2)
         step = np.linalg.solve(h, g)
-        w -= np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
+        step *= min(1.0, 2.0 / np.abs(step).max(initial=1e-12))
+        w -= step
+        if np.abs(step).max() < 1e-9:
             break
     return float(max(0.0, w[0])), float(w[1])
 
