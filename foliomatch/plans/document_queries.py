@@ -71,10 +71,10 @@ hashed AS (SELECT *, {_DIGESTS} AS d FROM split),
 units AS MATERIALIZED (
   SELECT archive_id, CAST(pos AS INTEGER) AS pos, sha256(lower(trim(line))) AS pixel, sha256(line) AS byte,
          {_DIGITS(1)} AS dhash, {_DIGITS(2)} AS ahash, CAST(len(line) AS BIGINT) AS area FROM hashed),
-sized AS (SELECT archive_id, CAST(count(*) AS INTEGER) AS n FROM units GROUP BY archive_id),
+sized AS MATERIALIZED (SELECT archive_id, CAST(count(*) AS INTEGER) AS n FROM units GROUP BY archive_id),
 """
 CONTAINERS = """
-containers AS (
+containers AS MATERIALIZED (
   SELECT doc_id AS archive_id, sha256(text) AS file_sha256, list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9]+')[1:3]) AS tokens,
          CAST(strlen(text) AS BIGINT) AS file_size, 1700000000000000000 + doc_id * 1000000000 AS mtime_ns,
          array_to_string(string_split(lower(text), ' ')[1:2], ' ') AS series_key, lpad(CAST(n_chars AS VARCHAR), 8, '0') AS series_date,
@@ -107,19 +107,19 @@ keys AS (
   UNION SELECT DISTINCT archive_id, slot, 'dhash' || i, CAST((CAST('0x' || dhash AS UBIGINT) >> off) & ((1::UBIGINT << w) - 1) AS VARCHAR) FROM probes, band
   UNION SELECT DISTINCT archive_id, slot, 'ahash' || i, CAST((CAST('0x' || ahash AS UBIGINT) >> off) & ((1::UBIGINT << w) - 1) AS VARCHAR) FROM probes, band),
 bucket AS (SELECT slot, kind, key, count(*) AS n FROM keys GROUP BY ALL),
-fit AS (SELECT k.* FROM keys k JOIN bucket b USING (slot, kind, key) WHERE b.n BETWEEN 2 AND 200),
+fit AS MATERIALIZED (SELECT k.* FROM keys k JOIN bucket b USING (slot, kind, key) WHERE b.n BETWEEN 2 AND 200),
 signals AS MATERIALIZED (
   SELECT DISTINCT l.archive_id AS a, r.archive_id AS b, l.slot, CASE WHEN l.kind IN ('pixel', 'byte') THEN l.kind ELSE 'band' END AS signal
   FROM fit l JOIN fit r ON l.slot = r.slot AND l.kind = r.kind AND l.key = r.key AND l.archive_id < r.archive_id
   JOIN containers x ON x.archive_id = l.archive_id JOIN containers y ON y.archive_id = r.archive_id WHERE x.file_sha256 <> y.file_sha256),
 """
 SEEDS = f"""
-distinct_pairs AS (SELECT DISTINCT a, b FROM signals),
+distinct_pairs AS MATERIALIZED (SELECT DISTINCT a, b FROM signals),
 {_RANK('pairs', 'distinct_pairs')},
 ends AS (SELECT *, a AS e FROM pairs UNION ALL SELECT *, b FROM pairs),
 top AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY rank, a, b) AS nth FROM ends),
-mutual AS (SELECT a, b FROM top WHERE nth <= 200 GROUP BY a, b HAVING count(*) = 2),
-sums AS (
+mutual AS MATERIALIZED (SELECT a, b FROM top WHERE nth <= 200 GROUP BY a, b HAVING count(*) = 2),
+sums AS MATERIALIZED (
   SELECT a, b, count(DISTINCT slot) AS n, count(DISTINCT slot) FILTER (WHERE signal = 'pixel') AS px,
          count(DISTINCT slot) FILTER (WHERE signal = 'byte') AS by_, count(DISTINCT slot) FILTER (WHERE signal = 'band') AS lsh
   FROM signals JOIN mutual USING (a, b) GROUP BY a, b HAVING count(DISTINCT slot) >= 2),
@@ -131,7 +131,7 @@ scored AS (
          CAST(30 * px + 25 * by_ + 8 * lsh + CASE WHEN tok THEN 2 ELSE 0 END AS INTEGER) AS score, rank FROM shared JOIN pairs USING (a, b)),
 ends2 AS (SELECT *, a AS e FROM scored UNION ALL SELECT *, b FROM scored),
 top2 AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY score DESC, rank, a, b) AS nth FROM ends2),
-visual AS (SELECT a, b, any_value(reasons) AS reasons, any_value(score) AS score FROM top2 WHERE nth <= 100 GROUP BY a, b HAVING count(*) = 2),
+visual AS MATERIALIZED (SELECT a, b, any_value(reasons) AS reasons, any_value(score) AS score FROM top2 WHERE nth <= 100 GROUP BY a, b HAVING count(*) = 2),
 sha AS (SELECT file_sha256, min(archive_id) AS a FROM containers GROUP BY 1),
 exact AS (SELECT s.a, c.archive_id AS b, ['SAME_ARCHIVE_SHA256'] AS reasons, 100 AS score FROM containers c JOIN sha s USING (file_sha256) WHERE c.archive_id > s.a),
 found AS (SELECT * FROM exact UNION ALL SELECT * FROM visual),
@@ -145,16 +145,18 @@ seeds AS MATERIALIZED (
 MATCH = """
 p AS (SELECT a, b, reasons FROM seeds),
 ps AS (SELECT *, unnest([-2, -1, 0, 1, 2]) AS shift FROM p),
+num AS MATERIALIZED (SELECT archive_id, pos, pixel, area, CAST('0x' || dhash AS UBIGINT) AS h FROM units),
+lefts AS MATERIALIZED (SELECT ps.a, ps.b, ps.shift, l.pos AS lp, l.pos + ps.shift AS at, l.area AS la, l.pixel, l.h FROM ps JOIN num l ON l.archive_id = ps.a),
 lr AS MATERIALIZED (
-  SELECT ps.a, ps.b, ps.shift, l.pos AS lp, r.pos AS rp, l.area AS la, r.area AS ra, l.pixel = r.pixel AS same
-  FROM ps JOIN units l ON l.archive_id = ps.a JOIN units r ON r.archive_id = ps.b AND r.pos = l.pos + ps.shift
-  WHERE l.pixel = r.pixel OR bit_count(xor(CAST('0x' || l.dhash AS UBIGINT), CAST('0x' || r.dhash AS UBIGINT))) <= 6),
-by_shift AS (SELECT a, b, shift, count(*) AS matched, median(la) AS lm, median(ra) AS rm FROM lr GROUP BY ALL),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY matched DESC, abs(shift), shift) AS nth FROM by_shift) WHERE nth = 1),
-equal AS (SELECT a, b, count(*) AS eq FROM lr WHERE shift = 0 AND same GROUP BY ALL),
-bagc AS (SELECT archive_id, pixel, count(*) AS n FROM units GROUP BY ALL),
-bag AS (SELECT p.a, p.b, CAST(sum(least(l.n, r.n)) AS INTEGER) AS common FROM p JOIN bagc l ON l.archive_id = p.a JOIN bagc r ON r.archive_id = p.b AND r.pixel = l.pixel WHERE list_contains(p.reasons, 'DATED_SERIES_TITLE') GROUP BY ALL),
-facts AS (
+  SELECT l.a, l.b, l.shift, l.lp, r.pos AS rp, l.la, r.area AS ra, l.pixel = r.pixel AS same
+  FROM lefts l JOIN num r ON r.archive_id = l.b AND r.pos = l.at
+  WHERE l.pixel = r.pixel OR bit_count(xor(l.h, r.h)) <= 6),
+by_shift AS MATERIALIZED (SELECT a, b, shift, count(*) AS matched, median(la) AS lm, median(ra) AS rm FROM lr GROUP BY ALL),
+best AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY matched DESC, abs(shift), shift) AS nth FROM by_shift) WHERE nth = 1),
+equal AS MATERIALIZED (SELECT a, b, count(*) AS eq FROM lr WHERE shift = 0 AND same GROUP BY ALL),
+bagc AS MATERIALIZED (SELECT archive_id, pixel, count(*) AS n FROM units GROUP BY ALL),
+bag AS MATERIALIZED (SELECT p.a, p.b, CAST(sum(least(l.n, r.n)) AS INTEGER) AS common FROM p JOIN bagc l ON l.archive_id = p.a JOIN bagc r ON r.archive_id = p.b AND r.pixel = l.pixel WHERE list_contains(p.reasons, 'DATED_SERIES_TITLE') GROUP BY ALL),
+facts AS MATERIALIZED (
   SELECT p.*, coalesce(x.n, 0) AS na, coalesce(y.n, 0) AS nb, ca.file_sha256 = cb.file_sha256 AS copies, coalesce(best.matched, 0) AS m, coalesce(best.shift, 0) AS shift, lm, rm, coalesce(eq, 0) AS eq, coalesce(common, 0) AS common
   FROM p LEFT JOIN sized x ON x.archive_id = p.a LEFT JOIN sized y ON y.archive_id = p.b JOIN containers ca ON ca.archive_id = p.a JOIN containers cb ON cb.archive_id = p.b
   LEFT JOIN best ON best.a = p.a AND best.b = p.b LEFT JOIN equal ON equal.a = p.a AND equal.b = p.b LEFT JOIN bag ON bag.a = p.a AND bag.b = p.b),
