@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliomatch.operators import inventory as iv
 from foliomatch.plans.stages import materialize, new_path, spread
+from foliomatch.sources import archives as ar
 from foliomatch.sources import bindings as bi
 from foliomatch.sources.generations import Generations, replace_relations
 
@@ -128,3 +129,37 @@ def s11_candidate_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = store.open(1)
     found = iv.candidate_evidence(one.table("archives"), one.table("fingerprints"), one.table("images"), version=2)
     return iv.still_current(found, store.open().table("archives")).select("archive_id", "slot", "pos", "pixel")
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, 'c' || lpad(CAST(doc_id // 64 AS VARCHAR), 10, '0') AS container, coalesce(text, '') AS text FROM documents)
+SELECT container, CAST(row_number() OVER (PARTITION BY container ORDER BY doc_id) - 1 AS INTEGER) AS pos, doc_id || '.txt' AS member,
+       CAST(strlen(text) AS BIGINT) AS size, 'OTHER' AS kind, sha256(text) AS sha256 FROM d""")
+def s03_s06_container_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as ZIP containers of 64, which are found, listed and read again by ranges, each member by its place."""
+    docs = spread(bi.table(spark, sf_dir, "documents"), "doc_id")
+    name = F.concat(F.lit("c"), F.lpad(F.floor(F.col("doc_id") / 64).cast("string"), 10, "0"))
+    member = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    root = new_path(spark, "containers")
+    materialize(ar.write_containers(docs.select(name.alias("container"), member.alias("member"), F.col("text").cast("binary").alias("payload")), root), "written")
+    files = materialize(ar.discover(spark, root).select("path", "file_size", "mtime_ns"), "found")
+    members = materialize(ar.list_members(files), "members")
+    read = ar.read_members(files, members).where("error IS NULL").select("path", "member", F.sha2("payload", 256).alias("sha256"))
+    rows = members.join(read, ["path", "member"])
+    return rows.select(F.regexp_extract("path", r"([^/]*)\.zip$", 1).alias("container"), "pos", "member", "size", "kind", "sha256")
+
+
+@query(r"""
+WITH d AS (SELECT 'c' || lpad(CAST(doc_id // 64 AS VARCHAR), 10, '0') AS container, count(*) AS members FROM documents GROUP BY 1)
+SELECT container, members, true AS same FROM d""")
+def f11_file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of container files in chunks, each against that of the whole file as one value."""
+    docs = spread(bi.table(spark, sf_dir, "documents"), "doc_id")
+    name = F.concat(F.lit("c"), F.lpad(F.floor(F.col("doc_id") / 64).cast("string"), 10, "0"))
+    root = new_path(spark, "digests")
+    rows = docs.select(name.alias("container"), F.col("doc_id").cast("string").alias("member"), F.col("text").cast("binary").alias("payload"))
+    written = materialize(ar.write_containers(rows, root), "written")
+    digests = ar.file_digests(ar.discover(spark, root).select("path", "file_size", "mtime_ns"))
+    whole = spark.read.format("binaryFile").load(root).select("path", F.sha2("content", 256).alias("whole"))
+    both = digests.join(whole, "path").select(F.regexp_extract("path", r"([^/]*)\.zip$", 1).alias("container"), F.col("sha256").eqNullSafe(F.col("whole")).alias("same"))
+    return written.join(both, "container").select("container", "members", "same")

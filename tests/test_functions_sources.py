@@ -1,6 +1,7 @@
 """Text, date, sampling and language functions, archive sources, tables, streams, and all registered SQL."""
 
 import datetime as dt
+import hashlib
 import os
 import zipfile
 
@@ -251,6 +252,101 @@ def test_archives(spark, tmp_path):
     assert [(r.member, r["size"], r.crc, r.encrypted) for r in parsed] == [("a.jpg", 3, "abcd0123", False)]
 
 
+def test_large_containers_are_read_by_ranges(spark, tmp_path):
+    """A container of 2 GiB lists in little memory, though nearly all of it is before the first member."""
+    import tracemalloc
+
+    big = tmp_path / "big.zip"
+    with open(big, "wb") as f:
+        f.truncate(2 << 30)
+    with zipfile.ZipFile(big, "a") as z:
+        for i in (10, 9):
+            z.writestr(f"p{i}.jpg", b"x" * i)
+    tracemalloc.start()
+    rows = ar._listing(str(big), None, None)
+    assert tracemalloc.get_traced_memory()[1] < 4 << 20
+    tracemalloc.stop()
+    assert [r[1:3] for r in rows] == [("p10.jpg", 10), ("p9.jpg", 9)]
+    files = ar.discover(spark, str(tmp_path))
+    members = ar.list_members(files)
+    got = ar.read_members(files, members).collect()
+    assert sorted((r.member, len(r.payload)) for r in got) == [("p10.jpg", 10), ("p9.jpg", 9)]
+
+
+def test_containers_that_change(spark, tmp_path):
+    for name in ("a", "b", "c"):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            z.writestr("p2.jpg", b"two")
+            z.writestr("p10.jpg", b"ten")
+    files = ar.discover(spark, str(tmp_path)).select("path", "file_size", "mtime_ns").collect()
+    files = spark.createDataFrame(files + [(str(tmp_path / "none.zip"), 5, 5)], "path string, file_size long, mtime_ns long")
+    members = spark.createDataFrame(ar.list_members(files).collect())
+    want = members.where("member IS NOT NULL")
+    name = lambda r: os.path.basename(r.path)
+    assert [(name(r), r.error) for r in members.where("member IS NULL").collect()] == [("none.zip", "FILE_NOT_FOUND")]
+    good = {(name(r), r.member): bytes(r.payload) for r in ar.read_members(files, want).collect()}
+    assert good == {(f"{n}.zip", m): d for n in "abc" for m, d in (("p2.jpg", b"two"), ("p10.jpg", b"ten"))}
+    # b is longer now; c has the same length but another member at each place, as the names say
+    with zipfile.ZipFile(tmp_path / "b.zip", "a") as z:
+        z.writestr("more", b"m")
+    with zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
+        z.writestr("p9.jpg", b"two")
+        z.writestr("p10.jpg", b"ten")
+    codes = lambda f, w: {(name(r), r.member): r.error for r in ar.read_members(f, w).collect()}
+    now = codes(files, want)
+    assert {k: v for k, v in now.items() if k[0] != "c.zip"} == {("a.zip", "p2.jpg"): None, ("a.zip", "p10.jpg"): None, ("b.zip", "p2.jpg"): "SNAPSHOT_CHANGED", ("b.zip", "p10.jpg"): "SNAPSHOT_CHANGED"}
+    bare = files.select("path")
+    assert {k: v for k, v in codes(bare, want).items() if k[0] == "c.zip"} == {("c.zip", "p2.jpg"): "ENTRY_CHANGED", ("c.zip", "p10.jpg"): None}
+    swapped = want.withColumn("pos", 1 - F.col("pos"))
+    assert set(codes(bare, swapped.where("path LIKE '%a.zip'")).values()) == {"ENTRY_CHANGED"}
+    digests = {name(r): (r.sha256, r.error) for r in ar.file_digests(files).collect()}
+    assert digests["a.zip"] == (hashlib.sha256((tmp_path / "a.zip").read_bytes()).hexdigest(), None)
+    assert digests["b.zip"] == (None, "SNAPSHOT_CHANGED") and digests["none.zip"] == (None, "FILE_NOT_FOUND")
+
+
+def test_damaged_and_crowded_containers(spark, tmp_path, monkeypatch):
+    with zipfile.ZipFile(tmp_path / "many.zip", "w") as z:
+        for i in range(6):
+            z.writestr(f"{i}.jpg", b"x")
+    whole = (tmp_path / "many.zip").read_bytes()
+    (tmp_path / "cut.zip").write_bytes(whole[:-30])
+    (tmp_path / "bent.zip").write_bytes(whole.replace(b"PK\1\2", b"PK\1\3"))
+    (tmp_path / "nothing.zip").write_bytes(b"")
+    broken = bytearray(whole)
+    broken[whole.index(b"3.jpg") + 5] ^= 1
+    (tmp_path / "flip.zip").write_bytes(bytes(broken))
+    codes = {p.name: ar._listing(str(p), None, None)[0][-1] for p in tmp_path.iterdir()}
+    assert codes == {"many.zip": None, "cut.zip": "DAMAGED", "bent.zip": "DAMAGED", "nothing.zip": "DAMAGED", "flip.zip": None}
+    files = ar.discover(spark, str(tmp_path)).where("path LIKE '%flip.zip'")
+    bad = [r.member for r in ar.read_members(files, ar.list_members(files)).where("error = 'MEMBER_UNREADABLE'").collect()]
+    assert bad == ["3.jpg"]
+    monkeypatch.setattr(ar, "MAX_MEMBERS", 5)
+    assert ar._listing(str(tmp_path / "many.zip"), None, None)[0][-1] == "TOO_MANY_MEMBERS"
+    monkeypatch.setattr(ar, "MAX_LISTING", 100)
+    monkeypatch.setattr(ar, "MAX_MEMBERS", 50)
+    assert ar._listing(str(tmp_path / "many.zip"), None, None)[0][-1] == "LISTING_TOO_LARGE"
+
+
+def test_natural_order_in_tasks_is_that_of_the_column(spark):
+    names = ["p10", "p9", "P9b", "a/2", "a\\10", "é1", "e\u03011", "1" * 40, "1" * 39 + "2", "007", "7", "07x", "Ｚ", "", "x" * 3, "0"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    want = [r.n for r in df.orderBy(ar.natural_key(F.col("n")), "n").collect()]
+    assert sorted(names, key=ar._natural) == want
+
+
+def test_written_containers(spark, tmp_path):
+    rows = [(f"c{i % 3}", f"p{i}.txt", bytes([i]) * i if i else None) for i in range(20)]
+    df = spark.createDataFrame(rows, "container string, member string, payload binary")
+    root = f"file://{tmp_path}/out"
+    assert sorted(map(tuple, ar.write_containers(df, root).collect())) == [("c0", 7), ("c1", 7), ("c2", 6)]
+    first = {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()}
+    ar.write_containers(df.repartition(3), root).collect()
+    assert {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()} == first and len(first) == 3
+    files = ar.discover(spark, root)
+    got = {(os.path.basename(r.path)[:-4], r.member, bytes(r.payload)) for r in ar.read_members(files, ar.list_members(files)).collect()}
+    assert got == {(c, m, p or b"") for c, m, p in rows}
+
+
 def test_ledger_streams(spark, tmp_path):
     schema = "id long, archive_id long, action string, ts timestamp"
     src = tmp_path / "ledger"
