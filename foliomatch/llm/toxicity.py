@@ -16,9 +16,9 @@ from foliomatch.llm.common import map_batches
 from foliomatch.plans.stages import materialize
 
 #: Labelled documents that a model is fitted on at most, and parts of them of which each is scored by the others.
-FIT_DOCUMENTS, FOLDS = 20_000, 5
+FIT_DOCUMENTS, FOLDS = 20_000, 3
 #: Documents that a token's prior weighs, first and last length of the beginnings that words share, what every token costs.
-PRIOR, SHORTEST, LONGEST, DRIFT = 10.0, 2, 32, -1.25
+PRIOR, SHORTEST, LONGEST, DRIFT = 3.0, 2, 32, -1.5
 #: E-value up to which a passage is reported.
 EVALUE = 0.01
 RESULTS = ("n", "best", "evidence", "score", "passages")
@@ -86,23 +86,24 @@ class Lexicon:
 
     A beginning's share of toxic documents has a Dirichlet prior, with the weight of ``PRIOR`` documents, around the share of
     the beginning that is one letter shorter, and that of ``SHORTEST`` letters around the share of all documents; a word's
-    own is around that of its longest beginning. So a rare word says what its family says, and nothing is left out or cut.
+    own is around that of its longest beginning. So a rare word says what its family says. A beginning that stands in the
+    same documents as the shorter one adds no evidence: its share is that one's, and it need not be kept to be scored.
     """
 
     def __init__(self, keys: np.ndarray | None = None, scores: np.ndarray | None = None):
         self.keys = np.empty(0, np.int64) if keys is None else keys
         self.scores = np.empty(0) if scores is None else scores
 
-    @classmethod
-    def of_counts(cls, keys: np.ndarray, parents: np.ndarray, depths: np.ndarray, toxic: np.ndarray, every: np.ndarray, share: float) -> Lexicon:
-        """From the documents, and the toxic ones, that hold each of the ascending ``keys``; without a shorter one a parent is 0."""
-        above = np.minimum(np.searchsorted(keys, parents), len(keys) - 1)
-        shares = np.empty(len(keys))
+    @staticmethod
+    def log_odds(above: np.ndarray, depths: np.ndarray, toxic: np.ndarray, every: np.ndarray, share: float) -> np.ndarray:
+        """Log-odds from the documents, and the toxic ones, that hold each key; ``above`` is the place of the shorter one, or -1."""
+        shares = np.empty(len(above))
+        same = (above >= 0) & (every == every[above])
         for depth in np.unique(depths):
             here = np.flatnonzero(depths == depth)
-            prior = np.where(parents[here] == 0, share, shares[above[here]])
-            shares[here] = (toxic[here] + PRIOR * prior) / (every[here] + PRIOR)
-        return cls(keys, np.log(shares / (1 - shares)) - math.log(share / (1 - share)))
+            prior = np.where(above[here] < 0, share, shares[above[here]])
+            shares[here] = np.where(same[here], prior, (toxic[here] + PRIOR * prior) / (every[here] + PRIOR))
+        return np.log(shares / (1 - shares)) - math.log(share / (1 - share))
 
     def score(self, word: str) -> float:
         """The score of a word, or of its longest beginning that is known, with the cost of every token; else the cost alone."""
@@ -207,14 +208,19 @@ def lexicons(texts: DataFrame) -> list[Lexicon]:
     got = counted.groupBy("key").agg(*sums).toArrow()
     order = np.argsort(got["key"].to_numpy())
     keys, parents, depths = (got[c].to_numpy()[order] for c in COUNT_NAMES[:3])
+    above = np.where(parents == 0, -1, np.searchsorted(keys, parents))
     n = {(r.fold, r.toxic): r["count"] for r in texts.groupBy("fold", "toxic").count().collect()}
-    out = []
+    out, kept = [], None
     for left_out in (None, *range(FOLDS)):
         folds = [k for k in range(FOLDS) if k != left_out]
         toxic = sum(got[f"t{k}"].to_numpy() for k in folds)[order]
         every = toxic + sum(got[f"c{k}"].to_numpy() for k in folds)[order]
+        if kept is None:
+            kept = np.flatnonzero((above < 0) | (every != every[above]))
+            own = keys[kept]
         all_toxic, all_clean = (sum(n.get((k, x), 0) for k in folds) for x in (1, 0))
-        out.append(Lexicon.of_counts(keys, parents, depths, toxic, every, (all_toxic + 1) / (all_toxic + all_clean + 2)))
+        scores = Lexicon.log_odds(above, depths, toxic, every, (all_toxic + 1) / (all_toxic + all_clean + 2))
+        out.append(Lexicon(own, scores[kept].astype(np.float32)))
     return out
 
 

@@ -301,8 +301,12 @@ def test_fit_is_the_definition(spark):
         share = (sum(x for _, x in found) + 1) / (len(found) + 2)
 
         def theta(prefix, whole):
-            own = [x for w, x in found if any(y == prefix if whole else y.startswith(prefix) for y in w)]
-            up = theta(prefix[:32], False) if whole and len(prefix) >= 2 else theta(prefix[:-1], False) if not whole and len(prefix) > 2 else share
+            held = lambda p, whole: [i for i, (w, _) in enumerate(found) if any(y == p if whole else y.startswith(p) for y in w)]
+            shorter = prefix[:32] if whole and len(prefix) >= 2 else prefix[:-1] if not whole and len(prefix) > 2 else None
+            up = share if shorter is None else theta(shorter, False)
+            if shorter is not None and held(prefix, whole) == held(shorter, False):
+                return up
+            own = [found[i][1] for i in held(prefix, whole)]
             return (sum(own) + toxicity.PRIOR * up) / (len(own) + toxicity.PRIOR)
 
         return lambda word: math.log(theta(word, True) / (1 - theta(word, True))) - math.log(share / (1 - share)) + toxicity.DRIFT
@@ -311,7 +315,7 @@ def test_fit_is_the_definition(spark):
     score = plain(fitted)
     for w in pool + ["grumpalissimo", "zebra", "unseen"]:
         for w in re.findall(r"[^\W\d_]+", w.lower()):
-            assert model.lexicon.score(w) == pytest.approx(score(w))
+            assert model.lexicon.score(w) == pytest.approx(score(w), abs=1e-5)
     others = [plain([f for f in fitted if fold[f[2]] != h]) for h in range(toxicity.FOLDS)]
     clean = [[others[fold[i]](w) for w in re.findall(r"[^\W\d_]+", (t or "").lower())] for t, x, i in fitted if not x]
     flat = [round(s, 1) for c in clean for s in c]
