@@ -1,15 +1,14 @@
-"""Removing repeated byte strings by prefix-free parsing of the corpus.
-
-Rolling-hash triggers cut every text into phrases in a way that depends on nearby bytes alone: the trigger of a window of
-``length`` bytes is its least hash of ``GRAM`` bytes, the first of equal ones. So equal windows have the same trigger at
-the same place, whatever stands around them, and phrases are free of prefixes of each other in the sense that matters
-here. A phrase's entry in the dictionary is its trigger with as much text around it as a window can reach.
-
-The parse is the list of (entry, doc_id, place). Where an entry occurs again, all windows around it occur again: that is
-settled on hashes of entries, without their texts, first among the rows of a task and then by one shuffle. What is left
-are different entries with the same trigger: where a repeated passage begins or ends. Their texts are fetched, and the
-suffixes of these dictionary entries that start at the same place before the trigger are sorted to the depth of a window.
-Equal neighbours in that order are equal windows, and the parse says which of them comes first in the corpus.
+"""Removing repeated byte strings by triggers of a rolling hash.
+
+The trigger of a window of ``length`` bytes is its least hash of ``GRAM`` bytes, the first of equal ones. So equal windows
+have the same trigger at the same place, whatever stands around them. An occurrence of a trigger has an entry: the trigger
+with as much text around it as a window can reach.
+
+Where an entry occurs again, all windows around it occur again: that is settled on two hashes, of the trigger and of the
+entry, without texts, first among the rows of a task and then by one shuffle. What is left are different entries with the
+same trigger: where a repeated passage begins or ends. Their texts are fetched, and their windows, those that start at the
+same place before the trigger, are compared by their bytes in sorted order. This is no prefix-free parsing: neither a
+dictionary nor a parse has a suffix array, see the README.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -35,6 +34,8 @@ HELD = 1 << 19
 TOGETHER = 2000
 #: Entries of such triggers whose windows a task compares among themselves before they are dealt out.
 CHUNK = 2000
+#: Keys over which the entries of one trigger are dealt when crowded triggers are told from others.
+SALTS = 16
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _POWERS: list[np.ndarray] = []
@@ -92,33 +93,46 @@ def entry_bounds(place: np.ndarray, size: int, length: int, gram: int) -> tuple[
     return np.maximum(0, place - (length - gram)), np.minimum(size, place + length)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``(_id, _key, text)``: doc_id with null as the smallest long, and a hash that tells texts of one doc_id apart."""
+def _keyed(docs: DataFrame, *more: str | Column) -> DataFrame:
+    """``(_id, _key, text, *more)``: doc_id with null as the smallest long, and a hash that tells texts of one doc_id apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     least = F.lit(-(1 << 63)).cast("long")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("_id"), (F.xxhash64(text).bitwiseAND(F.lit((1 << 31) - 1))).alias("_key"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("_id"), F.xxhash64(text).alias("_key"), text.alias("text"), *more)
+
+
+def _once(keyed: DataFrame) -> DataFrame:
+    """One row for each id and text. Repeated ones are found by their keys; texts are dealt out only if there are any."""
+    key = ["_id", "_key"]
+    repeated = materialize(keyed.groupBy(*key).count().where("count > 1").select(*key), "repeated-rows")
+    if repeated.isEmpty():
+        return keyed
+    # each task keeps one of the rows of a key, so a row that makes up a third of the table is met once a task
+    one = keyed.join(repeated, key, "left_semi").groupBy(*key).agg(F.first("text").alias("text"))
+    return keyed.join(repeated, key, "left_anti").unionByName(one)
 
 
 def _parse(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """Occurrences ``(trigger, entry, id, at)`` with ``at`` = place * 2^31 + key of the text; ``entry`` is null for those
-    whose entry the same task has met in an earlier place. They need no further look, so any trigger will do to deal
-    them out: a passage that very many documents share comes to the shuffle once from each task."""
+    """Occurrences ``(trigger, entry, id, key, at)`` with the place ``at``; ``entry`` is null for those whose entry the same
+    task has met in an earlier place. They need no further look, so any trigger will do to deal them out: a passage that
+    very many documents share comes to the shuffle once from each task."""
     from xxhash import xxh3_64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def settle() -> pa.RecordBatch:
-            trigger, entry, id_, at = (np.concatenate(c) for c in zip(*held))
+            trigger, entry, id_, key, at = (np.concatenate(c) for c in zip(*held))
             held.clear()
-            order = np.lexsort((at, id_, entry))
-            trigger, entry, id_, at = trigger[order], entry[order], id_[order], at[order]
-            again = np.r_[False, entry[1:] == entry[:-1]]
-            # equal rows (a repeated row of the table) are the same occurrence, not an earlier one
+            order = np.lexsort((at, id_, entry, trigger))
+            trigger, entry, id_, key, at = (c[order] for c in (trigger, entry, id_, key, at))
+            again = np.r_[False, (entry[1:] == entry[:-1]) & (trigger[1:] == trigger[:-1])]
+            # the same place of another text of the id is the same occurrence, not an earlier one
             first = np.maximum.accumulate(np.where(again, 0, np.arange(len(again))))
-            again &= (id_ != id_[first]) | (at >> 31 != at[first] >> 31)
-            spread = np.where(again, id_ * 1_000_003 + (at >> 31), trigger)
-            return pa.RecordBatch.from_arrays([pa.array(spread), pa.array(entry, mask=again), pa.array(id_), pa.array(at)], ["trigger", "entry", "id", "at"])
+            again &= (id_ != id_[first]) | (at != at[first])
+            with np.errstate(over="ignore"):
+                spread = np.where(again, id_ * 1_000_003 + at, trigger)
+            columns = [pa.array(spread), pa.array(entry, mask=again), pa.array(id_), pa.array(key), pa.array(at)]
+            return pa.RecordBatch.from_arrays(columns, ["trigger", "entry", "id", "key", "at"])
 
         n = 0
         for batch in batches:
@@ -131,7 +145,8 @@ def _parse(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 entry = np.array([xxh3_64_intdigest(raw[a:b]) for a, b in zip(lo.tolist(), hi.tolist())], np.uint64)
                 # an entry cut short by the text's start has its trigger elsewhere
                 entry ^= (place - lo).astype(np.uint64)
-                held.append((value.view(np.int64), entry.view(np.int64), np.full(len(place), id_, np.int64), place << 31 | key))
+                own = [np.full(len(place), x, np.int64) for x in (id_, key)]
+                held.append((value.view(np.int64), entry.view(np.int64), *own, place))
                 n += len(place)
                 if n >= HELD:
                     yield settle()
@@ -139,46 +154,49 @@ def _parse(docs: DataFrame, length: int, gram: int) -> DataFrame:
         if held:
             yield settle()
 
-    return docs.mapInArrow(run, "trigger long, entry long, id long, at long")
+    return docs.mapInArrow(run, "trigger long, entry long, id long, key long, at long")
 
 
 def _first_of_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From occurrences sorted by trigger, entry, id and place: those of an entry met before, as ``(null, id, at)``; and
-    the first ones of triggers with several entries, as ``(trigger, id, at)``. It keeps one occurrence at a time."""
-    last = None  # trigger, entry, id, at and whether it was given out
+    """From occurrences sorted by trigger, entry, id and place: those of an entry met before, as ``(null, id, key, at)``; and
+    the first ones of triggers with several entries, as ``(trigger, id, key, at)``, with those at the same place of another
+    text of the id. It keeps one occurrence at a time."""
+    last = None  # trigger, entry, id, key, at and whether it was given out
+    names = ["trigger", "id", "key", "at"]
     for batch in batches:
         if not batch.num_rows:
             continue
         met = batch.column(1).is_null().to_numpy(zero_copy_only=False)
-        t, e, i, a = (c.fill_null(0).to_numpy() for c in batch.columns)
+        t, e, i, k, a = (c.fill_null(0).to_numpy() for c in batch.columns)
         if met.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(int(met.sum()), pa.int64()), pa.array(i[met]), pa.array(a[met])], ["trigger", "id", "at"])
-            t, e, i, a = t[~met], e[~met], i[~met], a[~met]
+            yield pa.RecordBatch.from_arrays([pa.nulls(int(met.sum()), pa.int64()), pa.array(i[met]), pa.array(k[met]), pa.array(a[met])], names)
+            t, e, i, k, a = (c[~met] for c in (t, e, i, k, a))
             if not len(t):
                 continue
         if last is not None:
-            t, e, i, a = np.r_[last[0], t], np.r_[last[1], e], np.r_[last[2], i], np.r_[last[3], a]
+            t, e, i, k, a = (np.r_[x, c] for x, c in zip(last, (t, e, i, k, a)))
         same_t = np.r_[False, t[1:] == t[:-1]]
         again = same_t & np.r_[False, e[1:] == e[:-1]]
         head = np.maximum.accumulate(np.where(again, 0, np.arange(len(t))))
-        covered = again & ((i != i[head]) | (a >> 31 != a[head] >> 31))
+        covered = again & ((i != i[head]) | (a != a[head]))
+        beside = again & ~covered
         heads = np.flatnonzero(~again)
         ht = t[heads]
         several = np.r_[False, ht[1:] == ht[:-1]] | np.r_[ht[1:] == ht[:-1], False]
         out = heads[several]
-        if last is not None and len(out) and out[0] == 0 and last[4]:
+        if last is not None and len(out) and out[0] == 0 and last[5]:
             out = out[1:]
         end = int(head[-1])
-        given = bool(several[-1]) or (last is not None and end == 0 and last[4])
-        last = (t[end : end + 1], e[end : end + 1], i[end : end + 1], a[end : end + 1], given)
-        rows = [(pa.nulls(int(covered.sum()), pa.int64()), i[covered], a[covered]), (pa.array(t[out]), i[out], a[out])]
-        for trigger, id_, at in rows:
-            if len(id_):
-                yield pa.RecordBatch.from_arrays([trigger, pa.array(id_), pa.array(at)], ["trigger", "id", "at"])
+        given = bool(several[-1]) or (last is not None and end == 0 and last[5])
+        last = (*(c[end : end + 1] for c in (t, e, i, k, a)), given)
+        out = np.r_[out, np.flatnonzero(beside)]
+        for trigger, rows in ((pa.nulls(int(covered.sum()), pa.int64()), covered), (pa.array(t[out]), out)):
+            if len(trigger):
+                yield pa.RecordBatch.from_arrays([trigger, pa.array(i[rows]), pa.array(k[rows]), pa.array(a[rows])], names)
 
 
-def _sorted_suffixes(rows: list[tuple[int, int, int, bytes]], places: range, length: int) -> Iterator[tuple[int, int, int, int]]:
-    """``(id, key, start, end)`` of windows in ``rows(id, at, before, entry)`` that equal an earlier one, runs joined.
+def _sorted_suffixes(rows: list[tuple[int, int, int, int, bytes]], places: range, length: int) -> Iterator[tuple[int, int, int, int]]:
+    """``(id, key, start, end)`` of windows in ``rows(id, key, at, before, entry)`` that equal an earlier one, runs joined.
 
     For each number of bytes before the trigger, the entries' suffixes that start there are put in order of their first
     ``length`` bytes and, where these are equal, of the corpus.
@@ -186,19 +204,18 @@ def _sorted_suffixes(rows: list[tuple[int, int, int, bytes]], places: range, len
     hits: dict[int, list[int]] = {}
     for back in places:
         suffixes = []
-        for nth, (id_, at, before, entry) in enumerate(rows):
+        for nth, (id_, _, at, before, entry) in enumerate(rows):
             start = before - back
             if start >= 0 and start + length <= len(entry):
-                suffixes.append((entry[start : start + length], id_, at >> 31, nth))
+                suffixes.append((entry[start : start + length], id_, at, nth))
         suffixes.sort()
         for _, same in groupby(suffixes, lambda s: s[0]):
             first, *later = same
             for one in later:
-                if one[1:3] != first[1:3]:  # a repeated row of the table is the same occurrence
+                if one[1:3] != first[1:3]:  # another text of the id at the same place is the same occurrence
                     hits.setdefault(one[3], []).append(back)
     for nth, backs in hits.items():
-        id_, at, _, _ = rows[nth]
-        place, key = at >> 31, at & ((1 << 31) - 1)
+        id_, key, place, _, _ = rows[nth]
         starts = sorted(place - b for b in backs)
         for _, run in groupby(enumerate(starts), lambda x: x[1] - x[0]):
             run = [s for _, s in run]
@@ -217,7 +234,7 @@ def _runs(hits: list[tuple[int, int, int]], length: int) -> pa.RecordBatch:
 
 
 def _windows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """From entries ``(trigger, id, at, before, entry)``: their windows as ``(window, id, at, back)``.
+    """From entries ``(trigger, id, key, at, before, entry)``: their windows as ``(window, id, key, at, back)``.
 
     Of equal windows among ``CHUNK`` entries only the first is dealt out by its bytes; the others are marked by a null
     window, so that a window of very many documents comes to the shuffle once from each chunk.
@@ -225,21 +242,20 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Itera
     for batch in batches:
         for at0 in range(0, batch.num_rows, CHUNK):
             rows = []
-            for _, id_, at, before, entry in zip(*(c.to_pylist() for c in batch.slice(at0, CHUNK).columns)):
+            for _, id_, key, at, before, entry in zip(*(c.to_pylist() for c in batch.slice(at0, CHUNK).columns)):
                 # equal windows have their trigger at the same place, so bytes and place before it name a window
-                rows += [(entry[before - b : before - b + length], b, id_, at) for b in range(min(before, length - gram) + 1) if before - b + length <= len(entry)]
+                rows += [(entry[before - b : before - b + length], b, id_, at, key) for b in range(min(before, length - gram) + 1) if before - b + length <= len(entry)]
             rows.sort()
             out, first = [], None
             for row in rows:
                 if first is None or row[:2] != first[:2]:
                     first = row
-                    out.append((row[0], row[2], row[3], row[1]))
-                else:  # a repeated row of the table is the same occurrence
-                    same = row[2] == first[2] and row[3] >> 31 == first[3] >> 31
-                    out.append((row[0] if same else None, row[2], row[3], row[1]))
+                    out.append((row[0], row[2], row[4], row[3], row[1]))
+                else:  # another text of the id at the same place is the same occurrence
+                    out.append((row[0] if row[2:4] == first[2:4] else None, row[2], row[4], row[3], row[1]))
             if out:
-                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["window", "id", "at", "back"])
+                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["window", "id", "key", "at", "back"])
 
 
 def _later_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -247,13 +263,13 @@ def _later_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
     equal ones, and of the marked ones. It keeps one window at a time."""
     first, hits = None, []
     for batch in batches:
-        for window, id_, at, back in zip(*(c.to_pylist() for c in batch.columns)):
+        for window, id_, key, at, back in zip(*(c.to_pylist() for c in batch.columns)):
             if window is not None:
                 if first is None or first[:2] != (window, back):
-                    first = (window, back, id_, at >> 31)
-                if first[2:] == (id_, at >> 31):
+                    first = (window, back, id_, at)
+                if first[2:] == (id_, at):
                     continue
-            hits.append((id_, at & ((1 << 31) - 1), (at >> 31) - back))
+            hits.append((id_, key, at - back))
         if len(hits) > 50_000:
             yield _runs(hits, length)
             hits = []
@@ -264,34 +280,37 @@ def _later_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``(_id, _key, spans array<struct<lo, hi>>)``: bytes covered by ``length``-byte strings that also start earlier."""
     spark = docs.sparkSession
-    keyed = _keyed(docs)
+    keyed = _once(_keyed(docs))
     n = shuffle_partitions(spark)
     parsed = _parse(keyed, length, gram).repartition(n, "trigger").sortWithinPartitions("trigger", "entry", "id", "at")
-    found = materialize(parsed.mapInArrow(_first_of_entries, "trigger long, id long, at long"), "phrases")
-    key_of = F.col("at").bitwiseAND(F.lit((1 << 31) - 1))
+    found = materialize(parsed.mapInArrow(_first_of_entries, "trigger long, id long, key long, at long"), "occurrences")
 
     # texts around the triggers whose entries differ
-    wanted = found.where("trigger IS NOT NULL").withColumn("_key", key_of).groupBy("id", "_key").agg(F.collect_list(F.struct("trigger", "at")).alias("wanted"))
+    wanted = found.where("trigger IS NOT NULL").groupBy("id", "key").agg(F.collect_list(F.struct("trigger", "at")).alias("wanted"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at0 in range(0, batch.num_rows, 64):
                 part, rows = batch.slice(at0, 64), []
-                for id_, text, asked in zip(*(c.to_pylist() for c in part.columns)):
+                for id_, key, text, asked in zip(*(c.to_pylist() for c in part.columns)):
                     raw = text.encode()
                     for x in asked:
-                        place = x["at"] >> 31
+                        place = x["at"]
                         lo, hi = max(0, place - (length - gram)), min(len(raw), place + length)
-                        rows.append((x["trigger"], id_, x["at"], place - lo, raw[lo:hi]))
-                kinds = [("trigger", pa.int64()), ("id", pa.int64()), ("at", pa.int64()), ("before", pa.int32()), ("entry", pa.binary())]
+                        rows.append((x["trigger"], id_, key, place, place - lo, raw[lo:hi]))
+                kinds = [("trigger", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("at", pa.int64()), ("before", pa.int32()), ("entry", pa.binary())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows), kinds)], [name for name, _ in kinds])
 
-    asked = keyed.join(wanted.withColumnRenamed("id", "_id"), ["_id", "_key"]).select("_id", "text", "wanted")
-    entries = materialize(asked.mapInArrow(fetch, "trigger long, id long, at long, before int, entry binary"), "entries")
+    asked = keyed.join(wanted.toDF("_id", "_key", "wanted"), ["_id", "_key"]).select("_id", "_key", "text", "wanted")
+    entries = materialize(asked.mapInArrow(fetch, "trigger long, id long, key long, at long, before int, entry binary"), "entries")
     # the windows of a trigger with very many entries go each its own way, so that no task gathers such a trigger
     crowded = materialize(entries.groupBy("trigger").count().where(F.col("count") > TOGETHER).select("trigger"), "crowded")
     reach = length - gram + 1
-    dealt = entries.join(crowded, "trigger", "left_anti").select("trigger", "id", "at", "before", "entry")
+    columns = ["trigger", "id", "key", "at", "before", "entry"]
+    # both sides are dealt by trigger and salt: the list of these triggers grows with the corpus and is not sent around
+    salts = crowded.select("trigger", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salted = entries.withColumn("_salt", F.pmod(F.xxhash64("id", "at"), F.lit(SALTS)).cast("int"))
+    dealt = salted.join(salts, ["trigger", "_salt"], "left_anti").select(*columns)
     dealt = dealt.repartition(n, "trigger").sortWithinPartitions("trigger", "id", "at")
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,13 +332,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     kinds = "id long, _key long, lo long, hi long"
     edges = dealt.mapInArrow(order, kinds)
     if not crowded.isEmpty():
-        many = entries.join(F.broadcast(crowded), "trigger", "left_semi").select("trigger", "id", "at", "before", "entry")
-        windows = many.mapInArrow(lambda it: _windows(it, length, gram), "window binary, id long, at long, back int")
+        many = salted.join(salts, ["trigger", "_salt"], "left_semi").select(*columns)
+        windows = many.mapInArrow(lambda it: _windows(it, length, gram), "window binary, id long, key long, at long, back int")
         deal = F.when(F.col("window").isNull(), F.xxhash64("id", "at")).otherwise(F.xxhash64("window", "back"))
         windows = windows.repartition(n, deal).sortWithinPartitions("window", "back", "id", "at")
         edges = edges.unionByName(windows.mapInArrow(lambda it: _later_windows(it, length), kinds))
-    place = F.shiftright("at", 31)
-    whole = found.where("trigger IS NULL").select("id", key_of.alias("_key"), F.greatest(F.lit(0), place - (length - gram)).alias("lo"), (place + length).alias("hi"))
+    place = F.col("at")
+    whole = found.where("trigger IS NULL").select("id", F.col("key").alias("_key"), F.greatest(F.lit(0), place - (length - gram)).alias("lo"), (place + length).alias("hi"))
     return whole.unionByName(edges).groupBy(F.col("id").alias("_id"), "_key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
@@ -358,9 +377,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, co
     neither is earlier at the same place, and repeated rows get the same result. Empty tables give no rows.
     """
     fields = ["doc_id", "_id", "_key", "text", *columns]
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    least = F.lit(-(1 << 63)).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), least).alias("_id"), F.xxhash64(text).bitwiseAND(F.lit((1 << 31) - 1)).alias("_key"), text.alias("text"), *columns)
+    rows = _keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), *columns).select(*fields)
     rows = rows.join(repeated_spans(docs, length, gram), ["_id", "_key"], "left").select(*fields, "spans")
     kinds = rows.select("doc_id", *columns).schema.fields
 
