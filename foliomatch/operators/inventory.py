@@ -96,6 +96,16 @@ def page_hashes(containers: DataFrame, fingerprints: DataFrame, images: DataFram
     return whole.join(live, ["archive_id", "version"], "left_semi").select("archive_id", "pos", "pixel")
 
 
+def size_collisions(containers: DataFrame, size: str = "file_size") -> DataFrame:
+    """Containers that share their size with another one, with ``n``, how many have it; a null size is shared with nobody.
+
+    Sizes are counted by partial aggregates and joined back, so one size of very many containers is a skewed join that
+    adaptive execution may split, and never a window.
+    """
+    several = containers.groupBy(size).agg(F.count("*").alias("n")).where("n > 1")
+    return containers.join(several, size)
+
+
 def candidate_evidence(containers: DataFrame, fingerprints: DataFrame, images: DataFrame, version: int) -> DataFrame:
     """``(archive_id, file_size, mtime_ns, sha256, slot, pos, pixel)``: the probes that candidates are sought with.
 

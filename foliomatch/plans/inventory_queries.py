@@ -10,6 +10,7 @@ from foliomatch.functions import text as tx
 from foliomatch.operators import inventory as iv
 from foliomatch.operators import recommend as rc
 from foliomatch.operators import review as rv
+from foliomatch.operators import tables as tb
 from foliomatch.sources import bindings as bi
 
 QUERIES: dict = {}
@@ -347,14 +348,12 @@ def k09_stale_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT component, CAST(row_number() OVER (ORDER BY lower(label), confidence DESC, component) AS INTEGER) AS by_name, CAST(row_number() OVER (ORDER BY confidence DESC, lower(label), component) AS INTEGER) AS by_confidence,
        CAST(row_number() OVER (ORDER BY members DESC, lower(label), component) AS INTEGER) AS by_files, CAST(row_number() OVER (ORDER BY needs_review DESC, lower(label), component) AS INTEGER) AS by_status FROM g""")
 def v05_group_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    from foliomatch.operators import tables as tb
-
     g = bi.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("component"), F.col("p_brand").alias("label"), (F.col("p_size") / 50.0).alias("confidence"), F.col("p_size").alias("members"), (F.col("p_size") % 2 == 0).alias("needs_review"))
-    # a list of groups is ordered as a whole, as a screen shows it
-    place = lambda mode: F.row_number().over(Window.orderBy(*tb.group_order(mode))).alias(f"by_{mode}")
-    return g.select("component", *[place(m) for m in ("name", "confidence", "files", "status")])
+    out = g.select("component")
+    for mode in ("name", "confidence", "files", "status"):
+        places = tb.ranked(g, tb.group_order(mode), f"by-{mode}").select("component", (F.col("place") + 1).cast("int").alias(f"by_{mode}"))
+        out = out.join(places, "component")
+    return out
 
 
 @query("""WITH e AS (SELECT DISTINCT l_orderkey AS a, l_orderkey + 1 AS b FROM lineitem JOIN orders ON o_orderkey = l_orderkey + 1),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliomatch.functions.fingerprints import relative_direction
 from foliomatch.operators import editions as ed
+from foliomatch.operators import inventory as iv
 from foliomatch.operators import matching as ma
 from foliomatch.operators import recommend as rc
 from foliomatch.operators import review as rv
@@ -172,10 +173,7 @@ def a12_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, count(*) OVER (PARTITION BY p_size) AS n FROM part QUALIFY n > 1")
 def w01_size_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    n = F.count("*").over(Window.partitionBy("p_size"))
-    return bi.table(spark, sf_dir, "part").select("p_partkey", n.alias("n")).where("n > 1")
+    return iv.size_collisions(bi.table(spark, sf_dir, "part"), "p_size").select("p_partkey", "n")
 
 
 @query("SELECT p_partkey, p_name, p_size, p_retailprice FROM part WHERE contains(lower(p_name), 'a') AND p_size BETWEEN 5 AND 30 AND p_brand IN ('Brand#11', 'Brand#12', 'Brand#13')")
@@ -194,6 +192,29 @@ def v06_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tb.page(bi.table(spark, sf_dir, "customer"), [F.col("c_acctbal").desc_nulls_last(), F.col("c_custkey")], 100, 50).select("c_custkey", "c_acctbal")
 
 
+_TABS = """
+g AS (SELECT o_custkey AS component, count(*) AS members, CASE WHEN bool_or(o_orderstatus = 'P' AND o_orderpriority = '1-URGENT') THEN 4
+      WHEN bool_or(o_orderpriority = '5-LOW' AND o_orderstatus = 'O') THEN 2 WHEN bool_and(o_orderstatus = 'F') THEN 3
+      WHEN bool_and(o_orderpriority < '3') THEN 1 ELSE 0 END AS tab FROM orders GROUP BY 1),
+"""
+
+
+@query("WITH" + _TABS + """
+r AS (SELECT *, row_number() OVER (PARTITION BY tab ORDER BY members DESC, component) - 1 AS place, count(*) OVER (PARTITION BY tab) AS n FROM g)
+SELECT CAST(tab AS INTEGER) AS tab, component, members, place, place // 20 AS page FROM r WHERE place // 20 IN (0, (n - 1) // 20)""")
+def v11_tab_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first and the last page, of 20 groups, of every tab."""
+    status, urgency = F.col("o_orderstatus"), F.col("o_orderpriority")
+    members = bi.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("component"), ((status == "P") & (urgency == "1-URGENT")).alias("problem"), (status == "F").alias("deleted"),
+        ((urgency == "5-LOW") & (status == "O")).alias("quarantined"), (urgency < "3").alias("reviewed"),
+    )
+    n = members.groupBy("component").agg(F.count("*").alias("members"))
+    index = tb.ranked_tabs(rv.group_tabs(members).join(n, "component"), [F.desc("members"), F.col("component")])
+    number = F.floor(F.col("place") / 20)
+    return index.where((number == 0) | (number == F.floor((F.col("pages_end") - 1) / 20))).select("tab", "component", "members", "place", number.alias("page"))
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 200")
 def s08_keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tb.after_key(bi.table(spark, sf_dir, "orders"), "o_orderkey", 500, 200).select("o_orderkey", "o_custkey")
