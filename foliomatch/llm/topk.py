@@ -14,7 +14,7 @@ from foliomatch.plans.stages import shuffle_partitions
 SHARD_ROWS, QUERY_ROWS, LEAST_ROWS = 32_768, 16_384, 8192
 #: Share of every list that is read first, by what a further round multiplies how far it is read, and share of the rows
 #: that are resolved at most before the lists are read to their ends.
-FIRST_SHARE, FURTHER, RESOLVE = 1 / 4, 1.4, 1 / 4
+FIRST_SHARE, FURTHER, RESOLVE = 1 / 4, 1.2, 1 / 8
 
 
 def clean_vectors(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -35,22 +35,26 @@ class Lists:
     def __init__(self, v: np.ndarray, ids: np.ndarray):
         self.v, self.ids = v, ids
         self.rows = np.argsort(v, axis=0, kind="stable").T.astype(np.int32)  # by dimension, ascending
+        # where each row is in each list, in 16 bits where they hold it
+        self.place = np.empty(self.rows.shape, np.uint16 if len(v) < 1 << 16 else np.int32)
+        np.put_along_axis(self.place, self.rows, np.arange(len(v), dtype=self.place.dtype)[None], 1)
         values = np.sort(v, axis=0).T
         kind = np.float32 if int(np.abs(v).max(initial=0)) < 1 << 11 else np.float64  # products stay whole numbers
         self.over, self.under = (values - values[:, :1]).astype(kind), (values - values[:, -1:]).astype(kind)  # from either end
 
-    def best(self, q: np.ndarray, own_id: int, k: int) -> np.ndarray:
-        """Rows that can be among the ``k`` best for ``q``: none outside them can qualify.
+    def best(self, q: np.ndarray, own_id: int, k: int) -> tuple[np.ndarray, float]:
+        """Rows that can be among the ``k`` best for ``q``, none outside them can qualify; and the share of the lists read.
 
         A list is read from its top where the query's component is positive, from its end where it is negative. What has
-        been read of a row, with the list's far end for the rest, is its lower bound. With the last values read of all
-        lists on top it is the row's upper bound, as no list has more to give. Reading stops when few rows are left whose
-        upper bound reaches the k-th lower bound; rows that have not been met are none of them.
+        been read of a row, with the list's far end for the rest, is its lower bound; with the last values read of those
+        lists in which the row has not been met yet it is its upper bound, as these have no more to give. Reading stops
+        when few rows are left whose upper bound reaches the k-th lower bound; of rows that no list has shown yet, too.
         """
         n = len(self.v)
         up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
         kind = self.over.dtype if int(np.abs(q).max(initial=0)) < 1 << 11 else np.float64
         w = np.abs(np.concatenate([q[up], q[down]])).astype(kind)[:, None]
+        behind = np.concatenate([self.place.dtype.type(n - 1) - self.place[up], self.place[down]])  # rows of the list that are read before
         sums, own, depth = np.zeros(n), np.flatnonzero(self.ids == own_id), 0
         while True:
             to = min(n, max(int(FIRST_SHARE * n), int(FURTHER * depth)) + 1)
@@ -61,11 +65,11 @@ class Lists:
             sums[own], depth = -np.inf, to
             cut = np.partition(sums, n - k)[n - k] if n >= k else -np.inf
             if depth == n:
-                return np.flatnonzero(sums >= cut)
-            last = np.concatenate([self.over[up, n - depth], -self.under[down, depth - 1]]) * w[:, 0]
-            can = np.flatnonzero(sums + last.sum(dtype=np.float64) >= cut)
+                return np.flatnonzero(sums >= cut), 1.0
+            last = (np.concatenate([self.over[up, n - depth], -self.under[down, depth - 1]]) * w[:, 0]).astype(np.float64)
+            can = np.flatnonzero(sums + last @ (behind >= behind.dtype.type(depth)).astype(np.float64) >= cut)
             if len(can) <= RESOLVE * n:
-                return can
+                return can, depth / n
 
 
 def search(v: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
@@ -79,7 +83,7 @@ def search(v: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, k: i
     lists = Lists(v, ids) if far < 1 << 53 and len(v) else None
     out = []
     for one, own_id in zip(q, qids.tolist()):
-        left = np.flatnonzero(ids != own_id) if lists is None else lists.best(one, own_id, k)
+        left = np.flatnonzero(ids != own_id) if lists is None else lists.best(one, own_id, k)[0]
         left = left[ids[left] != own_id]
         score = exact[left] @ one.astype(exact.dtype)
         if exact.dtype == object:

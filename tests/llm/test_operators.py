@@ -334,6 +334,25 @@ def test_law_of_labels():
     assert all(loss(slope, shift) <= loss(slope + da, shift + db) + 0.1 for da in (-0.05, 0, 0.05) for db in (-0.05, 0, 0.05))
 
 
+def test_top_k_stops_before_the_lists_end(spark, sf):
+    """On the given vectors most queries leave a part of every list unread, and rows that are left out cannot qualify."""
+    rows = topk.clean_vectors(spark.read.parquet(sf.replace("0.001", "0.1") + "/embeddings.parquet")).select("vec_id", topk.quantized(F.col("x")).alias("x")).collect()
+    v, ids = np.array([r.x for r in rows]), np.array([r.vec_id for r in rows])
+    lists = topk.Lists(v, ids)
+    shares = []
+    for i in range(0, len(v), 40):
+        left, share = lists.best(v[i], ids[i], 5)
+        score = v @ v[i]
+        score[i] = -(1 << 60)
+        want = np.lexsort((ids, -score))[:5]
+        assert set(want) <= set(left.tolist()) and len(left) <= len(v) / 4
+        shares.append(share)
+    assert np.median(shares) < 0.9 and np.mean(np.array(shares) < 1) > 0.8
+    few = np.zeros(v.shape[1], np.int64)
+    few[:3] = 200, -90, 150
+    assert lists.best(few, -1, 5)[1] < 0.5
+
+
 def targets(sizes):
     """Share by weight again and again until no source is above three times its size."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
