@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomatch.operators import inventory as iv
+from foliomatch.plans.runs import Run, input_fingerprint
 from foliomatch.plans.stages import materialize, new_path, spread
 from foliomatch.sources import archives as ar
 from foliomatch.sources import bindings as bi
@@ -163,3 +164,33 @@ def f11_file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = spark.read.format("binaryFile").load(root).select("path", F.sha2("content", 256).alias("whole"))
     both = digests.join(whole, "path").select(F.regexp_extract("path", r"([^/]*)\.zip$", 1).alias("container"), F.col("sha256").eqNullSafe(F.col("whole")).alias("same"))
     return written.join(both, "container").select("container", "members", "same")
+
+
+def _line_run(run: Run, docs: DataFrame, stop: str | None = None) -> DataFrame | None:
+    """Lines, how many documents have each, and per document its lines that others have; ends before stage ``stop``."""
+    lines = None
+    for name in ("lines", "shared", "documents"):
+        if name == stop:
+            return None
+        if name == "lines":
+            at = F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")
+            lines = run.stage(name, lambda: docs.select("doc_id", at).select("doc_id", F.sha2("line", 256).alias("h")).distinct())
+        elif name == "shared":
+            shared = run.stage(name, lambda: lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), least=2)
+        else:
+            out = run.stage(name, lambda: lines.join(shared, "h", "left").groupBy("doc_id").agg(F.count("*").alias("lines"), F.count("n").alias("shared")))
+    return out
+
+
+@query(r"""
+WITH l AS (SELECT DISTINCT doc_id, sha256(x) AS h FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM documents)),
+s AS (SELECT h, count(*) AS n FROM l GROUP BY h HAVING count(*) > 1)
+SELECT doc_id, count(*) AS lines, count(n) AS shared, 1 AS stages_run FROM l LEFT JOIN s USING (h) GROUP BY doc_id""")
+def x02_resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that ended before its last stage, started again: it works out that stage alone."""
+    docs = bi.table(spark, sf_dir, "documents")
+    root, key = new_path(spark, "runs"), input_fingerprint(docs)
+    _line_run(Run(spark, root, key), docs, stop="documents")
+    again = Run(spark, root, key)
+    out = _line_run(again, docs)
+    return out.select("doc_id", "lines", "shared", F.lit(len(again.ran)).alias("stages_run"))
