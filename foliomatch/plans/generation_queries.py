@@ -194,3 +194,20 @@ def x02_resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = Run(spark, root, key)
     out = _line_run(again, docs)
     return out.select("doc_id", "lines", "shared", F.lit(len(again.ran)).alias("stages_run"))
+
+
+@query(r"""
+WITH d AS (SELECT DISTINCT coalesce(source, 'none') AS source, coalesce(lang, 'none') AS lang, doc_id // 64 AS k FROM documents)
+SELECT source || '/' || lang || '/c' || lpad(CAST(k AS VARCHAR), 10, '0') || '.zip' AS path, 'zip' AS format, '' AS code, true AS same_size FROM d""")
+def s01_discovered_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers written into folders by source and language and found again, depth by depth, with the sizes that a scan has."""
+    docs = spread(bi.table(spark, sf_dir, "documents"), "doc_id")
+    none = F.lit("none")
+    name = F.concat_ws("/", F.coalesce("source", none), F.coalesce("lang", none), F.concat(F.lit("c"), F.lpad(F.floor(F.col("doc_id") / 64).cast("string"), 10, "0")))
+    root = new_path(spark, "tree")
+    rows = docs.select(name.alias("container"), F.col("doc_id").cast("string").alias("member"), F.col("text").cast("binary").alias("payload"))
+    materialize(ar.write_containers(rows, root), "written")
+    tail = F.regexp_extract("path", r"([^/]*/[^/]*/[^/]*)$", 1)
+    found = ar.discover_folders(spark, root).select(tail.alias("path"), "format", F.coalesce("code", F.lit("")).alias("code"), "file_size")
+    scanned = ar.discover(spark, root).select(tail.alias("path"), F.col("file_size").alias("_size"))
+    return found.join(scanned, "path", "left").select("path", "format", "code", F.col("file_size").eqNullSafe(F.col("_size")).alias("same_size"))

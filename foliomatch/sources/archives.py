@@ -6,7 +6,10 @@ time. So no container is ever a value, however large it is.
 
 from __future__ import annotations
 
+import errno
+import functools
 import hashlib
+import os
 import re
 import struct
 import unicodedata
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 
 from foliomatch.functions.fingerprints import listing_signature
 from foliomatch.functions.text import archive_format, entry_key, entry_kind, natural_key, path_key
+from foliomatch.plans.stages import materialize, shuffle_partitions
 
 # Most members of a container, most bytes of its listing, most bytes of a member, bytes of a chunk.
 MAX_MEMBERS, MAX_LISTING, MAX_MEMBER, CHUNK = 50_000, 32 << 20, 128 << 20, 8 << 20
@@ -36,6 +40,75 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     return rows.where("format IS NOT NULL").withColumn("path_key", path_key(F.col("path")))
 
 
+FOUND = "path string, folder boolean, file_size long, mtime_ns long, code string"
+
+
+def _code(error: OSError) -> str:
+    """What an error of the file system is called."""
+    if error.errno in (errno.ENOENT, errno.ENOTDIR):
+        return "FILE_NOT_FOUND"
+    if error.errno in (errno.EACCES, errno.EPERM):
+        return "ACCESS_DENIED"
+    return "PATH_TOO_LONG" if error.errno == errno.ENAMETOOLONG else "DISCOVERY_ERROR"
+
+
+def _entries(folder: str) -> Iterator[tuple]:
+    """``FOUND`` rows of one folder: its folders, its files, and what could not be looked at. Links are passed over."""
+    from pyarrow import fs
+
+    place, path = _place(folder)
+    try:
+        if not isinstance(place, fs.LocalFileSystem):
+            scheme = folder[: len(folder) - len(path)] if folder.endswith(path) else ""
+            for info in place.get_file_info(fs.FileSelector(path)):
+                yield scheme + info.path, info.type == fs.FileType.Directory, info.size, info.mtime_ns, None
+            return
+        if os.path.islink(path):
+            return
+        with os.scandir(path) as entries:
+            for entry in entries:
+                try:
+                    if entry.is_symlink():
+                        continue
+                    status = entry.stat(follow_symlinks=False)
+                    yield entry.path, entry.is_dir(follow_symlinks=False), status.st_size, status.st_mtime_ns, None
+                except OSError as error:
+                    yield entry.path, False, None, None, _code(error)
+    except OSError as error:
+        yield folder, False, None, None, _code(error)
+
+
+def discover_folders(spark: SparkSession, root: str) -> DataFrame:
+    """``(path, path_key, file_size, mtime_ns, format, code)``: container files under ``root``, and why a path could not be read.
+
+    The folders of one depth are listed by as many tasks as there are, and those that they hold make the next round; so no
+    task walks a tree, and the driver sees no path but ``root``. Links, to files or folders, are passed over. A folder whose
+    comparison key was met before is not listed again. A path that failed has a code (FILE_NOT_FOUND, ACCESS_DENIED,
+    PATH_TOO_LONG or DISCOVERY_ERROR) and no size; the others are looked at all the same. A root that is not there is such
+    a row, a root that is a link gives none.
+    """
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for folder in pdf.path:
+                rows = list(_entries(folder))
+                yield pd.DataFrame(rows, columns=["path", "folder", "file_size", "mtime_ns", "code"]).astype({"folder": "boolean", "file_size": "Int64", "mtime_ns": "Int64"})
+
+    keyed = lambda df: df.select("path", path_key(F.col("path")).alias("key"))
+    ahead = materialize(keyed(spark.createDataFrame([(root,)], "path string")), "folders")
+    met, rounds = ahead.select("key"), []
+    while not ahead.isEmpty():
+        # a folder is a task of its own as far as there are tasks
+        found = materialize(ahead.repartition(shuffle_partitions(spark), "path").select("path").mapInPandas(look, FOUND), "entries")
+        rounds.append(found.where("NOT folder"))
+        new = keyed(found.where("folder")).groupBy("key").agg(F.min("path").alias("path"))
+        ahead = materialize(new.join(met, "key", "left_anti").select("path", "key"), "folders")
+        met = met.unionByName(ahead.select("key"))
+    every = functools.reduce(DataFrame.unionByName, rounds)
+    wanted = every.withColumn("format", archive_format(F.col("path"))).where("code IS NOT NULL OR format IS NOT NULL")
+    return wanted.select("path", path_key(F.col("path")).alias("path_key"), "file_size", "mtime_ns", F.when(F.col("code").isNull(), F.col("format")).alias("format"), "code")
+
+
 class Failure(Exception):
     """Why a file or a member cannot be read; the code is its only argument."""
 
@@ -282,7 +355,7 @@ def write_containers(rows: DataFrame, root: str) -> DataFrame:
 
     All members of a container pass through one task, one at a time, in natural order; so a container must fit a disk and
     not a memory. A file is written beside its place and then moved there, and equal rows make equal files, so a task that
-    runs twice does no harm. Null payloads are empty.
+    runs twice does no harm. Null payloads are empty; a name with slashes is a file in folders.
     """
     slim = rows.select("container", "member", F.coalesce("payload", F.lit(b"")).alias("payload"))
     dealt = slim.repartition("container").sortWithinPartitions(F.col("container"), natural_key(F.col("member")), F.col("member"))
@@ -295,6 +368,7 @@ def write_containers(rows: DataFrame, root: str) -> DataFrame:
         def close() -> pd.DataFrame:
             z.close()
             stream.close()
+            fs.create_dir(os.path.dirname(f"{top}/{name}"))
             fs.move(waiting, f"{top}/{name}.zip")
             return pd.DataFrame([(name, n)], columns=["container", "members"])
 

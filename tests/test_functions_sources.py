@@ -252,6 +252,30 @@ def test_archives(spark, tmp_path):
     assert [(r.member, r["size"], r.crc, r.encrypted) for r in parsed] == [("a.jpg", 3, "abcd0123", False)]
 
 
+def test_discovery_by_rounds(spark, tmp_path, monkeypatch):
+    root = tmp_path / "root"
+    for name in ("a/b/c/deep.ZIP", "a/one.cbz", "two.7z", "a/skip.txt", "É/three.rar"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"12345")
+    (root / "a" / "link.zip").symlink_to(root / "two.7z")
+    (root / "a" / "loop").symlink_to(root)
+    (root / "empty").mkdir()
+    rows = ar.discover_folders(spark, str(root)).collect()
+    assert {(os.path.relpath(r.path, root), r.format, r.file_size, r.code) for r in rows} == {
+        ("a/b/c/deep.ZIP", "zip", 5, None), ("a/one.cbz", "cbz", 5, None), ("two.7z", "7z", 5, None), ("É/three.rar", "rar", 5, None)
+    } and len(rows) == 4
+    assert all(r.mtime_ns == os.stat(r.path).st_mtime_ns for r in rows)
+    gone = ar.discover_folders(spark, str(root / "none")).collect()
+    assert [(os.path.basename(r.path), r.code, r.file_size) for r in gone] == [("none", "FILE_NOT_FOUND", None)]
+    assert ar.discover_folders(spark, str(root / "a" / "loop")).collect() == []
+    assert ar.discover_folders(spark, str(root / "empty")).collect() == []
+    assert [r.code for r in ar.discover_folders(spark, str(root / "two.7z")).collect()] == ["FILE_NOT_FOUND"]
+    long = ar.discover_folders(spark, str(root) + "/" + "x" * 300).collect()
+    assert [r.code for r in long] == ["PATH_TOO_LONG"]
+    codes = {e: ar._code(OSError(getattr(__import__("errno"), e), "")) for e in ("EACCES", "EPERM", "ENOTDIR", "EIO")}
+    assert codes == {"EACCES": "ACCESS_DENIED", "EPERM": "ACCESS_DENIED", "ENOTDIR": "FILE_NOT_FOUND", "EIO": "DISCOVERY_ERROR"}
+
+
 def test_large_containers_are_read_by_ranges(spark, tmp_path):
     """A container of 2 GiB lists in little memory, though nearly all of it is before the first member."""
     import tracemalloc
