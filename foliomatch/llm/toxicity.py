@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,10 +76,31 @@ def _segments(values: np.ndarray) -> list[tuple[int, int, float]]:
     return [(x[0], x[1], x[3] - x[2]) for x in closed + found]
 
 
-def word_keys(word: str) -> list[int]:
-    """Hashes of a word's beginnings of ``SHORTEST`` to ``LONGEST`` letters and, last, of the word itself."""
-    parts = [word[:k] for k in range(SHORTEST, min(len(word), LONGEST) + 1)]
-    return [xxhash.xxh64_intdigest(p.encode()) >> 1 for p in (*parts, word + "$")]
+_K, _OWN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5851F42D4C957F2D)
+
+
+def word_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each word's beginnings of ``SHORTEST`` to ``LONGEST`` letters and, in the last column, of the word itself.
+
+    ``(keys (n, columns) long, there (n, columns) bool)``; a word has no beginning longer than itself. All words of a call
+    are hashed together, letter by letter.
+    """
+    letters = np.array(words, f"<U{LONGEST}").view(np.uint32).reshape(len(words), LONGEST).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    n = LONGEST - SHORTEST + 1
+    keys, there = np.zeros((len(words), n + 1), np.uint64), np.zeros((len(words), n + 1), bool)
+    h = np.full(len(words), _K, np.uint64)
+    for k in range(min(LONGEST, int(sizes.max(initial=0)))):
+        on = sizes > k
+        step = (h ^ letters[:, k]) * _K
+        h = np.where(on, step ^ (step >> np.uint64(29)), h)
+        if k + 1 >= SHORTEST:
+            keys[:, k + 1 - SHORTEST], there[:, k + 1 - SHORTEST] = h, on
+    for i in np.flatnonzero(sizes > LONGEST):
+        h[i] ^= np.uint64(xxhash.xxh64_intdigest(words[i].encode()))
+    own = (h ^ _OWN) * _K
+    keys[:, n], there[:, n] = own ^ (own >> np.uint64(31)), True
+    return (keys >> np.uint64(1)).astype(np.int64), there
 
 
 class Lexicon:
@@ -105,14 +127,19 @@ class Lexicon:
             shares[here] = np.where(same[here], prior, (toxic[here] + PRIOR * prior) / (every[here] + PRIOR))
         return np.log(shares / (1 - shares)) - math.log(share / (1 - share))
 
+    def scores_of(self, words: list[str]) -> np.ndarray:
+        """The score of each word, or of its longest beginning that is known, with the cost of every token; else the cost alone."""
+        if not len(self.keys) or not words:
+            return np.full(len(words), DRIFT)
+        mine, there = word_keys(words)
+        at = np.zeros(mine.shape, np.int64)
+        at[there] = np.minimum(np.searchsorted(self.keys, mine[there]), len(self.keys) - 1)
+        known = there & (self.keys[at] == mine)
+        longest = known.shape[1] - 1 - np.argmax(known[:, ::-1], axis=1)
+        return DRIFT + np.where(known.any(1), self.scores[at[np.arange(len(words)), longest]], 0.0)
+
     def score(self, word: str) -> float:
-        """The score of a word, or of its longest beginning that is known, with the cost of every token; else the cost alone."""
-        if not len(self.keys):
-            return DRIFT
-        mine = np.array(word_keys(word), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, mine), len(self.keys) - 1)
-        known = np.flatnonzero(self.keys[at] == mine)
-        return DRIFT + float(self.scores[at[known[-1]]]) if len(known) else DRIFT
+        return float(self.scores_of([word])[0])
 
 
 class Model:
@@ -122,22 +149,30 @@ class Model:
         self.lexicon, self.rate, self.size, self.slope, self.shift = lexicon or Lexicon(), rate, size, slope, shift
         self.known: dict[str, float] = {}
 
-    def values(self, words: list[str]) -> np.ndarray:
-        """The score of each word; those of half a million words are remembered."""
-        if len(self.known) > 500_000:
-            self.known = {}
-        known = self.known
-        out = list(map(known.get, words))
-        if None in out:
-            for w in set(words).difference(known):
-                known[w] = self.lexicon.score(w)
-            out = list(map(known.get, words))
-        return np.array(out, float)
-
-    def passages(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
-        """Number of tokens and all maximal segments."""
-        words = tokens(text)
-        return len(words), _segments(self.values(words))
+    def values(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The score of each word of each text; those of half a million words are remembered.
+
+        Words that are new are looked up together for about a million letters of texts.
+        """
+        at = 0
+        while at < len(texts):
+            parts, size = [], 0
+            while at < len(texts) and size < 1 << 20:
+                parts.append(tokens(texts[at]))
+                size += len(texts[at] or "")
+                at += 1
+            if len(self.known) > 500_000:
+                self.known = {}
+            known = self.known
+            new = list(set().union(*parts).difference(known))
+            known.update(zip(new, self.lexicon.scores_of(new).tolist()))
+            for words in parts:
+                yield np.array(list(map(known.__getitem__, words)), float)
+
+    def passages(self, texts: list[str | None]) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
+        """Number of tokens and all maximal segments of each text."""
+        for values in self.values(texts):
+            yield len(values), _segments(values)
 
     def bits(self, score: float, n: int) -> float:
         """-ln of the E-value of a segment in ``n`` tokens: rate * score - ln(size * n)."""
@@ -177,21 +212,21 @@ COUNT_NAMES = ["key", "parent", "depth", *[f"{kind}{k}" for k in range(FOLDS) fo
 
 def _count_slice(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     """Clean and toxic documents of each part that hold each beginning of a word."""
-    of_word: dict[str, np.ndarray] = {}
-    rows, cells = [], []
-    for text, toxic, fold in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), batch["fold"].to_pylist()):
-        mine = []
-        for w in set(tokens(text)):
-            if w not in of_word:
-                keys = word_keys(w)
-                of_word[w] = np.array([keys, [0, *keys[:-1]], range(len(keys))], np.int64)
-            mine.append(of_word[w])
-        if mine:
-            every = np.concatenate(mine, axis=1)
-            rows.append(every[:, np.unique(every[0], return_index=True)[1]])
-            cells.append(np.full(rows[-1].shape[1], 2 * fold + toxic))
-    if not rows:
+    numbers: dict[str, int] = {}
+    held = [np.array([numbers.setdefault(w, len(numbers)) for w in set(tokens(text))], np.int64) for text in batch["text"].to_pylist()]
+    if not numbers:
         return None
+    keys, there = word_keys(list(numbers))
+    parents, depths = np.zeros_like(keys), np.broadcast_to(np.arange(keys.shape[1]), keys.shape)
+    parents[:, 1:-1] = keys[:, :-2]
+    last = there[:, :-1].sum(1) - 1  # the longest beginning of each word, or none
+    parents[:, -1] = np.where(last >= 0, keys[np.arange(len(keys)), last], 0)
+    rows, cells = [], []
+    for words, toxic, fold in zip(held, batch["toxic"].to_pylist(), batch["fold"].to_pylist()):
+        ok = there[words]
+        every = np.stack([x[words][ok] for x in (keys, parents, depths)])
+        rows.append(every[:, np.unique(every[0], return_index=True)[1]])
+        cells.append(np.full(rows[-1].shape[1], 2 * fold + toxic))
     every, cell = np.concatenate(rows, axis=1), np.concatenate(cells)
     keys, first, at = np.unique(every[0], return_index=True, return_inverse=True)
     counts = np.bincount(at * 2 * FOLDS + cell, minlength=len(keys) * 2 * FOLDS).reshape(len(keys), -1)
@@ -235,8 +270,7 @@ def _scored(texts: DataFrame, model: Model, columns: list[str]) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, best, evidence, score, out = [], [], [], [], []
-        for text in batch.column(at).to_pylist():
-            size, found = model.passages(text)
+        for size, found in model.passages(batch.column(at).to_pylist()):
             n.append(size)
             best.append(max((s for _, _, s in found), default=0.0))
             evidence.append(model.evidence(size, found))
@@ -283,11 +317,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
+def _by_fold(batch: pa.RecordBatch, what: str, models: list[Model]) -> list:
+    """``values`` or ``passages`` of each text, those of a part by its own model."""
+    texts, folds = batch["text"].to_pylist(), np.array(batch["fold"].to_pylist(), np.int64)
+    out = [None] * len(texts)
+    for k, model in enumerate(models):
+        mine = np.flatnonzero(folds == k)
+        for i, found in zip(mine, getattr(model, what)([texts[i] for i in mine])):
+            out[i] = found
+    return out
+
+
 def _tally(models: list[Model]):
-    """How many tokens have each score, in steps of 0.1; each part by its own model."""
+    """How many tokens have each score, in steps of 0.1."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values = [models[k].values(tokens(text)) for text, k in zip(batch["text"].to_pylist(), batch["fold"].to_pylist())]
+        values = _by_fold(batch, "values", models)
         steps, n = np.unique(np.rint(10 * np.concatenate([np.empty(0), *values])).astype(np.int32), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(steps), pa.array(n.astype(np.int64))], ["s", "n"])
 
@@ -295,10 +340,10 @@ def _tally(models: list[Model]):
 
 
 def _pool(models: list[Model]):
-    """Tokens, best segment and pooled score of each document; each part by its own model."""
+    """Tokens, best segment and pooled score of each document."""
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [models[k].passages(text) for text, k in zip(batch["text"].to_pylist(), batch["fold"].to_pylist())]
+        found = _by_fold(batch, "passages", models)
         best = [max((s for _, _, s in parts), default=0.0) for _, parts in found]
         columns = [batch["toxic"], pa.array([n for n, _ in found], pa.int32()), pa.array(best, pa.float64()), pa.array([pooled(p) for _, p in found], pa.float64())]
         return pa.RecordBatch.from_arrays(columns, ["toxic", "n", "best", "pooled"])
