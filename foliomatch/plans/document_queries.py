@@ -80,8 +80,11 @@ containers AS MATERIALIZED (
          array_to_string(string_split(lower(text), ' ')[1:2], ' ') AS series_key, lpad(CAST(n_chars AS VARCHAR), 8, '0') AS series_date,
          lang IN ('en', 'fr') AS series_versioned, '/' || source || '/' || doc_id || '.zip' AS path FROM documents),
 """
+# The constants of the pair rank as the definition has them, apart from those of the engine.
+_FACTORS = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579)
+_MIXERS = (13787848793156543929, 10723151780598845931)
 _MASK = (1 << 64) - 1
-_START = (1 * fp.RANK_FACTORS[0] & _MASK) ^ (2 * fp.RANK_FACTORS[1] & _MASK)
+_START = (1 * _FACTORS[0] & _MASK) ^ (2 * _FACTORS[1] & _MASK)
 
 
 def _RANK(name: str, source: str) -> str:
@@ -89,8 +92,8 @@ def _RANK(name: str, source: str) -> str:
     big = lambda x: f"CAST({x} AS UHUGEINT)"
     times = lambda x, f: f"(({x}) * {big(f)} % {big(1 << 64)})"
     h0 = f"xor(xor({big(_START)}, {times(big('a'), fp.RANK_FACTORS[2])}), {times(big('b'), fp.RANK_FACTORS[3])})"
-    return f"""{name} AS (SELECT * EXCLUDE (h), xor(h, h >> 31) AS rank FROM (SELECT * REPLACE ({times('xor(h, h >> 27)', fp.RANK_MIXERS[1])} AS h) FROM (
-  SELECT * REPLACE ({times('xor(h, h >> 30)', fp.RANK_MIXERS[0])} AS h) FROM (SELECT *, {h0} AS h FROM {source}))))"""
+    return f"""{name} AS (SELECT * EXCLUDE (h), xor(h, h >> 31) AS rank FROM (SELECT * REPLACE ({times('xor(h, h >> 27)', _MIXERS[1])} AS h) FROM (
+  SELECT * REPLACE ({times('xor(h, h >> 30)', _MIXERS[0])} AS h) FROM (SELECT *, {h0} AS h FROM {source}))))"""
 
 
 PROBES = """
@@ -279,6 +282,14 @@ def p04_natural_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bi.table(spark, sf_dir, "part").select("p_partkey", F.array_join(parts, "|").alias("key"))
 
 
+# Words of the definition that these titles can hold, apart from the tables of the engine.
+_LANGUAGES = {"korean": "KOREAN", "korea": "KOREAN", "kor": "KOREAN", "kr": "KOREAN", "japanese": "JAPANESE", "japan": "JAPANESE", "jpn": "JAPANESE", "jp": "JAPANESE",
+              "english": "ENGLISH", "eng": "ENGLISH", "chinese": "CHINESE", "chs": "CHINESE", "cht": "CHINESE", "zh": "CHINESE"}
+_COLORS = {"fullcolor": "FULL_COLOR", "full color": "FULL_COLOR", "color": "FULL_COLOR", "colour": "FULL_COLOR", "monochrome": "MONOCHROME", "grayscale": "MONOCHROME", "black white": "MONOCHROME", "bw": "MONOCHROME"}
+_MOSAICS = {"uncensored": "UNCENSORED", "no mosaic": "UNCENSORED", "decensored": "DECENSORED", "censored": "CENSORED", "mosaic": "CENSORED"}
+_NO_TOKENS = ("scan", "scanned", "resize", "resized", *_LANGUAGES)
+
+
 def _said(table: dict[str, str]) -> str:
     rows = ", ".join(f"{{'w': ' {w} ', 'v': '{v}'}}" for w, v in table.items())
     return f"list_distinct(list_transform(list_filter([{rows}], lambda p: contains(t, p.w)), lambda p: p.v))"
@@ -288,9 +299,9 @@ def _said(table: dict[str, str]) -> str:
 WITH n AS (SELECT p_partkey, lower('[' || p_brand || '] ' || p_name || ' vol.' || p_size || ' (' || ['korean', 'english full color', 'japan bw', 'uncensored scan', 'kor eng'][CAST(p_partkey % 5 AS INTEGER) + 1] || ')') AS x FROM part),
 v AS (SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(x, '[\[\]()_-]', ' ', 'g'), '(?:vol(?:ume)?|v)\.?\s*0*(\d+)\b', ' volume\1 ', 'g'), '(?:ch(?:apter)?)\.?\s*0*(\d+)\b', ' chapter\1 ', 'g') AS x FROM n),
 w AS (SELECT p_partkey, list_distinct(regexp_extract_all(x, '[\p{{L}}\p{{N}}]+')) AS w, ' ' || array_to_string(regexp_extract_all(x, '[\p{{L}}\p{{N}}]+'), ' ') || ' ' AS t FROM v),
-e AS (SELECT *, {_said(tx.LANGUAGE_WORDS)} AS l, {_said(tx.COLOR_WORDS)} AS c, {_said(tx.MOSAIC_WORDS)} AS m FROM w)
+e AS (SELECT *, {_said(_LANGUAGES)} AS l, {_said(_COLORS)} AS c, {_said(_MOSAICS)} AS m FROM w)
 SELECT p_partkey, CASE WHEN len(l) = 1 THEN l[1] END AS value, len(l) > 1 AS conflict, CASE WHEN len(c) = 1 THEN c[1] END AS color, CASE WHEN len(m) = 1 THEN m[1] END AS mosaic,
-       CAST(len(list_filter(w, lambda x: NOT list_contains([{', '.join(f"'{w}'" for w in (*tx.LANGUAGE_WORDS, *tx.EDITION_WORDS))}], x))) AS INTEGER) AS n_tokens FROM e""")
+       CAST(len(list_filter(w, lambda x: NOT list_contains([{', '.join(f"'{w}'" for w in _NO_TOKENS)}], x))) AS INTEGER) AS n_tokens FROM e""")
 def p06_filename_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.element_at(F.array(*[F.lit(x) for x in ("korean", "english full color", "japan bw", "uncensored scan", "kor eng")]), (F.col("p_partkey") % 5 + 1).cast("int"))
     path = F.concat(F.lit("/x/["), "p_brand", F.lit("] "), "p_name", F.lit(" vol."), F.col("p_size").cast("string"), F.lit(" ("), words, F.lit(").zip"))

@@ -313,7 +313,7 @@ def d10_review_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_sql("SELECT archive_id, 1 AS version FROM c WHERE archive_id % 4 NOT IN (2, 3) AND archive_id % 5 <> 0 AND archive_id % 3 = 0"))
-def d13_unresolved_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def d14_unresolved_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     containers, i = _containers(spark, sf_dir), F.col("archive_id")
     old = containers.select("archive_id", "file_size", "mtime_ns", F.lit(1).alias("version"), F.when(i % 3 == 0, "UNKNOWN").otherwise("KOREAN").alias("language"), F.lit("SUCCEEDED").alias("state"), F.when(i % 5 == 0, "OCR_UNAVAILABLE").alias("error"))
     new = old.withColumns({"version": F.lit(2), "archive_id": F.when(i % 4 >= 2, i).otherwise(-1 - i)})
@@ -321,7 +321,7 @@ def d13_unresolved_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT l_partkey AS archive_id, CAST(min(l_orderkey) AS VARCHAR) AS set_key FROM lineitem GROUP BY 1")
-def d14_first_set_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+def d07_first_set_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = bi.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("archive_id"), F.col("l_orderkey").alias("set_key"))
     return rv.first_set_wins(targets).withColumn("set_key", F.col("set_key").cast("string"))
 

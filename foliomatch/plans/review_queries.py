@@ -124,6 +124,20 @@ def d05_quarantine_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rv.step(records.select("item", "state"), later, rv.QUARANTINE_STEPS)
 
 
+@query("""WITH q AS (SELECT event_id AS id, user_id AS archive_id, CASE event_type WHEN 'view' THEN 'PENDING' WHEN 'click' THEN 'QUARANTINED' WHEN 'signup' THEN 'RESTORING' ELSE 'RESTORED' END AS state FROM events),
+d AS (SELECT event_id - 1 AS quarantine_id FROM events WHERE event_type = 'purchase' AND value < 20),
+l AS (SELECT archive_id, max(id) AS id FROM q WHERE state <> 'RESTORED' GROUP BY archive_id)
+SELECT q.id, q.archive_id, q.state FROM q JOIN l ON l.id = q.id WHERE q.id NOT IN (SELECT quarantine_id FROM d)""")
+def d13_active_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as quarantine records; a purchase deletes, or fails to delete, what the event before it is a record of."""
+    e = bi.table(spark, sf_dir, "events")
+    kind = F.col("event_type")
+    state = F.when(kind == "view", "PENDING").when(kind == "click", "QUARANTINED").when(kind == "signup", "RESTORING").otherwise("RESTORED")
+    records = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("archive_id"), state.alias("state"))
+    bought = e.where(kind == "purchase").select((F.col("event_id") - 1).alias("quarantine_id"), F.when(F.col("value") < 20, "DELETED").otherwise("FAILED").alias("state"))
+    return rv.active_items(records, bought).select("id", "archive_id", "state")
+
+
 @query(_sql("SELECT archive_id, CASE WHEN action <> 'REMOVE_CANDIDATE' THEN 'NOT_REMOVE_CANDIDATE' WHEN needs_review THEN 'SNAPSHOT_CHANGED' WHEN archive_id % 5 = 0 THEN 'ALREADY_QUARANTINED' ELSE 'OK' END AS code FROM state"))
 def d11_quarantine_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, containers = _ledger(spark, sf_dir)
@@ -138,10 +152,11 @@ def d12_deletion_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rv.deletion_codes(active, rows, containers)
 
 
-@query(_sql("SELECT c.archive_id FROM containers c WHERE NOT EXISTS (SELECT 1 FROM ledger l WHERE l.archive_id = c.archive_id AND l.file_size = c.file_size AND l.mtime_ns = c.mtime_ns)"))
+@query(_sql("SELECT c.archive_id FROM containers c WHERE NOT EXISTS (SELECT 1 FROM last l WHERE l.archive_id = c.archive_id AND l.file_size = c.file_size AND l.mtime_ns = c.mtime_ns)"))
 def w05_without_current_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers whose last fact is of another snapshot: a fact replaces the one before."""
     rows, containers = _ledger(spark, sf_dir)
-    return rv.without_fact(containers, rows).select("archive_id")
+    return rv.without_fact(containers, rv.latest(rows)).select("archive_id")
 
 
 @query(_sql("SELECT id FROM ledger l JOIN containers c USING (archive_id, file_size, mtime_ns)"))
