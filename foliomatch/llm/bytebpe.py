@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from foliomatch.llm.common import map_batches
 
 #: How many pieces, how many bytes of one piece and how many pairs of neighbours a worker remembers.
-MEMO_PIECES, MEMO_BYTES, MEMO_PAIRS = 400_000, 64, 1_000_000
+MEMO_PIECES, MEMO_BYTES, MEMO_PAIRS = 300_000, 64, 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -75,15 +75,16 @@ class BytePieceEncoder:
         #: the longest token that a token begins with, itself not counted
         self.shorter = {rank: next((self.ids[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in usable), None) for rank, t in ((r, self.letters[r]) for r in made)}
         self.length = {rank: len(t) for rank, t in self.letters.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the bytes of two tokens gives these two; remembered for ``MEMO_PAIRS`` pairs."""
-        known = self.pairs.get((a, b))
+        pair = a << 32 | b
+        known = self.pairs.get(pair)
         if known is None:
             if len(self.pairs) >= MEMO_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self._meet(a, b)
+            known = self.pairs[pair] = self._meet(a, b)
         return known
 
     def _edge(self, token: int, side: int) -> list[int]:
