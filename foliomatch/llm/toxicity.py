@@ -239,17 +239,19 @@ def lexicons(texts: DataFrame) -> list[Lexicon]:
     The sample is bounded, and so is what comes to the driver: a row of counts for each beginning of its words.
     """
     counted = map_batches(texts.select("text", "toxic", "fold"), _count_slice, ", ".join(f"{c} long" for c in COUNT_NAMES))
-    sums = [F.min(c).cast("long").alias(c) for c in ("parent", "depth")] + [F.sum(c).cast("int").alias(c) for c in COUNT_NAMES[3:]]
+    sums = [F.min("parent").alias("parent"), F.min("depth").cast("byte").alias("depth")] + [F.sum(c).cast("int").alias(c) for c in COUNT_NAMES[3:]]
     got = counted.groupBy("key").agg(*sums).toArrow()
     order = np.argsort(got["key"].to_numpy())
     keys, parents, depths = (got[c].to_numpy()[order] for c in COUNT_NAMES[:3])
-    above = np.where(parents == 0, -1, np.searchsorted(keys, parents))
+    above = np.where(parents == 0, -1, np.searchsorted(keys, parents)).astype(np.int32)
+    counts = {c: got[c].to_numpy()[order] for c in COUNT_NAMES[3:]}
+    del got, parents, order
     n = {(r.fold, r.toxic): r["count"] for r in texts.groupBy("fold", "toxic").count().collect()}
     out, kept = [], None
     for left_out in (None, *range(FOLDS)):
         folds = [k for k in range(FOLDS) if k != left_out]
-        toxic = sum(got[f"t{k}"].to_numpy() for k in folds)[order]
-        every = toxic + sum(got[f"c{k}"].to_numpy() for k in folds)[order]
+        toxic = sum(counts[f"t{k}"] for k in folds)
+        every = toxic + sum(counts[f"c{k}"] for k in folds)
         if kept is None:
             kept = np.flatnonzero((above < 0) | (every != every[above]))
             own = keys[kept]
