@@ -25,6 +25,8 @@ CLASS = 3
 WORDS, MAX_BITS = 3, 45
 #: A longer list is compared in tiles, and a larger candidate group verified in tiles after a look at its pivots.
 TILE, TOGETHER, PIVOTS = 2048, 1024, 4
+#: Tasks over which the members of one large group meet its pivots.
+SALTS = 64
 
 PAIRS = [p for at in range(0, BYTES - CLASS + 1, CLASS) for p in combinations(range(at, at + CLASS), 2)]
 
@@ -281,7 +283,10 @@ def _tiles(members: DataFrame, least: float, together: int) -> tuple[DataFrame,
         keep = [bool(similar([np.frombuffer(s, np.uint64)], np.frombuffer(t, np.uint64), least)[0]) for s, t in zip(x.to_pylist(), y.to_pylist())]
         return pa.RecordBatch.from_arrays([a.filter(pa.array(keep, pa.bool_())), b.filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
-    met = members.join(F.broadcast(pivots), "component").select("sig", "pivot", "shingles", "other")
+    # the pivots of all large groups grow with the corpus: both sides are dealt by group and salt, so no group is one task
+    salted = pivots.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = members.withColumn("_salt", F.pmod(F.xxhash64("sig"), F.lit(SALTS)).cast("int")).join(salted, ["component", "_salt"])
+    met = met.select("sig", "pivot", "shingles", "other")
     edges = materialize(map_batches(met, close, "a long, b long"), "pivot-edges")
     grouped = members.join(connected_components(edges).toDF("sig", "grp"), "sig", "left").withColumn("grp", F.coalesce("grp", "sig"))
     pool = grouped.groupBy("component", "grp").count().where(F.col("count") > together / 4).select("component", "grp", F.col("grp").alias("pool"))
