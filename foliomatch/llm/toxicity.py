@@ -20,8 +20,8 @@ from foliomatch.plans.stages import materialize
 FIT_DOCUMENTS, FOLDS = 20_000, 3
 #: Documents that a token's prior weighs, first and last length of the beginnings that words share, what every token costs.
 PRIOR, SHORTEST, LONGEST, DRIFT = 3.0, 2, 32, -1.5
-#: E-value up to which a passage is reported.
-EVALUE = 0.01
+#: E-value up to which a passage is reported, and words whose scores a worker remembers.
+EVALUE, REMEMBERED = 0.01, 200_000
 RESULTS = ("n", "best", "evidence", "score", "passages")
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -150,7 +150,7 @@ class Model:
         self.known: dict[str, float] = {}
 
     def values(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """The score of each word of each text; those of half a million words are remembered.
+        """The score of each word of each text; those of about ``REMEMBERED`` words are remembered.
 
         Words that are new are looked up together for about a million letters of texts.
         """
@@ -161,7 +161,7 @@ class Model:
                 parts.append(tokens(texts[at]))
                 size += len(texts[at] or "")
                 at += 1
-            if len(self.known) > 500_000:
+            if len(self.known) > REMEMBERED:
                 self.known = {}
             known = self.known
             new = list(set().union(*parts).difference(known))
