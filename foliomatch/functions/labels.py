@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliomatch.functions.text import let, stem
@@ -23,6 +23,7 @@ EDITION_WORDS = (
 BRACKETED = r"\[[^\[\]]*\]|\((?:[^()]|\([^()]*\))*\)"
 CIRCLE = r"^(.*?)\((.*?)\)$"
 PARTS = ("circle", "author", "title", "attribute")
+VALUES = "array<struct<part:string,i:int,value:string>>"
 
 
 @deferred("array<string>")
@@ -86,3 +87,29 @@ def work_label(paths: Column) -> Column:
         return F.concat(F.lit("["), circle, F.lit("("), author, F.lit(")] "), title, F.lit(" ("), attribute, F.lit(")"))
 
     return let(F.transform(nfc_all(paths), title_parts), joined)
+
+
+def work_labels(names: DataFrame) -> DataFrame:
+    """``(component, label)``: ``work_label`` of the paths of each component of ``names(component, at, path)`` in order of ``at``.
+
+    Equal paths are read once, and a value is kept once for each spelling whatever its case, by aggregation; so what a
+    component gathers is what its label holds, and no more.
+    """
+    composed = names.select("component", "at", F.get(nfc_all(F.array("path")), F.lit(0)).alias("path"))
+    paths = composed.groupBy("component", "path").agg(F.min("at").alias("at"))
+    parts = paths.select("component", "at", title_parts(F.col("path")).alias("t"))
+
+    def named(name: str) -> Column:
+        return F.transform(F.col(f"t.{name}"), lambda v, i: F.struct(F.lit(name).alias("part"), i.alias("i"), F.trim(v).alias("value")))
+
+    values = F.filter(F.concat(*[named(p) for p in PARTS]), lambda x: x["value"].isNotNull() & ~F.lower(x["value"]).isin(*UNKNOWN_SPELLINGS))
+    rows = parts.select("component", "at", F.explode_outer(F.coalesce(values, F.array().cast(VALUES))).alias("v"))
+    firsts = rows.groupBy("component", "v.part", F.lower("v.value").alias("same")).agg(F.min(F.struct("at", "v.i", "v.value")).alias("f"))
+
+    def one(name: str) -> Column:
+        found = F.array_sort(F.collect_list(F.when(F.col("part") == name, F.col("f"))))
+        return F.array_join(F.transform(found, lambda f: f["value"]), " / ").alias(name)
+
+    joined = firsts.groupBy("component").agg(*[one(p) for p in PARTS])
+    circle, author, title, attribute = (F.when(F.col(p) == "", UNKNOWN).otherwise(F.col(p)) for p in PARTS)
+    return joined.select("component", F.concat(F.lit("["), circle, F.lit("("), author, F.lit(")] "), title, F.lit(" ("), attribute, F.lit(")")).alias("label"))
