@@ -18,7 +18,10 @@ SLICE_ROWS, SLICE_BYTES = 8192, 8 << 20
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` by slices of at most ``SLICE_ROWS`` rows, of mostly ``SLICE_BYTES``; ``fn`` may return None for no rows."""
+    """``mapInArrow`` by slices of at most ``SLICE_ROWS`` rows, of mostly ``SLICE_BYTES``; ``fn`` may return None for no rows.
+
+    A task that ends gives back what Arrow holds and does not use, as its worker lives on in other stages.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -27,6 +30,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
                 out = fn(batch.slice(at, step))
                 if out is not None and out.num_rows:
                     yield out
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

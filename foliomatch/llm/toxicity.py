@@ -22,6 +22,8 @@ FIT_DOCUMENTS, FOLDS = 20_000, 3
 PRIOR, SHORTEST, LONGEST, DRIFT = 3.0, 2, 32, -1.5
 #: E-value up to which a passage is reported, and words whose scores a worker remembers.
 EVALUE, REMEMBERED = 0.01, 200_000
+#: Words that are hashed together, each with as many keys as it has beginnings.
+HASHED = 8192
 RESULTS = ("n", "best", "evidence", "score", "passages")
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -131,6 +133,8 @@ class Lexicon:
         """The score of each word, or of its longest beginning that is known, with the cost of every token; else the cost alone."""
         if not len(self.keys) or not words:
             return np.full(len(words), DRIFT)
+        if len(words) > HASHED:
+            return np.concatenate([self.scores_of(words[i : i + HASHED]) for i in range(0, len(words), HASHED)])
         mine, there = word_keys(words)
         at = np.zeros(mine.shape, np.int64)
         at[there] = np.minimum(np.searchsorted(self.keys, mine[there]), len(self.keys) - 1)
@@ -211,26 +215,36 @@ COUNT_NAMES = ["key", "parent", "depth", *[f"{kind}{k}" for k in range(FOLDS) fo
 
 
 def _count_slice(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-    """Clean and toxic documents of each part that hold each beginning of a word."""
+    """Clean and toxic documents of each part that hold each beginning of a word.
+
+    Beginnings are numbered once for the words of the slice and counted document by document, so that a worker holds the
+    different ones and never those of all documents beside each other.
+    """
     numbers: dict[str, int] = {}
-    held = [np.array([numbers.setdefault(w, len(numbers)) for w in set(tokens(text))], np.int64) for text in batch["text"].to_pylist()]
+    held = [np.array([numbers.setdefault(w, len(numbers)) for w in set(tokens(text))], np.int32) for text in batch["text"].to_pylist()]
     if not numbers:
         return None
-    keys, there = word_keys(list(numbers))
-    parents, depths = np.zeros_like(keys), np.broadcast_to(np.arange(keys.shape[1]), keys.shape)
-    parents[:, 1:-1] = keys[:, :-2]
-    last = there[:, :-1].sum(1) - 1  # the longest beginning of each word, or none
-    parents[:, -1] = np.where(last >= 0, keys[np.arange(len(keys)), last], 0)
-    rows, cells = [], []
-    for words, toxic, fold in zip(held, batch["toxic"].to_pylist(), batch["fold"].to_pylist()):
-        ok = there[words]
-        every = np.stack([x[words][ok] for x in (keys, parents, depths)])
-        rows.append(every[:, np.unique(every[0], return_index=True)[1]])
-        cells.append(np.full(rows[-1].shape[1], 2 * fold + toxic))
-    every, cell = np.concatenate(rows, axis=1), np.concatenate(cells)
-    keys, first, at = np.unique(every[0], return_index=True, return_inverse=True)
-    counts = np.bincount(at * 2 * FOLDS + cell, minlength=len(keys) * 2 * FOLDS).reshape(len(keys), -1)
-    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (keys, every[1][first], every[2][first], *counts.T)], COUNT_NAMES)
+    words, every, sizes = list(numbers), [], []
+    for at in range(0, len(words), HASHED):
+        keys, there = word_keys(words[at : at + HASHED])
+        parents, depths = np.zeros_like(keys), np.broadcast_to(np.arange(keys.shape[1], dtype=np.int8), keys.shape)
+        parents[:, 1:-1] = keys[:, :-2]
+        last = there[:, :-1].sum(1) - 1  # the longest beginning of each word, or none
+        parents[:, -1] = np.where(last >= 0, keys[np.arange(len(keys)), last], 0)
+        every.append([x[there] for x in (keys, parents, depths)])
+        sizes.append(there.sum(1))
+    keys, parents, depths = map(np.concatenate, zip(*every))
+    del every
+    keys, first, own = np.unique(keys, return_index=True, return_inverse=True)
+    parents, depths, own = parents[first], depths[first], own.astype(np.int32)
+    ends = np.cumsum(np.concatenate(sizes))
+    begins = ends - np.concatenate(sizes)
+    counts = np.zeros((2 * FOLDS, len(keys)), np.int32)
+    for mine, toxic, fold in zip(held, batch["toxic"].to_pylist(), batch["fold"].to_pylist()):
+        n = ends[mine] - begins[mine]
+        at = np.repeat(begins[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        counts[2 * fold + toxic, np.unique(own[at])] += 1
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (keys, parents, depths, *counts)], COUNT_NAMES)
 
 
 def lexicons(texts: DataFrame) -> list[Lexicon]:
