@@ -31,6 +31,8 @@ MAX_MEMBERS, MAX_LISTING, MAX_MEMBER, CHUNK = 50_000, 32 << 20, 128 << 20, 8 <<
 MEMBERS = "path string, member string, size long, packed long, crc string, encrypted boolean, error string"
 #: Tasks that the members of one container are dealt to, and bytes of payloads that a task hands on at once.
 DEALT, BATCH_BYTES = 16, 8 << 20
+#: Written containers that a task tells of at once.
+WRITTEN = 1000
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
@@ -364,19 +366,29 @@ def write_containers(rows: DataFrame, root: str) -> DataFrame:
         fs, top = _place(root)
         fs.create_dir(top)
         name, n, z, stream, waiting = None, 0, None, None, None
+        folders, done = {top}, []
 
-        def close() -> pd.DataFrame:
+        def close() -> None:
             z.close()
             stream.close()
-            fs.create_dir(os.path.dirname(f"{top}/{name}"))
+            if (folder := os.path.dirname(f"{top}/{name}")) not in folders:
+                fs.create_dir(folder)
+                folders.add(folder)
             fs.move(waiting, f"{top}/{name}.zip")
-            return pd.DataFrame([(name, n)], columns=["container", "members"])
+            done.append((name, n))
+
+        def told() -> pd.DataFrame:
+            out = pd.DataFrame(done, columns=["container", "members"])
+            done.clear()
+            return out
 
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 if row.container != name:
                     if z is not None:
-                        yield close()
+                        close()
+                        if len(done) >= WRITTEN:
+                            yield told()
                     name, n, waiting = row.container, 0, f"{top}/.{uuid.uuid4().hex}"
                     stream = fs.open_output_stream(waiting)
                     z = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED)
@@ -385,7 +397,8 @@ def write_containers(rows: DataFrame, root: str) -> DataFrame:
                 z.writestr(info, row.payload)
                 n += 1
         if z is not None:
-            yield close()
+            close()
+            yield told()
 
     return dealt.mapInPandas(write, "container string, members long")
 
