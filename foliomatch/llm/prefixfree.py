@@ -7,8 +7,9 @@ with as much text around it as a window can reach.
 Where an entry occurs again, all windows around it occur again: that is settled on two hashes, of the trigger and of the
 entry, without texts, first among the rows of a task and then by one shuffle. What is left are different entries with the
 same trigger: where a repeated passage begins or ends. Their texts are fetched, and their windows, those that start at the
-same place before the trigger, are compared by their bytes in sorted order. This is no prefix-free parsing: neither a
-dictionary nor a parse has a suffix array, see the README.
+same place before the trigger, are compared by their bytes in sorted order. Of a trigger with very many entries these are
+dealt anew by more bytes for fewer windows, so that what is dealt stays in proportion to the entries. This is no prefix-free
+parsing: neither a dictionary nor a parse has a suffix array, see the README.
 """
 
 from __future__ import annotations
@@ -23,16 +24,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from foliomatch.llm.common import map_batches
-from foliomatch.plans.stages import materialize, shuffle_partitions
+from foliomatch.plans.stages import discard, materialize, shuffle_partitions
 
 LENGTH, GRAM = 100, 24
 #: Texts are hashed in segments of so many bytes, which overlap by a window.
 SEGMENT = 1 << 18
 #: Occurrences that a task looks through at once for entries that it has itself met before.
 HELD = 1 << 19
-#: Different entries of one trigger that are sorted together; the windows of more are dealt out one by one.
+#: Different entries of one trigger that are compared together; more are told apart by what their windows have in common.
 TOGETHER = 2000
-#: Entries of such triggers whose windows a task compares among themselves before they are dealt out.
+#: Into how many parts the places before a trigger are cut for that, one after the other.
+PARTS = (2, 11)
+#: Entries that are compared at once at least, if there are so many, and the windows of these that are sorted at once at most.
+BUNCH, SORTED = 1000, 1 << 15
+#: Entries that still have too much in common whose windows a task compares among themselves before they are dealt out.
 CHUNK = 2000
 #: Keys over which the entries of one trigger are dealt when crowded triggers are told from others.
 SALTS = 16
@@ -195,31 +200,85 @@ def _first_of_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 yield pa.RecordBatch.from_arrays([trigger, pa.array(i[rows]), pa.array(k[rows]), pa.array(a[rows])], names)
 
 
-def _sorted_suffixes(rows: list[tuple[int, int, int, int, bytes]], places: range, length: int) -> Iterator[tuple[int, int, int, int]]:
-    """``(id, key, start, end)`` of windows in ``rows(id, key, at, before, entry)`` that equal an earlier one, runs joined.
+def _most_shared(side: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each row the most leading bytes that another row of its group has too; zeros behind a text's end count as bytes."""
+    most = np.zeros(len(side), np.int64)
+    if side.size:
+        order = np.lexsort((side.view(f"S{side.shape[1]}").ravel(), group))
+        side, group = side[order], group[order]
+        differ = side[1:] != side[:-1]
+        common = np.where(differ.any(axis=1), differ.argmax(axis=1), side.shape[1])
+        common[group[1:] != group[:-1]] = 0
+        most[order] = np.maximum(np.r_[0, common], np.r_[common, 0])
+    return most
 
-    For each number of bytes before the trigger, the entries' suffixes that start there are put in order of their first
-    ``length`` bytes and, where these are equal, of the corpus.
+
+def _compared(batch: pa.RecordBatch, length: int, gram: int) -> pa.RecordBatch:
+    """``(id, _key, lo, hi)`` of windows in entries sorted by group, id and place that equal an earlier one, runs joined.
+
+    A window must have an equal on both sides of the trigger, so only those are looked at that reach no further than the
+    entry has bytes in common with the next ones in the order of what stands before and of what follows. They are put in
+    order of their bytes for each place before the trigger.
     """
-    hits: dict[int, list[int]] = {}
-    for back in places:
-        suffixes = []
-        for nth, (id_, _, at, before, entry) in enumerate(rows):
-            start = before - back
-            if start >= 0 and start + length <= len(entry):
-                suffixes.append((entry[start : start + length], id_, at, nth))
-        suffixes.sort()
-        for _, same in groupby(suffixes, lambda s: s[0]):
-            first, *later = same
-            for one in later:
-                if one[1:3] != first[1:3]:  # another text of the id at the same place is the same occurrence
-                    hits.setdefault(one[3], []).append(back)
-    for nth, backs in hits.items():
-        id_, key, place, _, _ = rows[nth]
-        starts = sorted(place - b for b in backs)
-        for _, run in groupby(enumerate(starts), lambda x: x[1] - x[0]):
-            run = [s for _, s in run]
-            yield id_, key, run[0], run[-1] + length
+    reach, n = length - gram + 1, batch.num_rows
+    group, id_, key, at, before = (c.to_numpy() for c in batch.columns[:5])
+    lo, hi = (c.to_numpy() for c in batch.columns[6:]) if batch.num_columns > 6 else (0, reach - 1)
+    entry = batch.column(5).cast(pa.binary())
+    offsets = np.frombuffer(entry.buffers()[1], np.int32)[entry.offset : entry.offset + n + 1].astype(np.int64)
+    size = np.diff(offsets)
+    # texts side by side, with their triggers in one column
+    text = np.zeros((n, reach - 1 + length), np.uint8)
+    begin = np.arange(n) * text.shape[1] + reach - 1 - before
+    place = np.arange(offsets[0], offsets[-1]) + np.repeat(begin - offsets[:-1], size)
+    text.reshape(-1)[place] = np.frombuffer(entry.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    after = np.minimum(size - before, _most_shared(np.ascontiguousarray(text[:, reach - 1 :]), group))
+    least = np.maximum(lo, length - after)
+    most = np.minimum(np.minimum(hi, before), _most_shared(np.ascontiguousarray(text[:, : reach - 1][:, ::-1]), group))
+    number = np.cumsum(np.r_[0, group[1:] != group[:-1]])
+    every = np.lib.stride_tricks.sliding_window_view(text, length, axis=1)
+    count = np.maximum(0, most - least + 1)
+    step = reach if count.sum() <= SORTED else max(1, SORTED // n)
+    hits = []
+    for back0 in range(0, reach, step):
+        first = np.maximum(least, back0)
+        count = np.maximum(0, np.minimum(most, back0 + step - 1) - first + 1)
+        if not (total := int(count.sum())):
+            continue
+        row = np.repeat(np.arange(n), count)
+        back = np.arange(total) + np.repeat(first - np.cumsum(count) + count, count)
+        window = every[row, reach - 1 - back].view(f"S{length}").ravel()
+        where = number[row] * reach + back
+        order = np.lexsort((window, where))  # equal ones stay in the order of the corpus
+        row, back, window, where = row[order], back[order], window[order], where[order]
+        again = np.r_[False, (where[1:] == where[:-1]) & (window[1:] == window[:-1])]
+        head = row[np.maximum.accumulate(np.where(again, 0, np.arange(total)))]
+        again &= (id_[row] != id_[head]) | (at[row] != at[head])  # another text of the id at the same place is the same occurrence
+        hits.append((row[again], back[again]))
+    row, back = (np.concatenate(c) for c in zip(*hits)) if hits else (np.empty(0, np.int64),) * 2
+    order = np.lexsort((back, row))
+    row, back = row[order], back[order]
+    new = np.r_[True, (row[1:] != row[:-1]) | (back[1:] != back[:-1] + 1)][: len(row)]
+    last = np.r_[new[1:], True][: len(row)]
+    row, start, end = row[new], at[row[new]] - back[last], at[row[new]] - back[new] + length
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (id_[row], key[row], start, end)], ["id", "_key", "lo", "hi"])
+
+
+def _equal_windows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """``_compared`` over whole groups of entries ``(group, id, key, at, before, entry)``, which may be followed by the least
+    and most bytes before the trigger, ``(lo, hi)``, that are looked at. It keeps ``BUNCH`` entries and one group."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if rest:
+            batch = pa.Table.from_batches([*rest, batch]).combine_chunks().to_batches()[0]
+        group, at = batch.column(0).to_numpy(), 0
+        for end in (np.flatnonzero(group[1:] != group[:-1]) + 1).tolist():
+            if end - at >= BUNCH:
+                yield _compared(batch.slice(at, end - at), length, gram)
+                at = end
+        rest = [batch.slice(at)] if at < batch.num_rows else []
+    for batch in rest:
+        yield _compared(batch, length, gram)
+    pa.default_memory_pool().release_unused()
 
 
 def _runs(hits: list[tuple[int, int, int]], length: int) -> pa.RecordBatch:
@@ -234,28 +293,35 @@ def _runs(hits: list[tuple[int, int, int]], length: int) -> pa.RecordBatch:
 
 
 def _windows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """From entries ``(trigger, id, key, at, before, entry)``: their windows as ``(window, id, key, at, back)``.
+    """From entries ``(group, id, key, at, before, entry)``, or with ``(lo, hi)``: their windows as ``(window, id, key, at, back, n)``.
 
-    Of equal windows among ``CHUNK`` entries only the first is dealt out by its bytes; the others are marked by a null
-    window, so that a window of very many documents comes to the shuffle once from each chunk.
+    Of equal windows among ``CHUNK`` entries only the first is dealt out by its bytes, so that a window of very many
+    documents comes to the shuffle once from each chunk; the others are marked by a null window, as one row for the ``n``
+    that begin at ``back`` and the next places before the trigger.
     """
     for batch in batches:
         for at0 in range(0, batch.num_rows, CHUNK):
             rows = []
-            for _, id_, key, at, before, entry in zip(*(c.to_pylist() for c in batch.slice(at0, CHUNK).columns)):
+            for _, id_, key, at, before, entry, *ends in zip(*(c.to_pylist() for c in batch.slice(at0, CHUNK).columns)):
+                lo, hi = ends or (0, length - gram)
                 # equal windows have their trigger at the same place, so bytes and place before it name a window
-                rows += [(entry[before - b : before - b + length], b, id_, at, key) for b in range(min(before, length - gram) + 1) if before - b + length <= len(entry)]
+                rows += [(entry[before - b : before - b + length], b, id_, at, key) for b in range(lo, min(before, hi) + 1) if before - b + length <= len(entry)]
             rows.sort()
-            out, first = [], None
+            out, marked, first = [], [], None
             for row in rows:
                 if first is None or row[:2] != first[:2]:
                     first = row
-                    out.append((row[0], row[2], row[4], row[3], row[1]))
-                else:  # another text of the id at the same place is the same occurrence
-                    out.append((row[0] if row[2:4] == first[2:4] else None, row[2], row[4], row[3], row[1]))
+                elif row[2:4] != first[2:4]:
+                    marked.append((row[2], row[4], row[3], row[1]))
+                    continue  # else another text of the id at the same place, which is the same occurrence
+                out.append((row[0], row[2], row[4], row[3], row[1], 1))
+            marked.sort()
+            for _, run in groupby(enumerate(marked), lambda x: (*x[1][:3], x[1][3] - x[0])):
+                run = [m for _, m in run]
+                out.append((None, *run[0], len(run)))
             if out:
-                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["window", "id", "key", "at", "back"])
+                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["window", "id", "key", "at", "back", "n"])
 
 
 def _later_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -263,13 +329,13 @@ def _later_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
     equal ones, and of the marked ones. It keeps one window at a time."""
     first, hits = None, []
     for batch in batches:
-        for window, id_, key, at, back in zip(*(c.to_pylist() for c in batch.columns)):
+        for window, id_, key, at, back, n in zip(*(c.to_pylist() for c in batch.columns)):
             if window is not None:
                 if first is None or first[:2] != (window, back):
                     first = (window, back, id_, at)
                 if first[2:] == (id_, at):
                     continue
-            hits.append((id_, key, at - back))
+            hits += [(id_, key, at - b) for b in range(back, back + n)]
         if len(hits) > 50_000:
             yield _runs(hits, length)
             hits = []
@@ -277,13 +343,39 @@ def _later_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
         yield _runs(hits, length)
 
 
+def _narrowed(entries: DataFrame, parts: int, length: int) -> DataFrame:
+    """``(group, id, key, at, before, entry, lo, hi)`` for each of ``parts`` parts of the places ``lo`` to ``hi`` before the trigger.
+
+    The entry is cut to what its windows in the part reach, and the group is a hash of the bytes that all of them hold, so
+    equal windows share it. Entries without a window in the part are left out.
+    """
+    width = F.ceil((F.col("hi") - F.col("lo") + 1) / parts).cast("int")
+    rows = entries.withColumn("_width", width).withColumn("lo", F.explode(F.sequence("lo", "hi", "_width")))
+    rows = rows.withColumn("hi", F.least(F.col("lo") + F.col("_width") - 1, "hi"))
+    rows = rows.where(f"before >= lo AND before - hi + {length} <= length(entry)")
+    group = F.xxhash64("lo", F.expr(f"substring(entry, before - lo + 1, {length} - hi + lo)"))
+    begin = F.greatest(F.col("before") - F.col("hi"), F.lit(0))
+    rows = rows.withColumns({"group": group, "_from": begin})
+    text = F.expr(f"substring(entry, _from + 1, least(length(entry), before - lo + {length}) - _from)")
+    return rows.select("group", "id", "key", "at", (F.col("before") - F.col("_from")).alias("before"), text.alias("entry"), "lo", "hi")
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``(_id, _key, spans array<struct<lo, hi>>)``: bytes covered by ``length``-byte strings that also start earlier."""
+    """``(_id, _key, spans array<struct<lo, hi>>)``: bytes covered by ``length``-byte strings that also start earlier.
+
+    Each step is written, and its shuffle files go with it: together they are several times the texts.
+    """
     spark = docs.sparkSession
     keyed = _once(_keyed(docs))
     n = shuffle_partitions(spark)
+    written: list[DataFrame] = []
+
+    def step(df: DataFrame, name: str) -> DataFrame:
+        written.append(materialize(df, name, release=True))
+        return written[-1]
+
     parsed = _parse(keyed, length, gram).repartition(n, "trigger").sortWithinPartitions("trigger", "entry", "id", "at")
-    found = materialize(parsed.mapInArrow(_first_of_entries, "trigger long, id long, key long, at long"), "occurrences")
+    found = step(parsed.mapInArrow(_first_of_entries, "trigger long, id long, key long, at long"), "occurrences")
 
     # texts around the triggers whose entries differ
     wanted = found.where("trigger IS NOT NULL").groupBy("id", "key").agg(F.collect_list(F.struct("trigger", "at")).alias("wanted"))
@@ -298,48 +390,42 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                         place = x["at"]
                         lo, hi = max(0, place - (length - gram)), min(len(raw), place + length)
                         rows.append((x["trigger"], id_, key, place, place - lo, raw[lo:hi]))
-                kinds = [("trigger", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("at", pa.int64()), ("before", pa.int32()), ("entry", pa.binary())]
+                kinds = [("group", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("at", pa.int64()), ("before", pa.int32()), ("entry", pa.binary())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows), kinds)], [name for name, _ in kinds])
 
     asked = keyed.join(wanted.toDF("_id", "_key", "wanted"), ["_id", "_key"]).select("_id", "_key", "text", "wanted")
-    entries = materialize(asked.mapInArrow(fetch, "trigger long, id long, key long, at long, before int, entry binary"), "entries")
-    # the windows of a trigger with very many entries go each its own way, so that no task gathers such a trigger
-    crowded = materialize(entries.groupBy("trigger").count().where(F.col("count") > TOGETHER).select("trigger"), "crowded")
-    reach = length - gram + 1
-    columns = ["trigger", "id", "key", "at", "before", "entry"]
-    # both sides are dealt by trigger and salt: the list of these triggers grows with the corpus and is not sent around
-    salts = crowded.select("trigger", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    salted = entries.withColumn("_salt", F.pmod(F.xxhash64("id", "at"), F.lit(SALTS)).cast("int"))
-    dealt = salted.join(salts, ["trigger", "_salt"], "left_anti").select(*columns)
-    dealt = dealt.repartition(n, "trigger").sortWithinPartitions("trigger", "id", "at")
-
-    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flat():
-            for batch in batches:
-                yield from zip(*(c.to_pylist() for c in batch.columns))
-
-        out = []
-        for _, group in groupby(flat(), lambda r: r[0]):
-            rows = [r[1:] for r in group]
-            if len(rows) > 1:
-                out += _sorted_suffixes(rows, range(reach), length)
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["id", "_key", "lo", "hi"])
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["id", "_key", "lo", "hi"])
-
+    entries = step(asked.mapInArrow(fetch, "group long, id long, key long, at long, before int, entry binary"), "entries")
     kinds = "id long, _key long, lo long, hi long"
-    edges = dealt.mapInArrow(order, kinds)
-    if not crowded.isEmpty():
-        many = salted.join(salts, ["trigger", "_salt"], "left_semi").select(*columns)
-        windows = many.mapInArrow(lambda it: _windows(it, length, gram), "window binary, id long, key long, at long, back int")
+
+    def edges(entries: DataFrame, parts: tuple[int, ...]) -> DataFrame:
+        """Spans of windows that equal an earlier one of their group: a trigger, or bytes around it."""
+        crowded = step(entries.groupBy("group").count().where(F.col("count") > TOGETHER).select("group"), "crowded")
+        # both sides are dealt by group and salt: the list of these groups grows with the corpus and is not sent around
+        salts = crowded.select("group", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+        salted = entries.withColumn("_salt", F.pmod(F.xxhash64("id", "at"), F.lit(SALTS)).cast("int"))
+        dealt = salted.join(salts, ["group", "_salt"], "left_anti").select(*entries.columns)
+        dealt = dealt.repartition(n, "group").sortWithinPartitions("group", "id", "at")
+        spans = dealt.mapInArrow(lambda it: _equal_windows(it, length, gram), kinds)
+        if crowded.isEmpty():
+            return spans
+        many = salted.join(salts, ["group", "_salt"], "left_semi").select(*entries.columns)
+        if parts:
+            # no task gathers such a group: its entries are dealt anew by more bytes than the trigger's, for fewer windows at a time
+            if "lo" not in many.columns:
+                many = many.withColumns({"lo": F.lit(0), "hi": F.lit(length - gram)})
+            return spans.unionByName(edges(step(_narrowed(many, parts[0], length), "narrowed"), parts[1:]))
+        windows = many.mapInArrow(lambda it: _windows(it, length, gram), "window binary, id long, key long, at long, back int, n int")
         deal = F.when(F.col("window").isNull(), F.xxhash64("id", "at")).otherwise(F.xxhash64("window", "back"))
         windows = windows.repartition(n, deal).sortWithinPartitions("window", "back", "id", "at")
-        edges = edges.unionByName(windows.mapInArrow(lambda it: _later_windows(it, length), kinds))
+        return spans.unionByName(windows.mapInArrow(lambda it: _later_windows(it, length), kinds))
+
     place = F.col("at")
     whole = found.where("trigger IS NULL").select("id", F.col("key").alias("_key"), F.greatest(F.lit(0), place - (length - gram)).alias("lo"), (place + length).alias("hi"))
-    return whole.unionByName(edges).groupBy(F.col("id").alias("_id"), "_key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = whole.unionByName(edges(entries, PARTS)).groupBy(F.col("id").alias("_id"), "_key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    out = step(spans, "spans")
+    for used in written[:-1]:
+        discard(used)
+    return out
 
 
 def _merged(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:
